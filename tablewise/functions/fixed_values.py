@@ -88,3 +88,27 @@ PERSONAL_KINDS = [
     ("address", None, ["address", "street", "street_address", "home_address", "mailing_address", "addr", "postal_address"], "high"),
     ("zipcode", r"\b\d{5}(-\d{4})?\b", ["zip", "zipcode", "zip_code", "postal_code", "pincode", "pin_code"], "low"),
 ]
+
+# Sentiment words.
+POSITIVE_WORDS = [
+    "good", "great", "excellent", "amazing", "wonderful", "fantastic",
+    "love", "best", "perfect", "awesome", "happy", "beautiful",
+    "outstanding", "brilliant", "impressive", "superb", "nice",
+    "like", "enjoy", "recommend", "pleased", "satisfied", "positive",
+    "helpful", "incredible", "remarkable", "delightful", "fabulous",
+]
+NEGATIVE_WORDS = [
+    "bad", "terrible", "horrible", "awful", "worst", "poor", "hate",
+    "disappointing", "disappointed", "negative", "ugly", "boring",
+    "waste", "useless", "pathetic", "annoying", "frustrating",
+    "broken", "failed", "failure", "problem", "issue", "complaint",
+    "unfortunately", "regret", "dreadful", "unpleasant",
+]
+
+# Words in a statement that suggest a time series.
+SERIES_WORDS = [
+    "forecast", "time series", "timeseries", "temporal", "predict future",
+    "trend", "seasonality", "date", "monthly", "daily", "weekly",
+    "yearly", "quarterly", "hourly", "stock price", "sales forecast",
+    "demand", "time-series",
+]

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions import fixed_values as fixed
-from tablewise.functions.moments import share
 from tablewise.operators.explore import DATE_FORMATS
 from tablewise.operators.measures import (
-    EXPRESSIONS_PER_PASS, col, distinct_counts, frequencies, measure, null_counts, number, numeric_columns,
+    col, distinct_counts, frequencies, measure, null_counts, number, numeric_columns,
     quantiles, report, text_columns,
 )
 
@@ -100,10 +99,6 @@ def handle_contacts(df: DataFrame) -> Step:
     return df, changes
 
 
-def try_double(c: Column) -> Column:
-    return F.try_to_number(c, F.lit("")) if False else c.try_cast("double")
-
-
 def currency_value(c: Column) -> Column:
     s = F.regexp_replace(c, fixed.CURRENCY_SYMBOLS, "")
     eu = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))

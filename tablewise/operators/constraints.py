@@ -99,7 +99,8 @@ def violations(df: DataFrame, rules: Iterable[dict], key: str) -> DataFrame:
         elif r["type"] == "conditional_not_null":
             add(f"not_null_when_{r['condition_column']}={r['condition_value']}", c,
                 x.isNull() & (col(r["condition_column"]).cast("string") == r["condition_value"]), F.lit("medium"))
-    found = df.select(col(key).alias("key"), F.explode(F.array_compact(F.array(*cells))).alias("v")).select("key", "v.*")
+    shape = "array<struct<column:string,rule:string,value:string,severity:string>>"
+    found = df.select(col(key).alias("key"), F.explode(F.array_compact(F.array(*cells).cast(shape))).alias("v")).select("key", "v.*")
     for r in rules:
         if r["type"] == "unique":
             c = r["column"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.moments import bias_corrected_kurtosis, bias_corrected_skew, half_up
 from tablewise.operators.measures import (
-    col, distinct_counts, frequencies, histogram, measure, null_counts, number, numeric_columns,
+    col, correlation, distinct_counts, frequencies, histogram, measure, null_counts, number, numeric_columns,
     pair_correlations, pick, quantiles, report, text_columns, top_values,
 )
 from tablewise.operators.profile import column_histograms, duplicate_rows, kind_of
@@ -199,7 +199,7 @@ def target_classes(df: DataFrame, target: str) -> DataFrame:
 def target_correlations(df: DataFrame, target: str, n: int = 15) -> DataFrame:
     """Correlation of each numeric column with the target, strongest first, with a leakage flag."""
     cols = numeric_columns(df, [target])
-    row = measure(df, **{f"r{i}": F.corr(number(target), number(c)) for i, c in enumerate(cols)})
+    row = measure(df, **{f"r{i}": correlation(number(target), number(c)) for i, c in enumerate(cols)})
     got = sorted(((c, row[f"r{i}"]) for i, c in enumerate(cols) if row[f"r{i}"] is not None and row[f"r{i}"] == row[f"r{i}"]), key=lambda p: (-abs(p[1]), p[0]))
     return report(df, [(c, half_up(r), abs(r) > 0.95) for c, r in got[:n]], "feature string, correlation double, leakage boolean")
 

@@ -213,10 +213,17 @@ def _narrowed_quantiles(df, cols, n, probs, out) -> None:
         out[c][j] = measure(df, v=F.percentile(F.when(cols[c].between(lo, hi), cols[c]), F.lit(f)))["v"]
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pairwise-complete Pearson correlation; null instead of an error when a side is constant."""
+    a, b = a.cast("double"), b.cast("double")
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
     """Pairwise-complete Pearson correlation of every pair a before b."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    got = measure(df, **{f"r{i}": F.corr(number(a), number(b)) for i, (a, b) in enumerate(pairs)})
+    got = measure(df, **{f"r{i}": correlation(number(a), number(b)) for i, (a, b) in enumerate(pairs)})
     out = {}
     for i, p in enumerate(pairs):
         r = got[f"r{i}"]
@@ -291,6 +298,38 @@ def hash_normal(*parts: Column | str | int) -> Column:
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
 
 
+def order_number(df: DataFrame, name: str) -> Column:
+    """A date, time or number as a number that sorts the same way."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col(name)).cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col(name).cast("timestamp"))
+    return col(name)
+
+
+def over_rows(
+    df: DataFrame, by: Sequence[str], order: str, make, back: int = 0, ahead: int = 0, tie: str | None = None
+) -> DataFrame:
+    """Add window columns whose frames reach at most ``back`` rows back and ``ahead`` rows ahead.
+
+    ``make(window)`` gives {name: Column}. A small table is one window per group. A large
+    one is cut into blocks of ROWS_PER_TASK positions; the rows at a block's edge are
+    copied to its neighbour, so a series of any length is spread over many tasks.
+    """
+    key = order_number(df, order)
+    if df.count() <= ROWS_PER_TASK:
+        w = Window.partitionBy(*by).orderBy(key, *([tie] if tie else []))
+        return df.withColumns(make(w))
+    size = max(ROWS_PER_TASK, 2 * (back + ahead) + 1)
+    data = positions(df.withColumn("_key", key), by, "_key", "_pos", tie)
+    own = F.floor(F.col("_pos") / size)
+    copies = [own, F.when(F.col("_pos") % size >= size - back, own + 1), F.when(F.col("_pos") % size < ahead, own - 1)]
+    data = data.withColumn("_own", own).withColumn("_block", F.explode(F.array_compact(F.array(*copies))))
+    w = Window.partitionBy(*by, "_block").orderBy("_pos")
+    return data.withColumns(make(w)).where("_block = _own").drop("_key", "_pos", "_own", "_block")
+
+
 def bucketed(df: DataFrame, order: str, into: str, rows: int | None = None) -> tuple[DataFrame, int]:
     """Add an integer range bucket of a numeric column holding about ROWS_PER_TASK rows each."""
     rows = df.count() if rows is None else rows

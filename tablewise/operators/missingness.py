@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up
 from tablewise.functions.tails import chi2_sf, correlation_p
-from tablewise.operators.measures import col, measure, melt, null_counts, number, numeric_columns, quantiles, report, text_columns
+from tablewise.operators.measures import col, correlation, measure, melt, null_counts, number, numeric_columns, quantiles, report, text_columns
 
 
 def little_test(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def independence_tests(df: DataFrame) -> DataFrame:
     for i, g in enumerate(gaps):
         for j, o in enumerate(nums):
             if o != g:
-                exprs |= {f"r{i}_{j}": F.corr(col(g).isNull().cast("double"), number(o)), f"n{i}_{j}": F.count(col(o))}
+                exprs |= {f"r{i}_{j}": correlation(col(g).isNull().cast("double"), number(o)), f"n{i}_{j}": F.count(col(o))}
     row = measure(df, **exprs) if exprs else {}
     ps: dict[str, list[float]] = {g: [] for g in gaps}
     for i, g in enumerate(gaps):
@@ -121,7 +121,7 @@ def null_correlations(df: DataFrame) -> DataFrame:
     miss = null_counts(df, df.columns)
     gaps = [c for c in df.columns if 0 < miss[c] < miss["*"]]
     pairs = [(a, b) for i, a in enumerate(gaps) for b in gaps[i + 1 :]]
-    row = measure(df, **{f"r{i}": F.corr(col(a).isNull().cast("double"), col(b).isNull().cast("double")) for i, (a, b) in enumerate(pairs)})
+    row = measure(df, **{f"r{i}": correlation(col(a).isNull().cast("double"), col(b).isNull().cast("double")) for i, (a, b) in enumerate(pairs)})
     return report(df, [(a, b, half_up(row[f"r{i}"])) for i, (a, b) in enumerate(pairs)], "column_1 string, column_2 string, correlation double")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.moments import bias_corrected_skew, half_up, share
 from tablewise.operators.measures import (
-    col, distinct_counts, measure, null_counts, number, numeric_columns, quantiles, report, text_columns,
+    col, correlation, distinct_counts, measure, null_counts, number, numeric_columns, quantiles, report, text_columns,
 )
 from tablewise.operators.profile import duplicate_rows, kind_of
 
@@ -164,7 +164,7 @@ def reframings(df: DataFrame, target: str, problem: str) -> DataFrame:
             out += [("bin_low_edge", target, half_up(q[0])), ("bin_high_edge", target, half_up(q[1]))]
         others = numeric_columns(df, [target])
         if others:
-            row = measure(df, **{f"r{i}": F.corr(number(target), number(c)) for i, c in enumerate(others)})
+            row = measure(df, **{f"r{i}": correlation(number(target), number(c)) for i, c in enumerate(others)})
             best = max((abs(v) for v in row.asDict().values() if v is not None and v == v), default=0.0)
             if best < 0.1:
                 out.append(("weak_signal", target, half_up(best)))

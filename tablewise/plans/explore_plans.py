@@ -135,6 +135,7 @@ def ed12(t):
 @query("ED13", f"""SELECT CASE WHEN pct > 60 THEN 'high' ELSE 'medium' END AS priority, 'Missing Data' AS category, CASE WHEN pct > 60 THEN 'drop' ELSE 'impute' END AS action, "column", pct AS value
 FROM (SELECT * FROM ({_missing([c for c, _ in ORD])}) a WHERE missing > 0 ORDER BY missing DESC LIMIT 5) a WHERE pct > 5
 UNION ALL SELECT 'high', 'Multicollinearity', 'drop', 'sparse', {rnd('corr(price, sparse)')} FROM {{dirty_orders}}
+UNION ALL SELECT 'high', 'Multicollinearity', 'drop', 'sentinel_price', {rnd('corr(sentinel_price, sparse)')} FROM {{dirty_orders}}
 UNION ALL SELECT 'low', 'Distribution', 'log', c, g FROM ({union(f"SELECT '{c}' AS c, {rnd(f'skewness({c})')} AS g FROM {{dirty_orders}}" for c, k in ORD if k == 'numeric')}) b WHERE abs(g) > 2""")
 def ed13(t):
     return E.recommendations(t.dirty_orders)
