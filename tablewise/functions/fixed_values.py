@@ -112,3 +112,14 @@ SERIES_WORDS = [
     "yearly", "quarterly", "hourly", "stock price", "sales forecast",
     "demand", "time-series",
 ]
+
+# Column names that suggest a protected attribute.
+SENSITIVE_NAMES = {
+    "gender": r"(?i)(gender|sex|male|female)",
+    "race": r"(?i)(race|ethnicity|ethnic|color)",
+    "age": r"(?i)(^age$|age_group|age_range)",
+    "religion": r"(?i)(religion|faith|religious)",
+    "nationality": r"(?i)(nationality|country|nation|citizen)",
+    "disability": r"(?i)(disability|disabled|handicap)",
+    "marital": r"(?i)(marital|married|spouse|marriage)",
+}

@@ -60,8 +60,9 @@ def difference(spark, con, folder, fn, sql):
     if not want:
         return "oracle gives no rows", 0
     if got != want:
-        a = [x for x in got if x not in set(want)][:3]
-        b = [x for x in want if x not in set(got)][:3]
+        sg, sw = set(got), set(want)
+        a = [x for x in got if x not in sw][:3]
+        b = [x for x in want if x not in sg][:3]
         return f"rows {len(got)} vs {len(want)}\n   spark {a}\n   sql   {b}", len(got)
     return None, len(got)
 
