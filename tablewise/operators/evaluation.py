@@ -239,14 +239,14 @@ def class_bands(df: DataFrame, key: str, prediction: str = "prediction", prob: s
         F.when(a >= 0.8, "HIGH").when(a >= 0.5, "MEDIUM").otherwise("LOW").alias("reliability"))
 
 
-def regression_bands(df: DataFrame, key: str, prediction: str = "prediction") -> DataFrame:
+def regression_bands(df: DataFrame, key: str, prediction: str = "prediction", places: int = 4) -> DataFrame:
     """Mean +- 2 population stds over the models, and reliability against the range of all predictions."""
     r = measure(df, lo=F.min(number(prediction)), hi=F.max(number(prediction)))
     spread = (r["hi"] - r["lo"]) or 1.0
     m, s = F.col("m"), F.col("s")
     a = F.greatest(F.lit(0.0), 1 - s / spread * 3)
     return df.groupBy(key).agg(F.avg(number(prediction)).alias("m"), F.stddev_pop(number(prediction)).alias("s")).select(
-        key, rounded(m).alias("point"), rounded(m - 2 * s).alias("lower"), rounded(m + 2 * s).alias("upper"), rounded(a).alias("agreement"),
+        key, rounded(m, places).alias("point"), rounded(m - 2 * s, places).alias("lower"), rounded(m + 2 * s, places).alias("upper"), rounded(a, places).alias("agreement"),
         F.when(a >= 0.7, "HIGH").when(a >= 0.4, "MEDIUM").otherwise("LOW").alias("reliability"))
 
 

@@ -66,7 +66,7 @@ def trend(df: DataFrame, date: str, value: str, by: Sequence[str] = (), tie: str
         F.avg(F.when(F.col("pos") >= F.col("n") - F.ceil(F.col("n") / 4), F.col("v"))).alias("last"), F.max("n").alias("n"))
     change = (F.col("last") - F.col("first")) / F.greatest(F.abs("first"), F.lit(1e-10))
     label = F.when(F.col("n") < 10, "unknown").when(change > 0.1, "upward").when(change < -0.1, "downward").otherwise("stable")
-    return means.select(*by, F.round("first", 4).alias("first_mean"), F.round("last", 4).alias("last_mean"), label.alias("trend"))
+    return means.select(*by, F.col("first").alias("first_mean"), F.col("last").alias("last_mean"), label.alias("trend"))
 
 
 def calendar(df: DataFrame, date: str) -> DataFrame:

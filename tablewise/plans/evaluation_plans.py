@@ -48,9 +48,9 @@ def dr3(t):
     return D.numeric_drift(a, b, ["value"]).select("column", "mean_shift", "reference_mean", "current_mean")
 
 
-CAT = """n AS (SELECT kind, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM {drift_sides} GROUP BY 1),
+CAT = """cn AS (SELECT kind, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM {drift_sides} GROUP BY 1),
 s AS (SELECT sum((q - p) * ln(q / p)) AS psi, sum((o - w) * (o - w) / w) AS chi2, count(*) AS k, max(nb) AS nb, count(*) FILTER (WHERE a = 0) AS new, count(*) FILTER (WHERE b = 0) AS lost FROM (
-SELECT a, b, greatest(a / na, 0.0001) AS p, greatest(b / nb, 0.0001) AS q, greatest(b, 0.1) AS o, greatest(a, 0.1) * nb / na AS w, nb FROM (SELECT *, CAST(sum(a) OVER () AS DOUBLE) AS na, CAST(sum(b) OVER () AS DOUBLE) AS nb FROM n) x) y)"""
+SELECT a, b, greatest(a / na, 0.0001) AS p, greatest(b / nb, 0.0001) AS q, greatest(b, 0.1) AS o, greatest(a, 0.1) * nb / na AS w, nb FROM (SELECT *, CAST(sum(a) OVER () AS DOUBLE) AS na, CAST(sum(b) OVER () AS DOUBLE) AS nb FROM cn) x) y)"""
 
 
 @query("DR4", f"WITH {CAT} SELECT 'kind' AS \"column\", round(abs(psi), 4) AS psi, round(chi2, 4) AS chi2, round(sqrt(chi2 / (nb * (k - 1))), 4) AS cramers_v, new AS new_categories, lost AS lost_categories FROM s")
@@ -234,9 +234,9 @@ def ev11_reg(t):
     return E.regression_difficulty(t.reg_predictions, "o_orderkey")
 
 
-@query("EV12", f"SELECT doc_id, label, majority FROM (SELECT doc_id, max(label) AS label, count(*) FILTER (WHERE label = prediction) AS c, count(*) AS n FROM {{predictions}} GROUP BY 1) x JOIN ({VOTES}) v USING (doc_id) WHERE c = 0 AND n >= 3")
+@query("EV12", f"SELECT doc_id, label, majority FROM (SELECT doc_id, max(toxic) AS label, count(*) FILTER (WHERE toxic = prediction) AS c, count(*) AS n FROM {{predictions}} GROUP BY 1) x JOIN ({VOTES}) v USING (doc_id) WHERE c = 0 AND n >= 3")
 def ev12(t):
-    return E.suspected_labels(t.predictions, "doc_id")
+    return E.suspected_labels(t.predictions, "doc_id", "toxic")
 
 
 def _contrast(cols, flag, other, table, least):
@@ -279,14 +279,22 @@ def ev16(t):
     return E.class_bands(t.predictions, "doc_id")
 
 
-@query("EV16_reg", "WITH p AS (SELECT o_orderkey, prediction FROM {reg_predictions} UNION ALL SELECT o_orderkey, label FROM {reg_predictions}), r AS (SELECT max(prediction) - min(prediction) AS r FROM p), s AS (SELECT o_orderkey, avg(prediction) AS m, stddev_pop(prediction) AS s FROM p GROUP BY 1) SELECT o_orderkey, round(m, 6) AS point, round(m - 2 * s, 6) AS lower, round(m + 2 * s, 6) AS upper, round(greatest(0, 1 - s / r * 3), 4) AS agreement, CASE WHEN 1 - s / r * 3 >= 0.7 THEN 'HIGH' WHEN 1 - s / r * 3 >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS reliability FROM s, r")
+@query("EV16_reg", "WITH p AS (SELECT o_orderkey, prediction FROM {reg_predictions} UNION ALL SELECT o_orderkey, label FROM {reg_predictions}), r AS (SELECT max(prediction) - min(prediction) AS r FROM p), s AS (SELECT o_orderkey, avg(prediction) AS m, stddev_pop(prediction) AS s FROM p GROUP BY 1) SELECT o_orderkey, round(m, 6) AS point, round(m - 2 * s, 6) AS lower, round(m + 2 * s, 6) AS upper, round(greatest(0, 1 - s / r * 3), 6) AS agreement, CASE WHEN 1 - s / r * 3 >= 0.7 THEN 'HIGH' WHEN 1 - s / r * 3 >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS reliability FROM s, r")
 def ev16_reg(t):
     p = t.reg_predictions
-    return E.regression_bands(p.select("o_orderkey", "prediction").union(p.select("o_orderkey", "label")), "o_orderkey")
+    return E.regression_bands(p.select("o_orderkey", "prediction").union(p.select("o_orderkey", "label")), "o_orderkey", places=6)
 
 
 CALIB = "SELECT * FROM {reg_predictions} WHERE o_orderpriority <= '3-MEDIUM'"
-MARGIN = f"(SELECT quantile_cont(e, least(1.0, ceil((n + 1) * 0.95) / n)) FROM (SELECT abs(label - prediction) AS e FROM ({CALIB}) c) x, (SELECT CAST(count(*) AS DOUBLE) AS n FROM ({CALIB}) d) y GROUP BY n)"
+
+
+def _order_statistic(scores):
+    """Conformal quantile of the column e of a statement, by linear interpolation of order statistics."""
+    return f"""(SELECT v[CAST(floor(p) AS BIGINT) + 1] + (p - floor(p)) * (v[CAST(least(floor(p) + 2, n) AS BIGINT)] - v[CAST(floor(p) AS BIGINT) + 1]) FROM (
+SELECT v, n, least(1.0, ceil((n + 1) * 0.95) / n) * (n - 1) AS p FROM (SELECT list_sort(list(e)) AS v, CAST(count(*) AS DOUBLE) AS n FROM ({scores}) x) y) z)"""
+
+
+MARGIN = _order_statistic(f"SELECT abs(label - prediction) AS e FROM ({CALIB}) c")
 
 
 @query("EV17", f"SELECT round({MARGIN}, 4) AS margin")
@@ -304,7 +312,7 @@ def ev18(t):
     return E.conformal_intervals(p.where("o_orderpriority > '3-MEDIUM'"), m).select("o_orderkey", F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"))
 
 
-THR = "(SELECT quantile_cont(s, least(1.0, ceil((n + 1) * 0.95) / n)) FROM (SELECT CASE WHEN label = 1 THEN 1 - prob ELSE prob END AS s FROM {predictions} WHERE model = 0) x, (SELECT CAST(count(*) AS DOUBLE) AS n FROM {predictions} WHERE model = 0) y GROUP BY n)"
+THR = _order_statistic("SELECT CASE WHEN label = 1 THEN 1 - prob ELSE prob END AS e FROM {predictions} WHERE model = 0")
 
 
 @query("EV18_sets", f"SELECT round(avg(greatest(1, k)), 4) AS mean_size, round(100.0 * avg(CASE WHEN greatest(1, k) = 1 THEN 1.0 ELSE 0.0 END), 1) AS single_pct FROM (SELECT CASE WHEN prob <= t THEN 1 ELSE 0 END + CASE WHEN 1 - prob <= t THEN 1 ELSE 0 END AS k FROM {{predictions}}, (SELECT {THR} AS t) z WHERE model = 1) s")

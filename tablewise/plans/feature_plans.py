@@ -201,10 +201,10 @@ def ts2_series(t):
     return Z.frequency(t.series, "day", ["event_type"])
 
 
-@query("TS3", """SELECT event_type, round(f, 4) AS first_mean, round(l, 4) AS last_mean, CASE WHEN n < 10 THEN 'unknown' WHEN (l - f) / greatest(abs(f), 1e-10) > 0.1 THEN 'upward' WHEN (l - f) / greatest(abs(f), 1e-10) < -0.1 THEN 'downward' ELSE 'stable' END AS trend FROM (
+@query("TS3", """SELECT event_type, round(f, 8) AS first_mean, round(l, 8) AS last_mean, CASE WHEN n < 10 THEN 'unknown' WHEN (l - f) / greatest(abs(f), 1e-10) > 0.1 THEN 'upward' WHEN (l - f) / greatest(abs(f), 1e-10) < -0.1 THEN 'downward' ELSE 'stable' END AS trend FROM (
 SELECT event_type, max(k) AS n, avg(total) FILTER (WHERE p <= floor(k / 4.0)) AS f, avg(total) FILTER (WHERE p > k - ceil(k / 4.0)) AS l FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS p, count(*) OVER (PARTITION BY event_type) AS k FROM {series}) x GROUP BY 1) y""")
 def ts3(t):
-    return Z.trend(t.series.select("event_type", "day", "total"), "day", "total", ["event_type"])
+    return r(Z.trend(t.series.select("event_type", "day", "total"), "day", "total", ["event_type"]), "first_mean", "last_mean", places=8)
 
 
 @query("TS4", """SELECT event_type, day, CAST(day(day) AS INTEGER) AS _day, CAST(isodow(day) - 1 AS INTEGER) AS _dayofweek, CAST(dayofyear(day) AS INTEGER) AS _dayofyear, CAST(week(day) AS INTEGER) AS _weekofyear,

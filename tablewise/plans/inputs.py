@@ -84,4 +84,12 @@ SELECT c_custkey AS id, concat('exp_', CAST(c_custkey AS VARCHAR(10))) AS name,
   CAST(50 + c_custkey * 13 % 50 AS DOUBLE) / 100.0 AS score, c_custkey * 7 % 19 AS cost,
   CASE WHEN c_custkey % 4 = 0 THEN 'created' ELSE 'complete' END AS status
 FROM {customer}""",
+    "runs": """
+SELECT c_custkey AS experiment_id, 'forest' AS model, CAST(c_custkey * 7 % 31 AS DOUBLE) / 31.0 AS metric FROM {customer}
+UNION ALL SELECT c_custkey, 'linear', CAST(c_custkey * 11 % 37 AS DOUBLE) / 37.0 + 0.001 FROM {customer}
+UNION ALL SELECT c_custkey, 'boosted', CAST(c_custkey * 5 % 41 AS DOUBLE) / 41.0 + 0.002 FROM {customer}""",
+    "annotations": """
+SELECT event_id AS id, user_id AS experiment_id, ts AS created_at, value,
+  CASE event_type WHEN 'click' THEN 'correct' WHEN 'view' THEN 'correct' WHEN 'error' THEN 'incorrect' ELSE 'uncertain' END AS label
+FROM {events}""",
 }
