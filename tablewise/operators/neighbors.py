@@ -208,7 +208,7 @@ def _search(q: DataFrame, b: DataFrame, k: int, same: bool, width: int, splits:
     load = {r["leaf"]: int(-(-r["n"] // (QUERY_ROWS * splits.get(r["leaf"], 1)))) for r in q.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     chunks = _lookup({leaf: max(1, c) for leaf, c in load.items()}, 1)
     q = q.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), chunks(F.col("leaf"))).cast("int"))
-    b = b.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks(F.col("leaf")) - 1)).cast("int"))
+    b = b.withColumn("chunk", F.explode(F.sequence(F.lit(0), (chunks(F.col("leaf")) - 1).cast("int"))))
 
     def search(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if len(qs) == 0 or len(bs) == 0:
