@@ -120,10 +120,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
     label = nodes.select("node", F.col("node").alias("component"))
     for _ in range(rounds):
-        seen = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(seen, label["node"] == seen["a"], "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("next"))
-        jump = step.select(F.col("node").alias("n2"), F.col("next").alias("up"))
-        new = cut_lineage(step.join(jump, step["next"] == jump["n2"], "left").select("node", "component", F.least("next", F.coalesce("up", "next")).alias("next")))
+        seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        step = label.join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("next"))
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("up"))
+        new = cut_lineage(step.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("up", "next")).alias("next")))
         moved = new.where("next < component").limit(1).count()
         label = new.select("node", F.col("next").alias("component"))
         if not moved:

@@ -20,6 +20,10 @@ FROM {orders} WHERE o_totalprice < 6000""",
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS a,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 <> 1 THEN NULL ELSE o_custkey END AS b,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS c
+FROM {orders}""",
+    "gappy_orders": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_totalprice END AS price,
+  CASE WHEN o_orderkey % 20 IN (3, 4) THEN NULL ELSE o_custkey END AS cust, o_custkey % 11 AS o_shippriority
 FROM {orders}""",
     "gappy": """
 SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority,

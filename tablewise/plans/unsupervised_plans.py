@@ -6,7 +6,6 @@ from tablewise.operators import anomalies as A
 from tablewise.operators import clusters as C
 from tablewise.operators import patterns as P
 from tablewise.operators import sampling as S
-from tablewise.operators.measures import report
 from tablewise.plans.feature_plans import r
 from tablewise.plans.registry import query
 from tablewise.plans.sqltext import rnd, union
@@ -78,7 +77,7 @@ def sm11(t):
     return S.synthetic_categories(df, ["o_orderstatus", "o_orderpriority"], df.count(), "o_orderkey")
 
 
-@query("SM12", "SELECT target, CAST(count(*) * 0 + CASE target WHEN 1 THEN 5000 ELSE 5000 END AS BIGINT) AS n FROM {learnable} GROUP BY 1")
+@query("SM12", "SELECT target, 5000 AS n FROM {learnable} GROUP BY 1")
 def sm12(t):
     return S.enforce_shares(t.learnable, "target", "o_orderkey", {0: 0.5, 1: 0.5}, 10_000).groupBy("target").agg(F.count("*").alias("n"))
 
