@@ -180,7 +180,8 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float | None =
         return pd.DataFrame({"a": [list(key_[0])], "b": [list(key_[1])]}) if ok else pd.DataFrame({"a": [], "b": []})
 
     keys = ["a", "b", "i", "j"]
-    links = ra.select(*keys, "vec").groupBy(*keys).cogroup(rb.select(*keys, "vec").groupBy(*keys)).applyInPandas(touch, "a array<long>, b array<long>").distinct()
+    fresh = lambda r: r.select(*[F.col(c).alias(c) for c in (*keys, "vec")]).groupBy(*keys)  # noqa: E731 - new column ids for each side
+    links = fresh(ra).cogroup(fresh(rb)).applyInPandas(touch, "a array<long>, b array<long>").distinct()
     name = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     label = connected_components(links.select(name("a").alias("a"), name("b").alias("b")), points.select(name("cell").alias("node")).distinct())
     inner = points.select("id", name("cell").alias("node")).join(label, "node").select("id", "component").persist()
