@@ -55,11 +55,10 @@ def isolation_scores(df: DataFrame, key: str, columns: Sequence[str], trees: int
     """
     data = vectors(df, key, columns)
     n = df.count()
-    first = min(1.0, 4.0 * trees * rows / n)
     unit = lambda *p: F.pmod(F.xxhash64(*p), F.lit(2**30)).cast("double") / 2**30
-    pool = data.where(unit(F.col("id"), F.lit(seed)) < first)
-    share = min(1.0, rows / max(1.0, n * first))
-    members = pool.select("id", "vec", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(F.col("id"), t, F.lit(seed + 1)) < share)).alias("tree"))
+    pool = data.where(unit(F.col("id"), F.lit(seed)) < trees * rows / n) if n > trees * rows else data
+    draws = max(1, math.ceil(trees * rows / min(n, trees * rows)))
+    members = pool.select("id", "vec", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed + 1)), F.lit(trees)).cast("int")))).alias("tree"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])

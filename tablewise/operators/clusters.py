@@ -115,11 +115,11 @@ def stability(df: DataFrame, key: str, columns: Sequence[str], k: int, runs: int
     return report(df, [(runs, half_up(sum(scores) / len(scores)), half_up(min(scores)))], "runs int, mean_agreement double, min_agreement double")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable. Labels spread along the edges and jump through their own label."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
     label = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(rounds):
+    while True:
         seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = label.join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("next"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("up"))
@@ -140,6 +140,8 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float | None =
     together; neighbouring cells are linked when two of their core rows near the shared border
     are within eps. Components are taken over the cells, never over row pairs.
     """
+    if len(columns) > 3:
+        raise ValueError("the grid needs at most 3 columns; take principal coordinates first")
     v = vectors(df, key, columns)
     n, d = df.count(), len(columns)
     min_rows = min_rows or max(3, n // 100)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.operators.measures import bins_right_closed, col, distinct_counts, number, numeric_columns, quantiles, report, text_columns
@@ -35,13 +35,15 @@ def mutual_information(df: DataFrame, target: str, features: Mapping[str, Column
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), binned(x.cast("double"), edges[c]).alias("bin")) for c, x in features.items()])).alias("f"),
     ).select("y", "f.feature", "f.bin").where("y is not null and bin is not null")
     joint = cells.groupBy("feature", "bin", "y").agg(F.count("*").cast("double").alias("n"))
-    w = Window.partitionBy
-    part = joint.select(
-        "feature", "n",
-        F.sum("n").over(w("feature")).alias("total"), F.sum("n").over(w("feature", "bin")).alias("nx"), F.sum("n").over(w("feature", "y")).alias("ny"))
-    p = F.col("n") / F.col("total")
-    return part.groupBy("feature").agg(
-        F.greatest(F.lit(0.0), F.sum(p * F.log(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny"))))).alias("mi"))
+    # MI = ln N + (sum n ln n - sum nx ln nx - sum ny ln ny) / N: three sums per feature, no window and no wide join
+    def spread(counts: DataFrame, name: str) -> DataFrame:
+        return counts.groupBy("feature").agg(F.sum(F.col("n") * F.log("n")).alias(name), F.sum("n").alias(f"{name}_n"))
+
+    cells_ = spread(joint, "c")
+    across = spread(joint.groupBy("feature", "bin").agg(F.sum("n").alias("n")), "x")
+    down = spread(joint.groupBy("feature", "y").agg(F.sum("n").alias("n")), "y")
+    mi = F.log("c_n") + (F.col("c") - F.col("x") - F.col("y")) / F.col("c_n")
+    return cells_.join(across, "feature").join(down, "feature").select("feature", F.greatest(F.lit(0.0), mi).alias("mi"))
 
 
 def scaled_importance(df: DataFrame, target: str, bins: int = 10) -> DataFrame:

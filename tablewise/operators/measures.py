@@ -412,3 +412,9 @@ def smallest_per_group(df: DataFrame, by: Sequence[str], order: str, tie: str, q
         .where("_rn <= _left")
         .select(*df.columns)
     )
+
+
+def smallest_rows(df: DataFrame, order: str, tie: str, take: int) -> DataFrame:
+    """The ``take`` rows with the smallest values of a uniform [0, 1) column, of any number, without a global sort."""
+    quota = report(df, [(0, int(take))], "_all int, take long")
+    return smallest_per_group(df.withColumn("_all", F.lit(0)), ["_all"], order, tie, quota).drop("_all")

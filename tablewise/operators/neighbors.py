@@ -3,7 +3,7 @@
 A small base is sent to the tasks behind a size check. A larger one is cut into leaves by
 a tree fitted on a bounded sample. Each query first searches its own leaf, which gives an
 upper bound of its k-th distance; it is then sent only to the leaves whose bounding box is
-nearer than that bound. Both steps keep k rows per query, never the pairs. A crowded leaf
+nearer than that bound. A task searches its rows through a small tree of the same kind. Both steps keep k rows per query, never the pairs. A crowded leaf
 (for example many copies of one point) is split by key hash; copies are not compared with
 the other splits because a bound of zero prunes them.
 """
@@ -21,8 +21,9 @@ from tablewise.operators.measures import hash_uniform, measure, number
 
 BROADCAST_VALUES = 2_000_000  # numbers a base may hold to be sent to every task
 SAMPLE_VALUES = 4_000_000  # numbers of the sample the tree is fitted on
-LEAF_ROWS = 4_000
-QUERY_ROWS = 20_000
+LEAF_ROWS = 20_000  # rows of one distributed leaf
+QUERY_ROWS = 50_000  # queries one task takes for a leaf
+LOCAL_ROWS = 256  # rows of one leaf of the small tree inside a task
 RESULT = "id long, neighbor long, distance double"
 
 
@@ -37,31 +38,98 @@ def scaled_vectors(df: DataFrame, key: str, columns: Sequence[str], row, keep: S
     return df.select(F.col(key).cast("long").alias("id"), F.array(*cells).alias("vec"), *keep)
 
 
-def nearest_rows(q: np.ndarray, qid: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int, same: bool, bound: np.ndarray | None = None):
-    """Per query the k nearest base rows (and nearer than its bound), in blocks of bounded size."""
-    block = max(1, int(4_000_000 / max(1, len(b))))
-    out_q, out_b, out_d = [], [], []
-    for s in range(0, len(q), block):
-        part = q[s : s + block]
-        d2 = np.zeros((len(part), len(b)))
-        for j in range(part.shape[1]):
-            gap = part[:, j, None] - b[None, :, j]
-            d2 += gap * gap
-        if same:
-            d2[qid[s : s + block, None] == bid[None, :]] = np.inf
-        take = min(k, d2.shape[1])
-        near = np.argpartition(d2, take - 1, axis=1)[:, :take]
-        dist = np.sqrt(np.take_along_axis(d2, near, axis=1))
-        ok = np.isfinite(dist)
+EMPTY = {"id": "int64", "neighbor": "int64", "distance": "float64"}
+
+
+class LocalTree:
+    """Splits of the rows one task holds; copies of one point are cut into leaves of bounded size."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: int | None = None):
+        self.rows = rows or LOCAL_ROWS
+        self.nodes: list[list] = []  # feature, cut, low child, high child, leaf
+        self.members: list[np.ndarray] = []
+        self.points, self.ids = points, ids
+        self._grow(np.arange(len(points)))
+        self.table = [np.array(c) for c in zip(*self.nodes)]
+        self.leaf_points = [points[m] for m in self.members]
+        self.leaf_ids = [ids[m] for m in self.members]
+        self.lo = np.array([p.min(axis=0) for p in self.leaf_points])
+        self.hi = np.array([p.max(axis=0) for p in self.leaf_points])
+
+    def _grow(self, at: np.ndarray) -> int:
+        me = len(self.nodes)
+        self.nodes.append([0, 0.0, -1, -1, -1])
+        part = self.points[at]
+        if len(at) > self.rows:
+            spread = part.max(axis=0) - part.min(axis=0)
+            f = int(np.argmax(spread))
+            if spread[f] > 0:
+                cut = middle_cut(part[:, f])
+                low = part[:, f] < cut
+                self.nodes[me][:2] = [f, cut]
+                self.nodes[me][2] = self._grow(at[low])
+                self.nodes[me][3] = self._grow(at[~low])
+                return me
+        self.nodes[me][4] = len(self.members)
+        self.members += [at[s : s + self.rows] for s in range(0, max(1, len(at)), self.rows)]
+        return me
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        return descend(x, *self.table)
+
+    def nearest(self, q: np.ndarray, qid: np.ndarray, k: int, same: bool, bound: np.ndarray | None = None) -> pd.DataFrame:
+        """The k nearest rows of each query that are nearer than its bound: its own leaf first, then the leaves within reach."""
+        n = len(q)
+        dist = np.full((n, k), np.inf if bound is None else 0.0)
         if bound is not None:
-            ok &= dist < bound[s : s + block, None]
-        rows, cols = np.nonzero(ok)
-        out_q.append(qid[s : s + block][rows])
-        out_b.append(bid[near[rows, cols]])
-        out_d.append(dist[rows, cols])
-    if not out_q:
-        return pd.DataFrame({"id": [], "neighbor": [], "distance": []}).astype({"id": "int64", "neighbor": "int64", "distance": "float64"})
-    return pd.DataFrame({"id": np.concatenate(out_q), "neighbor": np.concatenate(out_b), "distance": np.concatenate(out_d)})
+            dist[:] = bound[:, None]
+        near = np.full((n, k), -1, dtype=np.int64)
+
+        def visit(leaf: int, at: np.ndarray) -> None:
+            b, bid = self.leaf_points[leaf], self.leaf_ids[leaf]
+            d2 = np.zeros((len(at), len(b)))
+            for j in range(q.shape[1]):
+                gap = q[at, j, None] - b[None, :, j]
+                d2 += gap * gap
+            d = np.sqrt(d2)
+            if same:
+                d[qid[at, None] == bid[None, :]] = np.inf
+            all_d = np.concatenate([dist[at], d], axis=1)
+            all_b = np.concatenate([near[at], np.broadcast_to(bid, d.shape)], axis=1)
+            pick = np.argpartition(all_d, k - 1, axis=1)[:, :k] if all_d.shape[1] > k else np.argsort(all_d, axis=1)[:, :k]
+            dist[at] = np.take_along_axis(all_d, pick, axis=1)
+            near[at] = np.take_along_axis(all_b, pick, axis=1)
+
+        own = self.assign(q)
+        for leaf in np.unique(own):
+            visit(int(leaf), np.nonzero(own == leaf)[0])
+        for leaf in range(len(self.members)):
+            reach = np.zeros(n)
+            for j in range(q.shape[1]):
+                gap = np.maximum(self.lo[leaf, j] - q[:, j], 0) + np.maximum(q[:, j] - self.hi[leaf, j], 0)
+                reach += gap * gap
+            at = np.nonzero((np.sqrt(reach) < dist.max(axis=1)) & (own != leaf))[0]
+            if len(at):
+                visit(leaf, at)
+        rows, cols = np.nonzero((near >= 0) & np.isfinite(dist))
+        return pd.DataFrame({"id": qid[rows], "neighbor": near[rows, cols], "distance": dist[rows, cols]})
+
+
+def middle_cut(values: np.ndarray) -> float:
+    """A cut with rows on both sides: the median, or the next value above a heavy minimum."""
+    cut = float(np.median(values))
+    low = values.min()
+    return cut if cut > low else float(values[values > low].min())
+
+
+def descend(x, feature, cut, low, high, leaf) -> np.ndarray:
+    node = np.zeros(len(x), dtype=np.int64)
+    while True:
+        inner = leaf[node] < 0
+        if not inner.any():
+            return leaf[node]
+        at = node[inner]
+        node[inner] = np.where(x[inner, feature[at]] < cut[at], low[at], high[at])
 
 
 def matrix(col: pd.Series, width: int) -> np.ndarray:
@@ -72,41 +140,30 @@ class Leaves:
     """Axis-parallel splits fitted on a sample; assigns a leaf number to each vector."""
 
     def __init__(self, sample: np.ndarray, leaves: int):
-        self.feature, self.cut, self.left, self.right, self.leaf = [], [], [], [], []
+        self.nodes: list[list] = []
         self.count = 0
         self._grow(sample, leaves)
-        self.feature, self.cut = np.array(self.feature), np.array(self.cut)
-        self.left, self.right, self.leaf = np.array(self.left), np.array(self.right), np.array(self.leaf)
+        self.table = [np.array(c) for c in zip(*self.nodes)]
 
     def _grow(self, points: np.ndarray, leaves: int) -> int:
-        me = len(self.feature)
-        for a in (self.feature, self.left, self.right):
-            a.append(0)
-        self.cut.append(0.0)
-        self.leaf.append(-1)
+        me = len(self.nodes)
+        self.nodes.append([0, 0.0, -1, -1, -1])
         if leaves > 1 and len(points) >= 8:
             spread = points.max(axis=0) - points.min(axis=0)
             f = int(np.argmax(spread))
-            cut = float(np.median(points[:, f]))
-            low = points[:, f] < cut
-            if spread[f] > 0 and low.any():
-                self.feature[me], self.cut[me] = f, cut
-                self.left[me] = self._grow(points[low], leaves // 2)
-                self.right[me] = self._grow(points[~low], leaves - leaves // 2)
+            if spread[f] > 0:
+                cut = middle_cut(points[:, f])
+                low = points[:, f] < cut
+                self.nodes[me][:2] = [f, cut]
+                self.nodes[me][2] = self._grow(points[low], leaves // 2)
+                self.nodes[me][3] = self._grow(points[~low], leaves - leaves // 2)
                 return me
-        self.leaf[me] = self.count
+        self.nodes[me][4] = self.count
         self.count += 1
         return me
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            inner = self.leaf[node] < 0
-            if not inner.any():
-                return self.leaf[node]
-            at = node[inner]
-            low = x[inner, self.feature[at]] < self.cut[at]
-            node[inner] = np.where(low, self.left[at], self.right[at])
+        return descend(x, *self.table)
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, same: bool = False) -> DataFrame:
@@ -129,13 +186,12 @@ def knn(queries: DataFrame, base: DataFrame, k: int, same: bool = False) -> Data
 
 def _against_small(queries, base, k, same, width):
     rows = base.toPandas()  # bounded by BROADCAST_VALUES
-    b, bid = matrix(rows["vec"], width), rows["id"].to_numpy()
-    shared = queries.sparkSession.sparkContext.broadcast((b, bid))
+    tree = queries.sparkSession.sparkContext.broadcast(LocalTree(matrix(rows["vec"], width), rows["id"].to_numpy()))
 
     def search(batches):
-        b, bid = shared.value
         for pdf in batches:
-            yield nearest_rows(matrix(pdf["vec"], width), pdf["id"].to_numpy(), b, bid, k, same)
+            if len(pdf):
+                yield tree.value.nearest(matrix(pdf["vec"], width), pdf["id"].to_numpy(), k, same)
 
     return queries.mapInPandas(search, RESULT)
 
@@ -156,7 +212,7 @@ def _through_leaves(queries, base, k, same, width, n):
         F.count("*").alias("n"), F.array(*[F.min(F.col("vec")[j]) for j in range(width)]).alias("lo"), F.array(*[F.max(F.col("vec")[j]) for j in range(width)]).alias("hi")
     ).orderBy("leaf").toPandas()  # one row per leaf
     leaf_ids, lo, hi = boxes["leaf"].to_numpy(), matrix(boxes["lo"], width), matrix(boxes["hi"], width)
-    splits = {int(leaf): int(-(-c // (4 * LEAF_ROWS))) for leaf, c in zip(leaf_ids, boxes["n"])}
+    splits = {int(leaf): int(-(-c // (2 * LEAF_ROWS))) for leaf, c in zip(leaf_ids, boxes["n"])}
     split_of = _lookup(splits, 1)
     b = b.withColumn("part", F.pmod(F.xxhash64("id"), split_of(F.col("leaf"))).cast("int"))
     q = q.withColumn("part", F.pmod(F.xxhash64("id"), split_of(F.col("leaf"))).cast("int")).persist()
@@ -212,8 +268,9 @@ def _search(q: DataFrame, b: DataFrame, k: int, same: bool, width: int, splits:
 
     def search(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if len(qs) == 0 or len(bs) == 0:
-            return nearest_rows(np.zeros((0, width)), np.zeros(0, "int64"), np.zeros((0, width)), np.zeros(0, "int64"), k, same)
-        return nearest_rows(matrix(qs["vec"], width), qs["id"].to_numpy(), matrix(bs["vec"], width), bs["id"].to_numpy(), k, same, qs["bound"].to_numpy())
+            return pd.DataFrame({c: [] for c in EMPTY}).astype(EMPTY)
+        tree = LocalTree(matrix(bs["vec"], width), bs["id"].to_numpy())
+        return tree.nearest(matrix(qs["vec"], width), qs["id"].to_numpy(), k, same, qs["bound"].to_numpy())
 
     keys = ["leaf", "part", "chunk"]
     return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(search, RESULT)

@@ -16,7 +16,7 @@ from tablewise.functions.tails import normal_quantile
 from tablewise.operators.drift import ks
 from tablewise.operators.measures import (
     col, correlation, distinct_counts, frequencies, hash_normal, hash_uniform, measure, number, positions,
-    report, smallest_per_group,
+    report, smallest_per_group, smallest_rows,
 )
 from tablewise.operators.neighbors import knn, vectors
 
@@ -45,10 +45,16 @@ def boundary(df: DataFrame, label: str, key: str, columns: Sequence[str], size:
     other = df.select(F.col(key).cast("long").alias("neighbor"), col(label).alias("ny"))
     score = near.join(own, "id").join(other, "neighbor").groupBy("id").agg(F.avg((F.col("y") != F.col("ny")).cast("double")).alias("_score"))
     data = df.join(score, F.col(key).cast("long") == F.col("id")).drop("id")
-    first = int(size * 0.6)
-    edge = data.orderBy(F.desc("_score"), key).limit(first)
-    rest = df.join(edge.select(key), key, "left_anti").withColumn("_u", hash_uniform(key, seed)).orderBy("_u", key).limit(size - first)
-    return edge.drop("_score").withColumn("part", F.lit("boundary")).unionByName(rest.drop("_u").withColumn("part", F.lit("random")))
+    data = data.withColumn("_u", hash_uniform(key, seed))
+    first, left, cut = int(size * 0.6), int(size * 0.6), 2.0
+    for r in sorted(data.groupBy("_score").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["_score"]):  # at most k + 1 levels
+        cut = r["_score"]
+        if r["n"] >= left:
+            break
+        left -= r["n"]
+    edge = data.where(F.col("_score") > cut).unionByName(smallest_rows(data.where(F.col("_score") == cut), "_u", key, left))
+    rest = smallest_rows(data.join(edge.select(key), key, "left_anti"), "_u", key, size - first)
+    return edge.withColumn("part", F.lit("boundary")).unionByName(rest.withColumn("part", F.lit("random"))).drop("_score", "_u")
 
 
 def diverse(df: DataFrame, key: str, columns: Sequence[str], size: int, seed: int = 42) -> DataFrame:
@@ -100,7 +106,7 @@ def copies(df: DataFrame, key: str, need: int, rows: int, seed: int) -> DataFram
     """Repeat rows so that ``need`` come out in total: every row floor(need / rows) times, the rest in hash order."""
     every, extra = divmod(need, rows)
     data = df.withColumn("_u", hash_uniform(key, seed, 5))
-    more = data.orderBy("_u", key).limit(extra).select(F.col(key).alias("_k"))
+    more = smallest_rows(data, "_u", key, extra).select(F.col(key).alias("_k"))
     data = data.join(more, F.col(key) == F.col("_k"), "left").withColumn("_c", F.when(F.col("_k").isNotNull(), every + 1).otherwise(every))
     return data.where("_c > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).drop("_u", "_k", "_c")
 
@@ -228,7 +234,7 @@ def enforce_shares(df: DataFrame, label: str, key: str, shares: Mapping, n: int,
         if not have.get(value):
             continue
         if want <= have[value]:
-            parts.append(rows.withColumn("_u", hash_uniform(key, seed)).orderBy("_u", key).limit(want).drop("_u"))
+            parts.append(smallest_rows(rows.withColumn("_u", hash_uniform(key, seed)), "_u", key, want).drop("_u"))
         else:
             parts.append(copies(rows, key, want, have[value], seed).drop("_copy"))
     out = parts[0]

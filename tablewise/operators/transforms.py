@@ -29,6 +29,10 @@ def label_classes(df: DataFrame, target: str, limit: int = 10_000) -> list[str]:
 def label_encode(df: DataFrame, target: str, into: str | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Classes numbered from 0 in sorted order."""
     classes = label_classes(df, target)
+    if len(classes) > 200:  # a lookup join instead of a long literal
+        codes = report(df, [(c, i) for i, c in enumerate(classes)], "_value string, _code int")
+        joined = df.withColumn("_value", col(target).cast("string")).join(codes, "_value", "left").withColumn(into or target, col("_code"))
+        return joined.drop("_value", "_code").select(*[col(c) for c in df.columns], *([into] if into and into not in df.columns else [])), {c: i for i, c in enumerate(classes)}
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), col(target).cast("string")) - 1
     return df.withColumn(into or target, F.when(col(target).isNotNull(), at).cast("int")), {c: i for i, c in enumerate(classes)}
 

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewise.plans import inputs
+from tablewise.sources.files import spread
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
+# keys by which a large table in a single split is spread
+KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 class Tables:
@@ -22,7 +25,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(df, KEYS[name]) if name in KEYS else df
         if name in inputs.DERIVED:
             text = inputs.DERIVED[name]
             used = {t: getattr(self, t) for t in TABLE_NAMES + list(inputs.DERIVED) if "{" + t + "}" in text}

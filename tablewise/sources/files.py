@@ -24,6 +24,18 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(col(c)), col(c)) for c in floats}) if floats else df
 
 
+def spread(df: DataFrame, key: str, least_bytes: int = 2_000_000) -> DataFrame:
+    """Spread a table that arrives in fewer splits than there are cores (one large row group, say) by its key.
+
+    A table in many files has enough splits and is left alone, as is a small one.
+    """
+    sc = df.sparkSession.sparkContext
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < least_bytes or df._jdf.rdd().getNumPartitions() > sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism, col(key))
+
+
 def sniff_separator(spark: SparkSession, path: str) -> str:
     """The separator that splits the first 20 lines into the most, equally many, fields."""
     lines = [r[0] for r in spark.read.text(path).limit(20).collect() if r[0].strip()]
