@@ -162,11 +162,13 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float | None =
     gap = F.aggregate(F.arrays_zip("lo", "hi", "lo2", "hi2"), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(x["lo"] - x["hi2"], x["lo2"] - x["hi"], F.lit(0.0)), F.lit(2.0)))
     pairs = left.join(right, "other").where(F.sqrt(gap) <= eps).select(F.col("cell").alias("a"), F.col("other").alias("b"), "lo", "hi", "lo2", "hi2")
 
+    name = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
     def border(pair_side, lo, hi):
         """Core rows of one cell within eps of the box of the other cell, in bounded parts."""
         out = pairs.join(points.select("id", "vec", F.col("cell").alias("c")), F.col(pair_side) == F.col("c"))
         dist = F.aggregate(F.arrays_zip("vec", lo, hi), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(x[lo] - x["vec"], x["vec"] - x[hi], F.lit(0.0)), F.lit(2.0)))
-        return out.where(F.sqrt(dist) <= eps).select("a", "b", "vec", "id")
+        return out.where(F.sqrt(dist) <= eps).select(name("a").alias("a"), name("b").alias("b"), "vec", "id")
 
     ra, rb = border("a", "lo2", "hi2"), border("b", "lo", "hi")
     size = lambda r, name: r.groupBy("a", "b").agg(F.ceil(F.count("*") / part_rows).cast("int").alias(name))
@@ -179,13 +181,12 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float | None =
         if len(x) and len(y):
             p, q = matrix(x["vec"], d), matrix(y["vec"], d)
             ok = bool((((p[:, None, :] - q[None, :, :]) ** 2).sum(-1) <= eps * eps).any())
-        return pd.DataFrame({"a": [list(key_[0])], "b": [list(key_[1])]}) if ok else pd.DataFrame({"a": [], "b": []})
+        return pd.DataFrame({"a": [key_[0]], "b": [key_[1]]} if ok else {"a": [], "b": []}, dtype="object")
 
     keys = ["a", "b", "i", "j"]
     fresh = lambda r: r.select(*[F.col(c).alias(c) for c in (*keys, "vec")]).groupBy(*keys)  # noqa: E731 - new column ids for each side
-    links = fresh(ra).cogroup(fresh(rb)).applyInPandas(touch, "a array<long>, b array<long>").distinct()
-    name = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    label = connected_components(links.select(name("a").alias("a"), name("b").alias("b")), points.select(name("cell").alias("node")).distinct())
+    links = fresh(ra).cogroup(fresh(rb)).applyInPandas(touch, "a string, b string").distinct()
+    label = connected_components(links, points.select(name("cell").alias("node")).distinct())
     inner = points.select("id", name("cell").alias("node")).join(label, "node").select("id", "component").persist()
     numbers = inner.groupBy("component").agg(F.min("id").alias("first"))
     inner = inner.join(numbers, "component").select("id", F.col("first").alias("cluster"))

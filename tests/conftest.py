@@ -3,6 +3,7 @@ import os
 import pytest
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+ROWS_FOLDER = os.environ.get("TEST_ROWS_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
