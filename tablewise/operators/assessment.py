@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.base import Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -79,15 +80,19 @@ def data_value(train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
     near = knn(test.select("id", "vec"), train.select("id", "vec"), k)
     found = near.join(train.select(F.col("id").alias("neighbor"), F.col("label").alias("nl")), "neighbor").join(test.select("id", "label"), "id")
     lists = found.groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor", "nl"))).alias("s"))  # k entries per row
-    prefix = lambda r: F.transform(F.slice("s", 1, r), lambda x: x["nl"])
-
-    def vote(labels):
-        counts = F.transform(F.array_distinct(labels), lambda c: F.struct((-F.size(F.filter(labels, lambda x: x == c))).alias("m"), c.alias("c")))
-        return F.array_min(counts)["c"]
-
-    right = lambda r: F.when(r > 0, (vote(prefix(r)) == F.col("label")).cast("double")).otherwise(0.0)
-    gains = F.transform("s", lambda x, i: F.struct(x["neighbor"].alias("id"), (right(i + 1) - right(i)).alias("g")))
-    value = lists.select(F.explode(gains).alias("x")).select("x.*").groupBy("id").agg(F.sum("g").alias("g"))
+    flat = lists.select("label", F.transform("s", lambda x: x["neighbor"]).alias("who"), F.transform("s", lambda x: x["nl"]).alias("said"))
+
+    def gains(batches):
+        for pdf in batches:
+            for width, part in pdf.groupby(pdf["said"].str.len()):
+                said, truth = np.stack(part["said"].to_numpy()), part["label"].to_numpy()
+                classes = np.unique(said)
+                votes = np.stack([(said == c).cumsum(axis=1) for c in classes])  # ties go to the lowest class
+                right = (classes[votes.argmax(axis=0)] == truth[:, None]).astype(float)
+                step = np.diff(right, axis=1, prepend=0.0)
+                yield pd.DataFrame({"id": np.concatenate(part["who"].to_numpy()), "g": step.ravel()})
+
+    value = flat.mapInPandas(gains, "id long, g double").groupBy("id").agg(F.sum("g").alias("g"))
     n = test.count()
     out = train.select("id", "label").join(value, "id", "left").select("id", "label", (F.coalesce("g", F.lit(0.0)) / n).alias("value"))
     cut = quantiles(out, ["value"], [0.05])["value"][0]

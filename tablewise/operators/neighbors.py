@@ -23,7 +23,7 @@ BROADCAST_VALUES = 2_000_000  # numbers a base may hold to be sent to every task
 SAMPLE_VALUES = 4_000_000  # numbers of the sample the tree is fitted on
 LEAF_ROWS = 20_000  # rows of one distributed leaf
 QUERY_ROWS = 50_000  # queries one task takes for a leaf
-LOCAL_ROWS = 256  # rows of one leaf of the small tree inside a task
+LOCAL_ROWS = 512  # rows of one leaf of the small tree inside a task
 RESULT = "id long, neighbor long, distance double"
 
 

@@ -113,7 +113,10 @@ def cn17(t):
     return I.scaled_importance(t.learnable, "target")
 
 
-@query("CN18")
+INF = "SELECT CASE WHEN cust % 50 = 0 THEN NULL ELSE price END AS price FROM {dirty_orders}"
+
+
+@query("CN18", f"SELECT count(*) AS n, 0 AS bad, round(max(coalesce(price, (SELECT median(price) FROM ({INF}) m))), 2) AS top FROM ({INF}) x")
 def cn18(t):
     df = t.dirty_orders.withColumn("price", F.when(F.col("cust") % 50 == 0, F.lit(float("inf"))).otherwise(F.col("price")))
     return C.repair_nonfinite(df, ["price", "cust"]).agg(
@@ -129,7 +132,7 @@ def cn19(t):
 # Column coercions
 
 
-@query("UT1")
+@query("UT1", "SELECT o_orderkey AS order_key, o_totalprice AS order_key_1, o_orderdate AS col_2 FROM orders")
 def ut1(t):
     df = t.orders.select(F.col("o_orderkey").alias(" Order Key#"), F.col("o_totalprice").alias("order key"), F.col("o_orderdate").alias("$$"))
     return U.clean_names(df)[0]
@@ -217,9 +220,10 @@ def ut16(t):
     return U.prune_width(t.lineitem.select("l_returnflag", "l_orderkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount"), 3)[0]
 
 
-@query("UT17")
+@query("UT17", """SELECT TRY_CAST(replace(balance_text, '$', '') AS DOUBLE) AS balance_text, round(CAST(c_custkey % 100 AS DOUBLE) / 100.0, 4) AS share_text, TRY_CAST(mostly_number AS DOUBLE) AS mostly_number, CASE WHEN flag_text = 'Yes' THEN 1 ELSE 0 END AS flag_text,
+CASE lower(level_text) WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS level_text, c_mktsegment, CAST(year(d) AS INTEGER) AS date_text_year, CAST(month(d) AS INTEGER) AS date_text_month, CAST(isodow(d) - 1 AS INTEGER) AS date_text_dayofweek FROM (SELECT *, CAST(date_text AS DATE) AS d FROM {text_numbers}) x""")
 def ut17(t):
-    return U.transform_any(t.text_numbers)[0]
+    return U.transform_any(t.text_numbers)[0].withColumn("share_text", F.round("share_text", 4))
 
 
 # Missing values

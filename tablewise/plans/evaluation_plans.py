@@ -117,7 +117,7 @@ FROM {{predictions}} WHERE model = 1 GROUP BY 2 HAVING count(*) >= 5""" for c in
 RATES = f"SELECT *, 1.0 * pos / size AS pr, 1.0 * hit / size AS acc, 1.0 * tp / greatest(tp + fn, 1) AS tpr, 1.0 * fp / greatest(fp + tn, 1) AS fpr, 1.0 * tp / greatest(tp + fp, 1) AS prec FROM ({FAIR}) f"
 
 
-@query("FA1")
+@query("FA1", "SELECT 'c_nationkey' AS \"column\", 'nationality' AS category, count(DISTINCT c_nationkey) AS groups FROM customer UNION ALL SELECT 'country', 'nationality', count(DISTINCT n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def fa1(t):
     return A.sensitive_columns(t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", F.col("n_name").alias("country"), "c_mktsegment"))
 
@@ -353,12 +353,17 @@ def ev23(t):
     return E.boundary_rows(t.predictions.where("model = 0"))
 
 
-@query("EV24")
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+BOOT = f"""SELECT CAST(d AS INTEGER) AS draw, round(sum(w * r) / sum(w), 4) AS score FROM (SELECT d, r, CASE {' '.join(f'WHEN u < {e!r} THEN {k}' for k, e in enumerate(POISSON))} ELSE 8 END AS w FROM (
+SELECT d, CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END AS r, CAST('0x' || substr(md5(doc_id || ':42:' || d), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM {{predictions}}, (SELECT unnest(range(0, 20)) AS d) g WHERE model = 1) x) y GROUP BY 1"""
+
+
+@query("EV24", BOOT)
 def ev24(t):
     return E.bootstrap_scores(t.predictions.where("model = 1"), "doc_id")
 
 
-@query("EV24_spread")
+@query("EV24_spread", f"SELECT *, CASE WHEN std < 0.01 THEN 'very_stable' WHEN std < 0.03 THEN 'stable' WHEN std < 0.06 THEN 'moderate' ELSE 'unstable' END AS grade FROM (SELECT round(avg(score), 4) AS mean, round(stddev_pop(score), 4) AS std FROM ({BOOT}) b) z")
 def ev24_spread(t):
     return E.bootstrap_spread(E.bootstrap_scores(t.predictions.where("model = 1"), "doc_id"))
 

@@ -36,7 +36,7 @@ SELECT c_custkey,
   CASE WHEN c_custkey % 25 = 0 THEN 'n/a' ELSE CAST(c_custkey AS VARCHAR(20)) END AS mostly_number,
   CASE WHEN c_custkey % 3 = 0 THEN 'Yes' ELSE 'no' END AS flag_text,
   CASE c_custkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'Medium' ELSE 'high' END AS level_text,
-  concat('20', lpad(CAST(c_custkey % 25 AS VARCHAR(4)), 2, '0'), '-', lpad(CAST(c_custkey % 12 + 1 AS VARCHAR(4)), 2, '0'),
+  concat('20', lpad(CAST(c_custkey % 20 AS VARCHAR(4)), 2, '0'), '-', lpad(CAST(c_custkey % 12 + 1 AS VARCHAR(4)), 2, '0'),
          '-', lpad(CAST(c_custkey % 28 + 1 AS VARCHAR(4)), 2, '0')) AS date_text,
   c_mktsegment
 FROM {customer}""",

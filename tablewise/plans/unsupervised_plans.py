@@ -71,7 +71,12 @@ def sm10(t):
     return S.synthetic_numbers(t.skewed, NUM, t.skewed.count())
 
 
-@query("SM11")
+def _drawn(c, i):
+    u = f"CAST('0x' || substr(md5(id || ':42:{200 + i}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+    return f"(SELECT id, {c} FROM (SELECT id, CAST(floor({u} * n) AS BIGINT) AS pos FROM (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS id) g, (SELECT count(*) AS n FROM orders) m) d JOIN (SELECT {c}, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) o USING (pos))"
+
+
+@query("SM11", f"SELECT id, o_orderstatus, o_orderpriority FROM {_drawn('o_orderstatus', 0)} a JOIN {_drawn('o_orderpriority', 1)} b USING (id)")
 def sm11(t):
     df = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
     return S.synthetic_categories(df, ["o_orderstatus", "o_orderpriority"], df.count(), "o_orderkey")
