@@ -101,6 +101,7 @@ def isolation_scores(df: DataFrame, key: str, columns: Sequence[str], trees: int
 
 def flag_top(scores: DataFrame, share: float) -> DataFrame:
     """Mark the given share of rows with the highest scores."""
+    scores = scores.persist()  # two numbers per row, read by the cut and by the result
     cut = quantiles(scores, ["score"], [1 - share])["score"][0]
     return scores.withColumn("flag", (F.col("score") > cut).cast("int"))
 

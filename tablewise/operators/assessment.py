@@ -94,7 +94,7 @@ def data_value(train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
 
     value = flat.mapInPandas(gains, "id long, g double").groupBy("id").agg(F.sum("g").alias("g"))
     n = test.count()
-    out = train.select("id", "label").join(value, "id", "left").select("id", "label", (F.coalesce("g", F.lit(0.0)) / n).alias("value"))
+    out = train.select("id", "label").join(value, "id", "left").select("id", "label", (F.coalesce("g", F.lit(0.0)) / n).alias("value")).persist()
     cut = quantiles(out, ["value"], [0.05])["value"][0]
     return out.withColumn("suspicious", F.col("value") < cut)
 

@@ -146,7 +146,7 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float | None =
     n, d = df.count(), len(columns)
     min_rows = min_rows or max(3, n // 100)
     if eps is None:
-        kth = knn(v, v, 4, same=True).groupBy("id").agg(F.max("distance").alias("r"))  # the row itself counts as the first of five
+        kth = knn(v, v, 4, same=True).groupBy("id").agg(F.max("distance").alias("r")).persist()  # the row itself counts as the first of five
         eps = quantiles(kth, ["r"], [0.9])["r"][0]
     near = knn(v, v, max(1, min_rows - 1), same=True).where(F.col("distance") <= eps).persist()
     core = near.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= min_rows - 1).select("id")

@@ -163,7 +163,7 @@ def difficulty(df: DataFrame, key: str, label: str = "label", prediction: str =
 
 def regression_difficulty(df: DataFrame, key: str, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """1 - mean absolute error over its 95th percentile, clipped to 0..1."""
-    e = df.groupBy(key).agg(F.avg(F.abs(number(label) - number(prediction))).alias("e"))
+    e = df.groupBy(key).agg(F.avg(F.abs(number(label) - number(prediction))).alias("e")).persist()
     top = max(quantiles(e, ["e"], [0.95])["e"][0] or 0.0, 1e-6)
     s = 1.0 - F.least(F.col("e") / top, F.lit(1.0))
     return e.select(key, rounded(s).alias("score"), difficulty_band(s).alias("band"))

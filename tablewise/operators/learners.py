@@ -27,7 +27,7 @@ from tablewise.operators.neighbors import knn
 from tablewise.operators.transforms import label_encode
 
 CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
-    "logistic": lambda **p: LogisticRegression(**p),
+    "logistic": lambda **p: LogisticRegression(**{"regParam": 1e-4, "maxIter": 25, **p}),
     "tree": lambda **p: DecisionTreeClassifier(**{"maxDepth": 8, "seed": 42, **p}),
     "forest": lambda **p: RandomForestClassifier(**{"numTrees": 20, "maxDepth": 6, "seed": 42, **p}),
     "boosted": lambda **p: GBTClassifier(**{"maxIter": 10, "maxDepth": 4, "seed": 42, **p}),

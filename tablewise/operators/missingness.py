@@ -101,7 +101,7 @@ def mar_scores(df: DataFrame) -> DataFrame:
             others = [o for o in nums if o != c and q[o][0] is not None]
             data = VectorAssembler(inputCols=others, outputCol="raw").transform(filled)
             scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(data).transform(data)
-            model = LogisticRegression(labelCol=f"_y{i}", featuresCol="features", regParam=1.0 / max(1, miss["*"])).fit(scaled)
+            model = LogisticRegression(labelCol=f"_y{i}", featuresCol="features", regParam=1.0 / max(1, miss["*"]), maxIter=25).fit(scaled)
             auc = BinaryClassificationEvaluator(labelCol=f"_y{i}").evaluate(model.transform(scaled))
             ranked = sorted(zip(others, model.coefficients.toArray()), key=lambda p: -abs(p[1]))[:3]
             rows.append((c, half_up(auc), ",".join(o for o, w in ranked if abs(w) > 0.1)))

@@ -45,7 +45,7 @@ def boundary(df: DataFrame, label: str, key: str, columns: Sequence[str], size:
     other = df.select(F.col(key).cast("long").alias("neighbor"), col(label).alias("ny"))
     score = near.join(own, "id").join(other, "neighbor").groupBy("id").agg(F.avg((F.col("y") != F.col("ny")).cast("double")).alias("_score"))
     data = df.join(score, F.col(key).cast("long") == F.col("id")).drop("id")
-    data = data.withColumn("_u", hash_uniform(key, seed))
+    data = data.withColumn("_u", hash_uniform(key, seed)).persist()
     first, left, cut = int(size * 0.6), int(size * 0.6), 2.0
     for r in sorted(data.groupBy("_score").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["_score"]):  # at most k + 1 levels
         cut = r["_score"]
@@ -113,7 +113,7 @@ def copies(df: DataFrame, key: str, need: int, rows: int, seed: int) -> DataFram
 
 def between(seeds: DataFrame, minority: DataFrame, key: str, columns: Sequence[str], k: int, seed: int) -> DataFrame:
     """New rows on the line from each seed row to one of its k nearest minority rows."""
-    near = knn(vectors(minority, key, columns), vectors(minority, key, columns), k, same=True).select(F.col("id").alias("_id"), F.col("rank").alias("_rank"), F.col("neighbor").alias("_nb"))
+    near = knn(vectors(minority, key, columns), vectors(minority, key, columns), k, same=True).select(F.col("id").alias("_id"), F.col("rank").alias("_rank"), F.col("neighbor").alias("_nb")).persist()
     found = near.groupBy("_id").agg(F.max("_rank").alias("_found"))
     s = seeds.withColumn("_id", F.col(key).cast("long")).join(found, "_id")
     s = s.withColumn("_rank", (F.floor(hash_uniform(key, "_copy", seed, 1) * F.col("_found")) + 1).cast("int")).join(near, ["_id", "_rank"])
@@ -155,7 +155,7 @@ def adasyn(df: DataFrame, label: str, key: str, columns: Sequence[str], k: int =
     """SMOTE with more new rows where the neighbours belong to other classes."""
     value, n, need, _ = class_need(df, label)
     small = df.where(col(label) == value)
-    away = crowding(df, label, key, columns, value, k)
+    away = crowding(df, label, key, columns, value, k).persist()
     total = away.agg(F.sum("away")).first()[0] or 0.0
     if total == 0:
         return smote(df, label, key, columns, k, seed)
@@ -169,7 +169,7 @@ def borderline_smote(df: DataFrame, label: str, key: str, columns: Sequence[str]
     value, _, need, _ = class_need(df, label)
     small = df.where(col(label) == value)
     danger = crowding(df, label, key, columns, value, around).where("away >= 0.5 and away < 1").select("id")
-    seeds = small.join(danger, F.col(key).cast("long") == F.col("id")).drop("id")
+    seeds = small.join(danger, F.col(key).cast("long") == F.col("id")).drop("id").persist()
     m = seeds.count()
     if m == 0:
         return smote(df, label, key, columns, k, seed)
