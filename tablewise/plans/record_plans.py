@@ -1,6 +1,6 @@
 """Sources, sinks, experiment tables and metadata over the source tables."""
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -10,19 +10,14 @@ from tablewise.operators.measures import report
 from tablewise.plans.explore_plans import _outliers
 from tablewise.plans.registry import query
 from tablewise.plans.sqltext import rnd, union
+from tablewise.session import shared_folder
 from tablewise.sources import files as IO
 from tablewise.sources.experiment_store import ExperimentStore
 
 
 def scratch(t) -> str:
-    """A new folder for written tables: under the shared checkpoint folder where the session names one."""
-    from uuid import uuid4
-
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-")
-
-
-NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+    """A new folder for written tables, inside the shared folder."""
+    return f"{shared_folder(t.spark)}/{uuid4().hex}"
 
 
 @query("IO1", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
