@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewise.functions import tails
-from tablewise.operators import anomalies, clusters, coercion, imputation, learners, measures, missingness, patterns, sampling, studio
+from tablewise.operators import anomalies, clusters, coercion, imputation, learners, measures, missingness, patterns, sampling, studio, transforms
 from tablewise.operators import metadata, timeseries
 from tablewise.sources import files
 
@@ -190,3 +190,12 @@ def test_blocked_windows_equal_plain_windows(spark, monkeypatch):
     monkeypatch.setattr(measures, "ROWS_PER_TASK", 90)
     split = timeseries.lag_features(df, ["g"], "t", "y").toPandas().sort_values(["g", "t"]).reset_index(drop=True)
     assert np.allclose(plain.to_numpy(float), split[plain.columns].to_numpy(float))
+
+
+@pytest.mark.parametrize("values", [5, 300])
+def test_label_codes_follow_sorted_order(spark, values):
+    df = spark.range(1_000).selectExpr("id", f"concat('c', lpad(CAST(id % {values} AS STRING), 4, '0')) AS c")
+    out, mapping = transforms.label_encode(df, "c")
+    got = out.toPandas()
+    assert out.columns == ["id", "c"] and len(mapping) == values
+    assert (got["c"] == got["id"] % values).all()
