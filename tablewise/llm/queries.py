@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewise.llm.shared import shared_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,3 +58,27 @@ def op8_source_mixing(documents: DataFrame) -> DataFrame:
     from tablewise.llm.mixing import copies
 
     return copies(documents).withColumn("taken", F.col("copies") * F.col("size")).drop("copies")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("documents")
+def op2_best_fit_packing(documents: DataFrame) -> DataFrame:
+    from tablewise.llm.packing import packed
+
+    return packed(documents, tokenizer_path())
+
+
+@_query("documents")
+def op3_token_files(documents: DataFrame) -> DataFrame:
+    from tablewise.llm.token_files import read_ids, write_ids
+
+    spark = documents.sparkSession
+    path = shared_path(spark, "token-files")
+    write_ids(documents, path, tokenizer_path())
+    return read_ids(spark, path)
