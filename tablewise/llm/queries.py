@@ -82,3 +82,10 @@ def op3_token_files(documents: DataFrame) -> DataFrame:
     path = shared_path(spark, "token-files")
     write_ids(documents, path, tokenizer_path())
     return read_ids(spark, path)
+
+
+@_query("documents")
+def op5_language_id(documents: DataFrame) -> DataFrame:
+    from tablewise.llm.languages import identified
+
+    return identified(documents)
