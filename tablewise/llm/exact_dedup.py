@@ -57,9 +57,12 @@ def _merged(entries: DataFrame) -> DataFrame:
     """Neighbouring entries of equal digest in each sorted partition become one; the first of them stays."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, kind = None, None
         for b in batches:
-            t = pa.Table.from_batches([b] if rest is None else [rest, b]).combine_chunks()
+            if not len(b):
+                continue
+            kind = kind or b.schema
+            t = pa.Table.from_batches([b] if rest is None else [rest.cast(kind), b]).combine_chunks()
             place, size = t["place"].to_numpy(), t["normal_bytes"].to_numpy()
             digest = np.frombuffer(b"".join(t["digest"].to_pylist()), "V32")
             new = np.ones(len(place), bool)
