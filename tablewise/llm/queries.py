@@ -89,3 +89,10 @@ def op5_language_id(documents: DataFrame) -> DataFrame:
     from tablewise.llm.languages import identified
 
     return identified(documents)
+
+
+@_query("documents")
+def op9_jaccard_join(documents: DataFrame) -> DataFrame:
+    from tablewise.llm.jaccard_join import similar
+
+    return similar(documents, size=3, num=90, den=100)
