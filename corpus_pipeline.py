@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewise.llm.exact_dedup import without_copies
+from tablewise.llm.jaccard_join import without_similar
+from tablewise.llm.languages import with_language
 from tablewise.llm.mixing import mixed
+from tablewise.llm.packing import packed
+from tablewise.llm.queries import tokenizer_path
 from tablewise.llm.shared import written
 
 
+def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no language can be told (no text, or no letter in it) go; all others stay."""
+    return with_language(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 or more over 5-word n-grams connect stays: the one with the smallest ``doc_id``."""
+    return without_similar(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     return mixed(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("mixing", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of a document with its sequence and its place there; a document that the mix took twice is packed twice."""
+    return packed(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", drop_without_language),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 #: Language models and packing have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None
 

@@ -86,8 +86,8 @@ def cuts(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A class ends before 1.5 times its first size, or den / num times if that is more: a similar set is in the same or the next class.
     The parts are the fewest of which a set is rarely emptier than allowed, or as near to that as small sets come.
     """
-    if 5 * num < 3 * den:
-        raise ValueError("the threshold must be 0.6 or more")
+    if 4 * num < 3 * den:
+        raise ValueError("the threshold must be 0.75 or more")
     first, fragments, spare = [1], [], []
     while first[-1] < 1 << 40:
         low = first[-1]
