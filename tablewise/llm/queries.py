@@ -13,9 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(table: str, sql: str | None = None):
-    def wrap(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[fn.__name__] = lambda spark, folder: fn(spark.read.parquet(f"{folder}/{table}.parquet"))
+def _query(tables: str, sql: str | None = None):
+    """Register ``fn`` of the tables named in ``tables``."""
+
+    def wrap(fn: Callable[..., DataFrame]):
+        QUERIES[fn.__name__] = lambda spark, folder: fn(*[spark.read.parquet(f"{folder}/{t}.parquet") for t in tables.split()])
         if sql is not None:
             ORACLES[fn.__name__] = sql
         return fn
@@ -96,3 +98,47 @@ def op9_jaccard_join(documents: DataFrame) -> DataFrame:
     from tablewise.llm.jaccard_join import similar
 
     return similar(documents, size=3, num=90, den=100)
+
+
+#: Rules of the query: verdict, host, path.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+#: Words of the small labelled URL table: hosts that are unwanted, and hosts and paths that are not.
+UNWANTED_HOSTS = (
+    "casino-win online-casino casino-bonus win-jackpot poker-slots slots-free free-bets bets-now sport-bets lucky-bets "
+    "cheap-pills pills-shop buy-pills cheap-meds diet-pills cheap-watches cheap-loans spam-farm link-farm farm-links content-spam spam-mail "
+    "ads-track track-clicks click-ads pop-ads ads-server ad-tracker adult-x adult-cam xxx-video adult-dating free-xxx hot-cams"
+).split()
+WANTED_HOSTS = (
+    "library museum weather history garden recipes science physics teacher school university city-council train-times gazette "
+    "mountain river orchestra theatre painter bakery cycling running chess astronomy geology forest harbour village parliament "
+    "health hospital dentist lawyer builder market auction insurance travel islands northern southern western eastern "
+    "thelen therin thorn shein ering onter eastin handel reston steinau oulen blesh tionar wharton atlin esher ingle nettle"
+).split()
+URL_FRAMES = ("https://{}.com/en/{}", "http://www.{}.org/de/{}.html", "https://blog.{}.net/fr/{}/", "https://m.{}.example.com/es/{}", "http://{}.example.org/en/{}", "https://{}.example.net/{}")
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """Some hundred labelled URLs: every host in every frame."""
+    rows = [(f.format(h, 17 * i + k), kind) for kind, hosts in ((1, UNWANTED_HOSTS), (0, WANTED_HOSTS)) for i, h in enumerate(hosts) for k, f in enumerate(URL_FRAMES)]
+    return spark.createDataFrame(rows, "url string, blocked int")
+
+
+@_query("pages")
+def op7_url_filter(pages: DataFrame) -> DataFrame:
+    from tablewise.llm.url_filter import judged
+
+    return judged(pages, URL_RULES, labelled_urls(pages.sparkSession))
+
+
+@_query("documents labels")
+def op10_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    from tablewise.llm.quality import scored
+
+    return scored(documents, labels)
