@@ -142,3 +142,18 @@ def op10_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     from tablewise.llm.quality import scored
 
     return scored(documents, labels)
+
+
+@_query(
+    "embeddings",
+    """
+WITH p AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+v AS (SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM p),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.i = c.i AND q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id GROUP BY q.vec_id, c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10""",
+)
+def op6_exact_top_k(embeddings: DataFrame) -> DataFrame:
+    from tablewise.llm.top_k import top_k
+
+    return top_k(embeddings, F.col("vec_id") % 100 == 0)
