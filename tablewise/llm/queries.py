@@ -157,3 +157,11 @@ def op6_exact_top_k(embeddings: DataFrame) -> DataFrame:
     from tablewise.llm.top_k import top_k
 
     return top_k(embeddings, F.col("vec_id") % 100 == 0)
+
+
+@_query("documents")
+def op1_substring_dedup(documents: DataFrame) -> DataFrame:
+    from tablewise.llm.substrings import without_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return without_repeats(documents, 20).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

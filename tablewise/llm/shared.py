@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewise.session import shared_folder
 
@@ -25,3 +26,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tasks(df: DataFrame) -> int:
     """The number of tasks that the session deals a shuffle to."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: Stands for a document number that is null, which so counts as the smallest.
+NO_ID = -(1 << 63)
+
+
+def number(column: str = "doc_id") -> Column:
+    """A document number that is never null."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def given(column: str = "doc_id") -> Column:
+    """The document number as it was given."""
+    return F.nullif(F.col(column), F.lit(NO_ID)).alias(column)
