@@ -11,7 +11,7 @@ from tablewise.functions.moments import bias_corrected_skew, half_up, share
 from tablewise.operators.explore import outlier_measures
 from tablewise.operators.information import scaled_importance
 from tablewise.operators.measures import (
-    col, distinct_counts, hash_uniform, measure, modes, null_counts, number, numeric_columns,
+    col, distinct_counts, measure, modes, null_counts, number, numeric_columns,
     pair_correlations, quantiles, report, text_columns,
 )
 from tablewise.operators.profile import duplicate_rows, kind_of
@@ -150,7 +150,7 @@ def suggestions(df: DataFrame) -> DataFrame:
             out.append(("drop_column", c, "medium", "constant" if uniq[c] <= 1 else "identifier", None, None))
     out += [("fix_type", c, "medium", None, None, None) for c in numeric_text(df, 0.9)]
     pairs = [(b, a) for (a, b), r in sorted(pair_correlations(df, nums).items(), key=lambda p: (nums.index(p[0][1]), nums.index(p[0][0]))) if r is not None and abs(r) > 0.95]
-    out += [("drop_correlated", b, "medium", a, None, None) for b, a in pairs[:5]]
+    out += [("drop_correlated", b, "medium", a, None, None) for b, a in pairs]
     return report(df, [(i, *r) for i, r in enumerate(out)], "id int, type string, column string, impact string, strategy string, low double, high double")
 
 
@@ -213,12 +213,6 @@ def repair_nonfinite(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return df.withColumns({c: F.coalesce(finite[c], F.lit(q[c][0])) for c in columns})
 
 
-def sample_rows(df: DataFrame, key: str, limit: int = 50_000, seed: int = 42) -> DataFrame:
-    """A repeatable sample of about ``limit`` rows; the whole table when it is smaller."""
-    n = df.count()
-    return df if n <= limit else df.where(hash_uniform(key, seed) < limit / n)
-
-
 def diagnose_scores(df: DataFrame, target: str, features: Sequence[str], best: float, train: float, test: float, problem: str = "classification") -> DataFrame:
     """Why scores are weak: constant target, continuous target, constant features, overfitting."""
     out = []

@@ -13,7 +13,7 @@ from tablewise.operators.measures import col, distinct_counts, frequencies, meas
 RULES = "type string, column string, low double, high double, values array<string>, condition_column string, condition_value string"
 
 
-def learn(df: DataFrame, max_conditional: int = 20) -> list[dict]:
+def learn(df: DataFrame, max_conditional: int | None = None) -> list[dict]:
     """All rules: not null, range, whole number, non-negative, allowed values, unique, conditional not null."""
     nums, texts = numeric_columns(df), text_columns(df)
     exprs = {"n": F.count("*")} | {f"m{i}": F.count_if(col(c).isNull()) for i, c in enumerate(df.columns)}
@@ -44,10 +44,10 @@ def learn(df: DataFrame, max_conditional: int = 20) -> list[dict]:
         if missing == 0 and uniq[c] == n:
             rules.append(dict(type="unique", column=c))
     gaps = [c for i, c in enumerate(df.columns) if 0 < row[f"m{i}"] < n]
-    return rules + conditional(df, gaps, texts[:10], max_conditional)
+    return rules + conditional(df, gaps, texts, max_conditional)
 
 
-def conditional(df: DataFrame, gaps: list[str], texts: list[str], limit: int = 20) -> list[dict]:
+def conditional(df: DataFrame, gaps: list[str], texts: list[str], limit: int | None = None) -> list[dict]:
     """``column`` is never null when ``condition_column`` has a value seen at least 10 times.
 
     The 5 most frequent values of each text column are tried.
@@ -59,7 +59,7 @@ def conditional(df: DataFrame, gaps: list[str], texts: list[str], limit: int = 2
         F.count("*").alias("n"), *[F.sum(f"_g{i}").alias(f"k{i}") for i in range(len(gaps))])
     from tablewise.operators.measures import top_values
 
-    top = top_values(counts, 5).collect()  # 5 values x 10 columns
+    top = top_values(counts, 5).collect()  # 5 values per text column
     out = []
     for i, g in enumerate(gaps):
         for t in texts:

@@ -123,8 +123,8 @@ DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every pair of the first 50 numeric columns with its correlation and strength."""
-    columns = list(columns or numeric_columns(df))[:50]
+    """Every pair of numeric columns with its correlation and strength."""
+    columns = list(columns or numeric_columns(df))
     rows = [
         (a, b, half_up(r), None if r is None else "strong" if abs(r) > 0.7 else "moderate" if abs(r) > 0.3 else "weak")
         for (a, b), r in pair_correlations(df, columns).items()
@@ -133,23 +133,25 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, n: int = 20) -> DataFrame:
+    """The ``n`` strongest pairs above 0.3."""
     return (
         correlation_matrix(df, columns).where("abs(correlation) > 0.3")
         .orderBy(F.desc(F.abs("correlation")), "feature_1", "feature_2").limit(n)
     )
 
 
-def missing_by_column(df: DataFrame, n: int = 20) -> DataFrame:
+def missing_by_column(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Columns with nulls, most first; ``n`` of them if given."""
     miss = null_counts(df, df.columns)
     rows = sorted(((c, miss[c], half_up(100.0 * miss[c] / max(1, miss["*"]), 2)) for c in df.columns if miss[c]), key=lambda r: (-r[1], r[0]))
     return report(df, rows[:n], "column string, missing long, pct double")
 
 
-def co_missing(df: DataFrame) -> DataFrame:
-    """Pairs of the 10 worst columns whose nulls overlap by more than half."""
+def co_missing(df: DataFrame, worst: int | None = None) -> DataFrame:
+    """Pairs of columns (of the ``worst`` ones, if given) whose nulls overlap by more than half."""
     miss = null_counts(df, df.columns)
-    worst = sorted((c for c in df.columns if miss[c]), key=lambda c: (-miss[c], c))[:10]
-    pairs = [(a, b) for i, a in enumerate(worst) for b in worst[i + 1 :]]
+    gaps = sorted((c for c in df.columns if miss[c]), key=lambda c: (-miss[c], c))[:worst]
+    pairs = [(a, b) for i, a in enumerate(gaps) for b in gaps[i + 1 :]]
     if not pairs:
         return report(df, [], "column_1 string, column_2 string, overlap double, both_missing long")
     exprs = {}
@@ -179,10 +181,10 @@ def outlier_measures(df: DataFrame, columns: Sequence[str], factor: float = 1.5)
     ]
 
 
-def outlier_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def outlier_table(df: DataFrame, columns: Sequence[str] | None = None, n: int | None = None) -> DataFrame:
     found = [m for m in outlier_measures(df, list(columns or numeric_columns(df))) if m["n_outliers"]]
     found.sort(key=lambda m: (-m["n_outliers"], m["column"]))
-    rows = [(m["column"], m["n_outliers"], half_up(m["pct"], 2), half_up(m["lower"]), half_up(m["upper"]), half_up(m["min"]), half_up(m["max"])) for m in found[:20]]
+    rows = [(m["column"], m["n_outliers"], half_up(m["pct"], 2), half_up(m["lower"]), half_up(m["upper"]), half_up(m["min"]), half_up(m["max"])) for m in found[:n]]
     return report(df, rows, "column string, n_outliers long, pct double, lower_bound double, upper_bound double, min double, max double")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -221,14 +223,46 @@ def correlation(a: Column, b: Column) -> Column:
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Pairwise-complete Pearson correlation of every pair a before b."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    got = measure(df, **{f"r{i}": correlation(number(a), number(b)) for i, (a, b) in enumerate(pairs)})
-    out = {}
-    for i, p in enumerate(pairs):
-        r = got[f"r{i}"]
-        out[p] = None if r is None or r != r else r
-    return out
+    """Pairwise-complete Pearson correlation of every pair a before b; null where a side is constant.
+
+    Every task sums masked products of its standardised rows and passes them on by matrix row, so neither the plan
+    nor a task grows with the number of pairs beyond these sums.
+    """
+    width = len(columns)
+    if width < 2:
+        return {}
+    got = measure(df, **{f"{k}{i}": f(number(c).cast("double")) for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))})
+    mean = np.array([got[f"m{i}"] or 0.0 for i in range(width)], float)
+    scale = np.array([got[f"s{i}"] or 1.0 for i in range(width)], float)
+
+    def own(batches):
+        total = np.zeros((width, 4, width))  # by column a: rows with both, sums of a, of a squared, and of a times b
+        for b in batches:
+            there = np.stack([x.is_valid().to_numpy(zero_copy_only=False) for x in b.columns], axis=1).astype(float)
+            x = np.stack([v.fill_null(0).to_numpy(zero_copy_only=False) for v in b.columns], axis=1)
+            x = np.where(there > 0, (x - mean) / scale, 0.0)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x], axis=1)
+        yield pa.record_batch([pa.array(np.arange(width)), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "sums"])
+
+    def add(batches):
+        total = {}
+        for b in batches:
+            for i, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(sums)
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["i", "sums"])
+
+    shape = "i long, sums binary"
+    rows = df.select(*[number(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(own, shape)
+    sums = np.zeros((width, 4, width))
+    for r in rows.repartition("i").mapInArrow(add, shape).collect():  # one row per column
+        sums[r["i"]] = np.frombuffer(r["sums"]).reshape(4, width)
+    both, first, square, product = sums.transpose(1, 0, 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = square / both - (first / both) ** 2
+        r = (product / both - first * first.T / both**2) / np.sqrt(spread * spread.T)
+    r[~((spread > 1e-13) & (spread.T > 1e-13))] = np.nan
+    return {(a, b): None if np.isnan(r[i, j]) else float(r[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
 
 
 def pick(value: Column, options: Sequence, none=None) -> Column:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tablewise.operators.measures import hash_uniform, measure, number
 
+NOBODY = np.iinfo(np.int64).max
+
 BROADCAST_VALUES = 2_000_000  # numbers a base may hold to be sent to every task
 SAMPLE_VALUES = 4_000_000  # numbers of the sample the tree is fitted on
 LEAF_ROWS = 20_000  # rows of one distributed leaf
@@ -78,12 +80,12 @@ class LocalTree:
         return descend(x, *self.table)
 
     def nearest(self, q: np.ndarray, qid: np.ndarray, k: int, same: bool, bound: np.ndarray | None = None) -> pd.DataFrame:
-        """The k nearest rows of each query that are nearer than its bound: its own leaf first, then the leaves within reach."""
+        """The k nearest rows of each query within its bound, smaller ids first at equal distances: its own leaf first, then the leaves within reach."""
         n = len(q)
         dist = np.full((n, k), np.inf if bound is None else 0.0)
         if bound is not None:
             dist[:] = bound[:, None]
-        near = np.full((n, k), -1, dtype=np.int64)
+        near = np.full((n, k), NOBODY, dtype=np.int64)  # after every row at the same distance
 
         def visit(leaf: int, at: np.ndarray) -> None:
             b, bid = self.leaf_points[leaf], self.leaf_ids[leaf]
@@ -96,7 +98,12 @@ class LocalTree:
                 d[qid[at, None] == bid[None, :]] = np.inf
             all_d = np.concatenate([dist[at], d], axis=1)
             all_b = np.concatenate([near[at], np.broadcast_to(bid, d.shape)], axis=1)
-            pick = np.argpartition(all_d, k - 1, axis=1)[:, :k] if all_d.shape[1] > k else np.argsort(all_d, axis=1)[:, :k]
+            if all_d.shape[1] > 4 * k:  # all within the k-th distance, ties included, come first
+                limit = np.partition(all_d, k - 1, axis=1)[:, k - 1 : k]
+                width = max(k, int((all_d <= limit).sum(axis=1).max()))
+                pick = np.argpartition(all_d, width - 1, axis=1)[:, :width]
+                all_d, all_b = np.take_along_axis(all_d, pick, axis=1), np.take_along_axis(all_b, pick, axis=1)
+            pick = np.lexsort((all_b, all_d), axis=1)[:, :k]
             dist[at] = np.take_along_axis(all_d, pick, axis=1)
             near[at] = np.take_along_axis(all_b, pick, axis=1)
 
@@ -108,10 +115,10 @@ class LocalTree:
             for j in range(q.shape[1]):
                 gap = np.maximum(self.lo[leaf, j] - q[:, j], 0) + np.maximum(q[:, j] - self.hi[leaf, j], 0)
                 reach += gap * gap
-            at = np.nonzero((np.sqrt(reach) < dist.max(axis=1)) & (own != leaf))[0]
+            at = np.nonzero((np.sqrt(reach) <= dist.max(axis=1)) & (own != leaf))[0]
             if len(at):
                 visit(leaf, at)
-        rows, cols = np.nonzero((near >= 0) & np.isfinite(dist))
+        rows, cols = np.nonzero((near != NOBODY) & np.isfinite(dist))
         return pd.DataFrame({"id": qid[rows], "neighbor": near[rows, cols], "distance": dist[rows, cols]})
 
 
@@ -169,13 +176,16 @@ class Leaves:
 def knn(queries: DataFrame, base: DataFrame, k: int, same: bool = False) -> DataFrame:
     """(id, neighbor, distance, rank) of the k nearest base rows of each query by Euclidean distance.
 
-    Both frames have (id long, vec array<double>). With ``same`` a row is not its own neighbour.
+    Both frames have (id long, vec array<double>). With ``same`` a row is not its own neighbour. Equal distances go
+    to smaller ids, whatever the order of the rows; so of many copies of a point only the first k (and the row itself) can count.
     """
     queries, base = queries.select("id", "vec"), base.select("id", "vec")
     head = base.select(F.size("vec").alias("d")).first()
     if head is None:
         return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
     width, n = head["d"], base.count()
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    base = base.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
     if n * width <= BROADCAST_VALUES:
         found = _against_small(queries, base, k, same, width)
     else:
@@ -233,7 +243,7 @@ def _through_leaves(queries, base, k, same, width, n):
                     v = x[s : s + block, j, None]
                     gap = np.maximum(lo[None, :, j] - v, 0) + np.maximum(v - hi[None, :, j], 0)
                     d2 += gap * gap
-                r, c = np.nonzero(np.sqrt(d2) < pdf["bound"].to_numpy()[s : s + block, None])
+                r, c = np.nonzero(np.sqrt(d2) <= pdf["bound"].to_numpy()[s : s + block, None])
                 times = parts[c]
                 r, c = np.repeat(r, times), np.repeat(c, times)
                 part = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)

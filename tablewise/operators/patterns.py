@@ -47,18 +47,19 @@ def itemsets(rows: DataFrame, support: float = 0.05, largest: int = 3) -> DataFr
     return model.freqItemsets.where(F.size("items") <= largest).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / total).alias("support"))
 
 
-def rules(sets: DataFrame, confidence: float = 0.5, limit: int = 100) -> DataFrame:
-    """Rules with one consequent item: confidence, lift, leverage and conviction, best lift first."""
+def rules(sets: DataFrame, confidence: float = 0.5, limit: int | None = None) -> DataFrame:
+    """Rules with one consequent item: confidence, lift, leverage and conviction, best lift first; ``limit`` of them if given."""
     each = sets.where(F.size("items") >= 2).select("items", "support", F.explode("items").alias("consequent"))
     each = each.withColumn("antecedent", F.array_remove("items", F.col("consequent")))
     a = sets.select(F.col("items").alias("antecedent"), F.col("support").alias("sa"))
     c = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("consequent"), F.col("support").alias("sc"))
     r = each.join(a, "antecedent").join(c, "consequent").withColumn("conf", F.col("support") / F.col("sa")).where(F.col("conf") >= confidence)
     conviction = F.when(F.col("conf") < 1, F.least((1 - F.col("sc")) / (1 - F.col("conf")), F.lit(999.0))).otherwise(999.0)
-    return r.select(
+    r = r.select(
         F.array_join("antecedent", ",").alias("antecedent"), "consequent", rounded(F.col("support")).alias("support"), rounded(F.col("conf")).alias("confidence"),
         rounded(F.col("conf") / F.col("sc")).alias("lift"), rounded(F.col("support") - F.col("sa") * F.col("sc"), 6).alias("leverage"), rounded(conviction).alias("conviction"),
-    ).orderBy(F.desc("lift"), "antecedent", "consequent").limit(limit)
+    ).orderBy(F.desc("lift"), "antecedent", "consequent")
+    return r if limit is None else r.limit(limit)
 
 
 def topic_tokens(df: DataFrame, key: str, column: str, stop_words: Sequence[str] | None = None) -> DataFrame:

@@ -65,32 +65,32 @@ def preview(df: DataFrame, text: str, target: str | None = None, bins: int = 20)
     return stats, histogram(data, {"feature": (row["lo"], row["hi"], bins)})
 
 
-def suggest(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Suggested features: log where skewed, 3 ratios without a zero divisor, date parts."""
+def suggest(df: DataFrame, target: str | None = None, ratios: int | None = None) -> DataFrame:
+    """Suggested features: log where skewed, ratios without a zero divisor (the first ``ratios``, if given), date parts."""
     nums = numeric_columns(df, [target] if target else [])
     exprs = {}
     for i, c in enumerate(nums):
         exprs |= {f"lo{i}": F.min(number(c)), f"g{i}": bias_corrected_skew(number(c)), f"z{i}": F.count_if(number(c) == 0)}
     row = measure(df, **exprs) if exprs else {}
     out = [("log", f"{c}_log", f"log({c})") for i, c in enumerate(nums) if row[f"lo{i}"] is not None and row[f"lo{i}"] >= 0 and (row[f"g{i}"] or 0) > 1]
-    out += [("ratio", f"{a}_per_{b}", f"{a} / {b}") for a, b in combinations(nums, 2) if row[f"z{nums.index(b)}"] == 0][:3]
+    out += [("ratio", f"{a}_per_{b}", f"{a} / {b}") for a, b in combinations(nums, 2) if row[f"z{nums.index(b)}"] == 0][:ratios]
     for c in date_columns(df):
         out += [("date", f"{c}_{p}", f"{p}({c})") for p in ("month", "day_of_week")]
     return report(df, out, "kind string, name string, expression string")
 
 
-def crossings(df: DataFrame, target: str, keep: int = 10) -> DataFrame:
-    """Products of pairs of the 8 highest-variance columns, best by mutual information with the target."""
+def crossings(df: DataFrame, target: str, keep: int = 10, widest: int | None = None) -> DataFrame:
+    """The ``keep`` best products of pairs of columns (of the ``widest`` by variance, if given) by mutual information with the target."""
     nums = numeric_columns(df, [target])
     row = measure(df, **{f"v{i}": F.var_samp(number(c)) for i, c in enumerate(nums)})
-    top = sorted(nums, key=lambda c: -(row[f"v{nums.index(c)}"] or 0.0))[:8]
+    top = sorted(nums, key=lambda c: -(row[f"v{nums.index(c)}"] or 0.0))[:widest]
     made = {f"{a}_x_{b}": number(a) * number(b) for a, b in combinations(top, 2)}
     return _best(mutual_information(df, target, made), keep)
 
 
 def powers(df: DataFrame, target: str, degree: int = 2, keep: int = 10, columns: Sequence[str] | None = None) -> DataFrame:
-    """Powers 2..degree of the first 6 columns, best by mutual information with the target."""
-    nums = list(columns or numeric_columns(df, [target]))[:6]
+    """The ``keep`` best powers 2..degree of the columns by mutual information with the target."""
+    nums = list(columns or numeric_columns(df, [target]))
     made = {f"{c}_pow{d}": F.power(number(c), F.lit(d)) for c in nums for d in range(2, degree + 1)}
     return _best(mutual_information(df, target, made), keep)
 

@@ -139,21 +139,30 @@ def transform_table(df: DataFrame, target: str, key: str, train: Column | None =
     return scale(out, kept, train), report(df, rows, "step string, column string, action string")
 
 
+def mean_filled(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The frame with a copy of each column in which nulls and NaN are the mean of the others, and the copies' names."""
+    there = {c: F.nanvl(number(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    mean = df.agg(*[F.avg(there[c]).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    names = [f"_filled{i}" for i in range(len(columns))]
+    return df.withColumns({n: F.coalesce(there[c], F.lit(mean[f"m{i}"] or 0.0)) for i, (n, c) in enumerate(zip(names, columns))}), names
+
+
 def principal_components(df: DataFrame, columns: Sequence[str], keep: int | None = None) -> tuple[DataFrame, list[float], np.ndarray]:
-    """Scores of the leading components of the scaled columns, their variance shares and loadings."""
+    """Scores of the leading components of the scaled columns, their variance shares and loadings. Gaps count as the mean."""
     keep = keep or max(1, int(0.8 * len(columns)))
-    data = VectorAssembler(inputCols=list(columns), outputCol="_raw", handleInvalid="skip").transform(df)
+    data, filled = mean_filled(df, columns)
+    data = VectorAssembler(inputCols=filled, outputCol="_raw").transform(data)
     data = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(data).transform(data)
     model = PCA(k=keep, inputCol="_scaled", outputCol="components").fit(data)
-    return model.transform(data).drop("_raw", "_scaled"), list(model.explainedVariance.toArray()), model.pc.toArray()
+    return model.transform(data).drop("_raw", "_scaled", *filled), list(model.explainedVariance.toArray()), model.pc.toArray()
 
 
-def pair_products(df: DataFrame, columns: Sequence[str], limit: int = 8) -> DataFrame:
+def pair_products(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     return df.withColumns({f"{a}_x_{b}": number(a) * number(b) for a, b in combinations(list(columns)[:limit], 2)})
 
 
-def pair_ratios(df: DataFrame, columns: Sequence[str], limit: int = 5) -> DataFrame:
-    """a / (|b| + 1e-8) and a - b for pairs of the first 5 features."""
+def pair_ratios(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """a / (|b| + 1e-8) and a - b for pairs of features (of the first ``limit``, if given)."""
     made = {}
     for a, b in combinations(list(columns)[:limit], 2):
         made |= {f"{a}_over_{b}": number(a) / (F.abs(number(b)) + 1e-8), f"{a}_minus_{b}": number(a) - number(b)}
@@ -165,9 +174,10 @@ def decile_bins(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def best_features(df: DataFrame, columns: Sequence[str], target: str, classification: bool = True, keep: int | None = None) -> list[str]:
-    """The k features with the highest F score against the target."""
+    """The k features with the highest F score against the target, over all rows with a target. Gaps count as the mean."""
     keep = keep or max(1, len(columns) // 2)
-    data = VectorAssembler(inputCols=list(columns), outputCol="_f", handleInvalid="skip").transform(df.withColumn("_y", number(target)))
+    data, filled = mean_filled(df.withColumn("_y", number(target)).where("_y is not null"), columns)
+    data = VectorAssembler(inputCols=filled, outputCol="_f").transform(data)
     sel = UnivariateFeatureSelector(featuresCol="_f", labelCol="_y", outputCol="_o", selectionMode="numTopFeatures")
     sel = sel.setFeatureType("continuous").setLabelType("categorical" if classification else "continuous").setSelectionThreshold(keep)
     return [columns[i] for i in sorted(sel.fit(data).selectedFeatures)]

@@ -39,7 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="run-")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))  # one folder for the whole session
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
