@@ -8,7 +8,8 @@ one pass over sorted entries. After the last round each place holds a finished r
 meet as early as possible: however large a group is, a place gets at most one entry of it from each partner.
 
 Results in odd cases: null counts as empty text, and all texts without a character outside white space
-form one group. Ties go to the smaller ``doc_id``; rows that repeat a ``doc_id`` with an equal text are
+form one group; a null ``doc_id`` counts as
+the smallest. Ties go to the smaller ``doc_id``; rows that repeat a ``doc_id`` with an equal text are
 counted, and stay or go together. An empty table gives no rows. Other columns are neither read nor returned.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.arrays import WHITE, flat
-from tablewise.llm.shared import tasks, written
+from tablewise.llm.shared import given, number, tasks, written
 
 _WHITE = bytes(np.flatnonzero(WHITE).astype(np.uint8))
 _DIGESTS = "doc_id long, n_chars long, digest binary, normal_bytes long, run int"
@@ -50,7 +51,7 @@ def digests(docs: DataFrame, runs: int) -> DataFrame:
             )
 
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("n_chars"), text.alias("text")).mapInArrow(of, _DIGESTS)
+    return docs.select(number().alias("doc_id"), F.char_length(text).cast("long").alias("n_chars"), text.alias("text")).mapInArrow(of, _DIGESTS)
 
 
 def _merged(entries: DataFrame) -> DataFrame:
@@ -106,10 +107,10 @@ def exact_groups(docs: DataFrame, radix: int = 16) -> DataFrame:
         rounds += 1
     found = written(digests(docs, radix**rounds), "digests")
     kept = leaders(found, radix, rounds).select("digest", "keep_id", "group_size")
-    return found.join(kept, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest")
+    return found.join(kept, "digest").select(given(), given("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest")
 
 
 def without_copies(docs: DataFrame, radix: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_groups(docs, radix).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
+    stay = exact_groups(docs, radix).where("kept").select(number().alias("_stay")).distinct()
+    return docs.join(stay, number() == stay["_stay"], "left_semi")

@@ -10,7 +10,8 @@ source's documents are cut into buckets along the order; bucket totals give each
 sums a whole source.
 
 Results in odd cases: null sources are one source, the last; null or empty texts have size 0, may be taken,
-and count nothing; rows that repeat a ``doc_id`` are drawn one by one; an empty table gives no rows; other
+and count nothing; rows that repeat a ``doc_id`` are drawn one by one
+(``mixed`` shares out what they get); a null ``doc_id`` counts as the smallest; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -21,13 +22,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.shared import written
+from tablewise.llm.shared import given, number, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: One copy in the units of the sums.
 UNIT = 1 << 32
 #: Rows of a bucket that one task sums along.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 
 
 def _uniform(*parts: Column | str) -> Column:
@@ -62,7 +63,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``copies`` (times it is taken) of every row of ``docs(doc_id, text, source)``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    sized = written(docs.select("doc_id", key.alias("key"), size.alias("size")), "sizes")
+    sized = written(docs.select(number().alias("doc_id"), key.alias("key"), size.alias("size")), "sizes")
     digits = F.col("size").cast("string")
     band = F.length(digits) * 100 + F.substring(F.rpad(digits, 2, "0"), 1, 2).cast("int")
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
@@ -81,11 +82,12 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     inside = Window.partitionBy(*bucket).orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(starts, bucket).withColumn("to", (F.col("start") + F.sum("expected").over(inside)).cast("decimal(38,0)"))
     crossed = F.expr(f"cast((`to` div {UNIT}) - ((`to` - expected) div {UNIT}) as int)")
-    return rows.select("doc_id", "size", "source_size", "target", crossed.alias("copies"))
+    return rows.select(given(), "size", "source_size", "target", crossed.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    taken = copies(docs, weights, share, cap, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.join(taken, docs["doc_id"] == taken["_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_sum") / F.col("_rows"))))).select(*[docs[c] for c in docs.columns])
+    taken = copies(docs, weights, share, cap, seed).where("copies > 0").groupBy(number().alias("number")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    rows = docs.select(F.struct("*").alias("row"), number().alias("number")).join(taken, "number")
+    each = F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")))
+    return rows.select("row", F.explode(each).alias("copy")).select("row.*")

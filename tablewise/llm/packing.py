@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.shared import written
+from tablewise.llm.shared import given, number, written
 from tablewise.llm.tokens import encoded
 
 #: Pieces of one length that one task ranks.
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                 columns = [pa.array(numbers[first + doc]), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()), pa.array(sums, pa.int64())]
                 yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(of, _PIECES)
+    return docs.select(number().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(of, _PIECES)
 
 
 def fillings(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -135,4 +135,4 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))
     ranked = split.withColumn("inside", inside).join(before, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside") - 1).alias("rank"))
-    return ranked.mapInArrow(of, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(of, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumn("doc_id", given())

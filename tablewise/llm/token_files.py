@@ -10,7 +10,7 @@ leaves no half-written file. A row has some ``IMAGE_IDS`` ids (a longer document
 in ascending ``doc_id`` order.
 
 Results in odd cases: null counts as empty text, which has the end id only; rows that repeat a ``doc_id`` are
-written one after the other, ordered by text; an empty table gives an empty file. Other columns are not read.
+written one after the other, ordered by text; a null ``doc_id`` counts as the smallest; an empty table gives an empty file. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.shared import tasks
+from tablewise.llm.shared import given, number, tasks
 from tablewise.llm.tokens import encoded
 
 BLOCK = 1024
@@ -176,7 +176,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
         if waiting:
             yield image()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = docs.select(number().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(tasks(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(of, _IMAGES).write.option("compression", "none").parquet(path)
 
@@ -201,4 +201,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     # one row per file, then one per image of each file
     files = sizes.groupBy("file").agg(F.sum("n_ids").alias("n_ids")).select("file", before(Window.orderBy("file")).alias("of_file"))
     places = sizes.select("file", "place", before(Window.partitionBy("file").orderBy("place")).alias("of_place")).join(files, "file")
-    return found.join(places, ["file", "place"]).select("doc_id", (F.col("of_file") + F.col("of_place") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(places, ["file", "place"]).select(given(), (F.col("of_file") + F.col("of_place") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
