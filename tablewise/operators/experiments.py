@@ -82,10 +82,9 @@ def latest_submission(df: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def standing(df: DataFrame, group: str, score: str = "score", key: str = "id") -> DataFrame:
-    """Rank, percentile and gap to the top within a group.
+    """Rank, percentile and gap to the top within a group; equal scores rank by ``key``.
 
-    Equal scores are counted once, so the running count is over distinct scores and a
-    group of any size is spread over range buckets.
+    Rows are ranked in range buckets, so a group of any size is spread over tasks.
     """
     data = positions(df.withColumn("_neg", -number(score)), [group], "_neg", "_pos", key)
     whole = df.groupBy(group).agg(F.count("*").alias("n"), F.max(score).alias("top"))

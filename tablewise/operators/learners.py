@@ -7,6 +7,8 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException, SparkRuntimeException
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
@@ -135,7 +137,9 @@ def out_of_fold(data: DataFrame, est: Estimator, folds: int = 3, seed: int = 42)
 
 
 def train_all(data: DataFrame, problem: str, names: Sequence[str], classes: int = 2) -> tuple[DataFrame, dict[str, Model]]:
-    """Leaderboard (model, train and test score) and the fitted models."""
+    """Leaderboard (model, train and test score, error) and the fitted models; a table not fit for training is an error."""
+    if bad := check(data, problem):
+        raise ValueError("; ".join(bad))
     train, test = (p.persist() for p in split(data))
     rows, models = [], {}
     for name in names:
@@ -143,7 +147,7 @@ def train_all(data: DataFrame, problem: str, names: Sequence[str], classes: int
             m = make(name, problem, classes).fit(train)
             models[name] = m
             rows.append((name, half_up(score(m.transform(train), problem)), half_up(score(m.transform(test), problem)), None))
-        except Exception as e:  # noqa: BLE001 - a failing learner is a row of the result
+        except (IllegalArgumentException, Py4JJavaError, SparkRuntimeException) as e:  # a failing learner is a row of the result
             rows.append((name, None, None, str(e).splitlines()[0][:200]))
     train.unpersist(), test.unpersist()
     board = report(data, rows, "model string, train_score double, test_score double, error string")
@@ -156,7 +160,7 @@ def ranked(board: DataFrame) -> DataFrame:
 
 
 def importance(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
-    """Importance scaled to the top feature, 20 at most."""
+    """Importance of every feature, scaled to the top one."""
     if hasattr(model, "featureImportances"):
         v = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
@@ -166,7 +170,7 @@ def importance(model: Model, features: Sequence[str]) -> list[tuple[str, float]]
     else:
         return []
     top = max(float(np.max(v)), 1e-12)
-    return sorted(((f, half_up(float(x) / top)) for f, x in zip(features, v)), key=lambda p: (-p[1], p[0]))[:20]
+    return sorted(((f, half_up(float(x) / top)) for f, x in zip(features, v)), key=lambda p: (-p[1], p[0]))
 
 
 def nearest_predict(train: DataFrame, test: DataFrame, problem: str, k: int = 5) -> DataFrame:
@@ -191,10 +195,9 @@ def qualify(data: DataFrame, problem: str, names: Sequence[str], keep: int = 5,
     return report(data, [(*r, i < keep) for i, r in enumerate(rows)], "model string, score double, kept boolean")
 
 
-def cross_validate(data: DataFrame, problem: str, names: Sequence[str], classes: int = 2) -> DataFrame:
-    """Cross-validation with fold count by table size and early abandon of weak learners."""
-    n, best, rows = data.count(), None, []
-    folds = 10 if n < 1000 else 5 if n < 10_000 else 3
+def cross_validate(data: DataFrame, problem: str, names: Sequence[str], classes: int = 2, folds: int = 3) -> DataFrame:
+    """Cross-validation with early abandon of weak learners."""
+    best, rows = None, []
     for m in names:
         s = fold_scores(data, make(m, problem, classes), problem, folds, best=best)
         best = max(best or -1e9, float(np.mean(s)))
@@ -300,10 +303,9 @@ def grid(name: str) -> list[dict]:
     return [dict(zip(g, v)) for v in itertools.product(*g.values())]
 
 
-def draws(name: str, n: int, rows: int, seed: int = 42) -> list[dict]:
-    """Random parameter maps; ranges widen with the size of the table."""
+def draws(name: str, n: int, seed: int = 42, deep: int = 10) -> list[dict]:
+    """Random parameter maps; trees of up to ``deep`` levels."""
     rng = random.Random(seed)
-    deep = 6 if rows < 1000 else 10
     make_one = {
         "logistic": lambda: {"regParam": 10 ** rng.uniform(-4, 0), "elasticNetParam": rng.uniform(0, 1)},
         "tree": lambda: {"maxDepth": rng.randint(2, deep), "minInstancesPerNode": rng.randint(1, 10)},
@@ -323,14 +325,14 @@ def search(data: DataFrame, problem: str, name: str, trials: Sequence[Mapping],
     return report(data, rows, "model string, params string, score double")
 
 
-def tune(data: DataFrame, problem: str, names: Sequence[str], budget: int = 4) -> DataFrame:
-    """Grid search on small tables, random search on larger ones, and the gain over the defaults."""
-    n, rows = data.count(), []
+def tune(data: DataFrame, problem: str, names: Sequence[str], budget: int | None = None) -> DataFrame:
+    """Search over the whole grid, or over ``budget`` random draws if given, and the gain over the defaults."""
+    rows = []
     for m in names:
-        trials = grid(m)[:budget] if n < 5000 else draws(m, budget, n)
+        trials = grid(m) if budget is None else draws(m, budget)
         base = float(np.mean(fold_scores(data, make(m, problem), problem)))
         best = search(data, problem, m, trials).orderBy(F.desc("score"), "params").first()
-        rows.append((m, "grid" if n < 5000 else "random", half_up(base), best["score"], half_up(best["score"] - base), best["params"]))
+        rows.append((m, "grid" if budget is None else "random", half_up(base), best["score"], half_up(best["score"] - base), best["params"]))
     return report(data, rows, "model string, method string, before double, after double, gain double, params string")
 
 
@@ -355,7 +357,7 @@ def improve(data: DataFrame, problem: str, name: str, misses: int = 3) -> DataFr
     """Try feature steps one after the other, keep those that raise the fold score, stop after 3 misses."""
     width = measure(data, w=F.max(F.size("vec")))["w"]
     v = lambda i: F.col("vec")[i]
-    pairs = [(i, j) for i in range(min(5, width)) for j in range(i + 1, min(5, width))]
+    pairs = [(i, j) for i in range(width) for j in range(i + 1, width)]
 
     def outliers(d):
         long = d.select("id", *[v(i).alias(f"c{i}") for i in range(width)])
@@ -416,7 +418,7 @@ def retrain(data: DataFrame, problem: str, name: str, actions: Sequence[str]) ->
         tr, params["weightCol"] = class_weights(tr), "weight"
     if "products" in actions:
         width = measure(train, w=F.max(F.size("vec")))["w"]
-        cells = F.concat("vec", F.array(*[F.col("vec")[i] * F.col("vec")[j] for i in range(min(8, width)) for j in range(i + 1, min(8, width))]))
+        cells = F.concat("vec", F.array(*[F.col("vec")[i] * F.col("vec")[j] for i in range(width) for j in range(i + 1, width)]))
         tr, te = with_vector(tr, cells), with_vector(te, cells)
     if "regularise" in actions:
         params |= {"maxDepth": 4} if name in ("tree", "forest", "boosted") else {"regParam": 0.1}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest number of rows whose distinct values one task may hold for an exact answer.
+# Largest number of rows of one column whose distinct values a task may hold for an exact answer.
 ROWS_PER_TASK = 1_000_000
 # Relative accuracy of the quantile sketches that narrow larger columns.
 SKETCH_ACCURACY = 10_000
@@ -371,7 +371,9 @@ def bucketed(df: DataFrame, order: str, into: str, rows: int | None = None) -> t
     if parts <= 1:
         return df.withColumn(into, F.lit(0)), 1
     probs = [i / parts for i in range(1, parts)]
-    edges = sorted(set(df.agg(F.percentile_approx(col(order).cast("double"), probs, max(SKETCH_ACCURACY, 4 * parts))).first()[0]))
+    found = df.agg(F.percentile_approx(col(order).cast("double"), probs, max(SKETCH_ACCURACY, 4 * parts))).first()[0]
+    frequent = {a for a, b in zip(found, found[1:]) if a == b}  # values that fill a bucket get one of their own
+    edges = sorted({*found, *(float(np.nextafter(v, np.inf)) for v in frequent)})
     splits = [-float("inf"), *edges, float("inf")]
     x = df.withColumn("_x", col(order).cast("double"))
     out = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(x)
@@ -406,9 +408,34 @@ def running_sums(
     )
 
 
+#: Parts into which a bucket of a single order value is cut.
+CROWD_PARTS = 100
+
+
+def uncrowded(data: DataFrame, order: str, tie: str | None) -> DataFrame:
+    """Cut buckets that are too large though they hold one order value only: by ranges of a numeric tie column, or by hash without one."""
+    numeric = tie is None or isinstance(data.schema[tie].dataType, T.NumericType)
+    if not numeric:
+        return data
+    x = col(tie).cast("double") if tie else F.pmod(F.xxhash64(*data.columns), F.lit(1 << 30)).cast("double")
+    probs = [i / CROWD_PARTS for i in range(1, CROWD_PARTS)]
+    stats = data.withColumn("_x", x).groupBy("_bucket").agg(
+        F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"), F.percentile_approx("_x", probs, SKETCH_ACCURACY).alias("edges"))
+    crowded = stats.where((F.col("n") > ROWS_PER_TASK) & F.col("lo").eqNullSafe(F.col("hi"))).select("_bucket", "edges").collect()  # one row per bucket at most
+    if not crowded:
+        return data
+    edges = F.create_map(*[v for r in crowded for v in (F.lit(r["_bucket"]), F.array(*[F.lit(e) for e in sorted(set(r["edges"]))]))])
+    part = F.size(F.filter(F.try_element_at(edges, F.col("_bucket")), lambda e: e < x))
+    return data.withColumn("_bucket", F.col("_bucket") * CROWD_PARTS + F.greatest(part, F.lit(0)))
+
+
 def positions(df: DataFrame, by: Sequence[str], order: str, into: str = "pos", tie: str | None = None) -> DataFrame:
-    """0-based position of each row within its group by a numeric order, hot groups split by range."""
+    """0-based position of each row within its group by a numeric order.
+
+    Hot groups are split by ranges of the order, and a hot order value by ranges of a numeric tie column.
+    """
     data, parts = bucketed(df, order, "_bucket")
+    data = uncrowded(data, order, tie) if parts > 1 else data
     keys = [F.asc(order)] + ([F.asc(tie)] if tie else [])
     inner = Window.partitionBy(*by, "_bucket").orderBy(*keys)
     data = data.withColumn("_rn", F.row_number().over(inner) - 1)

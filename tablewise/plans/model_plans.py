@@ -92,7 +92,7 @@ def ml1(t):
 
 
 def one(t, name):
-    return L.train_all(table(t), CLF, [name])[0].drop("error")
+    return L.train_all(table(t), CLF, [name])[0]
 
 
 @query("ML2")
@@ -107,7 +107,7 @@ def ml2_weighted(t):
 
 @query("ML3")
 def ml3(t):
-    return L.train_all(reg_table(t), REG, ["linear", "ridge", "lasso", "elastic"])[0].drop("error")
+    return L.train_all(reg_table(t), REG, ["linear", "ridge", "lasso", "elastic"])[0]
 
 
 @query("ML4")
@@ -154,7 +154,7 @@ def ml11(t):
 
 @query("ML14")
 def ml14(t):
-    return L.ranked(L.train_all(table(t), CLF, ["logistic", "tree", "bayes"])[0]).drop("error")
+    return L.ranked(L.train_all(table(t), CLF, ["logistic", "tree", "bayes"])[0])
 
 
 @query("ML14_importance")
@@ -190,7 +190,7 @@ def ml20(t):
 
 @query("ML21")
 def ml21(t):
-    return L.search(table(t), CLF, "logistic", L.draws("logistic", 4, 15000), 2)
+    return L.search(table(t), CLF, "logistic", L.draws("logistic", 4), 2)
 
 
 @query("ML23")

@@ -58,3 +58,17 @@ def test_neighbours_do_not_depend_on_row_order(spark, monkeypatch, small):
         near = sorted((d[j], j) for j in range(400) if j != i)[:4]
         want |= {(i, k + 1, j) for k, (_, j) in enumerate(near)}
     assert found[0] == found[1] == want
+
+
+@pytest.mark.parametrize("tie", ["id", None])
+def test_one_order_value_is_split(spark, monkeypatch, tie):
+    from tablewise.operators import measures
+
+    monkeypatch.setattr(measures, "ROWS_PER_TASK", 100)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("double").alias("v"))
+    data, parts = measures.bucketed(df, "v", "_bucket")
+    split = measures.uncrowded(data, "v", tie).groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert parts > 1 and split < 400 < data.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    got = [(r.v, r.id) for r in measures.positions(df, [], "v", "pos", tie).orderBy("pos").collect()]
+    assert [v for v, _ in got] == sorted(v for v, _ in got) and len(set(got)) == 3000
+    assert tie is None or got == sorted(got)
