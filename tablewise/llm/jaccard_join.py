@@ -18,7 +18,7 @@ component meets. What leaves a task is a forest of links, never the pairs.
 Copies (equal sets) are one vertex from the start, named by a hash of the set; hashes of 64 bits stand for n-grams and sets throughout.
 
 Results in odd cases: texts that are null or without words have size 0 and stand alone; texts with fewer words than an n-gram
-have one n-gram, their whole sequence; rows that repeat a ``doc_id`` are copies; an empty table gives no rows; other columns are not read.
+have one n-gram, their whole sequence; rows that repeat a ``doc_id`` are copies; a null ``doc_id`` counts as the smallest; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.arrays import Texts, mix, span_hashes, texts, window_hashes, word_hashes
 from tablewise.llm.components import components
-from tablewise.llm.shared import tasks, written
+from tablewise.llm.shared import given, number, tasks, written
 
 #: Sets and n-grams that meet in a block.
 BLOCK_SETS = 1000
@@ -276,23 +276,29 @@ def _compared(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return rows.repartition(tasks(rows), "unit").sortWithinPartitions("unit", "vertex").mapInArrow(of, _LINKS)
 
 
+def _texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Texts of the documents in ``placed``, which grows with the corpus: a merge join at every size, never a broadcast."""
+    return docs.join(placed.hint("merge"), "doc_id")
+
+
 def similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs(doc_id, text)``.
 
     Texts link when the Jaccard similarity of their sets of ``size``-word n-grams is ``num / den`` or more; ``component_id``
     is the smallest ``doc_id`` that links lead to.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(number().alias("doc_id"), "text")
     members = written(sized(docs, size), "sets")
     classes = members.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    groups = written(components(candidates(docs, size, num, den)).select(F.col("node").alias("vertex"), F.col("root").alias("group")).join(classes, "vertex"), "groups")
+    edges = written(candidates(docs, size, num, den), "candidates")
+    groups = written(components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("group")).join(classes, "vertex"), "groups")
     totals = groups.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")).where("sets > 1")
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("vertex", F.lit(1)), F.ceil(F.col("sets") / PIVOTS)) == 0)
     placed = groups.join(totals, "group").withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
     placed = placed.select("doc_id", "vertex", F.xxhash64("group", "block").alias("unit"))
-    found = written(_compared(docs.join(placed, "doc_id").select("unit", "vertex", "text"), size, num, den), "links")
+    found = written(_compared(_texts(docs, placed).select("unit", "vertex", "text"), size, num, den), "links")
     large = groups.join(totals.where("blocks > 1"), "group")
     if not large.isEmpty():
         found = found.unionByName(written(_across(docs, large, found, size, num, den), "links"))
@@ -301,7 +307,8 @@ def similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataF
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("vertex", "component_id")
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return members.where("n_shingles > 0").join(named, "vertex").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    found = members.where("n_shingles > 0").join(named, "vertex").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return found.select(given(), "n_shingles", given("component_id"))
 
 
 def _across(docs: DataFrame, large: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -324,10 +331,10 @@ def _across(docs: DataFrame, large: DataFrame, found: DataFrame, size: int, num:
     pairs = blocks.join(other, "group").where("block < block_b OR (block = block_b AND one IS NULL)").where("one IS NULL OR one_b IS NULL OR one <> one_b")
     pairs = pairs.select("group", F.xxhash64("block", "block_b").alias("unit"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
     placed = rows.join(pairs, ["group", "block"]).select("doc_id", "vertex", "unit")
-    return _compared(docs.join(placed, "doc_id").select("unit", "vertex", "text"), size, num, den)
+    return _compared(_texts(docs, placed).select("unit", "vertex", "text"), size, num, den)
 
 
 def without_similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is the smallest of its component, with all their columns."""
-    stay = similar(docs, size, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi")
+    stay = similar(docs, size, num, den).where("doc_id <=> component_id").select(number().alias("_stay")).distinct()
+    return docs.join(stay, number() == stay["_stay"], "left_semi")

@@ -79,7 +79,9 @@ def test_url_filter(spark):
     assert url_filter.judged(pages.where("false"), URL_RULES).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr("tablewise.llm.components.ONE_TASK", most)
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (8, 10), (20, 20), (5, 4), (7, 30), (30, 31), (31, 32), (32, 33), (3, 2)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {**dict.fromkeys([1, 2, 3, 4, 5], 1), **dict.fromkeys([8, 9, 10], 8), 20: 20, **dict.fromkeys([7, 30, 31, 32, 33], 7), **dict.fromkeys(range(100, 141), 100)}
