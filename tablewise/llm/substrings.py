@@ -21,7 +21,6 @@ rows that repeat a ``doc_id`` and its text are one document and get the same res
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,10 @@ from tablewise.llm.arrays import WHITE, Texts, texts, window_hashes, word_hashes
 from tablewise.llm.shared import given, number, tasks
 
 #: Text whose suffixes are reduced together.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 #: Suffixes that a task holds.
-GROUP = 2_000_000
+GROUP = 1_000_000
 BUCKETS = 4096
-_MARKS = "doc_id long, runs binary, places binary"
 
 
 def levels(length: int) -> list[int]:
@@ -105,39 +103,36 @@ def dealt(counts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shrunk(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, the highest bytes first, which the shuffle's compression makes short."""
-    return np.ascontiguousarray(x[:, None].view(np.uint8).reshape(len(x), -1)[:, ::-1].T).tobytes()
+    """Numbers byte by byte, the highest bytes first, compressed."""
+    planes = np.ascontiguousarray(x[:, None].view(np.uint8).reshape(len(x), -1)[:, ::-1].T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _grown(blob: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1)[::-1].T).view(kind).ravel()
+    width, n = np.dtype(kind).itemsize, int.from_bytes(blob[:8], "little")
+    planes = pa.decompress(blob[8:], n * width, "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1)[::-1].T).view(kind).ravel()
 
 
-def _marked(doc_id: np.ndarray, place: np.ndarray, runs: bool) -> Iterator[pa.RecordBatch]:
-    """Marked windows as rows per document: as runs (first, count), or one by one."""
-    if not len(doc_id):
-        return
+def _packed(key: int, *columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array([key], pa.int32()), *(pa.array([_shrunk(x)], pa.binary()) for x in columns)]
+
+
+def _runs(doc_id: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marked windows as runs of consecutive ones: document, first window, number of windows."""
     order = np.lexsort((place, doc_id))
-    doc_id, place = doc_id[order], place[order].astype("<u4")
+    doc_id, place = doc_id[order], place[order].astype(np.uint32)
+    if not len(doc_id):
+        return doc_id, place, place
     new = np.ones(len(doc_id), bool)
-    new[1:] = doc_id[1:] != doc_id[:-1]
-    if runs:
-        breaks = new.copy()
-        breaks[1:] |= (place[1:] != place[:-1]) & (place[1:] != place[:-1] + 1)
-        at = np.flatnonzero(breaks)
-        last = place[np.append(at[1:], len(place)) - 1]
-        values = np.stack([place[at], last - place[at] + 1], axis=1).astype("<u4")
-        begin = np.flatnonzero(new[at])
-    else:
-        at, values, begin = np.arange(len(place)), place, np.flatnonzero(new)
-    blobs = pa.array([values[lo:hi].tobytes() for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(values)], strict=True)], pa.binary())
-    none = pa.nulls(len(begin), pa.binary())
-    yield pa.record_batch([pa.array(doc_id[at[begin]]), blobs if runs else none, none if runs else blobs], ["doc_id", "runs", "places"])
+    new[1:] = (doc_id[1:] != doc_id[:-1]) | (place[1:] > place[:-1] + 1)
+    at = np.flatnonzero(new)
+    last = place[np.append(at[1:], len(place)) - 1]
+    return doc_id[at], place[at], last - place[at] + 1
 
 
 def marks(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id`` and the windows of it that start earlier too, in one or several rows, of ``docs(doc_id, text)``."""
+    """``doc_id`` and the windows of it that start earlier too, as runs (first, number), of ``docs(doc_id, text)``; a row per marked document."""
     spark, parts = docs.sparkSession, tasks(docs)
     sizes = levels(length)
     buckets = max(BUCKETS, 64 * parts)
@@ -165,9 +160,9 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
                 new[1:] = window[1:] != window[:-1]
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
                 later = ~new & ((ids[doc] != ids[doc[lead]]) | (place != place[lead]))
-                for x in _marked(ids[doc[later]], place[later], True):
-                    none = pa.nulls(len(x), pa.binary())
-                    yield pa.record_batch([pa.array((x.column(0).to_numpy() % parts).astype(np.int32)), none, none, none, none, x.column(0), x.column(1)], ["task", "docs", "windows", "of", "places", "doc_id", "runs"])
+                if later.any():
+                    runs = _runs(ids[doc[later]], place[later])
+                    yield pa.record_batch([*_packed(int(runs[0][0] % parts), *runs), pa.nulls(1, pa.binary())], ["task", "docs", "of", "places", "windows"])
                 first, doc, place, window = first[new], doc[new], place[new], window[new]
                 to = np.full(len(first), -1, np.int32)
                 left = np.arange(len(first))
@@ -181,23 +176,21 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
                 for k in np.flatnonzero(np.diff(begin)).tolist():
                     own = order[begin[k] : begin[k + 1]]
                     used, of = np.unique(doc[own], return_inverse=True)
-                    blobs = [ids[used].astype("<i8").tobytes(), _shrunk(np.diff(window[own], prepend=np.uint64(0))), _shrunk(of.astype(np.uint32)), _shrunk(place[own].astype(np.uint32))]
-                    yield pa.record_batch(
-                        [pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())],
-                        ["task", "docs", "windows", "of", "places", "doc_id", "runs"],
-                    )
+                    blobs = _packed(k, ids[used], of.astype(np.uint32), place[own].astype(np.uint32), np.diff(window[own], prepend=np.uint64(0)))
+                    yield pa.record_batch(blobs, ["task", "docs", "of", "places", "windows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        marked = [_runs(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
         for b in batches:
-            own = b.filter(b.column(5).is_valid())
-            if len(own):
-                yield pa.record_batch([own.column(5), own.column(6), pa.nulls(len(own), pa.binary())], ["doc_id", "runs", "places"])
-            own = b.filter(b.column(1).is_valid())
-            for k, ids, windows, of, places in zip(*(own.column(i).to_pylist() for i in range(5)), strict=True):
-                held.setdefault(k, []).append((np.cumsum(_grown(windows, np.uint64)), np.frombuffer(ids, "<i8")[_grown(of, np.uint32)], _grown(places, np.uint32)))
-        for k in list(held):
-            window, doc_id, place = (np.concatenate(x) for x in zip(*held.pop(k), strict=True))
+            for docs, of, places, windows in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if windows is None:  # marked where they were read: document, first window, number
+                    marked.append((_grown(docs, np.int64), _grown(of, np.uint32), _grown(places, np.uint32)))
+                else:
+                    held.append((np.cumsum(_grown(windows, np.uint64)), _grown(docs, np.int64)[_grown(of, np.uint32)], _grown(places, np.uint32)))
+        if held:
+            window, doc_id, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(window, kind="stable")
             same = window[order[1:]] == window[order[:-1]]
             deep = np.zeros(len(window), bool)  # suffixes below a node that has others too
@@ -210,10 +203,29 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
             new[1:] = window[1:] != window[:-1]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (doc_id != doc_id[lead]) | (place != place[lead])
-            yield from _marked(doc_id[later], place[later], False)
-
-    kinds = "task int, docs binary, windows binary, of binary, places binary, doc_id long, runs binary"
-    return docs.mapInArrow(send, kinds).repartition(parts, "task").mapInArrow(meet, _MARKS)
+            marked.append(_runs(doc_id[later], place[later]))
+        doc_id, first, number_ = (np.concatenate(x) for x in zip(*marked, strict=True))
+        to = doc_id % parts
+        order = np.argsort(to, kind="stable")
+        begin = np.searchsorted(to[order], np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(begin)).tolist():
+            own = order[begin[k] : begin[k + 1]]
+            yield pa.record_batch(_packed(k, doc_id[own], first[own], number_[own]), ["task", "docs", "first", "number"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [tuple(_grown(x, kind) for x, kind in zip(row, (np.int64, np.uint32, np.uint32), strict=True)) for b in batches for row in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        if not found:
+            return
+        doc_id, first, number_ = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((first, doc_id))
+        doc_id, runs = doc_id[order], np.stack([first, number_], axis=1)[order].astype("<u4")
+        begin = np.flatnonzero(np.append(True, doc_id[1:] != doc_id[:-1]))
+        blobs = [runs[lo:hi].tobytes() for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(runs)], strict=True)]
+        yield pa.record_batch([pa.array(doc_id[begin]), pa.array(blobs, pa.binary())], ["doc_id", "runs"])
+
+    sent_rows = docs.mapInArrow(send, "task int, docs binary, of binary, places binary, windows binary").repartitionById(parts, F.col("task"))
+    by_doc = sent_rows.mapInArrow(meet, "task int, docs binary, first binary, number binary").repartitionById(parts, F.col("task"))
+    return by_doc.mapInArrow(gather, "doc_id long, runs binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -222,8 +234,7 @@ def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     A word is in a span if a window of ``length`` words that covers it also starts earlier: in a document of smaller ``doc_id``, or before in its own.
     """
     docs = docs.select(number().alias("doc_id"), "text")
-    found = marks(docs, length).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("runs").alias("runs"), F.collect_list("places").alias("places"))
-    joined = docs.join(found.hint("merge"), docs["doc_id"] == found["_id"], "left").select("doc_id", "text", "runs", "places")
+    joined = docs.join(marks(docs, length).hint("merge"), "doc_id", "left").select("doc_id", "text", "runs")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,16 +242,11 @@ def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
                 rows = slice(t.first, t.first + len(t))
                 words = np.diff(t.words)
                 change = np.zeros(len(t.starts) + 1, np.int64)
-                for i, runs, places in zip(count(), b.column(2)[rows].to_pylist(), b.column(3)[rows].to_pylist()):
-                    low = int(t.words[i])
-                    for blob in runs or ():
+                for low, blob in zip(t.words.tolist(), b.column(2)[rows].to_pylist(), strict=False):
+                    if blob is not None:
                         run = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
                         np.add.at(change, low + run[:, 0], 1)
                         np.add.at(change, low + run[:, 0] + run[:, 1] - 1 + length, -1)
-                    for blob in places or ():
-                        place = np.frombuffer(blob, "<u4").astype(np.int64)
-                        np.add.at(change, low + place, 1)
-                        np.add.at(change, low + place + length, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 yield pa.record_batch([b.column(0)[rows], pa.array(words), _spans(gone, t), _kept(gone, t)], ["doc_id", "n_words", "spans", "kept"])
 
