@@ -94,7 +94,7 @@ def cuts(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         high = max(low + 1, -(-low * max(3 * num, 2 * den) // (2 * num)))
         differ = 2 * (high - 1) * (den - num) // (den + num)
         n = np.unique(np.linspace(differ + 1, 3 * differ + 6, 200).astype(np.int64))
-        empty = n * np.exp(-low / n)
+        empty = n * np.exp(-(-(-low * num // den)) / n)  # of the smallest set that uses the cut, one of the class before
         ease = np.minimum((n - differ - 1 - empty) / np.sqrt(empty + 1e-12), 2)
         n = int(n[ease.argmax()]) if differ else 0
         fragments.append(n)

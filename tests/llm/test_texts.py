@@ -101,6 +101,20 @@ def test_every_similar_pair_shares_a_key():
                 assert set(key[of == 0]) & set(key[of == 1]), (num, den, n, cut)
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5), (3, 4)])
+def test_sets_of_every_size_end_with_few_empty_parts(num, den):
+    """The smallest set that uses a cut, one of the class before, has no more empty parts than allowed in most orders."""
+    first, fragments, spare = jaccard_join.cuts(num, den)
+    on = fragments > 0
+    first, fragments, spare = first[on], fragments[on], spare[on]
+    least = -(-first * num // den)
+    assert (fragments - np.minimum(fragments, least) <= spare).all()
+    assert (fragments * np.exp(-least / fragments) <= spare).all()
+    size = least[np.searchsorted(first, 20_000)]
+    key, _ = jaccard_join.keys(np.sort(np.random.default_rng(1).integers(0, 2**64, size, dtype=np.uint64)), np.array([0, size]), num, den)
+    assert len(key) < 10 * size
+
+
 def test_exact_dedup_odd_rows(odd, empty):
     got = exact_dedup.exact_groups(odd).collect()
     assert len(got) == len(ODD)
