@@ -91,7 +91,7 @@ class Model:
         for w, n in others:
             k = self.memory.get(w)
             if k is None:
-                if len(self.memory) > 300_000:  # what is remembered of unknown words stays bounded
+                if len(self.memory) > 100_000:  # what is remembered of unknown words stays bounded
                     self.memory.clear()
                     self.extra.clear()
                 k = self.memory[w] = len(self.extra)
