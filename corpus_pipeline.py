@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewise.llm.exact_dedup import without_copies
+from tablewise.llm.exact_dedup import one_of_each
 from tablewise.llm.jaccard_join import without_similar
 from tablewise.llm.languages import with_language
 from tablewise.llm.mixing import mixed
@@ -20,11 +20,11 @@ def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return without_copies(docs)
+    return one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 or more over 5-word n-grams connect stays: the one with the smallest ``doc_id``."""
+    """One document of each group that links of similarity 0.8 or more over 5-word n-grams connect stays: one with the smallest ``doc_id``."""
     return without_similar(docs)
 
 

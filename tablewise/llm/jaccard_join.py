@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.arrays import Texts, mix, span_hashes, texts, window_hashes, word_hashes
 from tablewise.llm.components import components
-from tablewise.llm.shared import given, number, tasks, written
+from tablewise.llm.shared import given, number, one_row_each, tasks, text_key, written
 
 #: Sets and n-grams that meet in a block.
 BLOCK_SETS = 1000
@@ -144,15 +144,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sized(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``vertex``, the name of its set, of every row."""
+    """``doc_id``, ``own``, ``n_shingles`` and ``vertex``, the name of its set, of every row of ``docs(doc_id, text, own)``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in texts(b.column(1)):
                 values, offsets = gram_sets(t, size)
-                yield pa.record_batch([b.column(0).slice(t.first, len(t)), pa.array(np.diff(offsets)), _signed(vertices(values, offsets))], ["doc_id", "n_shingles", "vertex"])
+                numbers, own = (b.column(i).slice(t.first, len(t)) for i in (0, 2))
+                yield pa.record_batch([numbers, own, pa.array(np.diff(offsets)), _signed(vertices(values, offsets))], ["doc_id", "own", "n_shingles", "vertex"])
 
-    return docs.mapInArrow(of, "doc_id long, n_shingles long, vertex long")
+    return docs.mapInArrow(of, "doc_id long, own long, n_shingles long, vertex long")
 
 
 def candidates(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -281,15 +282,11 @@ def _texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
     return docs.join(placed.hint("merge"), "doc_id")
 
 
-def similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs(doc_id, text)``.
-
-    Texts link when the Jaccard similarity of their sets of ``size``-word n-grams is ``num / den`` or more; ``component_id``
-    is the smallest ``doc_id`` that links lead to.
-    """
-    docs = docs.select(number().alias("doc_id"), "text")
+def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``doc_id``, ``own``, ``n_shingles``, ``component_id`` and ``keep_own`` of every row: the last two name the row of its component that stays."""
+    docs = docs.select(number().alias("doc_id"), "text", text_key().alias("own"))
     members = written(sized(docs, size), "sets")
-    classes = members.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    classes = members.where("n_shingles > 0").groupBy("vertex").agg(F.min(F.struct("doc_id", "own")).alias("least"), F.first("n_shingles").alias("n")).select("vertex", "least.*", "n")
     edges = written(candidates(docs, size, num, den), "candidates")
     groups = written(components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("group")).join(classes, "vertex"), "groups")
     totals = groups.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
@@ -303,12 +300,20 @@ def similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataF
     if not large.isEmpty():
         found = found.unionByName(written(_across(docs, large, found, size, num, den), "links"))
     roots = components(found)
-    named = classes.select("vertex", "doc_id").join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("vertex", "component_id")
-    alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = members.where("n_shingles > 0").join(named, "vertex").select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return found.select(given(), "n_shingles", given("component_id"))
+    named = classes.select("vertex", "doc_id", "own").join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("least"))
+    named = named.join(least, "root").select("vertex", F.col("least.doc_id").alias("component_id"), F.col("least.own").alias("keep_own"))
+    alone = members.where("n_shingles = 0").select("doc_id", "own", "n_shingles", F.col("doc_id").alias("component_id"), F.col("own").alias("keep_own"))
+    return members.where("n_shingles > 0").join(named, "vertex").select(alone.columns).unionByName(alone)
+
+
+def similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs(doc_id, text)``.
+
+    Texts link when the Jaccard similarity of their sets of ``size``-word n-grams is ``num / den`` or more; ``component_id``
+    is the smallest ``doc_id`` that links lead to.
+    """
+    return _connected(docs, size, num, den).select(given(), "n_shingles", given("component_id"))
 
 
 def _across(docs: DataFrame, large: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -335,6 +340,10 @@ def _across(docs: DataFrame, large: DataFrame, found: DataFrame, size: int, num:
 
 
 def without_similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component, with all their columns."""
-    stay = similar(docs, size, num, den).where("doc_id <=> component_id").select(number().alias("_stay")).distinct()
-    return docs.join(stay, number() == stay["_stay"], "left_semi")
+    """Exactly one row of each component, with all its columns: one with the smallest ``doc_id``, of several the one with the smallest text key, then columns.
+
+    Rows whose text has no words stand alone and all stay.
+    """
+    first = _connected(docs, size, num, den).where("doc_id = component_id AND own = keep_own")
+    stay = first.groupBy(F.col("doc_id").alias("_stay"), F.col("own").alias("_text")).agg(F.max(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("_words"), F.count(F.lit(1)).alias("_rows"))
+    return one_row_each(docs, written(stay.select("_stay", "_text", F.when(F.col("_words") > 0, F.col("_rows")).otherwise(1).alias("_rows")), "kept"))

@@ -112,3 +112,24 @@ def test_pipeline(spark, odd):
     assert set(kept["source_mixing"]) <= set(kept["jaccard_join"]) and len(kept["source_mixing"]) > len(kept["jaccard_join"])
     rows = corpus_pipeline.STAGES[-1][1](spark, frame, SMALL).collect()
     assert sorted(r.doc_id for r in rows if r.piece == 0) == sorted(kept["source_mixing"])
+
+
+def test_pipeline_odd_rows(spark, odd):
+    """One row of each group stays in both dedup stages, also of repeated rows and rows without a number."""
+    passage = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(None, passage), (None, passage), (None, f"{passage} more"), (None, "another text without a number"), (70, passage), (71, "seventy one rows of one text"), (71, "seventy one rows of one text"), (72, "one number"), (72, "and two texts")]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("a"))
+    docs = odd.unionByName(more.select("*", *[F.lit("x").alias(c) for c in odd.columns[4:]]))
+    kept = {}
+    frame = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, SMALL).cache()
+        assert frame.columns == docs.columns
+        kept[name] = [(r.doc_id, "".join((r.text or "").split())) for r in frame.collect()]
+    texts = {"".join((r.text or "").split()) for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert sorted(t for _, t in kept["exact_dedup"]) == sorted(texts)
+    gone = {passage.replace(" ", ""), passage.replace(" ", "") + "more"}
+    near = [t for _, t in kept["jaccard_join"]]
+    assert len(near) == len(set(near)) == len(texts) - 1 and texts - set(near) < gone
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, SMALL).where("piece = 0").count()
+    assert packed == len(kept["source_mixing"])
