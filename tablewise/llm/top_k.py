@@ -11,7 +11,7 @@ the inner product with every vector. The search has two passes over blocks of ve
 Queries are dealt to blocks of their own. Each block of vectors meets each block of queries, in a task chosen by a slot, so neither
 side is ever broadcast or gathered.
 
-Results in odd cases: vectors that are null or hold a null or a component that is not finite take no part; vectors of another
+Results in odd cases: rows whose ``vec_id`` is null neither ask nor are candidates; vectors that are null or hold a null or a component that is not finite take no part; vectors of another
 dimension than the query's are no candidates of it; equal scores go to the smaller id; a row with the query's own id is no candidate;
 of several rows with one query id the largest vector asks, and each row is a candidate; fewer candidates than k give all of them;
 scores must fit 64 bits, else Arrow raises an error; an empty table gives no rows; other columns are not read.
@@ -159,7 +159,7 @@ def _best(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score``: the ``k`` rows of ``vectors(vec_id, embedding)`` with the largest inner product for each row where ``asks`` holds."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding"), scale).alias("vector"), asks.alias("asks"))
-    rows = rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
     edges = ranges(rows.select("vec_id", "vector"))
     files = written(approximated(rows.select("vec_id", "vector"), edges), "approximations")
     queries = written(rows.where("asks").groupBy("vec_id").agg(F.max("vector").alias("vector")), "queries")

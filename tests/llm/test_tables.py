@@ -133,3 +133,11 @@ def test_pipeline_odd_rows(spark, odd):
     assert len(near) == len(set(near)) == len(texts) - 1 and texts - set(near) < gone
     packed = corpus_pipeline.STAGES[-1][1](spark, frame, SMALL).where("piece = 0").count()
     assert packed == len(kept["source_mixing"])
+
+
+def test_top_k_rows_without_number(spark):
+    big = 2**53
+    rows = [(None, [9.0, 9.0]), (100, [1.0, 1.0]), (big + 1, [2.0, 1.0]), (None, [5.0, 5.0]), (big + 3, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {tuple(r) for r in top_k.top_k(df, F.col("vec_id") == 100).collect()}
+    assert got == brute([r for r in rows if r[0]], 10) == {(100, 1, big + 1, 3 * 1024**2), (100, 2, big + 3, 3 * 1024**2)}
