@@ -18,7 +18,7 @@ component meets. What leaves a task is a forest of links, never the pairs.
 Copies (equal sets) are one vertex from the start, named by a hash of the set; hashes of 64 bits stand for n-grams and sets throughout.
 
 Results in odd cases: texts that are null or without words have size 0 and stand alone; texts with fewer words than an n-gram
-have one n-gram, their whole sequence; rows that repeat a ``doc_id`` are copies; a null ``doc_id`` counts as the smallest; an empty table gives no rows; other columns are not read.
+have one n-gram, their whole sequence; rows that repeat a ``doc_id`` and its text are copies, unlike texts of one ``doc_id`` (or without one) are sets of their own; a null ``doc_id`` counts as the smallest; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -278,8 +278,8 @@ def _compared(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """Texts of the documents in ``placed``, which grows with the corpus: a merge join at every size, never a broadcast."""
-    return docs.join(placed.hint("merge"), "doc_id")
+    """Texts of the rows in ``placed``, which grows with the corpus: a merge join at every size, never a broadcast."""
+    return docs.join(placed.hint("merge"), ["doc_id", "own"])
 
 
 def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -294,7 +294,7 @@ def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("vertex", F.lit(1)), F.ceil(F.col("sets") / PIVOTS)) == 0)
     placed = groups.join(totals, "group").withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    placed = placed.select("doc_id", "vertex", F.xxhash64("group", "block").alias("unit"))
+    placed = placed.select("doc_id", "own", "vertex", F.xxhash64("group", "block").alias("unit"))
     found = written(_compared(_texts(docs, placed).select("unit", "vertex", "text"), size, num, den), "links")
     large = groups.join(totals.where("blocks > 1"), "group")
     if not large.isEmpty():
@@ -330,12 +330,12 @@ def _across(docs: DataFrame, large: DataFrame, found: DataFrame, size: int, num:
     rows = rows.withColumn("one", F.when(alone, F.col("root"))).withColumn(
         "block", F.when(alone, F.xxhash64("root", F.pmod(F.xxhash64("vertex"), parts))).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("root"), F.col("blocks"))))
     )
-    rows = written(rows.select("group", "block", "one", "vertex", "doc_id"), "blocks")
+    rows = written(rows.select("group", "block", "one", "vertex", "doc_id", "own"), "blocks")
     blocks = rows.groupBy("group", "block").agg(F.first("one").alias("one"))
     other = blocks.select("group", F.col("block").alias("block_b"), F.col("one").alias("one_b"))
     pairs = blocks.join(other, "group").where("block < block_b OR (block = block_b AND one IS NULL)").where("one IS NULL OR one_b IS NULL OR one <> one_b")
     pairs = pairs.select("group", F.xxhash64("block", "block_b").alias("unit"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
-    placed = rows.join(pairs, ["group", "block"]).select("doc_id", "vertex", "unit")
+    placed = rows.join(pairs, ["group", "block"]).select("doc_id", "own", "vertex", "unit")
     return _compared(_texts(docs, placed).select("unit", "vertex", "text"), size, num, den)
 
 

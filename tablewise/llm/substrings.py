@@ -15,7 +15,8 @@ Hashes of 64 bits stand for words and windows; equal hashes are taken for equal
 buckets of each prefix length or more, in proportion to the tasks.
 
 Results in odd cases: null and empty texts, and texts shorter than a window, have no repeats; a null ``doc_id`` counts as the smallest;
-rows that repeat a ``doc_id`` and its text are one document and get the same result; an empty table gives no rows; other columns are not read.
+rows that repeat a ``doc_id`` and its text (both may be null) are one document and get the same result; unlike texts of one ``doc_id``, or
+without one, are documents of their own, in the order of a hash of the text (``own``), which is only sent where a number has unlike texts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.llm.arrays import WHITE, Texts, texts, window_hashes, word_hashes
-from tablewise.llm.shared import given, number, tasks
+from tablewise.llm.shared import given, number, tasks, text_key, written
 
 #: Text whose suffixes are reduced together.
 PIECE_BYTES = 4 << 20
@@ -118,21 +119,31 @@ def _packed(key: int, *columns: np.ndarray) -> list[pa.Array]:
     return [pa.array([key], pa.int32()), *(pa.array([_shrunk(x)], pa.binary()) for x in columns)]
 
 
-def _runs(doc_id: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marked windows as runs of consecutive ones: document, first window, number of windows."""
-    order = np.lexsort((place, doc_id))
-    doc_id, place = doc_id[order], place[order].astype(np.uint32)
+def _runs(doc_id: np.ndarray, own: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marked windows as runs of consecutive ones: document (two numbers), first window, number of windows."""
+    order = np.lexsort((place, own, doc_id))
+    doc_id, own, place = doc_id[order], own[order], place[order].astype(np.uint32)
     if not len(doc_id):
-        return doc_id, place, place
+        return doc_id, own, place, place
     new = np.ones(len(doc_id), bool)
-    new[1:] = (doc_id[1:] != doc_id[:-1]) | (place[1:] > place[:-1] + 1)
+    new[1:] = (doc_id[1:] != doc_id[:-1]) | (own[1:] != own[:-1]) | (place[1:] > place[:-1] + 1)
     at = np.flatnonzero(new)
     last = place[np.append(at[1:], len(place)) - 1]
-    return doc_id[at], place[at], last - place[at] + 1
+    return doc_id[at], own[at], place[at], last - place[at] + 1
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``own``: a key of the text where rows of one ``doc_id`` have unlike texts, else 0."""
+    docs = docs.select(number().alias("doc_id"), "text")
+    texts_of = docs.select("doc_id", text_key().alias("own")).groupBy("doc_id").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    unlike = written(texts_of.where("low <> high").select("doc_id", F.lit(True).alias("unlike")), "unlike")
+    if unlike.isEmpty():
+        return docs.withColumn("own", F.lit(0).cast("long"))
+    return docs.join(unlike, "doc_id", "left").select("doc_id", "text", F.when(F.col("unlike"), text_key()).otherwise(0).alias("own"))
 
 
 def marks(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id`` and the windows of it that start earlier too, as runs (first, number), of ``docs(doc_id, text)``; a row per marked document."""
+    """``doc_id``, ``own`` and the windows of the document that start earlier too, as runs (first, number), of ``docs(doc_id, text, own)``; a row per marked document."""
     spark, parts = docs.sparkSession, tasks(docs)
     sizes = levels(length)
     buckets = max(BUCKETS, 64 * parts)
@@ -140,29 +151,31 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
     parts = max(parts, -(-int(counts[0].sum()) // GROUP))
     sent = spark.sparkContext.broadcast(dealt(counts, parts))  # ``buckets`` numbers for each prefix length
 
+    names = ["task", "docs", "keys", "of", "places", "windows"]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longer, task = sent.value
         for b in batches:
-            numbers = b.column(0).to_numpy()
+            numbers, keys = b.column(0).to_numpy(), b.column(2).to_numpy()
             for t in texts(b.column(1), PIECE_BYTES):
                 hashes, first, doc = _suffixes(t, length)
                 if not len(first):
                     continue
-                ids = numbers[t.first : t.first + len(t)]
+                ids, own_keys = (x[t.first : t.first + len(t)] for x in (numbers, keys))
                 place = first - t.words[doc]
                 window = window_hashes(hashes, length)[first]
-                if (ids[1:] < ids[:-1]).any():  # bring the windows in order of doc_id, then position
-                    order = np.lexsort((place, ids[doc]))
+                if ((ids[1:] < ids[:-1]) | ((ids[1:] == ids[:-1]) & (own_keys[1:] < own_keys[:-1]))).any():  # bring the windows in order of document, then position
+                    order = np.lexsort((place, own_keys[doc], ids[doc]))
                     first, doc, place, window = first[order], doc[order], place[order], window[order]
                 order = np.argsort(window, kind="stable")
                 first, doc, place, window = first[order], doc[order], place[order], window[order]
                 new = np.ones(len(window), bool)
                 new[1:] = window[1:] != window[:-1]
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = ~new & ((ids[doc] != ids[doc[lead]]) | (place != place[lead]))
+                later = ~new & ((ids[doc] != ids[doc[lead]]) | (own_keys[doc] != own_keys[doc[lead]]) | (place != place[lead]))
                 if later.any():
-                    runs = _runs(ids[doc[later]], place[later])
-                    yield pa.record_batch([*_packed(int(runs[0][0] % parts), *runs), pa.nulls(1, pa.binary())], ["task", "docs", "of", "places", "windows"])
+                    runs = _runs(ids[doc[later]], own_keys[doc[later]], place[later])
+                    yield pa.record_batch([*_packed(int(runs[0][0] % parts), *runs), pa.nulls(1, pa.binary())], names)
                 first, doc, place, window = first[new], doc[new], place[new], window[new]
                 to = np.full(len(first), -1, np.int32)
                 left = np.arange(len(first))
@@ -176,56 +189,57 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
                 for k in np.flatnonzero(np.diff(begin)).tolist():
                     own = order[begin[k] : begin[k + 1]]
                     used, of = np.unique(doc[own], return_inverse=True)
-                    blobs = _packed(k, ids[used], of.astype(np.uint32), place[own].astype(np.uint32), np.diff(window[own], prepend=np.uint64(0)))
-                    yield pa.record_batch(blobs, ["task", "docs", "of", "places", "windows"])
+                    blobs = _packed(k, ids[used], own_keys[used], of.astype(np.uint32), place[own].astype(np.uint32), np.diff(window[own], prepend=np.uint64(0)))
+                    yield pa.record_batch(blobs, names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        marked = [_runs(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        marked = [_runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
         for b in batches:
-            for docs, of, places, windows in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for docs, keys, of, places, windows in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                docs, keys, of, places = _grown(docs, np.int64), _grown(keys, np.int64), _grown(of, np.uint32), _grown(places, np.uint32)
                 if windows is None:  # marked where they were read: document, first window, number
-                    marked.append((_grown(docs, np.int64), _grown(of, np.uint32), _grown(places, np.uint32)))
+                    marked.append((docs, keys, of, places))
                 else:
-                    held.append((np.cumsum(_grown(windows, np.uint64)), _grown(docs, np.int64)[_grown(of, np.uint32)], _grown(places, np.uint32)))
+                    held.append((np.cumsum(_grown(windows, np.uint64)), docs[of], keys[of], places))
         if held:
-            window, doc_id, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            window, doc_id, own_key, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(window, kind="stable")
             same = window[order[1:]] == window[order[:-1]]
             deep = np.zeros(len(window), bool)  # suffixes below a node that has others too
             deep[1:], deep[:-1] = same, deep[:-1] | same
             order = order[deep]
-            window, doc_id, place = window[order], doc_id[order], place[order]
-            order = np.lexsort((place, doc_id, window))
-            window, doc_id, place = window[order], doc_id[order], place[order]
+            window, doc_id, own_key, place = window[order], doc_id[order], own_key[order], place[order]
+            order = np.lexsort((place, own_key, doc_id, window))
+            window, doc_id, own_key, place = window[order], doc_id[order], own_key[order], place[order]
             new = np.ones(len(window), bool)
             new[1:] = window[1:] != window[:-1]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (doc_id != doc_id[lead]) | (place != place[lead])
-            marked.append(_runs(doc_id[later], place[later]))
-        doc_id, first, number_ = (np.concatenate(x) for x in zip(*marked, strict=True))
-        to = doc_id % parts
+            later = (doc_id != doc_id[lead]) | (own_key != own_key[lead]) | (place != place[lead])
+            marked.append(_runs(doc_id[later], own_key[later], place[later]))
+        doc_id, own_key, first, number_ = (np.concatenate(x) for x in zip(*marked, strict=True))
+        to = (doc_id ^ own_key) % parts
         order = np.argsort(to, kind="stable")
         begin = np.searchsorted(to[order], np.arange(parts + 1))
         for k in np.flatnonzero(np.diff(begin)).tolist():
             own = order[begin[k] : begin[k + 1]]
-            yield pa.record_batch(_packed(k, doc_id[own], first[own], number_[own]), ["task", "docs", "first", "number"])
+            yield pa.record_batch(_packed(k, doc_id[own], own_key[own], first[own], number_[own]), ["task", "docs", "keys", "first", "number"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [tuple(_grown(x, kind) for x, kind in zip(row, (np.int64, np.uint32, np.uint32), strict=True)) for b in batches for row in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        found = [tuple(_grown(x, kind) for x, kind in zip(row, (np.int64, np.int64, np.uint32, np.uint32), strict=True)) for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)]
         if not found:
             return
-        doc_id, first, number_ = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((first, doc_id))
-        doc_id, runs = doc_id[order], np.stack([first, number_], axis=1)[order].astype("<u4")
-        begin = np.flatnonzero(np.append(True, doc_id[1:] != doc_id[:-1]))
+        doc_id, own_key, first, number_ = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((first, own_key, doc_id))
+        doc_id, own_key, runs = doc_id[order], own_key[order], np.stack([first, number_], axis=1)[order].astype("<u4")
+        begin = np.flatnonzero(np.append(True, (doc_id[1:] != doc_id[:-1]) | (own_key[1:] != own_key[:-1])))
         blobs = [runs[lo:hi].tobytes() for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(runs)], strict=True)]
-        yield pa.record_batch([pa.array(doc_id[begin]), pa.array(blobs, pa.binary())], ["doc_id", "runs"])
+        yield pa.record_batch([pa.array(doc_id[begin]), pa.array(own_key[begin]), pa.array(blobs, pa.binary())], ["doc_id", "own", "runs"])
 
-    sent_rows = docs.mapInArrow(send, "task int, docs binary, of binary, places binary, windows binary").repartitionById(parts, F.col("task"))
-    by_doc = sent_rows.mapInArrow(meet, "task int, docs binary, first binary, number binary").repartitionById(parts, F.col("task"))
-    return by_doc.mapInArrow(gather, "doc_id long, runs binary")
+    sent_rows = docs.mapInArrow(send, "task int, docs binary, keys binary, of binary, places binary, windows binary").repartitionById(parts, F.col("task"))
+    by_doc = sent_rows.mapInArrow(meet, "task int, docs binary, keys binary, first binary, number binary").repartitionById(parts, F.col("task"))
+    return by_doc.mapInArrow(gather, "doc_id long, own long, runs binary")
 
 
 def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -233,8 +247,8 @@ def without_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
 
     A word is in a span if a window of ``length`` words that covers it also starts earlier: in a document of smaller ``doc_id``, or before in its own.
     """
-    docs = docs.select(number().alias("doc_id"), "text")
-    joined = docs.join(marks(docs, length).hint("merge"), "doc_id", "left").select("doc_id", "text", "runs")
+    docs = apart(docs)
+    joined = docs.join(marks(docs, length).hint("merge"), ["doc_id", "own"], "left").select("doc_id", "text", "runs")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -280,3 +280,27 @@ def test_pooling_is_monotone():
     n = rng.integers(1, 9, 200).astype(float)
     at, value = quality.pooled(n, rng.binomial(n.astype(int), np.linspace(0.1, 0.9, 200)).astype(float), np.arange(200.0))
     assert (np.diff(value) > 0).all() and (np.diff(at) > 0).all()
+
+
+def test_unlike_texts_of_one_number_are_documents_of_their_own(spark):
+    passage = [f"p{i}" for i in range(30)]
+    long, short, other = ["a"] + [f"a{i}" for i in range(50)] + passage, ["b", *passage], [f"c{i}" for i in range(40)]
+    for first in (None, 5):
+        rows = [(first, " ".join(long)), (first, " ".join(short)), (first, " ".join(other)), (9, " ".join([f"d{i}" for i in range(60)])), (10, " ".join(["e", *passage, "f"]))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = [(r.doc_id, r.kept.split()) for r in substrings.without_repeats(df, 20).collect()]
+        whole = {x[0]: x for x in (long, short, other)}
+        assert sorted(d or 0 for d, _ in got) == [first or 0] * 3 + [9, 10]
+        kept = {w[0]: w for d, w in got if d == first}
+        assert set(kept) == set(whole) and kept["c0"] == other
+        assert sorted(len(whole[k]) - len(kept[k]) for k in "ab") == [0, 30]
+        assert all(kept[k] in (whole[k], whole[k][:-30]) for k in "ab")
+        assert {d: w for d, w in got if d in (9, 10)} == {9: rows[3][1].split(), 10: ["e", "f"]}
+
+
+def test_jaccard_compares_each_text_of_one_number(spark):
+    base = [f"w{i}" for i in range(100)]
+    for first in (None, 5):
+        rows = [(first, "nothing like the others at all"), (first, " ".join(base)), (7, " ".join([*base, "x"])), (8, " ".join(f"v{i}" for i in range(50))), (first, " ".join([*(f"v{i}" for i in range(50)), "y"]))]
+        got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+        assert len(got) == 5 and all(r.component_id == first for r in got)
