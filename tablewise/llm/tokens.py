@@ -3,11 +3,12 @@
 The library splits a text into pieces and merges inside each piece alone, so a piece always has the same ids.
 Here the split is found for a whole batch with array operations, each piece is looked up by a 64-bit hash, and only pieces
 not met before go to the library's model. The class of each character and the stand-in for each byte are asked of
-the library's own splitter.
+the library's own splitter. Added tokens of the file (as ``<|endoftext|>``) are cut out of a text first, as the library does by default.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,9 +31,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names in a text are ordinary text
         if self.library.normalizer is not None or "ByteLevel" not in repr(self.library.pre_tokenizer):
             raise ValueError("a byte-level file without normalisation is needed")
+        added = self.library.get_added_tokens_decoder()
+        if any(x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError("a file whose added tokens stand for exactly their own text is needed")
+        self.added = {x.content: i for i, x in added.items()}
+        # the library looks for tokens that are not normalised first, and for the longest at each place
+        kinds = [sorted((x.content for x in added.values() if x.normalized == k), key=len, reverse=True) for k in (False, True)]
+        self.tokens = [re.compile("|".join(map(re.escape, x))) for x in kinds if x]
         self.most = most
         self.stand_in = {}
         for c in [*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x110000, 0x400)]:  # every byte that UTF-8 has
@@ -57,6 +64,20 @@ class Encoder:
             found = self.classes[chars]
         return found
 
+    def marked(self, text: str, chars_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First characters of the added tokens in the texts, and what follows their last ones."""
+        found: list[tuple[int, int]] = []
+        for pattern in self.tokens:
+            if pattern.search(text) is None:
+                continue
+            cuts = sorted({*chars_before.tolist(), *(x for span in found for x in span)})
+            taken = {lo for lo, _ in found}
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo not in taken:
+                    found += [(lo + m.start(), lo + m.end()) for m in pattern.finditer(text[lo:hi])]
+        spans = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return spans[:, 0], spans[:, 1]
+
     def starts(self, chars: np.ndarray, kinds: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Index of the first character of each piece. ``docs``: the first character of each text that has any."""
         n = len(chars)
@@ -97,7 +118,8 @@ class Encoder:
         if missing.any():
             which = np.flatnonzero(missing)
             merge = self.library.model.tokenize
-            found = [[x.id for x in merge(text_of(i).encode().decode("latin-1").translate(self.stand_in))] for i in which.tolist()]
+            given = [text_of(i) for i in which.tolist()]
+            found = [[self.added[x]] if x in self.added else [y.id for y in merge(x.encode().decode("latin-1").translate(self.stand_in))] for x in given]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter((x for y in found for x in y), np.uint32, int(sizes.sum()))
             while self.used + len(ids) > len(self.pool):
@@ -123,7 +145,14 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        begins = self.starts(chars, self.classify(chars), chars_before[:-1][chars_before[:-1] < chars_before[1:]])
+        docs = chars_before[:-1][chars_before[:-1] < chars_before[1:]]
+        token, after = self.marked(text, chars_before)
+        if len(token):  # what is before and after an added token is split as a text of its own
+            begins = self.starts(chars, self.classify(chars), np.union1d(docs, np.append(token, after[after < len(chars)])))
+            inside = np.searchsorted(token, begins) - 1
+            begins = begins[(inside < 0) | (begins >= after[inside])]
+        else:
+            begins = self.starts(chars, self.classify(chars), docs)
         ends = np.append(begins[1:], len(chars))
         codes, distinct = pd.factorize(span_hashes(chars.astype(np.uint64) + np.uint64(1), begins, ends, _BASE))
         sample = np.empty(len(distinct), np.int64)

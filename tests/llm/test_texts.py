@@ -304,3 +304,16 @@ def test_jaccard_compares_each_text_of_one_number(spark):
         rows = [(first, "nothing like the others at all"), (first, " ".join(base)), (7, " ".join([*base, "x"])), (8, " ".join(f"v{i}" for i in range(50))), (first, " ".join([*(f"v{i}" for i in range(50)), "y"]))]
         got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
         assert len(got) == 5 and all(r.component_id == first for r in got)
+
+
+def test_added_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    fresh, own, rng = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path()), random.Random(4)
+    parts = ["<|endoftext|>", "<|endof", "text|>", "<|", "|>", "a", " b", "  ", "\n", "'s", "1", "é"]
+    given = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(2000)] + ["a <|endoftext|> b", "<|endof", "text|>", None, "<|endoftext|><|endoftext|>"]
+    got = []
+    for _, data, offsets in pieces(pa.array(given, pa.string())):
+        ids, begin = own.ids(data, offsets)
+        got += [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    assert got == encode(fresh, given) and got[2000] == [64, 220, 50256, 275]
