@@ -174,14 +174,19 @@ def identified(docs: DataFrame, **parameters: int) -> DataFrame:
 
 
 def with_language(docs: DataFrame, **parameters: int) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns."""
+    """The rows of ``docs`` whose text has a letter, with all their columns; ``lang`` is the predicted language, or as given if no document teaches any."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **parameters)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            yield b.filter(pa.array([model.predict(x.as_py())[0] != UNKNOWN for x in b.column(at)], pa.bool_()))
+            if model.languages:
+                found = [model.predict(x.as_py())[0] for x in b.column(at)]
+                b = b.set_column(lang, b.schema.field(lang), pa.array(found, b.schema.field(lang).type))
+                yield b.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+            else:
+                yield b.filter(pa.array([bool(words_of(x.as_py() or "")) for x in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)

@@ -317,3 +317,14 @@ def test_added_tokens_are_those_of_the_library():
         ids, begin = own.ids(data, offsets)
         got += [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
     assert got == encode(fresh, given) and got[2000] == [64, 220, 50256, 275]
+
+
+def test_language_stage_writes_what_it_finds(spark, documents):
+    known = documents.where("lang IS NOT NULL")
+    got = languages.with_language(known.withColumn("lang", languages.F.when(~languages.held_out(languages.F.col("doc_id")), languages.F.col("lang"))))
+    found = {r.doc_id: r.lang for r in got.collect()}
+    true = {r.doc_id: r.lang for r in known.collect() if r.doc_id in found}
+    assert all(found.values()) and sum(found[d] == x for d, x in true.items()) > 0.95 * len(true)
+    rows = [(1, "letters", None), (2, "123", None), (3, None, None), (4, "", None)]
+    got = languages.with_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert [tuple(r) for r in got] == [(1, "letters", None)]
