@@ -141,3 +141,21 @@ def test_top_k_rows_without_number(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     got = {tuple(r) for r in top_k.top_k(df, F.col("vec_id") == 100).collect()}
     assert got == brute([r for r in rows if r[0]], 10) == {(100, 1, big + 1, 3 * 1024**2), (100, 2, big + 3, 3 * 1024**2)}
+
+
+def test_url_query_learns_from_rules_only(spark, monkeypatch):
+    """The query takes no host list, and judges pages of hosts that it did not see as the rules would."""
+    from tablewise.llm import queries
+
+    monkeypatch.setattr(queries, "labelled_urls", None)
+    assert QUERIES["op7_url_filter"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/pages.parquet").count()
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host, path = url_filter.parts(F.col("url"))
+    split = pages.withColumns({"host": host, "path": path})
+    kind = url_filter.fitting(URL_RULES)[1]
+    split = split.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("unseen", F.crc32(F.col("host").cast("binary")) % 5 == 0)
+    known = split.where("NOT unseen").select("url", (F.col("kind") == "block").cast("int").alias("blocked"))
+    got = url_filter.judged(split.where("unseen").select("page_id", "url"), (), known).join(split.select("page_id", "kind"), "page_id").collect()
+    right = {k: [r.verdict == k for r in got if r.kind == k] for k in ("allow", "block")}
+    print("unseen hosts:", {k: (sum(x), len(x)) for k, x in right.items()}, split.select("host", "unseen").distinct().groupBy("unseen").count().collect())
+    assert min(sum(x) / len(x) for x in right.values()) > 0.8
