@@ -208,7 +208,8 @@ def marks(docs: DataFrame, length: int) -> DataFrame:
             order = np.argsort(window, kind="stable")
             same = window[order[1:]] == window[order[:-1]]
             deep = np.zeros(len(window), bool)  # suffixes below a node that has others too
-            deep[1:], deep[:-1] = same, deep[:-1] | same
+            deep[1:] = same
+            deep[:-1] |= same
             order = order[deep]
             window, doc_id, own_key, place = window[order], doc_id[order], own_key[order], place[order]
             order = np.lexsort((place, own_key, doc_id, window))

@@ -51,6 +51,14 @@ def test_substrings(spark, documents, odd, empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [2, 8, 50])
+@pytest.mark.parametrize("piece", [300, 1 << 22])
+def test_substrings_meet_across_partitions(spark, documents, monkeypatch, parts, piece):
+    want = {tuple(r) for r in substrings.without_repeats(documents.coalesce(1), 20).select("doc_id", "n_words", "kept").collect()}
+    monkeypatch.setattr(substrings, "PIECE_BYTES", piece)
+    assert {tuple(r) for r in substrings.without_repeats(documents.repartition(parts), 20).select("doc_id", "n_words", "kept").collect()} == want
+
+
 def test_substrings_split_prefixes(documents, monkeypatch):
     want = {tuple(r) for r in substrings.without_repeats(documents, 5).select("doc_id", "n_words", "kept").collect()}
     monkeypatch.setattr(substrings, "GROUP", 3000)
