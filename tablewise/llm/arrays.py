@@ -16,10 +16,8 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
-_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_WORD_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass
@@ -85,45 +83,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64 for i up to n or more."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16, 2 * (len(have[0]) if have else 0) if n < CHUNK_BYTES else n + 1)
-        grown = []
-        for b in (base, pow(base, -1, 2**64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            grown.append(np.multiply.accumulate(a))
-        have = _powers[base] = (grown[0], grown[1])
-    return have
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each span; equal spans have equal hashes wherever they stand.
 
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span; equal spans have equal hashes wherever they stand."""
-    up, down = powers(base, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    Each value is mixed with its place in the span before the sum, so values with a pattern don't cancel. Work and memory follow the
+    spans' total length: for windows that overlap take ``window_hashes``.
+    """
+    size = ends - starts
+    upto = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+    salt = mix(np.arange(size.max(initial=0), dtype=np.uint64) + np.uint64(seed))
+    sums = np.zeros(upto[-1] + 1, np.uint64)
+    np.cumsum(mix(values[np.repeat(starts, size) + place] ^ salt[place]), out=sums[1:])
+    return mix(sums[upto[1:]] - sums[upto[:-1]] + size.astype(np.uint64))
 
 
 def word_hashes(t: Texts, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word."""
     out = np.empty(len(t.starts), np.uint64)
     word = 0
-    while word < len(out):  # runs of words of bounded bytes keep the table of powers short
+    while word < len(out):  # runs of words of bounded bytes keep the arrays short
         end = max(word + 1, int(np.searchsorted(t.ends, t.starts[word] + CHUNK_BYTES, "right")))
         lo, hi = t.starts[word], t.ends[end - 1]
         data = t.data[lo:hi]
-        out[word:end] = span_hashes(_BYTES[LOWER[data] if lower else data], t.starts[word:end] - lo, t.ends[word:end] - lo, _BASE)
+        data = (LOWER[data] if lower else data).astype(np.uint64)
+        out[word:end] = span_hashes(data, t.starts[word:end] - lo, t.ends[word:end] - lo, 1)
         word = end
     return out
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``size`` consecutive word hashes."""
-    n = len(hashes) - size + 1
+def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` consecutive values, from hashes of runs of 1, 2, 4 and so on."""
+    n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hashes(hashes, at, at + size, _WORD_BASE)
+    whole, covered, run, width = np.full(n, size, np.uint64), 0, mix(values ^ _SEED), 1
+    while covered < size:
+        if size & width:
+            whole = mix(whole * _SEED + run[covered : covered + n])
+            covered += width
+        if covered < size:
+            run = mix(run[:-width] * _WORD_SEED + run[width:])
+            width *= 2
+    return whole

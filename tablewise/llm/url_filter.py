@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.arrays import flat, span_hashes
+from tablewise.llm.arrays import flat, window_hashes
 
 ALLOW, BLOCK = "allow", "block"
 #: A verdict, a host (with all its subdomains), and how the path must start.
@@ -61,7 +61,7 @@ def features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             count = np.maximum(np.diff(begin) - size + 1, 0)
             row = np.repeat(np.arange(n), count)
             start = begin[:-1][row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
-            hashes = span_hashes(marked, start, start + size, 0x9FB21C651E98DF25)
+            hashes = window_hashes(marked, size)[start]
             found.append((hashes % np.uint64(WIDTH // 2)).astype(np.int64) + half * (WIDTH // 2))
             owner.append(row)
     number, row = np.concatenate(found), np.concatenate(owner)

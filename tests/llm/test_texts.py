@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from tablewise.llm import exact_dedup, jaccard_join, languages, mixing, packing, quality, substrings, token_files
 from tablewise.llm.arrays import pieces
@@ -306,6 +307,27 @@ def test_unlike_texts_of_one_number_are_documents_of_their_own(spark):
         assert {d: w for d, w in got if d in (9, 10)} == {9: rows[3][1].split(), 10: ["e", "f"]}
 
 
+def test_words_that_cancel_in_polynomials_stay_apart(spark):
+    """A word of the letters a and b by the parity of the bits of their place, and its complement."""
+    rows, twins = [], []
+    for k in (10, 11, 12):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+        twins.append((word, word.translate({97: 98, 98: 97})))
+    rows = [(i, " ".join(f"{t[i]}{n}" if n % 2 else t[i] for n in range(8) for t in twins)) for i in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in jaccard_join.similar(docs, 3, 90, 100).orderBy("doc_id").collect()] == [(0, 0), (1, 1)]
+    one = [(0, " ".join(["w"] * 19 + [twins[1][0]])), (1, " ".join(["w"] * 19 + [twins[1][1]]))]
+    got = substrings.without_repeats(spark.createDataFrame(one, "doc_id long, text string"), 20).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [t for _, t in one]
+    library = Tokenizer.from_file(tokenizer_path())
+    mine = Encoder(tokenizer_path())
+    for texts_ in (twins, [tuple(t for _, t in rows)]):
+        for pair in texts_:
+            data = np.frombuffer("".join(pair).encode(), np.uint8)
+            ids, at = mine.ids(data, np.array([0, len(pair[0]), len(pair[0]) + len(pair[1])]))
+            assert [ids[at[i] : at[i + 1]].tolist() for i in (0, 1)] == [library.encode(t, add_special_tokens=False).ids for t in pair]
+
+
 def test_jaccard_compares_each_text_of_one_number(spark):
     base = [f"w{i}" for i in range(100)]
     for first in (None, 5):
