@@ -10,7 +10,7 @@ state is searched twice for the same bound; before that, every fault that no edi
 duplicates leave the search: they are always deleted, and before any insertion at their place.
 
 *Long conversations.* Turns are numbered in order by a range partitioning, and cut into blocks of at most ``BLOCK`` unlike turns. A conversation
-of one block is searched as a whole. Of others each block is searched from every state to every state; a chain over the blocks (16 numbers
+of no more turns than that is searched as a whole. Of others each block is searched from every state to every state; a chain over the blocks (16 numbers
 each) picks the states between them, and the blocks' edits are put together. Equal turns of a conversation are counted before they are shuffled.
 
 Results in odd cases: a null role or text is one space; a null ``conv_id`` is a conversation, a null turn comes first; turns of the same number are ordered by role, then text;
@@ -239,8 +239,11 @@ def _audits(rows: DataFrame) -> DataFrame:
     block = F.shiftright("place", BLOCK_BITS).alias("block")
     blocks = _judged(rows).groupBy("conv", block).agg(F.sort_array(F.collect_list(F.struct("place", "n", "role", "fault"))).alias("rows"))
     blocks = written(blocks, "blocks")
-    many = written(blocks.groupBy("conv").count().where("count > 1").select("conv"), "long")
-    whole = blocks.join(many, "conv", "left_anti").select("conv", "block", "rows").mapInArrow(_whole, _AUDITS)
+    split = blocks.groupBy("conv").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("rows")).alias("turns")).where("blocks > 1")
+    split = written(split.select("conv", (F.col("turns") <= 1 << BLOCK_BITS).alias("short")), "split")
+    short = blocks.join(split.where("short"), "conv", "left_semi").groupBy("conv").agg(F.lit(0).cast("long").alias("block"), F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+    whole = blocks.join(split, "conv", "left_anti").unionByName(short).select("conv", "block", "rows").mapInArrow(_whole, _AUDITS)
+    many = split.where("NOT short")
     if many.isEmpty():
         return whole
     parts = blocks.join(many, "conv", "left_semi").select("conv", "block", "rows")
