@@ -69,14 +69,20 @@ def least_costs(turns: str) -> tuple[list[int], list[int]]:
 def cheapest(turns: str, entry: int, exit_: int | None) -> tuple[int, str]:
     """Cost and initials of the cheapest edits of ``turns`` from state ``entry`` to ``exit_``, where the last turn's edit comes last; None: to a sound end."""
     n = len(turns)
-    if exit_ is not None and (exit_ != entry if n == 0 else exit_ == 0 and entry != 0 or exit_ == 1 and entry != 1 and (entry != 0 or "s" not in turns.lower())):
+    if exit_ is not None and n == 0 and exit_ != entry:
         return NEVER, ""
     read, unread = least_costs(turns)
     failed: dict[tuple[int, int], int] = {}
     path: list[str] = []
 
     def least(i: int, state: int) -> int:
-        return failed.get((i, state)) or (read if state else unread)[i]
+        if exit_ is None or exit_ > 1:
+            return failed.get((i, state)) or (read if state else unread)[i]
+        if state > exit_:
+            return NEVER
+        if state == exit_:  # nothing more may stay
+            return DELETE * (n - i)
+        return DELETE * (n - i) - (DELETE if "s" in turns[i:] else DELETE - CUT_OFF) if "s" in turns[i:].lower() else NEVER
 
     def edits(i: int, state: int) -> list[tuple[str, int, int, int]]:
         """Edit, its cost and the state after it, in ASCII order."""
@@ -105,6 +111,8 @@ def cheapest(turns: str, entry: int, exit_: int | None) -> tuple[int, str]:
         return False
 
     bound = least(0, entry)
+    if bound >= NEVER:
+        return NEVER, ""
     while not reached(0, entry, bound):
         bound = least(0, entry)
     return bound, "".join(reversed(path))

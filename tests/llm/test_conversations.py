@@ -85,6 +85,19 @@ def test_search_against_all_states():
         assert c.cheapest(turns, 0, None) == best(rows)[:2], turns
 
 
+def test_search_between_states():
+    """Put together, the cheapest edits of two halves through the best state between them cost what the whole does."""
+    rng = random.Random(6)
+    for _ in range(300):
+        turns = "".join(rng.choice("ssuuuaaaxSUAX") for _ in range(rng.randrange(2, 12)))
+        k = rng.randrange(len(turns))
+        halves = []
+        for m in range(4):
+            (a, x), (b, y) = c.cheapest(turns[:k], 0, m), c.cheapest(turns[k:], m, None)
+            halves.append((a + b, x + y))
+        assert min(halves) == c.cheapest(turns, 0, None), (turns, k)
+
+
 def test_bounds_are_never_too_high():
     rng = random.Random(4)
     for _ in range(500):
