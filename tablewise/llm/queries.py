@@ -222,3 +222,12 @@ def op11_conversation_repair(conversations: DataFrame) -> DataFrame:
     texts = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     report = report.join(digests(turns), "conv", "left").withColumn("repaired_sha256", texts)
     return with_conv_id(report).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@_query("documents")
+def op12_sharding(documents: DataFrame) -> DataFrame:
+    from tablewise.llm.sharding import sharded
+
+    rows, maps = sharded(documents, 8)
+    columns = [F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(maps[-1].version).alias("map_version")]
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", *columns)
