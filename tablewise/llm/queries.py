@@ -231,3 +231,10 @@ def op12_sharding(documents: DataFrame) -> DataFrame:
     rows, maps = sharded(documents, 8)
     columns = [F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(maps[-1].version).alias("map_version")]
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", *columns)
+
+
+@_query("embeddings")
+def op13_whitening(embeddings: DataFrame) -> DataFrame:
+    from tablewise.llm.whitening import whitened
+
+    return whitened(embeddings, 16)
