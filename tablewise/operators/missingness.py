@@ -13,38 +13,66 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up
 from tablewise.functions.tails import chi2_sf, correlation_p
+from tablewise.operators.gap_patterns import centre_and_scale, folded, summed
 from tablewise.operators.measures import col, correlation, measure, melt, null_counts, number, numeric_columns, quantiles, report, text_columns
 
 
+def likely_moments(table: DataFrame, width: int, tolerance: float = 1e-9, most: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood mean and covariance of normal rows with gaps, by EM over the folded table (standardised units).
+
+    An iteration is one sum over the patterns: what a pattern's rows have, what the regression on it says of the rest, and the rest's own spread.
+    """
+    mean, cov = np.zeros(width), np.eye(width)
+    for _ in range(most):
+
+        def expected(has: np.ndarray, n: int, factor: np.ndarray, mean=mean, cov=cov) -> np.ndarray:
+            if not len(has):
+                return np.zeros((width + 1) ** 2)
+            gone = np.setdiff1d(np.arange(width), has)
+            full = np.zeros((width + 1, len(has) + 1))
+            full[0, 0] = 1.0
+            full[has + 1, np.arange(len(has)) + 1] = 1.0
+            rest = np.zeros((width + 1, width + 1))
+            if len(gone):
+                slope = cov[np.ix_(gone, has)] @ np.linalg.pinv(cov[np.ix_(has, has)], hermitian=True)
+                full[gone + 1, 1:] = slope
+                full[gone + 1, 0] = mean[gone] - slope @ mean[has]
+                rest[np.ix_(gone + 1, gone + 1)] = n * (cov[np.ix_(gone, gone)] - slope @ cov[np.ix_(has, gone)])
+            made = factor @ full.T
+            return (made.T @ made + rest).ravel()
+
+        sums = summed(table, width, (width + 1) ** 2, expected).reshape(width + 1, width + 1)
+        if sums[0, 0] == 0:
+            break
+        old, new = (mean, cov), sums / sums[0, 0]
+        mean, cov = new[0, 1:], new[1:, 1:] - np.outer(new[0, 1:], new[0, 1:])
+        if max(np.abs(mean - old[0]).max(), np.abs(cov - old[1]).max()) < tolerance:
+            break
+    return mean, cov
+
+
 def little_test(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Little's test that values are missing completely at random (textbook form).
+    """Little's test that values are missing completely at random.
 
-    Rows collapse to one per null pattern on the executors; means and the pooled
-    covariance come from two aggregates, and the small matrices are solved on the driver.
-    The number of patterns is bounded by 2^columns; wide tables should name their columns.
+    The mean of every pattern is held against the maximum-likelihood mean, with the maximum-likelihood covariance of the columns it has. Rows collapse to one per pattern on
+    the executors; covariance, statistic and degrees of freedom are sums over the patterns, none of which reaches the driver. Rows without any value don't count.
     """
     columns = list(columns or numeric_columns(df))
-    exprs = {}
-    for i, a in enumerate(columns):
-        exprs[f"m{i}"] = F.avg(number(a))
-        for j in range(i, len(columns)):
-            exprs[f"c{i}_{j}"] = F.covar_pop(number(a), number(columns[j]))
-    row = measure(df, **exprs)
-    d = len(columns)
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(d)])
-    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-    pattern = F.concat(*[F.when(col(c).isNull(), "0").otherwise("1") for c in columns])
-    groups = df.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"), *[F.avg(number(c)).alias(f"a{i}") for i, c in enumerate(columns)]).collect()
-    stat, dof = 0.0, -d
-    for g in groups:
-        seen = [i for i, ch in enumerate(g["pattern"]) if ch == "1"]
-        if not seen:
-            continue
-        gap = np.array([g[f"a{i}"] for i in seen]) - mean[seen]
-        stat += g["n"] * float(gap @ np.linalg.pinv(cov[np.ix_(seen, seen)]) @ gap)
-        dof += len(seen)
-    p = chi2_sf(stat, dof) if dof > 0 else 1.0
-    return report(df, [(half_up(stat), dof, half_up(p, 6), p > 0.05, len(groups))], "statistic double, dof int, p_value double, is_mcar boolean, patterns int")
+    width = len(columns)
+    given = centre_and_scale(df, columns)
+    table = folded(df, columns, *given)
+    mean, cov = likely_moments(table, width)
+
+    def gaps(has: np.ndarray, n: int, factor: np.ndarray) -> np.ndarray:
+        if not len(has):
+            return np.zeros(3)
+        gap = (factor.T @ factor)[0, 1:] / n - mean[has]
+        return np.array([n * gap @ np.linalg.pinv(cov[np.ix_(has, has)], hermitian=True) @ gap, len(has), 1])
+
+    stat, seen, patterns = summed(table, width, 3, gaps)
+    dof = int(seen) - width
+    p = chi2_sf(float(stat), dof) if dof > 0 else 1.0
+    return report(df, [(half_up(float(stat)), dof, half_up(p, 6), p > 0.05, int(patterns))], "statistic double, dof int, p_value double, is_mcar boolean, patterns int")
 
 
 def independence_tests(df: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def cn7(t):
 
 @query("CN8")
 def cn8(t):
-    return r(I.fill_iterative(t.gappy_orders.select("o_orderkey", "price", "cust", "o_shippriority"), ["price", "cust", "o_shippriority"], rounds=2), "price", "cust")
+    return r(I.fill_iterative(t.gappy_orders.select("o_orderkey", "price", "cust", "o_shippriority"), ["price", "cust", "o_shippriority"]), "price", "cust")
 
 
 @query("CN14")
