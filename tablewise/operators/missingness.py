@@ -17,7 +17,17 @@ from tablewise.operators.gap_patterns import centre_and_scale, folded, summed
 from tablewise.operators.measures import col, correlation, measure, melt, null_counts, number, numeric_columns, quantiles, report, text_columns
 
 
-def likely_moments(table: DataFrame, width: int, tolerance: float = 1e-9, most: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a x = b; the least one where columns depend on each other."""
+    try:
+        if np.linalg.cond(a) < 1e12:
+            return np.linalg.solve(a, b)
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.pinv(a, hermitian=True) @ b
+
+
+def likely_moments(table: DataFrame, width: int, tolerance: float = 1e-7, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Maximum-likelihood mean and covariance of normal rows with gaps, by EM over the folded table (standardised units).
 
     An iteration is one sum over the patterns: what a pattern's rows have, what the regression on it says of the rest, and the rest's own spread.
@@ -34,7 +44,7 @@ def likely_moments(table: DataFrame, width: int, tolerance: float = 1e-9, most:
             full[has + 1, np.arange(len(has)) + 1] = 1.0
             rest = np.zeros((width + 1, width + 1))
             if len(gone):
-                slope = cov[np.ix_(gone, has)] @ np.linalg.pinv(cov[np.ix_(has, has)], hermitian=True)
+                slope = _solved(cov[np.ix_(has, has)], cov[np.ix_(has, gone)]).T
                 full[gone + 1, 1:] = slope
                 full[gone + 1, 0] = mean[gone] - slope @ mean[has]
                 rest[np.ix_(gone + 1, gone + 1)] = n * (cov[np.ix_(gone, gone)] - slope @ cov[np.ix_(has, gone)])
@@ -67,7 +77,7 @@ def little_test(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         if not len(has):
             return np.zeros(3)
         gap = (factor.T @ factor)[0, 1:] / n - mean[has]
-        return np.array([n * gap @ np.linalg.pinv(cov[np.ix_(has, has)], hermitian=True) @ gap, len(has), 1])
+        return np.array([n * gap @ _solved(cov[np.ix_(has, has)], gap), len(has), 1])
 
     stat, seen, patterns = summed(table, width, 3, gaps)
     dof = int(seen) - width
