@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Sequence
 
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up
-from tablewise.operators.measures import measure, number, quantiles, report
-from tablewise.operators.neighbors import knn, matrix, vectors
+from tablewise.operators.measures import hash_uniform, measure, number, quantiles, report
+from tablewise.operators.neighbors import Leaves, LocalTree, knn, matrix, vectors
 from tablewise.operators.transforms import principal_components
 from tablewise.session import cut_lineage
 
@@ -116,83 +117,182 @@ def stability(df: DataFrame, key: str, columns: Sequence[str], k: int, runs: int
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable. Labels spread along the edges and jump through their own label."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
-    label = nodes.select("node", F.col("node").alias("component"))
+    """(node, component): smallest node reachable, by alternating stars.
+
+    A round points the larger neighbours of every node to its smallest neighbour, then every node and its smaller neighbours to the smallest of those. The edges
+    never grow in number, and after some log n rounds every node points to its component.
+    """
+    up = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     while True:
-        seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = label.join(seen, "node", "left").select("node", "component", F.least("component", F.coalesce("m", "component")).alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("up"))
-        new = cut_lineage(step.join(jump, "next", "left").select("node", "component", F.least("next", F.coalesce("up", "next")).alias("next")))
-        moved = new.where("next < component").limit(1).count()
-        label = new.select("node", F.col("next").alias("component"))
-        if not moved:
+        both = up.union(up.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        up = cut_lineage(small.where("u <> v").distinct())
+        now = up.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-    both.unpersist()
-    return label
+        before = now
+    found = up.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+#: Cells the tree of a clustering is fitted on, and rows of one of its leaves.
+SAMPLE_CELLS = 500_000
+LEAF_ROWS = 20_000
+
 
+def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float | None = None, min_rows: int | None = None) -> DataFrame:
+    """(id, cluster): density clusters, named by their smallest core row; noise is -1.
 
-def dbscan(df: DataFrame, key: str, columns: Sequence[str], eps: float | None = None, min_rows: int | None = None, part_rows: int = 2_000) -> DataFrame:
-    """(id, cluster): density clusters; noise is -1.
+    Rows fall into cells whose diagonal is ``eps``. All rows of a cell that holds ``min_rows`` are core rows; only the others are counted around, exactly. Core rows
+    of one cell belong together, and two cells do if two of their core rows are within ``eps``: each pair of near cells is probed once, unless
+    it is connected already. Components are taken over the cells. A row that is not core goes to its nearest core row within ``eps``.
 
-    A row is a core row when its min_rows-th nearest row (itself counted) is within eps, so
-    k neighbours per row are enough. Core rows of one grid cell of side eps / sqrt(d) belong
-    together; neighbouring cells are linked when two of their core rows near the shared border
-    are within eps. Components are taken over the cells, never over row pairs.
+    A tree over the cells deals the work: a task gets the rows of its leaf and the others' rows within ``eps`` of the leaf's box, split by key where they are many, so
+    nothing is listed per row. Any number of columns; with many of them few cells hold two rows, and all rows are counted around.
     """
-    if len(columns) > 3:
-        raise ValueError("the grid needs at most 3 columns; take principal coordinates first")
     v = vectors(df, key, columns)
     n, d = df.count(), len(columns)
     min_rows = min_rows or max(3, n // 100)
     if eps is None:
         kth = knn(v, v, 4, same=True).groupBy("id").agg(F.max("distance").alias("r")).persist()  # the row itself counts as the first of five
-        eps = quantiles(kth, ["r"], [0.9])["r"][0]
-    near = knn(v, v, max(1, min_rows - 1), same=True).where(F.col("distance") <= eps).persist()
-    core = near.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= min_rows - 1).select("id")
-    side = eps / math.sqrt(d)
-    cell = F.transform("vec", lambda x: F.floor(x / side).cast("long"))
-    points = v.join(core, "id").withColumn("cell", cell).persist()
-    boxes = points.groupBy("cell").agg(F.array(*[F.min(F.col("vec")[j]) for j in range(d)]).alias("lo"), F.array(*[F.max(F.col("vec")[j]) for j in range(d)]).alias("hi"))
-    reach = math.ceil(math.sqrt(d))
-    offsets = [o for o in np.ndindex(*([2 * reach + 1] * d)) if tuple(x - reach for x in o) > (0,) * d]
-    steps = F.array(*[F.array(*[F.lit(int(x - reach)).cast("long") for x in o]) for o in offsets])
-    left = boxes.select("cell", "lo", "hi", F.explode(steps).alias("o")).withColumn("other", F.zip_with("cell", "o", lambda x, y: x + y))
-    right = boxes.select(F.col("cell").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    gap = F.aggregate(F.arrays_zip("lo", "hi", "lo2", "hi2"), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(x["lo"] - x["hi2"], x["lo2"] - x["hi"], F.lit(0.0)), F.lit(2.0)))
-    pairs = left.join(right, "other").where(F.sqrt(gap) <= eps).select(F.col("cell").alias("a"), F.col("other").alias("b"), "lo", "hi", "lo2", "hi2")
-
-    name = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-
-    def border(pair_side, lo, hi):
-        """Core rows of one cell within eps of the box of the other cell, in bounded parts."""
-        out = pairs.join(points.select("id", "vec", F.col("cell").alias("c")), F.col(pair_side) == F.col("c"))
-        dist = F.aggregate(F.arrays_zip("vec", lo, hi), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(x[lo] - x["vec"], x["vec"] - x[hi], F.lit(0.0)), F.lit(2.0)))
-        return out.where(F.sqrt(dist) <= eps).select(name("a").alias("a"), name("b").alias("b"), "vec", "id")
-
-    ra, rb = border("a", "lo2", "hi2"), border("b", "lo", "hi")
-    size = lambda r, name: r.groupBy("a", "b").agg(F.ceil(F.count("*") / part_rows).cast("int").alias(name))
-    parts = size(ra, "pa").join(size(rb, "pb"), ["a", "b"])
-    ra = ra.join(parts, ["a", "b"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("pa")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)))
-    rb = rb.join(parts, ["a", "b"]).withColumn("j", F.pmod(F.xxhash64("id"), F.col("pb")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)))
-
-    def touch(key_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        ok = False
-        if len(x) and len(y):
-            p, q = matrix(x["vec"], d), matrix(y["vec"], d)
-            ok = bool((((p[:, None, :] - q[None, :, :]) ** 2).sum(-1) <= eps * eps).any())
-        return pd.DataFrame({"a": [key_[0]], "b": [key_[1]]} if ok else {"a": [], "b": []}, dtype="object")
-
-    keys = ["a", "b", "i", "j"]
-    fresh = lambda r: r.select(*[F.col(c).alias(c) for c in (*keys, "vec")]).groupBy(*keys)  # noqa: E731 - new column ids for each side
-    links = fresh(ra).cogroup(fresh(rb)).applyInPandas(touch, "a string, b string").distinct()
-    label = connected_components(links, points.select(name("cell").alias("node")).distinct())
-    inner = points.select("id", name("cell").alias("node")).join(label, "node").select("id", "component").persist()
+        eps = quantiles(kth, ["r"], [0.9])["r"][0] if n > 1 else 1.0
+        kth.unpersist()
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    v = v.withColumn("cell", F.transform("vec", lambda x: F.floor(x / side)) if side else F.col("vec"))  # within no distance there are only copies
+    box = [F.array(*[f(F.col("vec")[j]) for j in range(d)]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    cells = v.groupBy("cell").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("n"), *box)
+    rows = cut_lineage(v.join(cells.withColumn("mid", F.zip_with("lo", "hi", lambda x, y: (x + y) / 2)).drop("lo", "hi"), "cell").select("id", "vec", "c", "n", "mid"))
+    deal = _dealer(rows, d, n)
+    sparse = F.col("n") < min_rows
+    counted = deal(rows.where(sparse), rows, eps, _count, "id long, hits long").groupBy("id").agg(F.sum("hits").alias("hits"))
+    core = F.when(sparse, F.coalesce(F.col("hits"), F.lit(0)) >= min_rows).otherwise(True)
+    rows = cut_lineage(rows.join(counted, "id", "left").select("id", "vec", "c", "mid", core.alias("core")))
+    cores = rows.where("core")
+    links = deal(cores, cores, eps, _link, "a long, b long").distinct()
+    label = connected_components(links, cores.select(F.col("c").alias("node")).distinct())
+    inner = cores.select("id", F.col("c").alias("node")).join(label, "node").select("id", "component").persist()
     numbers = inner.groupBy("component").agg(F.min("id").alias("first"))
     inner = inner.join(numbers, "component").select("id", F.col("first").alias("cluster"))
-    edge = near.join(core.select(F.col("id").alias("neighbor")), "neighbor").join(core, "id", "left_anti").groupBy("id").agg(F.min_by("neighbor", F.struct("distance", "neighbor")).alias("neighbor"))
+    edge = deal(rows.where("NOT core"), cores, eps, _nearest, "id long, neighbor long, distance double")
+    edge = edge.groupBy("id").agg(F.min_by("neighbor", F.struct("distance", "neighbor")).alias("neighbor"))
     edge = edge.join(inner.select(F.col("id").alias("neighbor"), "cluster"), "neighbor").select("id", "cluster")
-    return v.select("id").join(inner.union(edge), "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("long"))
+    return rows.select("id").join(inner.union(edge), "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("long"))
+
+
+def _dealer(rows: DataFrame, d: int, n: int):
+    """A function that brings ``base`` rows within a distance of ``asking`` rows to them, task by task, and runs ``found`` on both."""
+    mids = rows.groupBy("c").agg(F.first("mid").alias("mid"))
+    share = min(1.0, SAMPLE_CELLS / max(1, n))
+    sample = mids.where(hash_uniform("c", 11) < share).select("mid").limit(2 * SAMPLE_CELLS).toPandas()
+    tree = Leaves(matrix(sample["mid"], d), max(1, min(-(-n // LEAF_ROWS), len(sample) // 8)))
+    shape = "id long, vec array<double>, c long, leaf long"
+
+    def own(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "c": pdf["c"], "leaf": tree.assign(matrix(pdf["mid"], d)).astype("int64")})
+
+    def deal(asking: DataFrame, base: DataFrame, eps: float, found, schema: str) -> DataFrame:
+        asking = asking.select("id", "vec", "c", "mid").mapInPandas(own, shape)
+        box = [F.array(*[f(F.col("vec")[j]) for j in range(d)]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+        boxes = asking.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *box).orderBy("leaf").toPandas()  # a row per leaf
+        nodes = copy.copy(tree).enclose(boxes["leaf"].to_numpy(), matrix(boxes["lo"], d), matrix(boxes["hi"], d))
+
+        def reach(batches):
+            for pdf in batches:
+                x = matrix(pdf["vec"], d)
+                at, leaf, _ = nodes.within(x, x, np.full(len(x), eps * (1 + 1e-9))) if len(boxes) else (np.zeros(0, int),) * 3
+                src = pdf.iloc[at]
+                yield pd.DataFrame({"id": src["id"].to_numpy(), "vec": src["vec"].to_numpy(), "c": src["c"].to_numpy(), "leaf": leaf})
+
+        near = base.select("id", "vec", "c").mapInPandas(reach, shape)
+        counts = near.groupBy("leaf").count().withColumnRenamed("count", "m").join(asking.groupBy("leaf").count(), "leaf")
+        parts = counts.select("leaf", *[F.ceil(F.col(x) / (2 * LEAF_ROWS)).cast("int").alias(y) for x, y in (("count", "pi"), ("m", "pj"))])
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        cut = lambda c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c)).cast("int")
+        keys = ["leaf", "i", "j"]
+        asking = asking.join(parts, "leaf").withColumn("i", cut("pi")).withColumn("j", every("pj")).select(*keys, "id", "vec", "c")
+        near = near.join(parts, "leaf").withColumn("j", cut("pj")).withColumn("i", every("pi")).select(*keys, "id", "vec", "c")
+
+        def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            names = [x.split()[0] for x in schema.split(", ")]
+            if not len(q) or not len(b):
+                return pd.DataFrame({x: [] for x in names})
+            return found(matrix(q["vec"], d), q["id"].to_numpy(), q["c"].to_numpy(), matrix(b["vec"], d), b["id"].to_numpy(), b["c"].to_numpy(), eps)
+
+        return asking.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(run, schema)
+
+    return deal
+
+
+def _count(q, qid, qc, b, bid, bc, eps) -> pd.DataFrame:
+    """Rows within the distance of each row, itself counted."""
+    return pd.DataFrame({"id": qid, "hits": LocalTree(b, bid).counted(q, eps)})
+
+
+def _nearest(q, qid, qc, b, bid, bc, eps) -> pd.DataFrame:
+    """The nearest row within the distance."""
+    found = LocalTree(b, bid).nearest(q, qid, 1, False, np.full(len(q), np.nextafter(eps, np.inf)))
+    return found[found["distance"] <= eps]
+
+
+def _link(q, qid, qc, b, bid, bc, eps) -> pd.DataFrame:
+    """A forest of links between cells that have two rows within the distance."""
+    order, other = np.argsort(qc, kind="stable"), np.argsort(bc, kind="stable")
+    q, qc, b, bc = q[order], qc[order], b[other], bc[other]
+    (a_cell, a_at), (b_cell, b_at) = np.unique(qc, return_index=True), np.unique(bc, return_index=True)
+    a_end, b_end = np.append(a_at[1:], len(q)), np.append(b_at[1:], len(b))
+    a_lo, a_hi = np.minimum.reduceat(q, a_at), np.maximum.reduceat(q, a_at)
+    b_lo, b_hi = np.minimum.reduceat(b, b_at), np.maximum.reduceat(b, b_at)
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    links = []
+    for lo in range(0, len(a_cell), max(1, 2_000_000 // len(b_cell))):
+        part = slice(lo, lo + max(1, 2_000_000 // len(b_cell)))
+        near, far = np.zeros((len(a_lo[part]), len(b_cell))), np.zeros((len(a_lo[part]), len(b_cell)))
+        for k in range(q.shape[1]):
+            below, above = b_lo[None, :, k] - a_hi[part, None, k], a_lo[part, None, k] - b_hi[None, :, k]
+            near += np.maximum(np.maximum(below, above), 0) ** 2
+            far += np.maximum(b_hi[None, :, k] - a_lo[part, None, k], a_hi[part, None, k] - b_lo[None, :, k]) ** 2
+        i, j = np.nonzero((np.sqrt(near) <= eps * (1 + 1e-9)) & (a_cell[part, None] != b_cell[None, :]))
+        sure = np.sqrt(far[i, j]) <= eps * (1 - 1e-9)
+        for at in np.argsort(far[i, j], kind="stable").tolist():
+            x, y = int(i[at]) + lo, int(j[at])
+            one, two = top(int(a_cell[x])), top(int(b_cell[y]))
+            if one == two:
+                continue
+            if sure[at] or _touch(q[a_at[x] : a_end[x]], b[b_at[y] : b_end[y]], eps):
+                root[max(one, two)] = min(one, two)
+                links.append((int(a_cell[x]), int(b_cell[y])))
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def _touch(p: np.ndarray, q: np.ndarray, eps: float) -> bool:
+    """Whether two rows of two cells are within the distance: only rows near the other's box are compared."""
+    for _ in range(2):
+        gap = np.maximum(np.maximum(q.min(axis=0) - p, p - q.max(axis=0)), 0)
+        p = p[np.sqrt((gap * gap).sum(axis=1)) <= eps * (1 + 1e-9)]
+        if not len(p):
+            return False
+        p, q = q, p
+    step = max(1, 1_000_000 // len(q))
+    for lo in range(0, len(p), step):
+        d2 = np.zeros((len(p[lo : lo + step]), len(q)))
+        for k in range(p.shape[1]):
+            gap = p[lo : lo + step, None, k] - q[None, :, k]
+            d2 += gap * gap
+        if (np.sqrt(d2) <= eps).any():
+            return True
+    return False
 
 
 def coordinates(df: DataFrame, key: str, columns: Sequence[str], keep: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -122,6 +122,28 @@ class LocalTree:
         return pd.DataFrame({"id": qid[rows], "neighbor": near[rows, cols], "distance": dist[rows, cols]})
 
 
+    def counted(self, q: np.ndarray, radius: float) -> np.ndarray:
+        """How many rows are within the radius of each query; leaves that lie inside it whole are not looked into."""
+        out = np.zeros(len(q), dtype=np.int64)
+        for leaf, points in enumerate(self.leaf_points):
+            near, far = np.zeros(len(q)), np.zeros(len(q))
+            for j in range(q.shape[1]):
+                below, above = self.lo[leaf, j] - q[:, j], q[:, j] - self.hi[leaf, j]
+                near += np.maximum(np.maximum(below, above), 0) ** 2
+                far += np.maximum(np.abs(below), np.abs(above)) ** 2
+            inside = np.sqrt(far) <= radius * (1 - 1e-9)
+            out[inside] += len(points)
+            at = np.flatnonzero((np.sqrt(near) <= radius) & ~inside)
+            for lo in range(0, len(at), 4096):
+                part = at[lo : lo + 4096]
+                d2 = np.zeros((len(part), len(points)))
+                for j in range(q.shape[1]):
+                    gap = q[part, j, None] - points[None, :, j]
+                    d2 += gap * gap
+                out[part] += (np.sqrt(d2) <= radius).sum(axis=1)
+        return out
+
+
 def middle_cut(values: np.ndarray) -> float:
     """A cut with rows on both sides: the median, or the next value above a heavy minimum."""
     cut = float(np.median(values))
@@ -172,6 +194,46 @@ class Leaves:
     def assign(self, x: np.ndarray) -> np.ndarray:
         return descend(x, *self.table)
 
+    def enclose(self, leaf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Leaves:
+        """Give every node the box of the leaves below it; a leaf that is not named is empty."""
+        width = lo.shape[1] if len(lo) else 1
+        self.lo, self.hi = np.full((len(self.nodes), width), np.inf), np.full((len(self.nodes), width), -np.inf)
+        at = {int(x): i for i, x in enumerate(leaf)}
+        for node in range(len(self.nodes) - 1, -1, -1):  # children come after their parent
+            _, _, low, high, own = self.nodes[node]
+            if own < 0:
+                self.lo[node], self.hi[node] = np.minimum(self.lo[low], self.lo[high]), np.maximum(self.hi[low], self.hi[high])
+            elif own in at:
+                self.lo[node], self.hi[node] = lo[at[own]], hi[at[own]]
+        return self
+
+    def within(self, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(box, leaf) for every leaf whose box is no further than its bound from a box, and the nodes looked at per box.
+
+        The boxes go down the tree together; a branch is entered by those that its box is near enough to.
+        """
+        rows, leaves, looked = [], [], 0
+        stack = [(0, np.arange(len(lo)))]
+        while stack:
+            node, at = stack.pop()
+            looked += len(at)
+            d2 = np.zeros(len(at))
+            with np.errstate(invalid="ignore"):
+                for j in range(lo.shape[1]):
+                    gap = np.maximum(self.lo[node, j] - hi[at, j], 0) + np.maximum(lo[at, j] - self.hi[node, j], 0)
+                    d2 += gap * gap
+            at = at[np.sqrt(d2) <= bound[at]] if np.isfinite(self.lo[node]).all() else at[:0]
+            if not len(at):
+                continue
+            _, _, low, high, own = self.nodes[node]
+            if own < 0:
+                stack += [(high, at), (low, at)]
+            else:
+                rows.append(at)
+                leaves.append(np.full(len(at), own))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *rows]), np.concatenate([none, *leaves]), looked
+
 
 def knn(queries: DataFrame, base: DataFrame, k: int, same: bool = False) -> DataFrame:
     """(id, neighbor, distance, rank) of the k nearest base rows of each query by Euclidean distance.
@@ -228,29 +290,21 @@ def _through_leaves(queries, base, k, same, width, n):
     q = q.withColumn("part", F.pmod(F.xxhash64("id"), split_of(F.col("leaf"))).cast("int")).persist()
     first = _search(q.withColumn("bound", F.lit(float("inf"))), b, k, same, width, splits).persist()
     reach = first.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("bound"))
-    shared = spark.sparkContext.broadcast((leaf_ids, lo, hi, splits))
+    enclosed = spark.sparkContext.broadcast((tree.value.enclose(leaf_ids, lo, hi), splits))
     shape = "id long, vec array<double>, bound double, leaf long, part int"
 
     def route(batches):
-        leaf_ids, lo, hi, splits = shared.value
-        parts = np.array([splits[int(x)] for x in leaf_ids])
+        nodes, splits = enclosed.value
         for pdf in batches:
             x = matrix(pdf["vec"], width)
-            block = max(1, 2_000_000 // max(1, len(leaf_ids)))
-            for s in range(0, len(x), block):
-                d2 = np.zeros((len(x[s : s + block]), len(leaf_ids)))
-                for j in range(width):
-                    v = x[s : s + block, j, None]
-                    gap = np.maximum(lo[None, :, j] - v, 0) + np.maximum(v - hi[None, :, j], 0)
-                    d2 += gap * gap
-                r, c = np.nonzero(np.sqrt(d2) <= pdf["bound"].to_numpy()[s : s + block, None])
-                times = parts[c]
-                r, c = np.repeat(r, times), np.repeat(c, times)
-                part = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                own = (leaf_ids[c] == pdf["leaf"].to_numpy()[s : s + block][r]) & (part == pdf["part"].to_numpy()[s : s + block][r])
-                r, c, part = r[~own], c[~own], part[~own]
-                src = pdf.iloc[s + r]
-                yield pd.DataFrame({"id": src["id"].to_numpy(), "vec": src["vec"].to_numpy(), "bound": src["bound"].to_numpy(), "leaf": leaf_ids[c], "part": part.astype("int32")})
+            r, leaf, _ = nodes.within(x, x, pdf["bound"].to_numpy())
+            times = np.array([splits[int(k)] for k in leaf], dtype=np.int64)
+            r, leaf = np.repeat(r, times), np.repeat(leaf, times)
+            part = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+            own = (leaf == pdf["leaf"].to_numpy()[r]) & (part == pdf["part"].to_numpy()[r])
+            r, leaf, part = r[~own], leaf[~own], part[~own]
+            src = pdf.iloc[r]
+            yield pd.DataFrame({"id": src["id"].to_numpy(), "vec": src["vec"].to_numpy(), "bound": src["bound"].to_numpy(), "leaf": leaf, "part": part.astype("int32")})
 
     routed = q.join(reach, "id", "left").fillna(float("inf"), ["bound"]).select("id", "vec", "leaf", "part", "bound").mapInPandas(route, shape).persist()
     return first.union(_search(routed, b, k, same, width, splits))

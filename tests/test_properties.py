@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewise.functions import tails
-from tablewise.operators import anomalies, clusters, coercion, imputation, learners, measures, missingness, patterns, sampling, studio, transforms
+from tablewise.operators import anomalies, clusters, coercion, imputation, learners, measures, missingness, neighbors, patterns, sampling, studio, transforms
 from tablewise.operators import metadata, timeseries
 from tablewise.sources import files
 
@@ -24,30 +24,65 @@ def test_tails():
     assert tails.ks_sf(0.0, 10, 10) == 1.0
 
 
-def test_dbscan_matches_brute_force(spark):
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal((0, 0), 0.3, (150, 2)), rng.normal((4, 4), 0.3, (150, 2)), rng.uniform(-3, 8, (30, 2))])
-    df = points(spark, x, ["a", "b"])
-    z = (x - x.mean(axis=0)) / x.std(axis=0)
-    eps, least = 0.2, 6
-    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
-    core = (d <= eps).sum(1) >= least
+def density_labels(z, eps, least):
+    """Core rows, and of every row the smallest core row it is connected with; -1 for noise."""
+    near = [np.flatnonzero(np.sqrt(((z - p) ** 2).sum(axis=1)) <= eps) for p in z]
+    core = np.array([len(k) >= least for k in near])
     label = np.full(len(z), -1)
-    for i in np.nonzero(core)[0]:
+    for i in np.flatnonzero(core):
         if label[i] < 0:
             todo, label[i] = [i], i
             while todo:
-                j = todo.pop()
-                for k in np.nonzero((d[j] <= eps) & core)[0]:
-                    if label[k] < 0:
+                for k in near[todo.pop()]:
+                    if core[k] and label[k] < 0:
                         label[k] = i
                         todo.append(k)
-    got = clusters.dbscan(df, "id", ["a", "b"], eps, least, part_rows=40).toPandas().sort_values("id")["cluster"].to_numpy()
-    assert (got[core] >= 0).all()
-    same = lambda v: v[core][:, None] == v[core][None, :]
-    assert (same(got) == same(label)).all()
-    border = ~core & ((d <= eps) & core[None, :]).any(1)
-    assert ((got >= 0) == (core | border)).all()
+    for i in np.flatnonzero(~core):
+        others = near[i][core[near[i]]]
+        if len(others):
+            d = np.sqrt(((z[others] - z[i]) ** 2).sum(axis=1))
+            label[i] = label[others[np.lexsort((others, d))[0]]]
+    return label
+
+
+@pytest.mark.parametrize(("width", "eps", "least", "leaf"), [(2, 0.08, 12, 300), (2, 0.2, 50, 20_000), (3, 0.25, 10, 300), (6, 0.9, 8, 400), (1, 0.001, 5, 50)])
+def test_dbscan_equals_brute_force(spark, monkeypatch, width, eps, least, leaf):
+    monkeypatch.setattr(clusters, "LEAF_ROWS", leaf)
+    rng = np.random.default_rng(width)
+    centres = rng.uniform(-4, 4, (6, width))
+    x = np.concatenate([*(rng.normal(c, s, (700, width)) for c, s in zip(centres, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6))), rng.uniform(-5, 5, (400, width)), np.repeat(centres[:1] + 3, 400, axis=0)])
+    columns = [f"c{i}" for i in range(width)]
+    df = points(spark, x, columns)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    got = clusters.dbscan(df, "id", columns, eps, least).toPandas().sort_values("id")
+    assert got["id"].tolist() == list(range(len(x)))
+    assert (got["cluster"].to_numpy() == density_labels(z, eps, least)).all()
+
+
+def test_dbscan_of_copies(spark):
+    df = points(spark, np.array([[1.0, 2.0]] * 30 + [[5.0, 5.0]]), ["a", "b"])
+    got = {r.id: r.cluster for r in clusters.dbscan(df, "id", ["a", "b"]).collect()}
+    assert got == {**{i: 0 for i in range(30)}, 30: -1}
+    assert clusters.dbscan(df.where("false"), "id", ["a", "b"], 0.5, 3).count() == 0
+
+
+def test_boxes_are_found_down_the_tree():
+    rng = np.random.default_rng(0)
+    looked = []
+    for rows in (4_000, 64_000):
+        x = rng.uniform(size=(rows, 3))
+        tree = neighbors.Leaves(x, rows // 50)
+        leaf = tree.assign(x)
+        names = np.unique(leaf)
+        lo, hi = (np.array([f(x[leaf == k], axis=0) for k in names]) for f in (np.min, np.max))
+        tree.enclose(names, lo, hi)
+        q, bound = rng.uniform(size=(200, 3)), np.full(200, 0.3 / rows ** (1 / 3))
+        at, found, n = tree.within(q, q, bound)
+        gap = np.maximum(np.maximum(lo[None] - q[:, None], q[:, None] - hi[None]), 0)
+        i, j = np.nonzero(np.sqrt((gap**2).sum(axis=2)) <= bound[:, None])
+        assert {*zip(at.tolist(), found.tolist(), strict=True)} == {*zip(i.tolist(), names[j].tolist(), strict=True)}
+        looked.append(n / 200)
+    assert looked[1] < looked[0] + 12  # sixteen times the leaves, four levels more
 
 
 def test_local_outlier_factor_matches_brute_force(spark):
