@@ -43,7 +43,7 @@ def recalibrate(data: DataFrame, name: str = "forest") -> tuple[DataFrame, DataF
     return table, both.select("id", "label", "raw", F.col(best).alias("prob"))
 
 
-def learning_curve(data: DataFrame, problem: str, name: str, sizes: int = 5, seed: int = 42) -> DataFrame:
+def learning_curve(data: DataFrame, problem: str, name: str, sizes: int = 10, seed: int = 42) -> DataFrame:
     """Train and validation score at growing nested samples."""
     train, valid = (p.persist() for p in split(data))
     n, rows = train.count(), []
@@ -54,6 +54,13 @@ def learning_curve(data: DataFrame, problem: str, name: str, sizes: int = 5, see
     return report(data, [(*r, half_up(r[1] - r[2])) for r in rows], "rows long, train_score double, valid_score double, gap double")
 
 
+def plateau(curve: DataFrame, change: float = 0.005) -> DataFrame:
+    """Whether the validation score has moved by less than ``change`` over the last three sizes; null for fewer sizes."""
+    scores = [r["valid_score"] for r in curve.orderBy("rows").collect()]  # a handful of points
+    moved = scores[-1] - scores[-3] if len(scores) > 2 else None
+    return report(curve, [(moved if moved is None else half_up(moved), None if moved is None else abs(moved) < change)], "recent_change double, plateaued boolean")
+
+
 def curve_forecast(curve: DataFrame) -> DataFrame:
     """Score at 2, 5, 10 and 20 times the rows by a power law a - b n^-c; c by a grid, a and b by least squares."""
     pts = sorted((r["rows"], r["valid_score"]) for r in curve.collect())  # a handful of points

@@ -31,7 +31,7 @@ def kmeans_scan(df: DataFrame, key: str, columns: Sequence[str], max_k: int = 6,
     data = assembled(df, key, columns).persist()
     n = data.count()
     rows = []
-    for k in range(2, max(2, min(max_k, n // 3, 15)) + 1):
+    for k in range(2, max(2, min(max_k, n - 1)) + 1):
         model = KMeans(k=k, seed=seed).fit(data)
         rows.append((k, half_up(model.summary.trainingCost, 2), half_up(ClusteringEvaluator().evaluate(model.transform(data)))))
     data.unpersist()

@@ -228,10 +228,10 @@ def rank_ordered_words(df: DataFrame) -> Step:
     return (df.withColumns(made) if made else df), changes
 
 
-def prune_width(df: DataFrame, keep: int = 500) -> Step:
-    """Keep the ``keep`` numeric columns with the highest variance."""
+def prune_width(df: DataFrame, keep: int | None = None) -> Step:
+    """Keep the ``keep`` numeric columns with the highest variance; all if not given."""
     nums = numeric_columns(df)
-    if len(nums) <= keep:
+    if keep is None or len(nums) <= keep:
         return df, []
     row = measure(df, **{f"v{i}": F.var_samp(number(c)) for i, c in enumerate(nums)})
     ranked = sorted(range(len(nums)), key=lambda i: (-(row[f"v{i}"] or 0.0), i))

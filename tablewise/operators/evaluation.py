@@ -309,8 +309,8 @@ def worst_and_best(found: DataFrame, n: int = 10) -> DataFrame:
     return worst.union(found.orderBy(F.desc("score"), "feature", "slice").limit(n).withColumn("side", F.lit("best")))
 
 
-def prescriptions(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """What data to collect, ranked by impact: weak slices, weak classes, rows out of the train range, volume."""
+def prescriptions(train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "label", prediction: str = "prediction", limit: int | None = None) -> DataFrame:
+    """What data to collect, ranked by impact: weak slices, weak classes, rows out of the train range, volume; the first ``limit`` if given."""
     n = test.count()
     overall = measure(test, a=share(col(label) == col(prediction)))["a"]
     rows = [("subgroup", f"{r['feature']}={r['slice']}", r["score"], half_up(-r["gap"] * r["n"] / n)) for r in slices(test, features, label, prediction).where("gap < -0.08").collect()]
@@ -326,7 +326,7 @@ def prescriptions(train: DataFrame, test: DataFrame, features: Sequence[str], la
     if overall < 0.85 and n_train < 5000:
         rows.append(("volume", str(3 * n_train), half_up(overall), 0.02))
     rows.sort(key=lambda r: (-r[3], r[0], r[1]))
-    return report(test, rows[:15], "kind string, what string, score double, impact double")
+    return report(test, rows[:limit], "kind string, what string, score double, impact double")
 
 
 def boundary_rows(df: DataFrame, prob: str = "prob", label: str = "label", prediction: str = "prediction", cut: float = 0.6) -> DataFrame:

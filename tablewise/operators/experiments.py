@@ -104,8 +104,11 @@ def annotations_newest_first(annotations: DataFrame, limit: int = 100) -> DataFr
     return annotations.orderBy(F.desc("created_at"), "id").limit(limit)
 
 
-def failure_patterns(rows: DataFrame, wrong: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
-    """Features that set the rows marked wrong apart: mean shift over 1.5 stds, or a category 1.5 times as common."""
+def failure_patterns(rows: DataFrame, wrong: DataFrame, key: str, features: Sequence[str], top: int | None = None, limit: int | None = None) -> DataFrame:
+    """Features that set the rows marked wrong apart: mean shift over 1.5 stds, or a category 1.5 times as common.
+
+    Of each text column the ``top`` most frequent values of the wrong rows count, and the first ``limit`` findings are kept, if given.
+    """
     bad = rows.join(wrong.select(key).distinct(), key, "left_semi")
     nums = [c for c in features if kind_of(rows, c) == "numeric"]
     texts = [c for c in features if c not in nums]
@@ -121,13 +124,13 @@ def failure_patterns(rows: DataFrame, wrong: DataFrame, key: str, features: Sequ
     if texts:
         total, n_bad = rows.count(), bad.count()
         fa = frequencies(rows, texts)
-        fb = top_values(frequencies(bad, texts), 5)
+        fb = frequencies(bad, texts) if top is None else top_values(frequencies(bad, texts), top)
         both = fb.select("column", "value", F.col("n").alias("nb")).join(fa, ["column", "value"]).select(
             "column", "value", (F.col("nb") / max(1, n_bad)).alias("pb"), (F.col("n") / total).alias("pa"))
-        for r in both.where("pb > 1.5 * pa and pb > 0.2").collect():  # at most 5 per column
+        for r in both.where("pb > 1.5 * pa and pb > 0.2").collect():  # above a share of 0.2, so at most 5 per column
             out.append((r["column"], "category_cluster", r["value"], half_up(r["pb"] / max(r["pa"], 0.01), 2)))
     out.sort(key=lambda r: (-r[3], r[0]))
-    return report(rows, out[:10], "feature string, kind string, value string, strength double")
+    return report(rows, out[:limit], "feature string, kind string, value string, strength double")
 
 
 def pareto_front(df: DataFrame, better: str, cheaper: str, key: str = "id") -> DataFrame:

@@ -126,8 +126,8 @@ def individual_curves(data: DataFrame, model: Model, problem: str, features: Seq
     return answer(model, with_vector(long, replaced(j, F.col("value"))), problem).select("id", "value", rounded(F.col("out")).alias("out"))
 
 
-def interactions(data: DataFrame, model: Model, problem: str, features: Sequence[str], rows: int = 60, limit: int = 15, seed: int = 42) -> DataFrame:
-    """Friedman's H per feature pair over a fixed sample, from single and joint partial dependence."""
+def interactions(data: DataFrame, model: Model, problem: str, features: Sequence[str], rows: int = 200, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Friedman's H per feature pair (of the ``limit`` strongest features, if given) over a fixed sample of ``rows``, from single and joint partial dependence."""
     strong = [f for f, _ in importance(model, features)][:limit] or list(features)[:limit]
     picked = data.orderBy(hash_uniform("id", seed), "id").limit(rows).select("id", "vec")
     points = [(r["id"], r["vec"]) for r in picked.collect()]  # the fixed sample

@@ -132,12 +132,13 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return report(df, rows, "feature_1 string, feature_2 string, correlation double, strength string")
 
 
-def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, n: int = 20) -> DataFrame:
-    """The ``n`` strongest pairs above 0.3."""
-    return (
+def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, n: int | None = 20) -> DataFrame:
+    """The ``n`` strongest pairs above 0.3; all if null."""
+    found = (
         correlation_matrix(df, columns).where("abs(correlation) > 0.3")
-        .orderBy(F.desc(F.abs("correlation")), "feature_1", "feature_2").limit(n)
+        .orderBy(F.desc(F.abs("correlation")), "feature_1", "feature_2")
     )
+    return found if n is None else found.limit(n)
 
 
 def missing_by_column(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -234,7 +235,7 @@ def insights(df: DataFrame, target: str | None = None) -> DataFrame:
             out.append(("high_cardinality", "medium", c, float(u)))
         if u == over["n_rows"]:
             out.append(("potential_id", "high", c, float(u)))
-    for r in outlier_table(df).take(3):
+    for r in outlier_table(df).where("pct > 5").collect():
         if r["pct"] > 5:
             out.append(("outliers", "medium", r["column"], r["pct"]))
     if target:
@@ -256,17 +257,17 @@ def insights(df: DataFrame, target: str | None = None) -> DataFrame:
 def recommendations(df: DataFrame, target: str | None = None) -> DataFrame:
     """Actions as rows (priority, category, action, column, value)."""
     out: list[tuple] = []
-    for r in missing_by_column(df).take(5):
+    for r in missing_by_column(df).collect():
         if r["pct"] > 60:
             out.append(("high", "Missing Data", "drop", r["column"], r["pct"]))
         elif r["pct"] > 5:
             out.append(("medium", "Missing Data", "impute", r["column"], r["pct"]))
-    for r in top_correlations(df, n=3).collect():
+    for r in top_correlations(df, n=None).collect():
         if abs(r["correlation"]) > 0.95:
             out.append(("high", "Multicollinearity", "drop", r["feature_2"], r["correlation"]))
         elif abs(r["correlation"]) > 0.8:
             out.append(("medium", "Multicollinearity", "review", r["feature_2"], r["correlation"]))
-    for r in outlier_table(df).take(3):
+    for r in outlier_table(df).where("pct > 5").collect():
         if r["pct"] > 5:
             out.append(("medium", "Outliers", "cap", r["column"], r["pct"]))
     for r in distributions(df).collect():

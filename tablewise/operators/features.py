@@ -47,24 +47,24 @@ def log_skewed(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return df.withColumns({f"{c}_log": F.log1p(number(c)) for c in hits}) if hits else df
 
 
-def products(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Products of the first 3 pairs of the 5 columns with the highest std / mean."""
+def products(df: DataFrame, columns: Sequence[str] | None = None, top: int | None = None, pairs: int | None = None) -> DataFrame:
+    """Products of pairs of columns, by falling std / mean: of the ``top`` columns only, and the first ``pairs`` only, if given."""
     columns = list(columns or numeric_columns(df))
     row = measure(df, **{f"{k}{i}": f(number(c)) for i, c in enumerate(columns) for k, f in (("s", F.stddev_samp), ("a", F.avg))})
     score = {c: abs(row[f"s{i}"] / row[f"a{i}"]) for i, c in enumerate(columns) if row[f"a{i}"] and row[f"s{i}"] is not None}
-    top = sorted(score, key=lambda c: -score[c])[:5]
-    return df.withColumns({f"{a}_x_{b}": number(a) * number(b) for a, b in list(combinations(top, 2))[:3]}) if len(top) > 1 else df
+    best = sorted(score, key=lambda c: -score[c])[:top]
+    return df.withColumns({f"{a}_x_{b}": number(a) * number(b) for a, b in list(combinations(best, 2))[:pairs]}) if len(best) > 1 else df
 
 
-def ratios(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """a / (b + 1e-8) for pairs of the 5 columns with the highest variance; skipped above 15 columns."""
+def ratios(df: DataFrame, columns: Sequence[str] | None = None, top: int | None = None, pairs: int | None = None) -> DataFrame:
+    """a / (b + 1e-8) for pairs of columns, by falling variance: of the ``top`` columns only, and the first ``pairs`` only, if given."""
     columns = list(columns or numeric_columns(df))
-    if len(columns) > 15 or len(columns) < 2:
+    if len(columns) < 2:
         return df
     row = measure(df, **{f"v{i}": F.var_samp(number(c)) for i, c in enumerate(columns)})
     var = {c: row[f"v{i}"] for i, c in enumerate(columns) if row[f"v{i}"] is not None}
-    top = sorted(var, key=lambda c: -var[c])[:5]
-    return df.withColumns({f"{a}_div_{b}": F.try_divide(number(a), number(b) + 1e-8) for a, b in list(combinations(top, 2))[:10]})
+    best = sorted(var, key=lambda c: -var[c])[:top]
+    return df.withColumns({f"{a}_div_{b}": F.try_divide(number(a), number(b) + 1e-8) for a, b in list(combinations(best, 2))[:pairs]})
 
 
 # Column name endings and their periods.
@@ -131,7 +131,7 @@ def engineer(df: DataFrame, target: str | None = None) -> tuple[DataFrame, DataF
     dates = date_like(df, [target] if target else [])
     steps = [
         ("dates", lambda d: date_parts(d, dates)), ("cycles", cycles), ("logs", lambda d: log_skewed(d, nums)),
-        ("products", lambda d: products(d, nums)), ("ratios", lambda d: ratios(d, nums)),
+        ("products", lambda d: products(d, nums, top=5, pairs=3)), ("ratios", lambda d: ratios(d, nums, top=5, pairs=10)),
         ("frequencies", lambda d: frequency_encode(d, [c for c, u in distinct_counts(d, [t for t in texts if t not in dates and t != target]).items() if u > 5])),
         ("bins", lambda d: quantile_bins(d, nums)), ("lengths", lambda d: text_lengths(d)),
     ]

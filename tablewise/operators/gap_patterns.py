@@ -15,13 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.operators.measures import measure, number
+from tablewise.operators.measures import measure, number, task_sums
 from tablewise.session import cut_lineage
 
 #: Numbers that a task holds before it sends what it has folded.
 HELD = 4_000_000
-#: Tasks in which the sums of all tasks meet.
-MEET = 8
 FOLDED = "pattern binary, n long, factor binary"
 
 
@@ -114,21 +112,11 @@ def folded(df: DataFrame, columns: Sequence[str], mean: np.ndarray, scale: np.nd
 def summed(table: DataFrame, width: int, size: int, own: Callable[[np.ndarray, int, np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all patterns of ``own(columns it has, number of rows, factor)``, ``size`` numbers; each task adds its patterns."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(b: pa.RecordBatch) -> np.ndarray:
         total = np.zeros(size)
-        for b in batches:
-            for pattern, n, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                has = present(pattern, width)
-                total += own(has, n, np.frombuffer(blob).reshape(-1, len(has) + 1))
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                total += np.frombuffer(blob)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    rows = table.mapInArrow(add, "sums binary").repartition(MEET).mapInArrow(meet, "sums binary").collect()  # MEET rows
-    return np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0)
+        for pattern, n, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            has = present(pattern, width)
+            total += own(has, n, np.frombuffer(blob).reshape(-1, len(has) + 1))
+        return total
 
+    return task_sums(table, size, of)

@@ -57,6 +57,27 @@ def measure(df: DataFrame, **exprs: Column) -> Row:
     return Row(**out)
 
 
+def task_sums(rows: DataFrame, size: int, own, meet: int = 8) -> np.ndarray:
+    """The sum over all batches of ``rows`` of ``own(batch)``, ``size`` numbers: a task adds its batches, ``meet`` tasks add the tasks' sums, and the driver gets ``meet`` rows."""
+
+    def add(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += own(b)
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def join(batches):
+        total = np.zeros(size)
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                total += np.frombuffer(blob)
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    met = rows.mapInArrow(add, "sums binary").repartition(meet).mapInArrow(join, "sums binary").collect()
+    return np.sum([np.frombuffer(r["sums"]) for r in met], axis=0)
+
+
 def report(df: DataFrame, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """A small report frame in the session of ``df``."""
     return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
@@ -122,10 +143,9 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of several columns.
 
-    Columns with at most ROWS_PER_TASK values use the exact aggregate. Larger ones
-    are narrowed: a sketch gives a bracket around each wanted rank, a count places
-    the bracket, and the bracket is sketched again until it is small enough for the
-    exact aggregate. Each round is one pass for all columns and ranks together.
+    A task never holds more than ROWS_PER_TASK values of all columns together: columns within their share of that use the exact aggregate. Larger ones
+    are narrowed: a sketch per column gives brackets around its wanted ranks, a count places
+    them, and a bracket is sketched again until its values are within their share too. Each round is one pass for all columns and ranks.
     """
     if not isinstance(columns, Mapping):
         columns = {c: number(c) for c in columns}
@@ -137,13 +157,14 @@ def quantiles(
     counts = measure(df, **{f"n{i}": F.count(cols[c]) for i, c in enumerate(names)})
     n = {c: counts[f"n{i}"] for i, c in enumerate(names)}
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names}
-    small = [c for c in names if 0 < n[c] <= ROWS_PER_TASK]
+    share = ROWS_PER_TASK // len(names)
+    small = [c for c in names if 0 < n[c] <= share]
     if small:
         grid = F.array(*[F.lit(float(p)) for p in probs])
         got = measure(df, **{f"q{i}": F.percentile(cols[c], grid) for i, c in enumerate(small)})
         for i, c in enumerate(small):
             out[c] = list(got[f"q{i}"])
-    large = [c for c in names if n[c] > ROWS_PER_TASK]
+    large = [c for c in names if n[c] > share]
     if large:
         _narrowed_quantiles(df, {c: cols[c] for c in large}, n, probs, out)
     return out
@@ -155,28 +176,27 @@ def _narrowed_quantiles(df, cols, n, probs, out) -> None:
     for _ in range(12):
         if not open_:
             return
-        keys = list(open_)
-        exprs, eps = {}, 2.0 / SKETCH_ACCURACY
-        for i, (c, j) in enumerate(keys):
-            lo, hi, below, inside = open_[c, j]
+        share, eps = ROWS_PER_TASK // len(open_), 2.0 / SKETCH_ACCURACY
+        asked: dict[tuple, list] = {}  # ranks of one bracket come from one aggregate
+        for (c, j), (lo, hi, below, inside) in open_.items():
+            asked.setdefault((c, lo, hi, below, inside), []).append(j)
+        exprs = {}
+        for i, ((c, lo, hi, below, inside), js) in enumerate(asked.items()):
             x = cols[c] if lo is None else F.when(cols[c].between(lo, hi), cols[c])
-            if inside <= ROWS_PER_TASK:
-                f = (probs[j] * (n[c] - 1) - below) / max(1, inside - 1)
-                exprs[f"k{i}"] = F.percentile(x, F.lit(min(1.0, max(0.0, f))))
+            at = [min(1.0, max(0.0, (probs[j] * (n[c] - 1) - below) / max(1, inside - 1))) for j in js]
+            if inside <= share:
+                exprs[f"k{i}"] = F.percentile(x, F.array(*[F.lit(f) for f in at]))
             else:
-                f = (probs[j] * (n[c] - 1) - below) / (inside - 1)
-                exprs[f"k{i}"] = F.percentile_approx(
-                    x, [max(0.0, f - eps), min(1.0, f + eps)], SKETCH_ACCURACY
-                )
+                exprs[f"k{i}"] = F.percentile_approx(x, [g for f in at for g in (max(0.0, f - eps), min(1.0, f + eps))], SKETCH_ACCURACY)
         got = measure(df, **exprs)
         trial = {}
-        for i, (c, j) in enumerate(keys):
-            v = got[f"k{i}"]
-            if isinstance(v, float):
-                out[c][j] = v
-                del open_[c, j]
-            else:
-                trial[c, j] = v
+        for i, ((c, _, _, _, inside), js) in enumerate(asked.items()):
+            for k, j in enumerate(js):
+                if inside <= share:
+                    out[c][j] = got[f"k{i}"][k]
+                    del open_[c, j]
+                else:
+                    trial[c, j] = got[f"k{i}"][2 * k : 2 * k + 2]
         if not trial:
             return
         exprs = {}

@@ -96,8 +96,8 @@ def nmf_topics(df: DataFrame, key: str, column: str, topics: int = 5, size: int
     return top.select("topic", "term", rounded(F.col("weight").cast("double")).alias("weight"), F.col("r").alias("rank")), main, float(err)
 
 
-def causal_edges(df: DataFrame, columns: Sequence[str], limit: int = 50) -> DataFrame:
-    """Pairs with |r| > 0.1 and p < 0.05, pointed from the column that explains more to the one with less variance."""
+def causal_edges(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Pairs with |r| > 0.1 and p < 0.05, pointed from the column that explains more to the one with less variance; the ``limit`` strongest if given."""
     pairs = list(combinations(columns, 2))
     exprs = {}
     for i, (a, b) in enumerate(pairs):

@@ -66,14 +66,14 @@ def diverse(df: DataFrame, key: str, columns: Sequence[str], size: int, seed: in
     return stratified(joined, "cell", key, size, seed).drop("cell")
 
 
-def subsample(df: DataFrame, label: str, key: str, size: int, columns: Sequence[str], strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """Pick a strategy, sample, and compare the class shares before and after."""
+def subsample(df: DataFrame, label: str, key: str, size: int, columns: Sequence[str], strategy: str = "auto", most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pick a strategy (by class if the label has few values, or the table more than ``most`` rows), sample, and compare the class shares before and after."""
     n = df.count()
     if size >= n:
         out, strategy = df, "none"
     else:
         if strategy == "auto":
-            strategy = "stratified" if distinct_counts(df, [label])[label] <= 20 or n > 100_000 else "diversity"
+            strategy = "stratified" if distinct_counts(df, [label])[label] <= 20 or (most is not None and n > most) else "diversity"
         out = (stratified(df, label, key, size) if strategy == "stratified" else boundary(df, label, key, columns, size).drop("part")
                if strategy == "boundary" else diverse(df, key, columns, size))
     a = df.groupBy(col(label).cast("string").alias("label")).agg((F.count("*") / n).alias("before"))
@@ -94,8 +94,8 @@ def quick_split(df: DataFrame, key: str, test: float = 0.25, seed: int = 42) ->
     return df.withColumn("split", F.when(hash_uniform(key, seed) < test, "test").otherwise("train"))
 
 
-def undersample(df: DataFrame, label: str, key: str, ratio: float = 10.0, least: int = 5000, seed: int = 42) -> DataFrame:
-    """Cut every class to the smallest one, when the table is large and very uneven."""
+def undersample(df: DataFrame, label: str, key: str, ratio: float = 10.0, least: int = 0, seed: int = 42) -> DataFrame:
+    """Cut every class to the smallest one, when the table is very uneven (and has more than ``least`` rows)."""
     c = class_counts(df, label).agg(F.max("_n").alias("hi"), F.min("_n").alias("lo"), F.sum("_n").alias("n")).first()
     if c["n"] <= least or c["hi"] / c["lo"] <= ratio:
         return df
@@ -133,10 +133,10 @@ def class_need(df: DataFrame, label: str):
     return c[0][label], c[0]["_n"], c[-1]["_n"] - c[0]["_n"], sum(r["_n"] for r in c)
 
 
-def smote(df: DataFrame, label: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42, ratio: float = 2.0) -> DataFrame:
-    """Raise the smallest class to the largest with interpolated rows; only when uneven and large enough."""
+def smote(df: DataFrame, label: str, key: str, columns: Sequence[str], k: int = 5, seed: int = 42, ratio: float = 2.0, least: int = 0) -> DataFrame:
+    """Raise the smallest class to the largest with interpolated rows, when uneven (and the table has more than ``least`` rows); one row has no neighbour to meet."""
     value, n, need, total = class_need(df, label)
-    if (n + need) / n <= ratio or total <= 50 or n < 6:
+    if (n + need) / n <= ratio or total <= least or n < 2:
         return df.select(*[number(c).alias(c) for c in columns], col(label), F.lit(False).alias("synthetic"))
     small = df.where(col(label) == value)
     return _rebalanced(df, label, columns, between(copies(small, key, need, n, seed), small, key, columns, k, seed), value)

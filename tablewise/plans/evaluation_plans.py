@@ -345,7 +345,7 @@ UNION ALL SELECT 'class', CAST(label AS VARCHAR), round(r, 4), round((0.8 - r) *
 UNION ALL SELECT 'volume', CAST(3 * count(*) AS VARCHAR), round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 4), 0.02 FROM {SL} HAVING count(*) < 5000 AND avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) < 0.85) z ORDER BY impact DESC, kind, what LIMIT 15""")
 def ev20(t):
     p = t.predictions
-    return E.prescriptions(p.where("model = 0"), p.where("model = 2"), ["n_chars", "lang", "source"])
+    return E.prescriptions(p.where("model = 0"), p.where("model = 2"), ["n_chars", "lang", "source"], limit=15)
 
 
 @query("EV23", "SELECT count(*) FILTER (WHERE greatest(prob, 1 - prob) < 0.6) AS near, round(100.0 * count(*) FILTER (WHERE greatest(prob, 1 - prob) < 0.6) / count(*), 2) AS near_pct, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FILTER (WHERE greatest(prob, 1 - prob) < 0.6), 4) AS accuracy FROM {predictions} WHERE model = 0")

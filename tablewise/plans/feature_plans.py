@@ -53,14 +53,14 @@ def _case(k, table):
 
 @query("FE4", f"WITH t AS ({_top('abs(stddev_samp({c}) / avg({c}))')}) SELECT event_id, " + ", ".join(f"round({_case(1, 't')} * {_case(k, 't')}, 6) AS p{k - 1}" for k in (2, 3, 4)) + " FROM {skewed}")
 def fe4(t):
-    df = A.products(t.skewed.select("event_id", *FEATURES), FEATURES)
+    df = A.products(t.skewed.select("event_id", *FEATURES), FEATURES, top=5, pairs=3)
     new = [c for c in df.columns if "_x_" in c]
     return df.select("event_id", *[F.round(c, 6).alias(f"p{i + 1}") for i, c in enumerate(new)])
 
 
 @query("FE5", f"WITH t AS ({_top('var_samp({c})')}) SELECT event_id, " + ", ".join(f"round({_case(a, 't')} / ({_case(b, 't')} + 1e-8), 2) AS q{i + 1}" for i, (a, b) in enumerate([(1, 2), (1, 3), (2, 3)])) + " FROM {skewed} WHERE small_int IS NOT NULL")
 def fe5(t):
-    df = A.ratios(t.skewed.select("event_id", *FEATURES), FEATURES)
+    df = A.ratios(t.skewed.select("event_id", *FEATURES), FEATURES, top=5, pairs=10)
     new = [c for c in df.columns if "_div_" in c]
     return df.select("event_id", *[F.round(new[j], 2).alias(f"q{i + 1}") for i, j in enumerate((0, 1, 3))])
 

@@ -175,17 +175,17 @@ def ml17(t):
 
 @query("ML18")
 def ml18(t):
-    return L.bagging(table(t), CLF, "tree", 3)
+    return L.bagging(table(t), CLF, "tree", 5)
 
 
 @query("ML19")
 def ml19(t):
-    return L.seeds(table(t), CLF, "forest", 3)
+    return L.seeds(table(t), CLF, "forest", 5)
 
 
 @query("ML20")
 def ml20(t):
-    return L.search(table(t), CLF, "tree", L.grid("tree")[:4], 2)
+    return L.search(table(t), CLF, "tree", L.grid("tree"), 2)
 
 
 @query("ML21")
@@ -237,7 +237,7 @@ def ml30(t):
 @query("ML31")
 def ml31(t):
     _, test, m = fitted(t, "tree")
-    return L.permutation_importance(test, m, CLF, FEATURES, 2)
+    return L.permutation_importance(test, m, CLF, FEATURES, 10)
 
 
 @query("ML31_refit")
@@ -280,7 +280,7 @@ def ts13(t):
 
 @query("TS14")
 def ts14(t):
-    return Z.forecast_interval(t.series, ["event_type"], "day", "total", 7, "ridge", refits=8)
+    return Z.forecast_interval(t.series, ["event_type"], "day", "total", 7, "ridge")
 
 
 # Evaluation with models
@@ -293,12 +293,17 @@ def ev7(t):
 
 @query("EV8")
 def ev8(t):
-    return S.learning_curve(table(t), CLF, "tree", 4)
+    return S.learning_curve(table(t), CLF, "tree", 10)
+
+
+@query("EV8_plateau")
+def ev8_plateau(t):
+    return S.plateau(S.learning_curve(table(t), CLF, "tree", 10))
 
 
 @query("EV8_forecast")
 def ev8_forecast(t):
-    return S.curve_forecast(S.learning_curve(table(t), CLF, "tree", 4))
+    return S.curve_forecast(S.learning_curve(table(t), CLF, "tree", 10))
 
 
 @query("EV21")
@@ -382,7 +387,7 @@ def ex4(t):
 @query("EX5")
 def ex5(t):
     _, test, m = fitted(t, "tree")
-    return X.partial_dependence(test, m, CLF, FEATURES, ["f1", "f2"], 12)
+    return X.partial_dependence(test, m, CLF, FEATURES, ["price", "f1", "f2"], 50)
 
 
 @query("EX5_curves")
@@ -394,7 +399,7 @@ def ex5_curves(t):
 @query("EX6")
 def ex6(t):
     _, test, m = fitted(t, "tree")
-    return X.interactions(test, m, CLF, FEATURES, 40)
+    return X.interactions(test, m, CLF, FEATURES)
 
 
 @query("EX7")

@@ -192,7 +192,7 @@ c AS (SELECT o_orderstatus AS v, count(*) / (SELECT CAST(count(*) AS DOUBLE) FRO
 SELECT 'o_totalprice' AS feature, 'value_cluster' AS kind, CAST(NULL AS VARCHAR) AS value, round(z, 2) AS strength FROM z WHERE z > 1.5 UNION ALL SELECT 'o_orderstatus', 'category_cluster', v, round(pb / greatest(pa, 0.01), 2) FROM c JOIN a USING (v) WHERE pb > 1.5 * pa AND pb > 0.2""")
 def xp10(t):
     o = t.orders
-    return X.failure_patterns(o, o.where("o_totalprice > 450000 and o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", ["o_totalprice", "o_custkey", "o_orderstatus"])
+    return X.failure_patterns(o, o.where("o_totalprice > 450000 and o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", ["o_totalprice", "o_custkey", "o_orderstatus"], top=5, limit=10)
 
 
 @query("ML24", "SELECT id, score, cost FROM {experiments} e WHERE NOT EXISTS (SELECT 1 FROM {experiments} o WHERE o.score >= e.score AND o.cost <= e.cost AND (o.score > e.score OR o.cost < e.cost))")

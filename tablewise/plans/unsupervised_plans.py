@@ -44,7 +44,7 @@ def sm5(t):
 
 @query("SM6", f"SELECT event_id, rare FROM (SELECT *, row_number() OVER (PARTITION BY rare ORDER BY {U('event_id')}, event_id) AS k, min(n) OVER () AS m FROM (SELECT event_id, value > 300 AS rare, count(*) OVER (PARTITION BY value > 300) AS n FROM events) x) y WHERE k <= m")
 def sm6(t):
-    return S.undersample(t.events.select("event_id", (F.col("value") > 300).alias("rare")), "rare", "event_id")
+    return S.undersample(t.events.select("event_id", (F.col("value") > 300).alias("rare")), "rare", "event_id", least=5000)
 
 
 def balance(df, label):
