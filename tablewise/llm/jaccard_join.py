@@ -10,8 +10,10 @@ Parts that are empty in both sets prove nothing: a cut has spare fragments for t
 empty parts than that uses the cut of another order too, and so on until it has few. Of two similar sets the one that stops first
 has few empty parts in a cut that both use, so no pair is lost.
 
-*Overlaps.* Candidates are connected to groups. Sets of one group are compared block by block: in each fragment the partial overlaps of all pairs
-of the block are counted by one product of membership matrices, summed over the fragments, and held against the threshold.
+*Overlaps.* Candidates are connected to groups, and the pairs of a group are held against the threshold twice. First by counts: for each fragment a set has the number
+of its n-grams there, two sets share no more of a fragment than the smaller number, and the sum of these partial overlaps over the fragments bounds the whole. Pairs
+that the bound allows form new, smaller groups, and only their texts are sent: in each fragment the partial overlaps of all pairs
+of a block are counted by one product of membership matrices, and summed over the fragments.
 Groups larger than a block are split: every block meets some pivots of its group first, then each pair of blocks that don't already belong to one
 component meets. What leaves a task is a forest of links, never the pairs.
 
@@ -143,17 +145,26 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def histograms(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """How many n-grams of each set fall into each fragment of the order; a set has a power of two of fragments, about a fourth of its size."""
+    out = []
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        bits = min(12, max(4, (hi - lo).bit_length() - 2))
+        out.append(np.bincount((values[lo:hi] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4").tobytes())
+    return out
+
+
 def sized(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, ``own``, ``n_shingles`` and ``vertex``, the name of its set, of every row of ``docs(doc_id, text, own)``."""
+    """``doc_id``, ``own``, ``n_shingles``, ``vertex`` (the name of its set) and ``counts`` (of its n-grams by fragment) of every row of ``docs(doc_id, text, own)``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in texts(b.column(1)):
                 values, offsets = gram_sets(t, size)
                 numbers, own = (b.column(i).slice(t.first, len(t)) for i in (0, 2))
-                yield pa.record_batch([numbers, own, pa.array(np.diff(offsets)), _signed(vertices(values, offsets))], ["doc_id", "own", "n_shingles", "vertex"])
+                yield pa.record_batch([numbers, own, pa.array(np.diff(offsets)), _signed(vertices(values, offsets)), pa.array(histograms(values, offsets), pa.binary())], ["doc_id", "own", "n_shingles", "vertex", "counts"])
 
-    return docs.mapInArrow(of, "doc_id long, own long, n_shingles long, vertex long")
+    return docs.mapInArrow(of, "doc_id long, own long, n_shingles long, vertex long, counts binary")
 
 
 def candidates(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -227,15 +238,30 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def links(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of links with the components of all links between the sets."""
-    size = np.array([len(s) for s in sets])
-    common = overlaps(sets)
+def most_in_common(counts: list[np.ndarray]) -> np.ndarray:
+    """No pair of sets can have more n-grams in common: in a fragment as many as the set with fewer has there, summed over the fragments.
+
+    Sets with different numbers of fragments are compared in the fewer, of which each is several of the other.
+    """
+    m = len(counts)
+    total = np.zeros((m, m), np.int64)
+    width = np.array([len(c) for c in counts])
+    for few in np.unique(width):
+        rows, more = np.flatnonzero(width == few), np.flatnonzero(width >= few)
+        folded = np.stack([counts[j].reshape(few, -1).sum(axis=1) for j in more]).astype(np.int32)
+        for i in rows.tolist():
+            total[i, more] = np.minimum(counts[i].astype(np.int32), folded).sum(axis=1)
+            total[more, i] = total[i, more]
+    return total
+
+
+def links(names: np.ndarray, size: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of links with the components of all links between sets of these sizes and intersections."""
     linked = den * common >= num * (size[:, None] + size[None, :] - common)
     np.fill_diagonal(linked, False)
-    root = np.full(len(sets), -1)
+    root = np.full(len(names), -1)
     a, b = [], []
-    for i in range(len(sets)):
+    for i in range(len(names)):
         if root[i] < 0:
             root[i], queue = i, [i]
             while queue:
@@ -256,7 +282,7 @@ def _compared(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
         def found() -> Iterator[pa.RecordBatch]:
             if len(names) > 1:
-                a, b = links(np.array(names), sets, num, den)
+                a, b = links(np.array(names), np.array([len(s) for s in sets]), overlaps(sets), num, den)
                 if len(a):
                     yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -282,27 +308,63 @@ def _texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
     return docs.join(placed.hint("merge"), ["doc_id", "own"])
 
 
-def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """``doc_id``, ``own``, ``n_shingles``, ``component_id`` and ``keep_own`` of every row: the last two name the row of its component that stays."""
-    docs = docs.select(number().alias("doc_id"), "text", text_key().alias("own"))
-    members = written(sized(docs, size), "sets")
-    classes = members.where("n_shingles > 0").groupBy("vertex").agg(F.min(F.struct("doc_id", "own")).alias("least"), F.first("n_shingles").alias("n")).select("vertex", "least.*", "n")
-    edges = written(candidates(docs, size, num, den), "candidates")
+def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that the counts by fragment allow among the sets of each ``unit`` of ``rows(unit, vertex, n, counts)``."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, names, sizes, counts = None, [], [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(names) > 1:
+                a, b = links(np.array(names), np.array(sizes), most_in_common(counts), num, den)
+                if len(a):
+                    yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for u, vertex, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if u != unit:
+                    yield from found()
+                    unit, names, sizes, counts = u, [], [], []
+                if not names or names[-1] != vertex:
+                    names.append(vertex)
+                    sizes.append(n)
+                    counts.append(np.frombuffer(blob, "<u4"))
+        yield from found()
+
+    rows = rows.select("unit", "vertex", "n", "counts")
+    return rows.repartition(tasks(rows), "unit").sortWithinPartitions("unit", "vertex").mapInArrow(of, _LINKS)
+
+
+def _met(edges: DataFrame, classes: DataFrame, compared) -> DataFrame:
+    """Links that ``compared`` finds between the sets of each component of ``edges``, block by block; as a written table."""
     groups = written(components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("group")).join(classes, "vertex"), "groups")
     totals = groups.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")).where("sets > 1")
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("vertex", F.lit(1)), F.ceil(F.col("sets") / PIVOTS)) == 0)
     placed = groups.join(totals, "group").withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    placed = placed.select("doc_id", "own", "vertex", F.xxhash64("group", "block").alias("unit"))
-    found = written(_compared(_texts(docs, placed).select("unit", "vertex", "text"), size, num, den), "links")
+    found = written(compared(placed.withColumn("unit", F.xxhash64("group", "block"))), "links")
     large = groups.join(totals.where("blocks > 1"), "group")
-    if not large.isEmpty():
-        found = found.unionByName(written(_across(docs, large, found, size, num, den), "links"))
+    if large.isEmpty():
+        return found
+    return found.unionByName(written(compared(_across(large, found)), "links"))
+
+
+def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``doc_id``, ``own``, ``n_shingles``, ``component_id`` and ``keep_own`` of every row: the last two name the row of its component that stays."""
+    docs = docs.select(number().alias("doc_id"), "text", text_key().alias("own"))
+    members = written(sized(docs, size), "sets")
+    least = F.min(F.struct("doc_id", "own")).alias("least")
+    classes = members.where("n_shingles > 0").groupBy("vertex").agg(least, F.first("n_shingles").alias("n"), F.first("counts").alias("counts")).select("vertex", "least.*", "n", "counts")
+    edges = written(candidates(docs, size, num, den), "candidates")
+    possible = _met(edges, classes, lambda rows: _possible(rows, num, den))
+    by_text = lambda rows: _compared(_texts(docs, rows.select("doc_id", "own", "vertex", "unit")).select("unit", "vertex", "text"), size, num, den)
+    found = _met(possible, classes.drop("counts"), by_text)
     roots = components(found)
     named = classes.select("vertex", "doc_id", "own").join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "own")).alias("least"))
+    least = named.groupBy("root").agg(least)
     named = named.join(least, "root").select("vertex", F.col("least.doc_id").alias("component_id"), F.col("least.own").alias("keep_own"))
+    members = members.drop("counts")
     alone = members.where("n_shingles = 0").select("doc_id", "own", "n_shingles", F.col("doc_id").alias("component_id"), F.col("own").alias("keep_own"))
     return members.where("n_shingles > 0").join(named, "vertex").select(alone.columns).unionByName(alone)
 
@@ -316,8 +378,8 @@ def similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataF
     return _connected(docs, size, num, den).select(given(), "n_shingles", given("component_id"))
 
 
-def _across(docs: DataFrame, large: DataFrame, found: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links between the blocks of large groups.
+def _across(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the pairs of blocks of large groups, with their ``unit``.
 
     New blocks are made of sets that are already connected, where there are enough of them; two blocks meet unless both are of the same component.
     """
@@ -330,13 +392,12 @@ def _across(docs: DataFrame, large: DataFrame, found: DataFrame, size: int, num:
     rows = rows.withColumn("one", F.when(alone, F.col("root"))).withColumn(
         "block", F.when(alone, F.xxhash64("root", F.pmod(F.xxhash64("vertex"), parts))).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("root"), F.col("blocks"))))
     )
-    rows = written(rows.select("group", "block", "one", "vertex", "doc_id", "own"), "blocks")
+    rows = written(rows.drop("root", "n_sets", "n_grams", "sets", "grams", "blocks"), "blocks")
     blocks = rows.groupBy("group", "block").agg(F.first("one").alias("one"))
     other = blocks.select("group", F.col("block").alias("block_b"), F.col("one").alias("one_b"))
     pairs = blocks.join(other, "group").where("block < block_b OR (block = block_b AND one IS NULL)").where("one IS NULL OR one_b IS NULL OR one <> one_b")
     pairs = pairs.select("group", F.xxhash64("block", "block_b").alias("unit"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
-    placed = rows.join(pairs, ["group", "block"]).select("doc_id", "own", "vertex", "unit")
-    return _compared(_texts(docs, placed).select("unit", "vertex", "text"), size, num, den)
+    return rows.join(pairs, ["group", "block"])
 
 
 def without_similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:

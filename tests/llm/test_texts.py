@@ -110,6 +110,16 @@ def test_every_similar_pair_shares_a_key():
                 assert set(key[of == 0]) & set(key[of == 1]), (num, den, n, cut)
 
 
+def test_counts_by_fragment_bound_the_overlap():
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool[: int(rng.integers(1, 5000))], int(rng.integers(1, 3000)))) for _ in range(40)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    counts = [np.frombuffer(x, "<u4") for x in jaccard_join.histograms(np.concatenate(sets), offsets)]
+    bound, common = jaccard_join.most_in_common(counts), jaccard_join.overlaps(sets)
+    assert (bound >= common).all() and (np.diag(bound) == offsets[1:] - offsets[:-1]).all() and (bound == bound.T).all()
+
+
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5), (3, 4)])
 def test_sets_of_every_size_end_with_few_empty_parts(num, den):
     """The smallest set that uses a cut, one of the class before, has no more empty parts than allowed in most orders."""
