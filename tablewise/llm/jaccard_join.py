@@ -25,6 +25,7 @@ have one n-gram, their whole sequence; rows that repeat a ``doc_id`` and its tex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,8 @@ from tablewise.llm.shared import given, number, one_row_each, tasks, text_key, w
 #: Sets and n-grams that meet in a block.
 BLOCK_SETS = 1000
 BLOCK_GRAMS = 1_000_000
+#: Sets whose counts by fragment meet in a block.
+BLOCK_COUNTS = 2000
 #: Entries of a membership matrix.
 MATRIX = 16_000_000
 #: About as many sets of a large group meet every block of it.
@@ -244,7 +247,7 @@ def most_in_common(counts: list[np.ndarray]) -> np.ndarray:
     Sets with different numbers of fragments are compared in the fewer, of which each is several of the other.
     """
     m = len(counts)
-    total = np.zeros((m, m), np.int64)
+    total = np.zeros((m, m), np.int32)
     width = np.array([len(c) for c in counts])
     for few in np.unique(width):
         rows, more = np.flatnonzero(width == few), np.flatnonzero(width >= few)
@@ -257,7 +260,7 @@ def most_in_common(counts: list[np.ndarray]) -> np.ndarray:
 
 def links(names: np.ndarray, size: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of links with the components of all links between sets of these sizes and intersections."""
-    linked = den * common >= num * (size[:, None] + size[None, :] - common)
+    linked = common.astype(np.int64) * (den + num) >= num * (size[:, None] + size[None, :])
     np.fill_diagonal(linked, False)
     root = np.full(len(names), -1)
     a, b = [], []
@@ -335,19 +338,45 @@ def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition(tasks(rows), "unit").sortWithinPartitions("unit", "vertex").mapInArrow(of, _LINKS)
 
 
-def _met(edges: DataFrame, classes: DataFrame, compared) -> DataFrame:
-    """Links that ``compared`` finds between the sets of each component of ``edges``, block by block; as a written table."""
+def _met(edges: DataFrame, classes: DataFrame, compared, num: int, den: int, sets: int, grams: int | None = None) -> DataFrame:
+    """Links that ``compared`` finds between the sets of each component of ``edges``, in blocks of so many sets and n-grams; as a written table."""
     groups = written(components(edges).select(F.col("node").alias("vertex"), F.col("root").alias("group")).join(classes, "vertex"), "groups")
+    cuts_ = lambda n, size: F.greatest(F.ceil(n / sets), F.ceil(size / grams) if grams else F.lit(1))
     totals = groups.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
-    totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")).where("sets > 1")
+    totals = totals.withColumn("blocks", cuts_(F.col("sets"), F.col("grams")).cast("int")).where("sets > 1")
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("vertex", F.lit(1)), F.ceil(F.col("sets") / PIVOTS)) == 0)
     placed = groups.join(totals, "group").withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
     found = written(compared(placed.withColumn("unit", F.xxhash64("group", "block"))), "links")
-    large = groups.join(totals.where("blocks > 1"), "group")
+    large = groups.join(totals.where("blocks > 1").select("group"), "group")
     if large.isEmpty():
         return found
-    return found.unionByName(written(compared(_across(large, found)), "links"))
+    return found.unionByName(written(compared(_across(large, found, cuts_, num, den)), "links"))
+
+
+def _across(large: DataFrame, found: DataFrame, cuts_, num: int, den: int) -> DataFrame:
+    """Rows of the pairs of blocks of large groups, with their ``unit``.
+
+    A block has sets of one band of sizes, each band up to ``den / num`` times as large as the one before, and of sets that are already connected, where there are
+    enough of them; two blocks meet unless their sizes are too far apart for any link, or both are of one component.
+    """
+    band = F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int") if num < den else F.col("n")
+    roots = components(found).withColumnRenamed("node", "vertex")
+    rows = large.join(roots, "vertex", "left").withColumns({"root": F.coalesce("root", "vertex"), "band": band})
+    count = [F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams")]
+    one = rows.groupBy("group", "band", "root").agg(*count).withColumn("cuts", cuts_(F.col("sets"), F.col("grams")))
+    alone = one.where(cuts_(F.col("sets") * 2, F.col("grams") * 2) > 1).select("group", "band", "root", F.col("cuts").alias("own_cuts"))
+    rows = rows.join(alone, ["group", "band", "root"], "left")
+    others = rows.where("own_cuts IS NULL").groupBy("group", "band").agg(*count).select("group", "band", cuts_(F.col("sets"), F.col("grams")).alias("cuts"))
+    rows = rows.join(others, ["group", "band"], "left").withColumn("one", F.when(F.col("own_cuts").isNotNull(), F.col("root")))
+    rows = rows.withColumn("block", F.when(F.col("own_cuts").isNotNull(), F.xxhash64("root", "band", F.pmod(F.xxhash64("vertex"), F.col("own_cuts")))).otherwise(F.xxhash64("group", "band", F.pmod(F.xxhash64("root"), F.col("cuts")))))
+    rows = written(rows.drop("root", "band", "own_cuts", "cuts"), "blocks")
+    blocks = rows.groupBy("group", "block").agg(F.first("one").alias("one"), F.min("n").alias("low"), F.max("n").alias("high"))
+    other = blocks.select("group", *[F.col(c).alias(f"{c}_b") for c in ("block", "one", "low", "high")])
+    pairs = blocks.join(other, "group").where("block < block_b OR (block = block_b AND one IS NULL)").where("one IS NULL OR one_b IS NULL OR one <> one_b")
+    pairs = pairs.where((F.col("high") * den >= F.col("low_b") * num) & (F.col("high_b") * den >= F.col("low") * num))
+    pairs = pairs.select("group", F.xxhash64("block", "block_b").alias("unit"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
+    return rows.join(pairs, ["group", "block"])
 
 
 def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -357,9 +386,9 @@ def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     least = F.min(F.struct("doc_id", "own")).alias("least")
     classes = members.where("n_shingles > 0").groupBy("vertex").agg(least, F.first("n_shingles").alias("n"), F.first("counts").alias("counts")).select("vertex", "least.*", "n", "counts")
     edges = written(candidates(docs, size, num, den), "candidates")
-    possible = _met(edges, classes, lambda rows: _possible(rows, num, den))
+    possible = _met(edges, classes, lambda rows: _possible(rows, num, den), num, den, BLOCK_COUNTS)
     by_text = lambda rows: _compared(_texts(docs, rows.select("doc_id", "own", "vertex", "unit")).select("unit", "vertex", "text"), size, num, den)
-    found = _met(possible, classes.drop("counts"), by_text)
+    found = _met(possible, classes.drop("counts"), by_text, num, den, BLOCK_SETS, BLOCK_GRAMS)
     roots = components(found)
     named = classes.select("vertex", "doc_id", "own").join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     least = named.groupBy("root").agg(least)
@@ -378,28 +407,6 @@ def similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataF
     return _connected(docs, size, num, den).select(given(), "n_shingles", given("component_id"))
 
 
-def _across(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of the pairs of blocks of large groups, with their ``unit``.
-
-    New blocks are made of sets that are already connected, where there are enough of them; two blocks meet unless both are of the same component.
-    """
-    roots = components(found).withColumnRenamed("node", "vertex")
-    rows = large.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    own = rows.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n_sets"), F.sum("n").alias("n_grams"))
-    parts = F.greatest(F.ceil(F.col("n_sets") / BLOCK_SETS), F.ceil(F.col("n_grams") / BLOCK_GRAMS))
-    alone = (F.col("n_sets") * 2 >= BLOCK_SETS) | (F.col("n_grams") * 2 >= BLOCK_GRAMS)
-    rows = rows.join(own, ["group", "root"])
-    rows = rows.withColumn("one", F.when(alone, F.col("root"))).withColumn(
-        "block", F.when(alone, F.xxhash64("root", F.pmod(F.xxhash64("vertex"), parts))).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("root"), F.col("blocks"))))
-    )
-    rows = written(rows.drop("root", "n_sets", "n_grams", "sets", "grams", "blocks"), "blocks")
-    blocks = rows.groupBy("group", "block").agg(F.first("one").alias("one"))
-    other = blocks.select("group", F.col("block").alias("block_b"), F.col("one").alias("one_b"))
-    pairs = blocks.join(other, "group").where("block < block_b OR (block = block_b AND one IS NULL)").where("one IS NULL OR one_b IS NULL OR one <> one_b")
-    pairs = pairs.select("group", F.xxhash64("block", "block_b").alias("unit"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
-    return rows.join(pairs, ["group", "block"])
-
-
 def without_similar(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Exactly one row of each component, with all its columns: one with the smallest ``doc_id``, of several the one with the smallest text key, then columns.
 

@@ -76,6 +76,7 @@ def test_frequent_prefixes_get_longer():
 def test_jaccard(documents, odd, empty, size, num, den, monkeypatch):
     for docs, block in ((documents, 1000), (documents, 3), (odd, 1000)):
         monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+        monkeypatch.setattr(jaccard_join, "BLOCK_COUNTS", block)
         sets = {}
         for number, text in plain(docs):
             w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
