@@ -153,10 +153,16 @@ def histograms(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     out = []
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         bits = min(12, max(4, (hi - lo).bit_length() - 2))
-        out.append(np.bincount((values[lo:hi] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4").tobytes())
+        counts = np.bincount((values[lo:hi] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        width = 1 if counts.max() < 256 else 4
+        out.append(bytes([width]) + counts.astype(f"<u{width}").tobytes())
     return out
 
 
+def _counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int32)
+
+
 def sized(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id``, ``own``, ``n_shingles``, ``vertex`` (the name of its set) and ``counts`` (of its n-grams by fragment) of every row of ``docs(doc_id, text, own)``."""
 
@@ -241,26 +247,37 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def most_in_common(counts: list[np.ndarray]) -> np.ndarray:
-    """No pair of sets can have more n-grams in common: in a fragment as many as the set with fewer has there, summed over the fragments.
+def most_in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """No set of ``a`` and set of ``b`` can have more n-grams in common: in a fragment as many as the one with fewer has there, summed over the fragments.
 
-    Sets with different numbers of fragments are compared in the fewer, of which each is several of the other.
+    Sets with different numbers of fragments are compared in the fewer, of which each is several of the other. The smaller of two counts is the number of thresholds that both reach,
+    so small counts are summed by products of 0/1 matrices.
     """
-    m = len(counts)
-    total = np.zeros((m, m), np.int32)
-    width = np.array([len(c) for c in counts])
-    for few in np.unique(width):
-        rows, more = np.flatnonzero(width == few), np.flatnonzero(width >= few)
-        folded = np.stack([counts[j].reshape(few, -1).sum(axis=1) for j in more]).astype(np.int32)
-        for i in rows.tolist():
-            total[i, more] = np.minimum(counts[i].astype(np.int32), folded).sum(axis=1)
-            total[more, i] = total[i, more]
+    total = np.zeros((len(a), len(b)))
+    wide_a, wide_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for na in np.unique(wide_a):
+        for nb in np.unique(wide_b):
+            at, bt, few = np.flatnonzero(wide_a == na), np.flatnonzero(wide_b == nb), min(na, nb)
+            x = np.stack([a[i] for i in at]).reshape(len(at), few, -1).sum(axis=2)
+            y = np.stack([b[i] for i in bt]).reshape(len(bt), few, -1).sum(axis=2)
+            most = int(min(x.max(), y.max()))
+            if most <= 64:
+                part = np.zeros((len(at), len(bt)), np.float32)
+                for t in range(1, most + 1):
+                    part += (x >= t).astype(np.float32) @ (y >= t).astype(np.float32).T
+            else:
+                part = np.stack([np.minimum(r, y).sum(axis=1) for r in x])
+            total[np.ix_(at, bt)] = part
     return total
 
 
-def links(names: np.ndarray, size: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of links with the components of all links between sets of these sizes and intersections."""
-    linked = common.astype(np.int64) * (den + num) >= num * (size[:, None] + size[None, :])
+def allowed(common: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of the sizes ``a`` and ``b`` with so many n-grams in common reach the threshold."""
+    return common.astype(np.float64) * (den + num) >= num * (a[:, None] + b[None, :])
+
+
+def links(names: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of links with the components of all links between the sets."""
     np.fill_diagonal(linked, False)
     root = np.full(len(names), -1)
     a, b = [], []
@@ -285,7 +302,8 @@ def _compared(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
         def found() -> Iterator[pa.RecordBatch]:
             if len(names) > 1:
-                a, b = links(np.array(names), np.array([len(s) for s in sets]), overlaps(sets), num, den)
+                size = np.array([len(s) for s in sets])
+                a, b = links(np.array(names), allowed(overlaps(sets), size, size, num, den))
                 if len(a):
                     yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -312,30 +330,38 @@ def _texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that the counts by fragment allow among the sets of each ``unit`` of ``rows(unit, vertex, n, counts)``."""
+    """Links that the counts by fragment allow among the sets of each ``unit`` of ``rows(unit, block, vertex, n, counts)``: between its two blocks, or in its only one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, names, sizes, counts = None, [], [], []
+        unit, blocks = None, {}
 
         def found() -> Iterator[pa.RecordBatch]:
-            if len(names) > 1:
-                a, b = links(np.array(names), np.array(sizes), most_in_common(counts), num, den)
-                if len(a):
-                    yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            sides = [tuple(map(list, zip(*x, strict=True))) for x in blocks.values()]
+            if not sides or len(sides) == 1 and len(sides[0][0]) < 2:
+                return
+            (a, size_a, counts_a), (b, size_b, counts_b) = sides[0], sides[-1]
+            linked = allowed(most_in_common(counts_a, counts_b), np.array(size_a), np.array(size_b), num, den)
+            names = a
+            if len(sides) == 2:
+                names, cross = a + b, linked
+                linked = np.zeros((len(names), len(names)), bool)
+                linked[: len(a), len(a) :], linked[len(a) :, : len(a)] = cross, cross.T
+            one, other = links(np.array(names), linked)
+            if len(one):
+                yield pa.record_batch([pa.array(one), pa.array(other)], ["a", "b"])
 
         for batch in batches:
-            for u, vertex, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for u, block, vertex, n, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if u != unit:
                     yield from found()
-                    unit, names, sizes, counts = u, [], [], []
-                if not names or names[-1] != vertex:
-                    names.append(vertex)
-                    sizes.append(n)
-                    counts.append(np.frombuffer(blob, "<u4"))
+                    unit, blocks = u, {}
+                side = blocks.setdefault(block, [])
+                if not side or side[-1][0] != vertex:
+                    side.append((vertex, n, _counts(blob)))
         yield from found()
 
-    rows = rows.select("unit", "vertex", "n", "counts")
-    return rows.repartition(tasks(rows), "unit").sortWithinPartitions("unit", "vertex").mapInArrow(of, _LINKS)
+    rows = rows.select("unit", F.col("block").cast("long").alias("block"), "vertex", "n", "counts")
+    return rows.repartition(tasks(rows), "unit").sortWithinPartitions("unit", "block", "vertex").mapInArrow(of, _LINKS)
 
 
 def _met(edges: DataFrame, classes: DataFrame, compared, num: int, den: int, sets: int, grams: int | None = None) -> DataFrame:

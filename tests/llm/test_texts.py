@@ -116,9 +116,17 @@ def test_counts_by_fragment_bound_the_overlap():
     pool = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
     sets = [np.unique(rng.choice(pool[: int(rng.integers(1, 5000))], int(rng.integers(1, 3000)))) for _ in range(40)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    counts = [np.frombuffer(x, "<u4") for x in jaccard_join.histograms(np.concatenate(sets), offsets)]
-    bound, common = jaccard_join.most_in_common(counts), jaccard_join.overlaps(sets)
-    assert (bound >= common).all() and (np.diag(bound) == offsets[1:] - offsets[:-1]).all() and (bound == bound.T).all()
+    sets.append(np.sort(rng.integers(0, 2**63, 300_000, dtype=np.uint64) >> np.uint64(7)))  # many in one fragment
+    offsets = np.append(offsets, offsets[-1] + 300_000)
+    counts = [jaccard_join._counts(x) for x in jaccard_join.histograms(np.concatenate(sets), offsets)]
+    bound, common = jaccard_join.most_in_common(counts, counts), jaccard_join.overlaps([np.unique(x) for x in sets])
+    assert (bound[:-1, :-1] >= common[:-1, :-1]).all() and (np.diag(bound) == offsets[1:] - offsets[:-1]).all() and (bound == bound.T).all()
+    assert (bound == [[_least(a, b) for b in counts] for a in counts]).all()
+
+
+def _least(a, b):
+    few = min(len(a), len(b))
+    return np.minimum(a.reshape(few, -1).sum(axis=1), b.reshape(few, -1).sum(axis=1)).sum()
 
 
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (4, 5), (3, 4)])
