@@ -60,7 +60,7 @@ ORDERED_WORDS = [
 ]
 
 # Patterns of the column coercions.
-CURRENCY_VALUE = r"^\s*[$€£¥₹₩₽₿]?\s*-?\s*[\d,]+\.?\d*\s*$|^\s*-?\s*[\d.]+,\d{2}\s*[€£]?\s*$"
+CURRENCY_VALUE = r"^[\s]*[$€£¥₹₩₽₿]?\s*-?\s*[\d,]+\.?\d*\s*$|^[\s]*-?\s*[\d.]+,\d{2}\s*[€£]?\s*$"
 CURRENCY_SYMBOLS = r"[$€£¥₹₩₽₿\s]"
 EU_NUMBER = r"^-?[\d.]+,\d{2}$"
 PERCENT_VALUE = r"^\s*-?\d+\.?\d*\s*%\s*$"

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +152,57 @@ def pareto_front(df: DataFrame, better: str, cheaper: str, key: str = "id") -> D
     front = data.withColumn("_in", F.max("top").over(inner)).join(before, "_b").select("c", "top", F.greatest("_in", "_before").alias("_prev"))
     keep = front.where("_prev is null or top > _prev").select("c", "top")
     return df.join(keep, (number(cheaper) == F.col("c")) & (number(better) == F.col("top"))).select(*[df[x] for x in df.columns])
+
+
+def local_front(points: np.ndarray) -> np.ndarray:
+    """The rows of an (n, 3) array that no other row beats, larger being better, without repeats.
+
+    Sorted by the first measure, a row can only be beaten by one before it: the best third measure so far at
+    a second measure as large or larger decides, kept as a staircase that rises in one as it falls in the other.
+    """
+    points = np.unique(points, axis=0)[::-1]
+    seconds, thirds, kept = [], [], []  # seconds rise, thirds fall
+    for i, (_, y, z) in enumerate(points.tolist()):
+        at = bisect_left(seconds, y)
+        if at < len(seconds) and thirds[at] >= z:
+            continue
+        kept.append(i)
+        low = at
+        while low > 0 and thirds[low - 1] <= z:
+            low -= 1
+        high = at + (at < len(seconds) and seconds[at] == y)
+        seconds[low:high], thirds[low:high] = [y], [z]
+    return points[kept]
+
+
+def skyline(df: DataFrame, better: Sequence[str], cheaper: Sequence[str], fan: int = 16) -> DataFrame:
+    """Rows no other row beats in up to three measures: as good in all and better in one.
+
+    ``better`` holds columns of which more is better, ``cheaper`` those of which less is. Equal points stay
+    together. Each task sends only the front of its own points; fronts are merged ``fan`` at a time until one
+    is left, which the last task holds. Rows with a null or NaN measure take no part.
+    """
+    signs = [(c, 1.0) for c in better] + [(c, -1.0) for c in cheaper]
+    if not 1 <= len(signs) <= 3:
+        raise ValueError("one to three measures")
+    given = [number(c) * sign for c, sign in signs]
+    cells = [g.alias(f"_m{i}") for i, g in enumerate(given)] + [F.lit(0.0).alias(f"_m{i}") for i in range(len(given), 3)]
+    usable = reduce(and_, [g.isNotNull() & ~F.isnan(g) for g in given])
+
+    def fronts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.empty((0, 3))
+        for b in batches:
+            best = local_front(np.concatenate([best, b.to_numpy(float)]))
+        yield pd.DataFrame(best, columns=["_m0", "_m1", "_m2"])
+
+    schema = "_m0 double, _m1 double, _m2 double"
+    points = df.where(usable).select(*cells)
+    left = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    front = points.mapInPandas(fronts, schema)
+    while True:
+        left = -(-left // fan)
+        front = front.repartition(left, "_m0", "_m1", "_m2").mapInPandas(fronts, schema)
+        if left == 1:
+            break
+    same = reduce(and_, [g == F.col(f"_m{i}") for i, g in enumerate(given)])
+    return df.join(front, same, "left_semi")

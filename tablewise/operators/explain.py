@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.base import Model
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up, rounded
@@ -96,14 +96,18 @@ def counterfactuals(data: DataFrame, train: DataFrame, model: Model, features: S
     """Single changes to p10..p90 of a feature that reach the wanted class, surest first."""
     q = quantiles(train, {f: F.col("vec")[i] for i, f in enumerate(features)}, [0.1, 0.25, 0.5, 0.75, 0.9])
     tries = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(float(v)).alias("value")) for i, f in enumerate(features) for v in q[f]])
-    now = answer(model, data, "classification", "before").where((F.col("before") >= 0.5).cast("double") != wanted)
-    long = now.select("id", "vec", "before", F.explode(tries).alias("t")).select("id", "vec", "before", "t.*")
-    out = answer(model, with_vector(long, replaced(F.col("j"), F.col("value"))), "classification", "after")
+    # the unchanged row is one more try (j = -1): a row's tries are judged together, and no filter repeats the model's expression
+    tries = F.concat(F.array(F.struct(F.lit(-1).alias("j"), F.lit(0.0).alias("value"))), tries)
+    long = data.select("id", "vec", F.explode(tries).alias("t")).select("id", "vec", "t.*")
+    out = answer(model, with_vector(long, replaced(F.col("j"), F.col("value"))), "classification", "after").select("id", "j", "value", "after")
     names = F.array(*[F.lit(f) for f in features])
-    hit = out.where((F.col("after") >= 0.5).cast("double") == wanted)
-    order = F.desc("after") if wanted == 1.0 else F.asc("after")
-    w = Window.partitionBy("id").orderBy(order, "j", "value")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select(
+    reaches = (F.col("after") >= 0.5).cast("double") == wanted
+    tried = out.groupBy("id").agg(
+        F.max(F.when(F.col("j") < 0, F.col("after"))).alias("before"),
+        F.array_sort(F.collect_list(F.when((F.col("j") >= 0) & reaches, F.struct((F.col("after") * (-1.0 if wanted == 1.0 else 1.0)).alias("o"), "j", "value", "after")))).alias("hits"))
+    best = F.slice("hits", 1, keep)
+    return tried.where((F.col("before") >= 0.5).cast("double") != wanted).select("id", "before", F.posexplode(best).alias("at", "h")).select(
+        "id", "before", "h.*", (F.col("at") + 1).alias("rank")).select(
         "id", F.element_at(names, F.col("j") + 1).alias("feature"), "value", rounded(F.col("before")).alias("before"), rounded(F.col("after")).alias("after"), "rank")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from py4j.protocol import Py4JJavaError
@@ -210,20 +211,32 @@ def class_one(pred: DataFrame, problem: str):
     return vector_to_array("probability")[1] if problem == "classification" and "probability" in pred.columns else F.col("prediction")
 
 
+def with_outputs(df: DataFrame, models: Sequence[Model], problem: str) -> DataFrame:
+    """Columns ``m0, m1, ...`` (the number a blend uses) and ``p0, p1, ...`` (the prediction) of all models, added one after the other to the same rows."""
+    for i, m in enumerate(models):
+        pred = m.transform(df)
+        df = pred.withColumns({f"m{i}": class_one(pred, problem).cast("double"), f"p{i}": F.col("prediction")}).drop("rawPrediction", "probability", "prediction")
+    return df
+
+
 def stack(data: DataFrame, problem: str, names: Sequence[str], folds: int = 3) -> DataFrame:
-    """Out-of-fold base predictions into a logistic or ridge model; scores of all of them."""
+    """Out-of-fold base predictions into a logistic or ridge model; scores of all of them.
+
+    Each row of a fold gets the outputs of all models that have not seen the fold in one go, so no rows are joined.
+    """
     train, test = split(data)
-    meta_train, meta_test, rows = train.select("id", "label"), test.select("id", "label"), []
-    for i, m in enumerate(names):
-        oof = out_of_fold(train, make(m, problem), folds)
-        meta_train = meta_train.join(oof.select("id", class_one(oof, problem).alias(f"m{i}")), "id")
-        pred = make(m, problem).fit(train).transform(test)
-        rows.append((m, half_up(score(pred, problem))))
-        meta_test = meta_test.join(pred.select("id", class_one(pred, problem).alias(f"m{i}")), "id")
+    train = folded(train, folds).persist()
+    fit = lambda part: [make(m, problem).fit(part) for m in names]
+    parts = [with_outputs(train.where(F.col("fold") == f), fit(train.where(F.col("fold") != f)), problem) for f in range(folds)]
     cells = F.array(*[F.col(f"m{i}") for i in range(len(names))])
     meta = make("logistic" if problem == "classification" else "ridge", problem)
-    fitted = meta.fit(with_vector(meta_train, cells))
-    rows.append(("stack", half_up(score(fitted.transform(with_vector(meta_test, cells)), problem))))
+    fitted = meta.fit(with_vector(reduce(DataFrame.unionByName, parts), cells))
+    out = with_outputs(test, fit(train), problem)
+    out = fitted.transform(with_vector(out, cells)).persist()
+    rows = [(m, half_up(score(out.drop("prediction").withColumnRenamed(f"p{i}", "prediction"), problem))) for i, m in enumerate(names)]
+    rows.append(("stack", half_up(score(out, problem))))
+    out.unpersist()
+    train.unpersist()
     return report(data, rows, "model string, score double")
 
 
@@ -235,13 +248,6 @@ def blend(data: DataFrame, problem: str, names: Sequence[str], draws: int = 50,
     weights = rng.dirichlet(np.ones(len(names)), size=draws)
     fitted = [make(m, problem).fit(train) for m in names]
 
-    def joined(part):
-        out = part.select("id", "label")
-        for i, m in enumerate(fitted):
-            p = m.transform(part)
-            out = out.join(p.select("id", class_one(p, problem).alias(f"m{i}")), "id")
-        return out
-
     def blended(w):
         return sum((F.col(f"m{i}") * float(x) for i, x in enumerate(w)), F.lit(0.0))
 
@@ -251,10 +257,9 @@ def blend(data: DataFrame, problem: str, names: Sequence[str], draws: int = 50,
             return share((b >= 0.5).cast("double") == F.col("label"))
         return 1 - F.avg((F.col("label") - b) * (F.col("label") - b)) / F.var_pop("label")
 
-    v = measure(joined(valid), **{f"q{i}": quality(w) for i, w in enumerate(weights)})
+    v = measure(with_outputs(valid, fitted, problem), **{f"q{i}": quality(w) for i, w in enumerate(weights)})
     best = max(range(draws), key=lambda i: v[f"q{i}"])
-    t = joined(test)
-    final = measure(t, blend=quality(weights[best]), **{f"s{i}": quality(np.eye(len(names))[i]) for i in range(len(names))})
+    final = measure(with_outputs(test, fitted, problem), blend=quality(weights[best]), **{f"s{i}": quality(np.eye(len(names))[i]) for i in range(len(names))})
     rows = [(m, half_up(float(weights[best][i])), half_up(final[f"s{i}"])) for i, m in enumerate(names)] + [("blend", 1.0, half_up(final["blend"]))]
     return report(data, rows, "model string, weight double, score double")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -11,8 +11,7 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.fpm import FPGrowth
-from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up, rounded
@@ -82,18 +81,70 @@ def lda_topics(df: DataFrame, key: str, column: str, topics: int = 5, size: int
     return report(df, rows, "topic int, words string, prevalence double"), main, float(model.logPerplexity(counts))
 
 
-def nmf_topics(df: DataFrame, key: str, column: str, topics: int = 5, size: int = 500, seed: int = 42, words: int = 10) -> tuple[DataFrame, DataFrame, float]:
-    """Non-negative factors of the TF-IDF weights by alternating least squares on (text, term, weight) rows."""
-    found = terms(df, key, column).where(~F.col("term").contains(" "))
-    vocab = vocabulary(found, df.count(), size)
-    numbered = report(df, [(i, r["term"], r["idf"]) for i, r in enumerate(vocab.orderBy("term").collect())], "term_id int, term string, idf double")  # ``size`` terms
-    ids = found.join(numbered, "term").select(F.col("key").cast("int").alias("doc"), "term_id", (F.col("tf") * F.col("idf")).cast("float").alias("w")).persist()
-    model = ALS(rank=topics, maxIter=8, regParam=0.05, nonnegative=True, userCol="doc", itemCol="term_id", ratingCol="w", seed=seed).fit(ids)
-    err = model.transform(ids).agg(F.sqrt(F.sum(F.pow(F.col("w") - F.col("prediction"), F.lit(2.0)))).alias("e")).first()["e"]
-    long = model.itemFactors.select(F.col("id").alias("term_id"), F.posexplode("features").alias("topic", "weight")).join(numbered.select("term_id", "term"), "term_id")
-    top = long.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))).where(F.col("r") <= words)
-    main = model.userFactors.select(F.col("id").alias("key"), (F.array_position("features", F.array_max("features")) - 1).cast("int").alias("topic"))
-    return top.select("topic", "term", rounded(F.col("weight").cast("double")).alias("weight"), F.col("r").alias("rank")), main, float(err)
+def topic_weights(x: np.ndarray, h: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Non-negative weights of the topics ``h`` in each row of ``x``, by multiplicative updates from equal weights."""
+    w = np.full((len(x), len(h)), 1.0)
+    up, gram = x @ h.T, h @ h.T
+    for _ in range(steps):
+        w *= up / (w @ gram + 1e-12)
+    return w
+
+
+def nmf_topics(df: DataFrame, key: str, column: str, topics: int = 5, size: int = 500, seed: int = 42, words: int = 10, rounds: int = 12) -> tuple[DataFrame, DataFrame, float]:
+    """Non-negative factors of the TF-IDF weights: top terms per topic, main topic per text, and the error.
+
+    The factor of the terms has ``topics`` x ``size`` numbers and travels with the tasks. In each round a task
+    solves the weights of its texts for that factor and adds up their products; the factor is updated from the
+    sums, and the error of all cells, zeros included, falls out of the same pass. A text is a row of dense term
+    numbers inside a task, so keys may be of any type. Texts without a vocabulary term are in no topic.
+    """
+    found = terms(df, key, column).where(~F.col("term").contains(" ")).persist()
+    vocab = [(r["term"], r["idf"]) for r in vocabulary(found, df.count(), size).orderBy("term").collect()]  # ``size`` terms
+    names = [t for t, _ in vocab]
+    numbered = report(df, [(i, t, idf) for i, (t, idf) in enumerate(vocab)], "at int, term string, idf double")
+    cells = found.join(numbered, "term").groupBy("key").agg(F.collect_list(F.struct("at", (F.col("tf") * F.col("idf")).alias("w"))).alias("c"))
+    data = cells.select("key", F.col("c.at").alias("at"), F.col("c.w").alias("w")).persist()
+    v = len(names)
+
+    def dense(b: pd.DataFrame) -> np.ndarray:
+        x = np.zeros((len(b), v))
+        if len(b):
+            x[np.repeat(np.arange(len(b)), b["at"].str.len()), np.concatenate(b["at"].to_list())] = np.concatenate(b["w"].to_list())
+        return x
+
+    def sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(topics * v + topics * topics + 1)
+            for b in batches:
+                x = dense(b)
+                w = topic_weights(x, h)
+                total += np.concatenate([(w.T @ x).ravel(), (w.T @ w).ravel(), [(x * x).sum()]])
+            yield pd.DataFrame({"i": np.arange(len(total)), "s": total})
+
+        rows = data.select("at", "w").mapInPandas(add, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # topics x (size + topics) numbers
+        total = np.zeros(topics * v + topics * topics + 1)
+        for r in rows:
+            total[r["i"]] = r["s"]
+        wx, ww = total[: topics * v].reshape(topics, v), total[topics * v : -1].reshape(topics, topics)
+        error = max(0.0, float(total[-1] - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()))
+        return wx, ww, error**0.5
+
+    h = np.random.default_rng(seed).uniform(0.1, 1.0, (topics, v))
+    for _ in range(rounds):
+        wx, ww, _ = sums(h)
+        for _ in range(10):  # the weights' sums stand for all texts, so the factor is solved on the driver
+            h = h * wx / (ww @ h + 1e-12)
+        h = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)  # topics of one length, so weights compare
+    *_, error = sums(h)
+    found.unpersist()
+
+    def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "topic": topic_weights(dense(b), h).argmax(1)})
+
+    top = [(k, names[j], half_up(float(h[k, j])), n + 1) for k in range(topics) for n, j in enumerate(np.lexsort((np.arange(v), -h[k]))[:words])]
+    main = data.mapInPandas(leading, f"key {data.schema['key'].dataType.simpleString()}, topic int")
+    return report(df, top, "topic int, term string, weight double, rank int"), main, error
 
 
 def causal_edges(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:

@@ -200,6 +200,12 @@ def ml24(t):
     return X.pareto_front(t.experiments.select("id", "score", "cost"), "score", "cost")
 
 
+@query("ML24_three", """WITH e AS (SELECT id, score, cost, id * 11 % 23 AS size FROM {experiments})
+SELECT id, score, cost, size FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.score >= e.score AND o.cost <= e.cost AND o.size <= e.size AND (o.score > e.score OR o.cost < e.cost OR o.size < e.size))""")
+def ml24_three(t):
+    return X.skyline(t.experiments.select("id", "score", "cost", F.expr("id * 11 % 23").alias("size")), ["score"], ["cost", "size"])
+
+
 # Metadata
 
 FP = ["o_orderkey", "price", "cust", "sparse", "sentinel_price"]

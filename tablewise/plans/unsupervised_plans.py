@@ -6,6 +6,7 @@ from tablewise.operators import anomalies as A
 from tablewise.operators import clusters as C
 from tablewise.operators import patterns as P
 from tablewise.operators import sampling as S
+from tablewise.operators.measures import report
 from tablewise.plans.feature_plans import r
 from tablewise.plans.registry import query
 from tablewise.plans.sqltext import rnd, union
@@ -238,11 +239,26 @@ def un18_main(t):
     return P.lda_topics(t.documents, "doc_id", "text", 4)[1].groupBy("topic").agg(F.count("*").alias("n"))
 
 
+@query("UN18_measure")
+def un18_measure(t):
+    return report(t.documents, [("log_perplexity", P.lda_topics(t.documents, "doc_id", "text", 4)[2])], "measure string, value double")
+
+
 @query("UN19")
 def un19(t):
     return P.nmf_topics(t.documents, "doc_id", "text", 4, 200)[0]
 
 
+@query("UN19_main")
+def un19_main(t):
+    return P.nmf_topics(t.documents, "doc_id", "text", 4, 200)[1].groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("UN19_measure")
+def un19_measure(t):
+    return report(t.documents, [("error", P.nmf_topics(t.documents, "doc_id", "text", 4, 200)[2])], "measure string, value double")
+
+
 CP = [("value", "heavy"), ("value", "near_copy"), ("value", "small_int"), ("heavy", "near_copy"), ("heavy", "small_int"), ("near_copy", "small_int")]
 
 
