@@ -10,9 +10,10 @@ source's documents are cut into buckets along the order; bucket totals give each
 sums a whole source.
 
 Results in odd cases: null sources are one source, the last; null or empty texts have size 0, may be taken,
-and count nothing; rows that repeat a ``doc_id`` are drawn one by one
-(``mixed`` shares out what they get); a null ``doc_id`` counts as the smallest; an empty table gives no rows; other
-columns are not read.
+and count nothing; a very long text is one row of its size; rows that repeat a ``doc_id`` are drawn one by one, and
+``mixed`` gives each what it drew, told apart by a 64-bit hash of the row (rows alike in all columns share what they drew
+together, to the copy); a null ``doc_id`` counts as the smallest, and such rows are drawn by the hash of what they hold;
+an empty table gives no rows; other columns are not read by ``copies``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.llm.shared import given, number, written
+from tablewise.llm.shared import NO_ID, given, number, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: One copy in the units of the sums.
@@ -61,12 +62,19 @@ def targets(sized: DataFrame, weights: Sequence[float], share: float, cap: float
 
 def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``copies`` (times it is taken) of every row of ``docs(doc_id, text, source)``."""
+    twin = F.when(F.col("doc_id").isNull(), F.xxhash64("text", "source"))
+    return _drawn(docs, twin, weights, share, cap, seed).select(given(), "size", "source_size", "target", "copies")
+
+
+def _drawn(docs: DataFrame, twin: Column, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    """What ``copies`` gives, with the document number never null and ``twin``, a number that tells rows of one document number apart."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    sized = written(docs.select(number().alias("doc_id"), key.alias("key"), size.alias("size")), "sizes")
+    sized = written(docs.select(number().alias("doc_id"), key.alias("key"), size.alias("size"), twin.alias("twin")), "sizes")
     digits = F.col("size").cast("string")
     band = F.length(digits) * 100 + F.substring(F.rpad(digits, 2, "0"), 1, 2).cast("int")
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
+    unnumbered = F.when(F.col("doc_id") == NO_ID, F.concat(F.lit(":"), F.col("twin").cast("string"))).otherwise("")
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"), unnumbered))
     largest = sized.groupBy("key", band).count().agg(F.max("count")).first()[0] or 0
     cut = 0  # leading digits of the draw that split a band, so that a bucket has about BUCKET_ROWS rows
     while largest > BUCKET_ROWS * 16**cut:
@@ -79,15 +87,29 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     along = Window.partitionBy("key").orderBy("band", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*bucket).agg(F.sum("expected").alias("total"))
     starts = starts.select(*bucket, (F.coalesce(F.sum("total").over(along), F.lit(0)) + _uniform(f"{seed}:", F.col("key"))).cast("decimal(38,0)").alias("start"))
-    inside = Window.partitionBy(*bucket).orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*bucket).orderBy("draw", "doc_id", "size", "twin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(starts, bucket).withColumn("to", (F.col("start") + F.sum("expected").over(inside)).cast("decimal(38,0)"))
     crossed = F.expr(f"cast((`to` div {UNIT}) - ((`to` - expected) div {UNIT}) as int)")
-    return rows.select(given(), "size", "source_size", "target", crossed.alias("copies"))
+    return rows.select("doc_id", "twin", "size", "source_size", "target", crossed.alias("copies"))
+
+
+#: Copies of rows alike that one task writes in a run.
+RUN = 1_000
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
-    taken = copies(docs, weights, share, cap, seed).where("copies > 0").groupBy(number().alias("number")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    rows = docs.select(F.struct("*").alias("row"), number().alias("number")).join(taken, "number")
-    each = F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")))
-    return rows.select("row", F.explode(each).alias("copy")).select("row.*")
+    twin = F.xxhash64(*[F.col(f"`{c.name}`") for c in docs.schema if "map<" not in c.dataType.simpleString()])
+    drawn = _drawn(docs, twin, weights, share, cap, seed)
+    taken = drawn.groupBy("doc_id", "twin").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    taken = written(taken.withColumnsRenamed({"doc_id": "_number", "twin": "_twin"}), "copies")
+    rows = docs.select(F.struct("*").alias("row"), number().alias("number"), twin.alias("twin"))
+    same = (F.col("number") == F.col("_number")) & (F.col("twin") == F.col("_twin"))
+    out = rows.join(taken.where("rows = 1"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    if taken.where("rows > 1").isEmpty():
+        return out
+    # rows alike: one stands for all and is written in runs, each by the task it falls to
+    alike = rows.join(taken.where("rows > 1"), same).groupBy("number", "twin").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    runs = alike.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN))).alias("run")).repartition("number", "twin", "run")
+    length = F.least(F.lit(RUN), F.col("copies") - F.col("run") * RUN).cast("int")
+    return out.unionByName(runs.select("row", F.explode(F.sequence(F.lit(1), length)).alias("copy")).select("row.*"))

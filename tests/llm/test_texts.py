@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablewise.llm import exact_dedup, jaccard_join, languages, mixing, packing, quality, substrings, token_files
@@ -170,6 +171,31 @@ def test_mixing_odd_rows(odd, empty):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixed_gives_every_row_its_own_copies(spark):
+    rows = [(None, f"word {i} " * (1 + i % 5), "a", "x") for i in range(300)] + [(7, f"other {i}", "b", "x") for i in range(40)]
+    rows += [(None, "the same row", "a", "x")] * 2_500 + [(i, "a text of its own", "c", None) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string").repartition(5)
+    taken = mixing.copies(docs)
+    assert taken.where("copies < 0 or copies > 3").count() == 0
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    sizes = docs.select("source", F.size(F.split(F.trim("text"), " ")).alias("size"))
+    words = {r.source: (r.s, r.n) for r in sizes.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
+    goal = {r.source: r.target for r in docs.select("source").distinct().crossJoin(taken.select("source_size", "target").distinct()).where("1 = 1").collect() if r.source_size == words[r.source][0]}
+    for source, (size, n) in words.items():
+        assert abs(got[source] - n * goal[source] / size) <= 1
+    alike = out.where("text = 'the same row'").count()
+    assert abs(alike - 2_500 * goal["a"] / words["a"][0]) <= 1
+    most = out.where("source = 'b'").groupBy("text").count().agg(F.max("count"), F.min("count")).first()
+    assert most[0] - most[1] <= 1 and sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed(docs.repartition(2)).collect()))
+
+
+def test_rows_without_a_number_are_held_out(spark):
+    got = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long").select(languages.held_out(F.col("doc_id")).alias("h")).collect()
+    assert got[0].h is True and all(isinstance(r.h, bool) for r in got)
+
+
 def test_mixing_is_near_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     taken, target, size = Counter(), {}, Counter()
