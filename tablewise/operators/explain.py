@@ -6,9 +6,10 @@ so every question is one exploded frame and one ``transform``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.base import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,7 +131,111 @@ def individual_curves(data: DataFrame, model: Model, problem: str, features: Seq
     return answer(model, with_vector(long, replaced(j, F.col("value"))), problem).select("id", "value", rounded(F.col("out")).alias("out"))
 
 
-def interactions(data: DataFrame, model: Model, problem: str, features: Sequence[str], rows: int = 200, limit: int | None = None, seed: int = 42) -> DataFrame:
+def strengths(data: DataFrame, found: Sequence[tuple[str, str, float]]) -> DataFrame:
+    """One row per feature pair with its strength (at most 1) and a label."""
+    rows = [(a, b, half_up(min(h, 1.0)), "STRONG" if h > 0.3 else "moderate" if h > 0.1 else "weak") for a, b, h in found]
+    return report(data, rows, "feature_1 string, feature_2 string, strength double, label string")
+
+
+def tree_leaves(model: Model, problem: str) -> list[tuple[float, dict[int, tuple[float, float]]]] | None:
+    """(what the leaf adds to the output, {feature: (above, up to)}) for every leaf of a model whose output is a sum over trees; None for other models."""
+    trees = list(getattr(model, "trees", None) or ([model] if hasattr(model, "depth") else []))
+    boosted = type(model).__name__.startswith("GBT")
+    if not trees or (boosted and problem == "classification"):  # boosted classes go through a logistic curve
+        return None
+    weights = list(model.treeWeights) if boosted else [1.0 / len(trees)] * len(trees)
+    leaves: list[tuple[float, dict[int, tuple[float, float]]]] = []
+    for tree, weight in zip(trees, weights, strict=True):
+        open_ = [(tree._java_obj.rootNode(), {})]
+        while open_:
+            node, box = open_.pop()
+            if node.subtreeDepth() == 0:
+                counts = list(node.impurityStats().stats()) if problem == "classification" else []
+                leaves.append((weight * (counts[1] / sum(counts) if counts else node.prediction()), box))
+                continue
+            cut = node.split()
+            if not hasattr(cut, "threshold"):
+                return None
+            f, at = cut.featureIndex(), cut.threshold()
+            low, high = box.get(f, (-np.inf, np.inf))
+            open_ += [(node.leftChild(), box | {f: (low, min(high, at))}), (node.rightChild(), box | {f: (max(low, at), high)})]
+    return leaves
+
+
+#: Rows x leaves that a task compares at once.
+CELLS = 1 << 20
+
+
+def tree_interactions(data: DataFrame, leaves: Sequence[tuple[float, dict[int, tuple[float, float]]]], pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Friedman's H of feature pairs over all rows of ``data(vec)``, for the leaves of a tree model.
+
+    With some features set to given values, a row reaches a leaf if the given values fit the leaf's box in those features and
+    the row fits it in the others. The mean over all rows is therefore the sum of the leaves that the values fit, each with the
+    share of rows that fit it in the other features. One pass over the rows counts these shares, one more sums the squares of
+    the curves at every row: no copy of a row is made. Features that share no leaf do not interact.
+    """
+    together = {(a, b) for _, box in leaves for a in box for b in box if a < b}
+    met = [p for p in pairs if (min(p), max(p)) in together]
+    if not met:
+        return dict.fromkeys(pairs, 0.0)
+    used = sorted({f for _, box in leaves for f in box})
+    sets = [(), *[(f,) for f in sorted({f for p in met for f in p})], *met]
+    values = np.array([v for v, _ in leaves])
+    above = {f: np.array([box.get(f, (-np.inf, np.inf))[0] for _, box in leaves]) for f in used}
+    up_to = {f: np.array([box.get(f, (-np.inf, np.inf))[1] for _, box in leaves]) for f in used}
+
+    def misses(batches: Iterator[pd.DataFrame]) -> Iterator[dict[int, np.ndarray]]:
+        """For blocks of rows: which rows are outside which leaves, per feature."""
+        step = max(1, CELLS // len(values))
+        for b in batches:
+            for lo in range(0, len(b), step):
+                x = np.stack(b["vec"].iloc[lo : lo + step].to_list()).astype(float)
+                x[np.isnan(x)] = np.inf  # a comparison with no number goes right
+                yield {f: (x[:, f, None] <= above[f]) & np.isfinite(above[f]) | (x[:, f, None] > up_to[f]) for f in used}
+
+    def summed(numbers: int, block: Callable[[dict[int, np.ndarray]], np.ndarray]) -> np.ndarray:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(numbers)
+            for miss in misses(batches):
+                total += block(miss)
+            yield pd.DataFrame({"i": np.arange(numbers), "s": total})
+
+        total = np.zeros(numbers)
+        for r in data.select("vec").mapInPandas(add, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # sets x leaves numbers
+            total[r["i"]] = r["s"]
+        return total
+
+    def fitting(miss: dict[int, np.ndarray]) -> np.ndarray:
+        count = np.sum([m.astype(np.int16) for m in miss.values()], axis=0, dtype=np.int16)
+        rest = [(count - sum((miss[f] for f in s), np.int16(0)) == 0).sum(axis=0) for s in sets]
+        return np.concatenate([*rest, [len(count)]]).astype(float)
+
+    counts = summed(len(sets) * len(values) + 1, fitting)
+    n = counts[-1]
+    if not n:
+        return dict.fromkeys(pairs, 0.0)
+    share = dict(zip(sets, counts[:-1].reshape(len(sets), -1) / n * values, strict=True))
+    middle = share[()].sum()
+
+    def squares(miss: dict[int, np.ndarray]) -> np.ndarray:
+        single = {s[0]: ~miss[s[0]] @ share[s] - middle for s in sets if len(s) == 1}
+        out = []
+        for a, b in met:
+            both = ~(miss[a] | miss[b]) @ share[a, b] - middle
+            beyond = both - single[a] - single[b]
+            out += [beyond.sum(), (beyond * beyond).sum(), both.sum(), (both * both).sum()]
+        return np.array(out)
+
+    sums = summed(4 * len(met), squares).reshape(len(met), 4)
+    strength = dict.fromkeys(pairs, 0.0)
+    for p, (u, uu, v, vv) in zip(met, sums, strict=True):
+        spread = vv - v * v / n
+        if spread > 1e-10:
+            strength[p] = float(np.sqrt(max(uu - u * u / n, 0.0) / spread))
+    return strength
+
+
+def sampled_interactions(data: DataFrame, model: Model, problem: str, features: Sequence[str], rows: int = 200, limit: int | None = None, seed: int = 42) -> DataFrame:
     """Friedman's H per feature pair (of the ``limit`` strongest features, if given) over a fixed sample of ``rows``, from single and joint partial dependence."""
     strong = [f for f, _ in importance(model, features)][:limit] or list(features)[:limit]
     picked = data.orderBy(hash_uniform("id", seed), "id").limit(rows).select("id", "vec")
@@ -148,8 +253,21 @@ def interactions(data: DataFrame, model: Model, problem: str, features: Sequence
         fa, fb, fab = (np.array([pd_[w, k] for k, _ in points]) for w in (a, b, f"{a}|{b}"))
         fa, fb, fab = fa - fa.mean(), fb - fb.mean(), fab - fab.mean()
         h = float(np.sqrt(((fab - fa - fb) ** 2).sum() / max((fab**2).sum(), 1e-12))) if (fab**2).sum() > 1e-10 else 0.0
-        rows_.append((a, b, half_up(min(h, 1.0)), "STRONG" if h > 0.3 else "moderate" if h > 0.1 else "weak"))
-    return report(data, rows_, "feature_1 string, feature_2 string, strength double, label string")
+        rows_.append((a, b, h))
+    return strengths(data, rows_)
+
+
+def interactions(data: DataFrame, model: Model, problem: str, features: Sequence[str], rows: int = 200, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Friedman's H per feature pair (of the ``limit`` strongest features, if given).
+
+    Models that are sums of trees are measured over all rows along their leaves; for others single and joint partial dependence come from a fixed sample of ``rows``.
+    """
+    leaves = tree_leaves(model, problem)
+    if leaves is None:
+        return sampled_interactions(data, model, problem, features, rows, limit, seed)
+    strong = [list(features).index(f) for f, _ in importance(model, features)][:limit]
+    found = tree_interactions(data, leaves, [(a, b) for i, a in enumerate(strong) for b in strong[i + 1 :]])
+    return strengths(data, [(features[a], features[b], h) for (a, b), h in found.items()])
 
 
 def review(data: DataFrame, train: DataFrame, model: Model, features: Sequence[str], k: int = 10) -> DataFrame:

@@ -402,6 +402,18 @@ def ex6(t):
     return X.interactions(test, m, CLF, FEATURES)
 
 
+@query("EX6_forest")
+def ex6_forest(t):
+    _, test, m = fitted(t, "forest")
+    return X.interactions(test, m, CLF, FEATURES)
+
+
+@query("EX6_sampled")
+def ex6_sampled(t):
+    _, test, m = fitted(t, "logistic")
+    return X.interactions(test, m, CLF, FEATURES)
+
+
 @query("EX7")
 def ex7(t):
     train, test, m = fitted(t, "logistic")
