@@ -71,9 +71,10 @@ def average_precision(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def one_against_rest(df: DataFrame, label: str, probabilities: dict) -> DataFrame:
-    """AUC of each class against the others; ``probabilities`` maps a class to its score column."""
-    rows = [(str(k), roc_auc(curve(df, (), label, c, k)).first()["auc"]) for k, c in probabilities.items()]
-    return report(df, rows, "class string, auc double")
+    """AUC of each class against the others, all classes in one pass; ``probabilities`` maps a class to its score column."""
+    cells = F.array(*[F.struct(F.lit(str(k)).alias("class"), (col(label) == k).alias("hit"), number(c).alias("score")) for k, c in probabilities.items()])
+    long = df.select(F.explode(cells).alias("x")).select("x.*")
+    return roc_auc(curve(long, ["class"], "hit", "score", True), ["class"])
 
 
 def thin(points: DataFrame, order: str, n: int, by: Sequence[str] = ()) -> DataFrame:

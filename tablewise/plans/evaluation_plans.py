@@ -172,6 +172,18 @@ def ev2_auc(t):
     return E.roc_auc(E.curve(t.predictions, ["model"]), ["model"])
 
 
+RANKED = """SELECT k AS class, round((sum(r) FILTER (WHERE hit) - count(*) FILTER (WHERE hit) * (count(*) FILTER (WHERE hit) + 1) / 2.0) / (count(*) FILTER (WHERE hit) * count(*) FILTER (WHERE NOT hit)), 4) AS auc FROM (
+SELECT k, hit, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS r FROM (
+SELECT 'en' AS k, lang = 'en' AS hit, prob AS s FROM {predictions} WHERE model = 1 AND lang IS NOT NULL UNION ALL SELECT 'de', lang = 'de', 1 - prob FROM {predictions} WHERE model = 1 AND lang IS NOT NULL
+UNION ALL SELECT 'fr', lang = 'fr', n_chars FROM {predictions} WHERE model = 1 AND lang IS NOT NULL) x) y GROUP BY 1"""
+
+
+@query("EV2_rest", RANKED)
+def ev2_rest(t):
+    p = t.predictions.where("model = 1").withColumn("other", 1 - F.col("prob"))
+    return E.one_against_rest(p, "lang", {"en": "prob", "de": "other", "fr": "n_chars"})
+
+
 @query("EV3", f"WITH {CURVE} SELECT model, score, round(1.0 * tp / (tp + fp), 4) AS precision, round(1.0 * tp / p, 4) AS recall FROM k")
 def ev3(t):
     return E.curve(t.predictions, ["model"]).select("model", "score", F.round("precision", 4).alias("precision"), F.round("tpr", 4).alias("recall"))
@@ -274,6 +286,16 @@ def ev15_zone_features(t):
     return E.contrast(z, F.col("zone") == "medium_trust", ["n_chars"], F.col("zone") == "high_trust", 0.0)
 
 
+SPLIT_VOTES = "(SELECT doc_id, max(n_chars) AS n_chars, CASE WHEN count(DISTINCT vote) = 3 THEN 'danger_zone' WHEN count(DISTINCT vote) = 1 THEN 'high_trust' ELSE 'medium_trust' END AS zone FROM (SELECT doc_id, n_chars, CASE WHEN n_chars > 1500 THEN 10 + model ELSE prediction END AS vote FROM {predictions}) s GROUP BY 1)"
+
+
+@query("EV15_danger", _contrast(["n_chars"], "zone = 'danger_zone'", "zone = 'high_trust'", SPLIT_VOTES, 0.3))
+def ev15_danger(t):
+    votes = t.predictions.withColumn("prediction", F.when(F.col("n_chars") > 1500, 10 + F.col("model")).otherwise(F.col("prediction")))
+    z = E.consensus_zones(votes, "doc_id").join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    return E.contrast(z, F.col("zone") == "danger_zone", ["n_chars"], F.col("zone") == "high_trust", 0.3)
+
+
 @query("EV16", f"SELECT doc_id, majority AS point, round(1.0 * agreeing / votes, 4) AS agreement, round(greatest(p, 1 - p), 4) AS confidence, CASE WHEN 1.0 * agreeing / votes >= 0.8 THEN 'HIGH' WHEN 1.0 * agreeing / votes >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS reliability FROM ({VOTES}) v JOIN (SELECT doc_id, avg(prob) AS p FROM {{predictions}} GROUP BY 1) z USING (doc_id)")
 def ev16(t):
     return E.class_bands(t.predictions, "doc_id")
@@ -334,6 +356,11 @@ def ev19(t):
     return E.slices(t.predictions.where("model = 2"), ["n_chars", "lang", "source"])
 
 
+@query("EV19_sides", f"SELECT *, 'worst' AS side FROM (SELECT * FROM ({SLICES}) a ORDER BY score, feature, slice LIMIT 3) w UNION ALL SELECT *, 'best' FROM (SELECT * FROM ({SLICES}) b ORDER BY score DESC, feature, slice LIMIT 3) z")
+def ev19_sides(t):
+    return E.worst_and_best(E.slices(t.predictions.where("model = 2"), ["n_chars", "lang", "source"]), 3)
+
+
 @query("EV19_reg", """WITH b AS (SELECT label, prediction, 'q' || (1 + len(list_filter(list_slice((SELECT list_sort(list_distinct(quantile_cont(CAST(o_orderkey AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]))) FROM {reg_predictions}), 2, -2), lambda e: e < o_orderkey))) AS slice FROM {reg_predictions})
 SELECT 'o_orderkey' AS feature, slice, count(*) AS n, round(1 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(*)), 4) AS score, round(1 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(*)) - (SELECT 1 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(*)) FROM b), 4) + 0.0 AS gap FROM b GROUP BY 2""")
 def ev19_reg(t):

@@ -47,8 +47,7 @@ def io4(t):
 
 @query("IO7", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(priority, 'NaN') AS priority FROM {dirty_orders} ORDER BY CAST(o_orderkey AS BIGINT), priority NULLS FIRST LIMIT 10")
 def io7(t):
-    df = t.dirty_orders.select("o_orderkey", "priority")
-    return df.orderBy("o_orderkey", F.asc_nulls_first("priority")).limit(10).select(F.col("o_orderkey").cast("string"), F.coalesce("priority", F.lit("NaN")).alias("priority"))
+    return IO.preview(t.dirty_orders.select("o_orderkey", "priority"), "o_orderkey")
 
 
 @query("IO8", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -132,6 +131,27 @@ def xp3(t):
     return X.with_models(t.experiments.select("id", "name"), runs).withColumn("primary_metric", F.round("primary_metric", 6))
 
 
+@query("XP3_steps", "SELECT e.id, e.name, a.label AS step, a.value AS result_data, a.created_at AS step_at FROM {experiments} e LEFT JOIN {annotations} a ON a.experiment_id = e.id")
+def xp3_steps(t):
+    results = t.annotations.select("experiment_id", F.col("label").alias("step"), F.col("value").alias("result_data"), "created_at")
+    return X.with_steps(t.experiments.select("id", "name"), results)
+
+
+@query("XP3_newest", "SELECT session_id, id, created_at, value FROM (SELECT experiment_id AS session_id, id, created_at, value, row_number() OVER (PARTITION BY experiment_id ORDER BY created_at DESC, id DESC) AS k FROM {annotations}) x WHERE k = 1")
+def xp3_newest(t):
+    return X.newest_of_session(t.annotations.select(F.col("experiment_id").alias("session_id"), "id", "created_at", "value"))
+
+
+@query("XP4_parameters", """SELECT * FROM (SELECT name, max(value) FILTER (WHERE experiment_id = 10) AS a, max(value) FILTER (WHERE experiment_id = 20) AS b FROM (
+SELECT experiment_id, model || '.depth' AS name, CAST(experiment_id * 3 % 8 AS VARCHAR) AS value FROM {runs} UNION ALL SELECT experiment_id, model || '.seed', '42' FROM {runs}
+UNION ALL SELECT experiment_id, model || '.early', 'yes' FROM {runs} WHERE experiment_id % 20 = 0) p WHERE experiment_id IN (10, 20) GROUP BY 1) x WHERE a IS DISTINCT FROM b""")
+def xp4_parameters(t):
+    n = lambda end: F.concat("model", F.lit(end))
+    given = F.create_map(n(".depth"), (F.col("experiment_id") * 3 % 8).cast("string"), n(".seed"), F.lit("42"))
+    given = F.when(F.col("experiment_id") % 20 == 0, F.map_concat(given, F.create_map(n(".early"), F.lit("yes")))).otherwise(given)
+    return X.changed_parameters(t.runs.select(F.col("experiment_id").alias("id"), given.alias("hyperparameters")), 10, 20)
+
+
 @query("XP4", """SELECT name, a, b, round(b - a, 4) + 0.0 AS delta, CASE WHEN a > b THEN '10' WHEN b > a THEN '20' ELSE 'tie' END AS winner, CAST(rank() OVER (ORDER BY a DESC) AS INTEGER) AS rank_a, CAST(rank() OVER (ORDER BY b DESC) AS INTEGER) AS rank_b FROM (
 SELECT model AS name, max(metric) FILTER (WHERE experiment_id = 10) AS a, max(metric) FILTER (WHERE experiment_id = 20) AS b FROM {runs} WHERE experiment_id IN (10, 20) GROUP BY 1) x""")
 def xp4(t):
@@ -241,6 +261,15 @@ def md3(t):
     return M.settings_advice(e.orderBy(F.desc("score"), "id").limit(50), e, model="dataset_type")
 
 
+@query("MD3_similar", """WITH v AS (SELECT id, dataset_type, score, [score, (1 + cost) / 20.0, (id % 5) / 5.0] AS v FROM {experiments}), q AS (SELECT v AS w FROM v WHERE id = 1),
+b AS (SELECT dataset_type, score FROM v, q ORDER BY round(list_cosine_similarity(v, w), 4) DESC, id LIMIT 50)
+SELECT dataset_type AS model, count(*) AS n, (SELECT round(avg(score), 4) FROM b) AS mean_score, (SELECT count(*) FROM b) AS based_on FROM b GROUP BY 1 ORDER BY n DESC, model LIMIT 3""")
+def md3_similar(t):
+    e = t.experiments.withColumn("v", F.array(F.col("score"), (1 + F.col("cost")) / 20.0, (F.col("id") % 5) / 5.0))
+    wanted = [float(x) for x in e.where("id = 1").first()["v"]]
+    return M.settings_advice(M.most_similar(e, "id", "v", wanted, 50), e, model="dataset_type")
+
+
 LN = ["o_orderkey", "price", "f1", "f2"]
 LCOR = "(" + " + ".join("(" + " + ".join(f"abs(corr({a}, {b}))" for a in LN[:j]) + f") / {j}.0" for j, b in enumerate(LN) if j) + ") / 3.0"
 DNA = f"""WITH m AS (SELECT count(*) AS n_rows, 5 AS n_features, 4 AS n_numeric, 1 AS n_categorical, round(5.0 / count(*), 6) AS dimensionality_ratio, ln(1 + count(*)) AS log_n_rows, 0.0 AS missing_pct, 0 AS cols_with_missing, 0.0 AS duplicate_pct,
@@ -257,6 +286,11 @@ def md4(t):
     return M.dna(t.learnable, "target")
 
 
+@query("MD6_contribute", DNA + " " + union(f"SELECT 'run_7' AS id, 'classification' AS problem_type, 'forest' AS best_model, 0.91 AS score, '{k}' AS measure, {rnd(k, 6 if k == 'dimensionality_ratio' else 4)} AS value FROM m" for k in DNA_NAMES))
+def md6_contribute(t):
+    return M.contribute(M.dna(t.learnable, "target"), "run_7", "forest", 0.91, "classification")
+
+
 KNOW = "SELECT id, status AS best_model, score, 'n_rows' AS measure, CAST(1000 + id * 17 AS DOUBLE) AS value FROM {experiments} UNION ALL SELECT id, status, score, 'n_features', CAST(3 + id % 9 AS DOUBLE) FROM {experiments}"
 
 

@@ -173,6 +173,11 @@ def un12(t):
     return A.detection_summary(A.detect(t.customer, "c_custkey", ["c_acctbal", "c_nationkey"]))
 
 
+@query("UN12_top")
+def un12_top(t):
+    return A.top_anomalies(A.detect(t.customer, "c_custkey", ["c_acctbal", "c_nationkey"]))
+
+
 @query("UN13")
 def un13(t):
     return A.explain(t.skewed, "event_id", ["value", "small_int", "heavy"]).withColumn("features", F.array_join("features", ","))

@@ -76,8 +76,9 @@ def column_preview(spark: SparkSession, path: str) -> list[str]:
 
 
 def preview(df: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """The first n rows by key as text, missing values shown as 'NaN'."""
-    return df.orderBy(key).limit(n).select(*[F.coalesce(col(c).cast("string"), F.lit("NaN")).alias(c) for c in df.columns])
+    """The first n rows by key (then by the other columns, missing values first) as text, missing values shown as 'NaN'."""
+    rest = [c.name for c in df.schema if c.name != key and "map<" not in c.dataType.simpleString()]
+    return df.orderBy(col(key), *[col(c) for c in rest]).limit(n).select(*[F.coalesce(col(c).cast("string"), F.lit("NaN")).alias(c) for c in df.columns])
 
 
 def from_records(spark: SparkSession, records: Sequence[Mapping], schema: str) -> DataFrame:
