@@ -129,9 +129,9 @@ def fill_iterative(df: DataFrame, columns: Sequence[str] | None = None, rounds:
     return flat.mapInArrow(fill, flat.schema)
 
 
-def cleaning_impact(df: DataFrame, target: str, key: str, chosen: DataFrame, problem: str = "classification", trees: int = 10) -> DataFrame:
+def cleaning_impact(df: DataFrame, target: str, key: str, chosen: DataFrame, problem: str = "classification", trees: int = 50, depth: int = 10) -> DataFrame:
     """Fold score of a forest before and after each suggestion."""
-    est = make("forest", problem, numTrees=trees, maxDepth=6)
+    est = make("forest", problem, numTrees=trees, maxDepth=depth)
 
     def quality(table: DataFrame) -> float:
         keep = [c for c in table.columns if c in (target, key) or c in numeric_columns(table)]

@@ -11,6 +11,7 @@ import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException, SparkRuntimeException
 from pyspark.ml.base import Estimator, Model
+from pyspark.ml.feature import PCA, UnivariateFeatureSelector
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
@@ -23,8 +24,9 @@ from tablewise.functions.moments import half_up, rounded, share
 from tablewise.operators.anomalies import flag_top, isolation_scores
 from tablewise.operators.evaluation import poisson_weight
 from tablewise.operators.features import frequency_encode
+from tablewise.operators.information import binned_edges
 from tablewise.operators.measures import (
-    ROWS_PER_TASK, col, distinct_counts, hash_uniform, measure, number, numeric_columns, report, text_columns,
+    ROWS_PER_TASK, bins_right_closed, col, distinct_counts, hash_uniform, measure, number, numeric_columns, report, text_columns,
 )
 from tablewise.operators.neighbors import knn
 from tablewise.operators.transforms import label_encode
@@ -358,30 +360,63 @@ def tournament(data: DataFrame, problem: str, names: Sequence[str], classes: int
     return report(data, rows, "round int, model string, score double, rank int, advanced boolean")
 
 
-def improve(data: DataFrame, problem: str, name: str, misses: int = 3) -> DataFrame:
-    """Try feature steps one after the other, keep those that raise the fold score, stop after 3 misses."""
+def without_outliers(df: DataFrame, key: str, columns: Sequence[str], share_: float = 0.05, most: float = 0.2, trees: int = 100) -> DataFrame:
+    """The rows but for the share with the highest isolation scores; refuses to drop more than ``most`` of them. Give it the train part."""
+    marked = flag_top(isolation_scores(df, key, columns, trees=trees), share_)
+    gone = measure(marked, s=share(F.col("flag") == 1))["s"] or 0.0
+    if gone > most:
+        raise ValueError(f"{100 * gone:.1f} % of the rows would go")
+    return without(df, marked.where("flag = 1"), key)
+
+
+def best_half(data: DataFrame, problem: str) -> DataFrame:
+    """The vector cut to the half of its features (3 at least) with the highest F scores."""
     width = measure(data, w=F.max(F.size("vec")))["w"]
+    kind = "categorical" if problem == "classification" else "continuous"
+    pick = UnivariateFeatureSelector(featuresCol="features", labelCol="label", outputCol="_best", selectionMode="numTopFeatures")
+    pick = pick.setFeatureType("continuous").setLabelType(kind).setSelectionThreshold(min(width, max(3, width // 2)))
+    return with_vector(data, F.array(*[F.col("vec")[i] for i in sorted(pick.fit(data).selectedFeatures)]))
+
+
+def with_deciles(data: DataFrame, bins: int = 10) -> DataFrame:
+    """The vector with the quantile bin of every feature beside it."""
+    width = measure(data, w=F.max(F.size("vec")))["w"]
+    cells = {f"c{i}": F.col("vec")[i] for i in range(width)}
+    edges = binned_edges(data, cells, bins)
+    return with_vector(data, F.concat("vec", F.array(*[F.coalesce(bins_right_closed(c, edges[k]).cast("double"), F.lit(0.0)) for k, c in cells.items()])))
+
+
+def improve(data: DataFrame, problem: str, name: str, misses: int = 3) -> DataFrame:
+    """Try steps on the train part one after the other, keep those that raise the fold score, stop after 3 misses; a step that refuses is a miss without a score."""
     v = lambda i: F.col("vec")[i]
-    pairs = [(i, j) for i in range(width) for j in range(i + 1, width)]
+
+    def pairs(d):
+        width = measure(d, w=F.max(F.size("vec")))["w"]
+        return [(i, j) for i in range(width) for j in range(i + 1, width)]
 
     def outliers(d):
-        long = d.select("id", *[v(i).alias(f"c{i}") for i in range(width)])
-        bad = flag_top(isolation_scores(long, "id", [f"c{i}" for i in range(width)], trees=50), 0.05).where("flag = 1")
-        return d.join(bad.select("id"), "id", "left_anti")
+        names = [f"c{i}" for i in range(measure(d, w=F.max(F.size("vec")))["w"])]
+        long = d.select("id", *[v(i).alias(c) for i, c in enumerate(names)])
+        return d.join(without_outliers(long, "id", names, trees=50).select("id"), "id", "left_semi")
 
     steps = {
-        "products": lambda d: with_vector(d, F.concat("vec", F.array(*[v(i) * v(j) for i, j in pairs]))),
-        "ratios": lambda d: with_vector(d, F.concat("vec", F.array(*[v(i) / (F.abs(v(j)) + 1e-8) for i, j in pairs], *[v(i) - v(j) for i, j in pairs]))),
+        "best_half": lambda d: best_half(d, problem),
+        "products": lambda d: with_vector(d, F.concat("vec", F.array(*[v(i) * v(j) for i, j in pairs(d)]))),
         "squares": lambda d: with_vector(d, F.concat("vec", F.transform("vec", lambda x: x * x))),
         "outliers": outliers,
+        "deciles": with_deciles,
+        "ratios": lambda d: with_vector(d, F.concat("vec", F.array(*[v(i) / (F.abs(v(j)) + 1e-8) for i, j in pairs(d)], *[v(i) - v(j) for i, j in pairs(d)]))),
     }
     best = float(np.mean(fold_scores(data, make(name, problem), problem)))
     rows, missed = [("start", half_up(best), True)], 0
     for step, fn in steps.items():
-        trial = fn(data)
-        got = float(np.mean(fold_scores(trial, make(name, problem), problem)))
-        ok = got > best
-        rows.append((step, half_up(got), ok))
+        try:
+            trial = fn(data)
+            got = float(np.mean(fold_scores(trial, make(name, problem), problem)))
+        except ValueError:
+            trial, got = data, None
+        ok = got is not None and got > best
+        rows.append((step, None if got is None else half_up(got), ok))
         if ok:
             data, best = trial, got
         else:
@@ -391,8 +426,28 @@ def improve(data: DataFrame, problem: str, name: str, misses: int = 3) -> DataFr
     return report(data, rows, "step string, score double, kept boolean")
 
 
-def advice(data: DataFrame, board: DataFrame, problem: str, missing_pct: float = 0.0) -> DataFrame:
-    """Retraining advice from the measures of a run."""
+def feature_advice(width: int, importances: Sequence[tuple[str, float]], score_: float, problem: str, correlated: int) -> list[tuple[str, str, float]]:
+    """Advice on the features: too few of them, one that dominates, none that says much, crossings, and components in place of more than two correlated ones."""
+    total = sum(v for _, v in importances) or 1.0
+    shares = sorted((v / total for _, v in importances), reverse=True)
+    out: list[tuple[str, str, float]] = []
+    if width < 5:
+        out.append(("few_features", "products", float(width)))
+    if len(shares) > 2 and shares[0] > 0.5:
+        out.append(("dominant_feature", "products", half_up(shares[0])))
+    if len(shares) > 5 and shares[0] < 0.1:
+        out.append(("weak_features", "products", half_up(shares[0])))
+    if score_ < (0.75 if problem == "classification" else 0.5) and width < 15:
+        out.append(("cross_features", "products", half_up(score_)))
+    elif width > 5 and sum(shares[:2]) > 0.6:
+        out.append(("cross_top_features", "products", half_up(sum(shares[:2]))))
+    if correlated > 2:
+        out.append(("correlated_features", "components", float(correlated)))
+    return out
+
+
+def advice(data: DataFrame, board: DataFrame, problem: str, missing_pct: float = 0.0, importances: Sequence[tuple[str, float]] = (), folds: DataFrame | None = None, correlated: int = 0) -> DataFrame:
+    """Retraining advice from the measures of a run: its leaderboard, feature importances, fold scores (as of ``cross_validate``) and the number of features dropped as correlated."""
     rows = board.where("test_score is not null").orderBy(F.desc("test_score"), "model").collect()  # one row per model
     best, out = rows[0], []
     if missing_pct > 20:
@@ -408,6 +463,9 @@ def advice(data: DataFrame, board: DataFrame, problem: str, missing_pct: float =
         out.append(("underfitting", "larger_model", best["test_score"]))
     if len(rows) > 1 and best["test_score"] - rows[1]["test_score"] < 0.02:
         out.append(("close_models", "ensemble", half_up(best["test_score"] - rows[1]["test_score"])))
+    out += feature_advice(measure(data, w=F.max(F.size("vec")))["w"] or 0, importances, best["test_score"], problem, correlated)
+    if folds is not None:  # one row per model
+        out += [(f"variance of {r['model']}", "regularise", r["std"]) for r in folds.where("std > 0.05").orderBy("model").collect()]
     if problem == "classification":
         out.append(("calibration", "calibrate", best["test_score"]))
     return report(data, out, "finding string, action string, value double")
@@ -425,6 +483,10 @@ def retrain(data: DataFrame, problem: str, name: str, actions: Sequence[str]) ->
         width = measure(train, w=F.max(F.size("vec")))["w"]
         cells = F.concat("vec", F.array(*[F.col("vec")[i] * F.col("vec")[j] for i in range(width) for j in range(i + 1, width)]))
         tr, te = with_vector(tr, cells), with_vector(te, cells)
+    if "components" in actions:
+        width = measure(tr, w=F.max(F.size("vec")))["w"]
+        found = PCA(k=min(width, max(5, int(0.8 * width))), inputCol="features", outputCol="_parts").fit(tr)
+        tr, te = (with_vector(found.transform(p), vector_to_array("_parts")).drop("_parts") for p in (tr, te))
     if "regularise" in actions:
         params |= {"maxDepth": 4} if name in ("tree", "forest", "boosted") else {"regParam": 0.1}
     if "larger_model" in actions and name == "forest":

@@ -53,7 +53,7 @@ def cn8(t):
 @query("CN14")
 def cn14(t):
     df = t.gappy_orders.withColumn("target", (F.col("o_shippriority") > 5).cast("int")).drop("o_shippriority")
-    return I.cleaning_impact(df, "target", "o_orderkey", C.suggestions(df.drop("target")))
+    return I.cleaning_impact(df, "target", "o_orderkey", C.suggestions(df.drop("target")), trees=50, depth=10)
 
 
 # Transforms with models
@@ -63,17 +63,14 @@ def cn14(t):
 def tr10(t):
     from tablewise.operators.blocks import compile_blocks
 
-    model = compile_blocks([("fill", "median"), ("scale", "minmax"), ("select", "variance"), ("reduce", "pca")], FEATURES, "target").fit(t.learnable.withColumn("target", F.col("target").cast("double")))
+    model = compile_blocks([("fill", "median"), ("scale", "minmax"), ("select", "correlation"), ("select", "variance"), ("reduce", "pca")], FEATURES, "target").fit(t.learnable.withColumn("target", F.col("target").cast("double")))
     return model.transform(t.learnable.withColumn("target", F.col("target").cast("double"))).select("o_orderkey", F.col("features").cast("string").alias("features"))
 
 
 @query("TR16")
 def tr16(t):
-    from tablewise.operators.anomalies import flag_top, isolation_scores
-
-    df = t.learnable
-    bad = flag_top(isolation_scores(df, "o_orderkey", FEATURES, trees=100), 0.05).where("flag = 1")
-    return L.without(df, bad, "o_orderkey").select("o_orderkey", "target")
+    train, _ = L.split(t.learnable.withColumn("id", F.col("o_orderkey")))
+    return L.without_outliers(train, "o_orderkey", FEATURES).select("o_orderkey", "target")
 
 
 @query("TR17")
@@ -205,13 +202,14 @@ def ml25(t):
 
 @query("ML26")
 def ml26(t):
-    return L.improve(table(t), CLF, "logistic")
+    return L.improve(L.split(table(t))[0], CLF, "logistic")
 
 
 @query("ML27")
 def ml27(t):
     d = table(t)
-    return L.advice(d, L.train_all(d, CLF, ["logistic", "tree"])[0], CLF)
+    board, models = L.train_all(d, CLF, ["logistic", "tree"])
+    return L.advice(d, board, CLF, importances=L.importance(models["tree"], FEATURES), folds=L.cross_validate(d, CLF, ["logistic", "tree"]))
 
 
 @query("ML28")
@@ -219,6 +217,11 @@ def ml28(t):
     return L.retrain(table(t), CLF, "logistic", ["class_weights", "products", "regularise"])
 
 
+@query("ML28_components")
+def ml28_components(t):
+    return L.retrain(table(t), CLF, "logistic", ["products", "components"])
+
+
 def noisy(t):
     """Labels with some flips, to be found."""
     return table(t).withColumn("label", F.when(F.col("id") % 50 == 0, 1 - F.col("label")).otherwise(F.col("label")))
