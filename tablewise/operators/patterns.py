@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablewise.functions.moments import half_up, rounded
 from tablewise.functions.tails import correlation_p, normal_cdf
 from tablewise.operators.measures import col, correlation, distinct_counts, frequencies, measure, number, report, text_columns
-from tablewise.operators.text import terms, vocabulary
+from tablewise.operators.text import term_counts, vocabulary, weighted_terms
 
 YES = ["1", "true", "yes"]
 FLAGS = {"0", "1", "true", "false", "yes", "no", "1.0", "0.0"}
@@ -98,11 +98,10 @@ def nmf_topics(df: DataFrame, key: str, column: str, topics: int = 5, size: int
     sums, and the error of all cells, zeros included, falls out of the same pass. A text is a row of dense term
     numbers inside a task, so keys may be of any type. Texts without a vocabulary term are in no topic.
     """
-    found = terms(df, key, column).where(~F.col("term").contains(" ")).persist()
-    vocab = [(r["term"], r["idf"]) for r in vocabulary(found, df.count(), size).orderBy("term").collect()]  # ``size`` terms
-    names = [t for t, _ in vocab]
-    numbered = report(df, [(i, t, idf) for i, (t, idf) in enumerate(vocab)], "at int, term string, idf double")
-    cells = found.join(numbered, "term").groupBy("key").agg(F.collect_list(F.struct("at", (F.col("tf") * F.col("idf")).alias("w"))).alias("c"))
+    vocab = vocabulary(term_counts(df, key, column, pairs=False), df.count(), size)
+    names = list(vocab)
+    numbered = report(df, enumerate(names), "at int, term string")
+    cells = weighted_terms(df, key, column, vocab, pairs=False).join(numbered, "term").groupBy("key").agg(F.collect_list(F.struct("at", "w")).alias("c"))
     data = cells.select("key", F.col("c.at").alias("at"), F.col("c.w").alias("w")).persist()
     v = len(names)
 
@@ -136,7 +135,6 @@ def nmf_topics(df: DataFrame, key: str, column: str, topics: int = 5, size: int
             h = h * wx / (ww @ h + 1e-12)
         h = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-12)  # topics of one length, so weights compare
     *_, error = sums(h)
-    found.unpersist()
 
     def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

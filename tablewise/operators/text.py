@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,37 +53,96 @@ def sentiment(df: DataFrame, column: str) -> DataFrame:
         f"{column}_positive_ratio": pos / total, f"{column}_negative_ratio": neg / total, f"{column}_sentiment_score": (pos - neg) / total})
 
 
-def terms(df: DataFrame, key: str, column: str, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """(key, term, tf) of the 1- and 2-grams of each text, stop words removed.
-
-    The counts of one text are combined in the task that reads it, before the shuffle.
-    """
+def grams(column: str, stop_words: Sequence[str] | None = None, pairs: bool = True) -> Column:
+    """The words of a text without stop words, and its pairs of neighbouring words, as one array."""
     stop = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
     cleaned = F.regexp_replace(F.lower(F.coalesce(col(column), F.lit(""))), r"[^a-zA-Z\s]", " ")
-    tokens = F.filter(F.split(cleaned, r"\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(stop))
-    data = df.select(col(key).alias("key"), tokens.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return (
-        data.select("key", F.explode(F.concat("w", pairs)).alias("term"))
-        .groupBy("key", "term").agg(F.count("*").alias("tf"))
-    )
+    w = F.filter(F.split(cleaned, r"\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(stop))
+    if not pairs:
+        return w
+    # a lambda over one column: the words are made once
+    both = F.transform(F.array(w), lambda w: F.concat(w, F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
+    return both[0]
+
+
+#: Words whose counts a task makes at once.
+WORDS_AT_ONCE = 4_000_000
+
+
+def tallied(words: pa.Array, pairs: bool = True) -> pa.RecordBatch:
+    """(term, df, cf) of some texts, each a list of its words: numbers stand for words, a pair is a number of two."""
+    found = words.flatten().dictionary_encode()
+    names, code, n = found.dictionary, found.indices.to_numpy().astype(np.int64), max(1, len(words))
+    row, v = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy()), max(1, len(names))
+
+    def tally(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cell, times = np.unique(term * n + row, return_counts=True)
+        term = cell // n
+        first = np.flatnonzero(np.diff(term, prepend=-1))
+        return term[first], np.diff(first, append=len(cell)), np.add.reduceat(times, first) if len(first) else times
 
+    term, df, cf = tally(code, row)
+    text = names.take(pa.array(term))
+    if pairs:
+        at = np.flatnonzero(row[1:] == row[:-1])
+        both, more, often = tally(code[at] * v + code[at + 1], row[at])
+        text = pa.concat_arrays([text, pc.binary_join_element_wise(names.take(pa.array(both // v)), names.take(pa.array(both % v)), " ")])
+        df, cf = np.concatenate([df, more]), np.concatenate([cf, often])
+    return pa.record_batch([text, pa.array(df, pa.int64()), pa.array(cf, pa.int64())], ["term", "df", "cf"])
 
-def vocabulary(found: DataFrame, n_texts: int, size: int = 50, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
-    """The most frequent terms with their document frequency and smooth idf."""
-    stats = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return (
-        stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_texts))
+
+def term_counts(df: DataFrame, key: str, column: str, stop_words: Sequence[str] | None = None, pairs: bool = True) -> DataFrame:
+    """(term, df, cf): in how many texts a term is, and how often in all.
+
+    A task counts the terms of its texts before the shuffle and passes on one row per term, not one per text and
+    term. Rows that share a key are one text: these alone are counted by key and term first.
+    """
+    data = df.select(col(key).alias("key"), col(column).alias("text"))
+    again = data.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("other"))
+    some = not again.isEmpty()
+    same = F.col("key").eqNullSafe(F.col("other"))
+    single = data.join(again, same, "left_anti") if some else data
+
+    def count(batches):
+        for b in batches:
+            w = b.column(0)
+            ends = np.cumsum(w.value_lengths().to_numpy())
+            cuts = [0, *np.flatnonzero(np.diff(ends // WORDS_AT_ONCE)) + 1, len(w)] if len(w) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield tallied(w.slice(lo, hi - lo), pairs)
+
+    found = single.select(grams("text", stop_words, False).alias("w")).mapInArrow(count, "term string, df long, cf long")
+    if some:
+        shared = data.join(again, same, "left_semi").select("key", F.explode(grams("text", stop_words, pairs)).alias("term"))
+        found = found.union(shared.groupBy("key", "term").agg(F.count("*").alias("cf")).select("term", F.lit(1).cast("long"), "cf"))
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def vocabulary(counts: DataFrame, n_texts: int, size: int = 50, min_df: int = 2, max_df: float = 0.95) -> dict[str, float]:
+    """The ``size`` most frequent terms, sorted, with their smooth idf."""
+    best = (
+        counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_texts))
         .orderBy(F.desc("cf"), "term").limit(size)
         .select("term", (F.log((1.0 + n_texts) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     )
+    return {r["term"]: r["idf"] for r in sorted(best.collect())}  # at most ``size``
+
+
+def weighted_terms(df: DataFrame, key: str, column: str, vocab: dict[str, float], stop_words: Sequence[str] | None = None, pairs: bool = True) -> DataFrame:
+    """(key, term, w): tf times idf of the vocabulary's terms in each text; other terms are dropped in the row, before the shuffle."""
+    known = F.filter(grams(column, stop_words, pairs), lambda t: t.isin(list(vocab)))
+    found = df.select(col(key).alias("key"), F.explode(known).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    numbers = df.sparkSession.createDataFrame(list(vocab.items()), "term string, idf double")
+    return found.join(numbers, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def tfidf(df: DataFrame, key: str, column: str, size: int = 50, stop_words: Sequence[str] | None = None) -> DataFrame:
     """(key, term, weight): TF-IDF of the vocabulary terms, L2-normalised per text."""
-    found = terms(df, key, column, stop_words)
-    vocab = vocabulary(found, df.count(), size)
-    raw = found.join(vocab, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return tfidf_of(df, key, column, vocabulary(term_counts(df, key, column, stop_words), df.count(), size), stop_words)
+
+
+def tfidf_of(df: DataFrame, key: str, column: str, vocab: dict[str, float], stop_words: Sequence[str] | None = None) -> DataFrame:
+    raw = weighted_terms(df, key, column, vocab, stop_words)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
     return raw.select("key", "term", (F.col("w") / norm).alias("weight"))
 
@@ -91,8 +153,8 @@ def text_features(df: DataFrame, key: str, columns: Sequence[str] | None = None,
         columns = [r["column"] for r in text_shape(df).collect() if r["is_text"]]
     out = df
     for c in columns:
-        weights = tfidf(df, key, c, size, stop_words)
-        names = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]  # at most ``size``
+        vocab = vocabulary(term_counts(df, key, c, stop_words), df.count(), size)
+        weights, names = tfidf_of(df, key, c, vocab, stop_words), list(vocab)  # each of these terms is in two texts at least
         wide = weights.groupBy("key").pivot("term", names).agg(F.first("weight"))
         wide = wide.select(F.col("key").alias(key), *[F.col(f"`{t}`").alias(f"{c}_tfidf_{t.replace(' ', '_')}") for t in names])
         out = sentiment(text_measures(out, c), c).drop(c).join(wide, key, "left").fillna(0.0, wide.columns[1:])
