@@ -43,8 +43,8 @@ def boundary(df: DataFrame, label: str, key: str, columns: Sequence[str], size:
     near = knn(vectors(df, key, columns), vectors(df, key, columns), k, same=True)
     own = df.select(F.col(key).cast("long").alias("id"), col(label).alias("y"))
     other = df.select(F.col(key).cast("long").alias("neighbor"), col(label).alias("ny"))
-    score = near.join(own, "id").join(other, "neighbor").groupBy("id").agg(F.avg((F.col("y") != F.col("ny")).cast("double")).alias("_score"))
-    data = df.join(score, F.col(key).cast("long") == F.col("id")).drop("id")
+    score = near.join(own.hint("merge"), "id").join(other.hint("merge"), "neighbor").groupBy("id").agg(F.avg((F.col("y") != F.col("ny")).cast("double")).alias("_score"))
+    data = df.join(score.hint("merge"), F.col(key).cast("long") == F.col("id")).drop("id")  # one row per row on each side: never through the driver
     data = data.withColumn("_u", hash_uniform(key, seed)).persist()
     first, left, cut = int(size * 0.6), int(size * 0.6), 2.0
     for r in sorted(data.groupBy("_score").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["_score"]):  # at most k + 1 levels

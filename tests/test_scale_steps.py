@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from tablewise.operators import text
+from tablewise.operators import sampling, text
 
 
 def test_term_counts_of_repeated_and_null_keys(spark):
@@ -34,3 +34,13 @@ def test_terms_are_counted_before_the_shuffle(spark):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(term" in plan and "hashpartitioning(key" not in plan  # no row per text and term
     assert {r["df"] for r in counts.collect()} == {2_000}
+
+
+def test_boundary_sends_no_table_to_the_driver(spark):
+    df = spark.range(300).selectExpr("id AS k", "cast(id % 17 as double) AS a", "cast(id % 11 as double) AS b", "cast(id % 2 as int) AS y")
+    out = sampling.boundary(df, "y", "k", ["a", "b"], 50, 5)
+    assert out.count() == 50
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    for side in ("[id#", "[neighbor#"):
+        assert f"BroadcastHashJoin {side}" not in plan
