@@ -26,6 +26,7 @@ SAMPLE_VALUES = 4_000_000  # numbers of the sample the tree is fitted on
 LEAF_ROWS = 20_000  # rows of one distributed leaf
 QUERY_ROWS = 50_000  # queries one task takes for a leaf
 LOCAL_ROWS = 512  # rows of one leaf of the small tree inside a task
+VISITED_ROWS = 4096  # queries held against such a leaf at once
 RESULT = "id long, neighbor long, distance double"
 
 
@@ -107,17 +108,20 @@ class LocalTree:
             dist[at] = np.take_along_axis(all_d, pick, axis=1)
             near[at] = np.take_along_axis(all_b, pick, axis=1)
 
+        def visits(leaf: int, at: np.ndarray) -> None:
+            for lo in range(0, len(at), VISITED_ROWS):
+                visit(leaf, at[lo : lo + VISITED_ROWS])
+
         own = self.assign(q)
         for leaf in np.unique(own):
-            visit(int(leaf), np.nonzero(own == leaf)[0])
+            visits(int(leaf), np.nonzero(own == leaf)[0])
         for leaf in range(len(self.members)):
             reach = np.zeros(n)
             for j in range(q.shape[1]):
                 gap = np.maximum(self.lo[leaf, j] - q[:, j], 0) + np.maximum(q[:, j] - self.hi[leaf, j], 0)
                 reach += gap * gap
             at = np.nonzero((np.sqrt(reach) <= dist.max(axis=1)) & (own != leaf))[0]
-            if len(at):
-                visit(leaf, at)
+            visits(leaf, at)
         rows, cols = np.nonzero((near != NOBODY) & np.isfinite(dist))
         return pd.DataFrame({"id": qid[rows], "neighbor": near[rows, cols], "distance": dist[rows, cols]})
 

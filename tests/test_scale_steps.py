@@ -1,8 +1,11 @@
 """Steps whose cost must not grow faster than the table."""
 
+import tracemalloc
 from collections import Counter
 
-from tablewise.operators import sampling, text
+import numpy as np
+
+from tablewise.operators import neighbors, sampling, text
 
 
 def test_term_counts_of_repeated_and_null_keys(spark):
@@ -36,6 +39,19 @@ def test_terms_are_counted_before_the_shuffle(spark):
     assert {r["df"] for r in counts.collect()} == {2_000}
 
 
+def test_neighbours_of_many_queries_need_little_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    tree = neighbors.LocalTree(rng.normal(size=(500, 2)), np.arange(500))
+    q, ids = rng.normal(size=(50_000, 2)), np.arange(1_000, 51_000)
+    tracemalloc.start()
+    got = tree.nearest(q, ids, 5, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # a number for each query and row alone takes 200 MB
+    monkeypatch.setattr(neighbors, "VISITED_ROWS", 60_000)
+    assert got.equals(tree.nearest(q, ids, 5, False))
+
+
 def test_boundary_sends_no_table_to_the_driver(spark):
     df = spark.range(300).selectExpr("id AS k", "cast(id % 17 as double) AS a", "cast(id % 11 as double) AS b", "cast(id % 2 as int) AS y")
     out = sampling.boundary(df, "y", "k", ["a", "b"], 50, 5)
