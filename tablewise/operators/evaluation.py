@@ -55,14 +55,14 @@ def curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: st
         cum = cum.join(totals, list(by))
     else:
         t = totals.first()
-        cum = cum.withColumns({"P": F.lit(t["P"]), "N": F.lit(t["N"])})
+        cum = cum.withColumns({"P": F.lit(t["P"]).cast("long"), "N": F.lit(t["N"]).cast("long")})
     return cum.select(*by, "score", "pos", "neg", "tp", "fp", "P", "N", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"),
                       (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def roc_auc(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by trapezoids, as a sum over the distinct scores."""
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)) / F.max(F.col("P") * F.col("N"))
+    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)) / F.max(F.col("P").cast("double") * F.col("N"))  # the product fits no integer
     return points.groupBy(*by).agg(rounded(area).alias("auc"))
 
 

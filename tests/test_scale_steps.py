@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tablewise.operators import neighbors, sampling, text
+from tablewise.operators import evaluation, neighbors, sampling, text
 
 
 def test_term_counts_of_repeated_and_null_keys(spark):
@@ -60,3 +60,11 @@ def test_boundary_sends_no_table_to_the_driver(spark):
     assert "SortMergeJoin" in plan
     for side in ("[id#", "[neighbor#"):
         assert f"BroadcastHashJoin {side}" not in plan
+
+
+def test_auc_of_many_rows(spark):
+    """50,000 rows of either class: their product is beyond 32 bits."""
+    df = spark.range(100_000).selectExpr("cast(id % 2 as int) AS label", "cast(id % 2 as int) AS prediction", "0.25 + (id % 2) / 2 AS prob")
+    assert evaluation.classification_measures(df).first()["auc"] == 1.0
+    points = spark.createDataFrame([(0.5, 1, 1, 1, 1, 4_000_000_000, 4_000_000_000)], "score double, pos long, neg long, tp long, fp long, P long, N long")
+    assert evaluation.roc_auc(points).first()["auc"] == 0.0
