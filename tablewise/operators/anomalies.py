@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewise.operators.explore import outlier_measures
 from tablewise.operators.measures import measure, number, quantiles
-from tablewise.operators.neighbors import knn, matrix, vectors
+from tablewise.operators.neighbors import dealt, knn, matrix, vectors
 
 NODES = "tree int, node int, feature int, cut double, low int, high int, size int"
 
@@ -96,7 +96,7 @@ def isolation_scores(df: DataFrame, key: str, columns: Sequence[str], trees: int
                 norm += float(average_path(size[0]))
             yield pd.DataFrame({"id": pdf["id"], "score": np.power(2.0, -depth / max(norm, 1e-9))})
 
-    return data.mapInPandas(score, "id long, score double")
+    return dealt(data, n).mapInPandas(score, "id long, score double")
 
 
 def flag_top(scores: DataFrame, share: float) -> DataFrame:

@@ -25,6 +25,7 @@ BROADCAST_VALUES = 2_000_000  # numbers a base may hold to be sent to every task
 SAMPLE_VALUES = 4_000_000  # numbers of the sample the tree is fitted on
 LEAF_ROWS = 20_000  # rows of one distributed leaf
 QUERY_ROWS = 50_000  # queries one task takes for a leaf
+DEALT_ROWS = 2_000  # rows that are not worth a shuffle
 LOCAL_ROWS = 512  # rows of one leaf of the small tree inside a task
 VISITED_ROWS = 4096  # queries held against such a leaf at once
 RESULT = "id long, neighbor long, distance double"
@@ -50,7 +51,9 @@ class LocalTree:
     def __init__(self, points: np.ndarray, ids: np.ndarray, rows: int | None = None):
         self.rows = rows or LOCAL_ROWS
         self.nodes: list[list] = []  # feature, cut, low child, high child, leaf
+        self.boxes: list[tuple[np.ndarray, np.ndarray]] = []  # of each node
         self.members: list[np.ndarray] = []
+        self.pieces: dict[int, int] = {}  # leaves that hold copies of one point, by the first of them
         self.points, self.ids = points, ids
         self._grow(np.arange(len(points)))
         self.table = [np.array(c) for c in zip(*self.nodes)]
@@ -63,18 +66,22 @@ class LocalTree:
         me = len(self.nodes)
         self.nodes.append([0, 0.0, -1, -1, -1])
         part = self.points[at]
+        low, high = part.min(axis=0), part.max(axis=0)
+        self.boxes.append((low, high))
         if len(at) > self.rows:
-            spread = part.max(axis=0) - part.min(axis=0)
+            spread = high - low
             f = int(np.argmax(spread))
             if spread[f] > 0:
                 cut = middle_cut(part[:, f])
-                low = part[:, f] < cut
+                side = part[:, f] < cut
                 self.nodes[me][:2] = [f, cut]
-                self.nodes[me][2] = self._grow(at[low])
-                self.nodes[me][3] = self._grow(at[~low])
+                self.nodes[me][2] = self._grow(at[side])
+                self.nodes[me][3] = self._grow(at[~side])
                 return me
         self.nodes[me][4] = len(self.members)
-        self.members += [at[s : s + self.rows] for s in range(0, max(1, len(at)), self.rows)]
+        pieces = [at[s : s + self.rows] for s in range(0, max(1, len(at)), self.rows)]
+        self.pieces[len(self.members)] = len(pieces)
+        self.members += pieces
         return me
 
     def assign(self, x: np.ndarray) -> np.ndarray:
@@ -113,15 +120,29 @@ class LocalTree:
                 visit(leaf, at[lo : lo + VISITED_ROWS])
 
         own = self.assign(q)
-        for leaf in np.unique(own):
-            visits(int(leaf), np.nonzero(own == leaf)[0])
-        for leaf in range(len(self.members)):
-            reach = np.zeros(n)
+        order = np.argsort(own, kind="stable")
+        leaves, first = np.unique(own[order], return_index=True)
+        for leaf, at in zip(leaves.tolist(), np.split(order, first[1:])):
+            visits(leaf, at)
+        stack = [(0, np.arange(n))]  # the queries go down the tree together; a branch is entered by those that may find a nearer row there
+        while stack:
+            node, at = stack.pop()
+            lo, hi = self.boxes[node]
+            reach = np.zeros(len(at))
             for j in range(q.shape[1]):
-                gap = np.maximum(self.lo[leaf, j] - q[:, j], 0) + np.maximum(q[:, j] - self.hi[leaf, j], 0)
+                gap = np.maximum(lo[j] - q[at, j], 0) + np.maximum(q[at, j] - hi[j], 0)
                 reach += gap * gap
-            at = np.nonzero((np.sqrt(reach) <= dist.max(axis=1)) & (own != leaf))[0]
-            visits(leaf, at)
+            reach = np.sqrt(reach)
+            near_enough = reach <= dist[at].max(axis=1)
+            at, reach = at[near_enough], reach[near_enough]
+            if not len(at):
+                continue
+            _, _, below, above, leaf = self.nodes[node]
+            if leaf < 0:
+                stack += [(above, at), (below, at)]
+                continue
+            for part in range(leaf, leaf + self.pieces[leaf]):
+                visits(part, at[(own[at] != part) & (reach <= dist[at].max(axis=1))])
         rows, cols = np.nonzero((near != NOBODY) & np.isfinite(dist))
         return pd.DataFrame({"id": qid[rows], "neighbor": near[rows, cols], "distance": dist[rows, cols]})
 
@@ -260,6 +281,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int, same: bool = False) -> Data
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dealt(df: DataFrame, n: int, rows: int = QUERY_ROWS) -> DataFrame:
+    """Rows (id, vec) that cost much each, dealt over all cores and at most about ``rows`` to a task; ``n`` is their number."""
+    if n <= DEALT_ROWS:
+        return df
+    parts = max(min(df.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT_ROWS)), -(-n // rows))
+    return df.repartition(parts, "id", "vec")
+
+
 def _against_small(queries, base, k, same, width):
     rows = base.toPandas()  # bounded by BROADCAST_VALUES
     tree = queries.sparkSession.sparkContext.broadcast(LocalTree(matrix(rows["vec"], width), rows["id"].to_numpy()))
@@ -269,7 +298,7 @@ def _against_small(queries, base, k, same, width):
             if len(pdf):
                 yield tree.value.nearest(matrix(pdf["vec"], width), pdf["id"].to_numpy(), k, same)
 
-    return queries.mapInPandas(search, RESULT)
+    return dealt(queries, queries.count()).mapInPandas(search, RESULT)
 
 
 def _through_leaves(queries, base, k, same, width, n):

@@ -14,7 +14,7 @@ TABLE_NAMES = (
     "pages benchmark labels conversations"
 ).split()
 # keys by which a large table in a single split is spread
-KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+KEYS = {"customer": "c_custkey", "lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 class Tables:

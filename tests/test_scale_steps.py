@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tablewise.operators import evaluation, neighbors, sampling, text
+from tablewise.operators import anomalies, evaluation, neighbors, sampling, text
 
 
 def test_term_counts_of_repeated_and_null_keys(spark):
@@ -52,6 +52,36 @@ def test_neighbours_of_many_queries_need_little_memory(monkeypatch):
     assert got.equals(tree.nearest(q, ids, 5, False))
 
 
+def test_neighbours_are_found_down_the_tree(monkeypatch):
+    """Copies in several leaves, ties and bounds give what brute force gives, and most leaves are passed over together."""
+    monkeypatch.setattr(neighbors, "LOCAL_ROWS", 8)
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.integers(0, 30, size=(600, 2)).astype(float), np.full((50, 2), 7.0)])
+    ids = rng.permutation(len(points))
+    tree = neighbors.LocalTree(points, ids)
+    assert max(tree.pieces.values()) > 1 and len(tree.boxes) == len(tree.nodes)
+    q, qid = np.concatenate([points[::5], [[7.0, 7.0], [99.0, -3.0]]]), np.concatenate([ids[::5], [5_000, 5_001]])
+    d = np.sqrt(((q[:, None] - points[None]) ** 2).sum(axis=2))
+    d[qid[:, None] == ids[None]] = np.inf
+    for bound in (None, np.full(len(q), 2.0)):
+        got = tree.nearest(q, qid, 6, True, bound)
+        want = []
+        for i in range(len(q)):
+            near = sorted((d[i, j], int(ids[j])) for j in range(len(ids)) if np.isfinite(d[i, j]) and (bound is None or d[i, j] <= bound[i]))[:6]
+            want += [(int(qid[i]), b, x) for x, b in near]
+        assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_rows_of_one_split_are_searched_and_scored_by_all_cores(spark):
+    df = spark.range(9_000).selectExpr("id AS k", "cast(id % 997 as double) AS a", "cast(id % 25 as double) AS b").coalesce(1)
+    v = neighbors.vectors(df, "k", ["a", "b"])
+    for found in (neighbors.knn(v, v, 3, same=True), anomalies.isolation_scores(df, "k", ["a", "b"], trees=5)):
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.select("id").distinct().count() == 9_000
+    assert neighbors.dealt(v, 9_000).rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, 5)
+    assert neighbors.dealt(v, 100).rdd.getNumPartitions() == 1  # few rows are not worth it
+
+
 def test_boundary_sends_no_table_to_the_driver(spark):
     df = spark.range(300).selectExpr("id AS k", "cast(id % 17 as double) AS a", "cast(id % 11 as double) AS b", "cast(id % 2 as int) AS y")
     out = sampling.boundary(df, "y", "k", ["a", "b"], 50, 5)
