@@ -27,13 +27,19 @@ def missing_to_null(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, key: str, least_bytes: int = 2_000_000) -> DataFrame:
     """Spread a table that arrives in fewer splits than there are cores (one large row group, say) by its key.
 
-    A table in many files has enough splits and is left alone, as is a small one.
+    A table in many files has enough splits and is left alone, as is a small one. Where there is a split for most cores the rows
+    of each are counted (from the footers): if the largest has at most twice its share, no pass over the table needs a shuffle.
     """
-    sc = df.sparkSession.sparkContext
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < least_bytes or df._jdf.rdd().getNumPartitions() > sc.defaultParallelism:
+    splits = df._jdf.rdd().getNumPartitions()
+    if int(str(size)) < least_bytes or splits > cores:
         return df
-    return df.repartition(sc.defaultParallelism, col(key))
+    if 2 * splits > cores:
+        rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]  # one row per split
+        if max(rows, default=0) * cores <= 2 * sum(rows):
+            return df
+    return df.repartition(cores, col(key))
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:

@@ -4,8 +4,11 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from tablewise.operators import anomalies, evaluation, neighbors, sampling, text
+from tablewise.operators import anomalies, evaluation, imputation, measures, neighbors, patterns, sampling, text
+from tablewise.sources import files
 
 
 def test_term_counts_of_repeated_and_null_keys(spark):
@@ -98,3 +101,17 @@ def test_auc_of_many_rows(spark):
     assert evaluation.classification_measures(df).first()["auc"] == 1.0
     points = spark.createDataFrame([(0.5, 1, 1, 1, 1, 4_000_000_000, 4_000_000_000)], "score double, pos long, neg long, tp long, fp long, P long, N long")
     assert evaluation.roc_auc(points).first()["auc"] == 0.0
+
+
+def test_even_splits_are_not_shuffled(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    even, odd = str(tmp_path / "even"), str(tmp_path / "odd")
+    rows = spark.range(cores * 5_000).withColumn("x", F.col("id") % 7)
+    rows.repartitionByRange(cores, "id").write.parquet(even)
+    rows.repartitionByRange(cores, F.greatest("id", F.lit(cores * 4_000))).write.parquet(odd)
+    plans = {p: files.spread(spark.read.parquet(p), "id", 0) for p in (even, odd)}
+    shuffled = {p: "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString() for p, df in plans.items()}
+    assert spark.read.parquet(even).rdd.getNumPartitions() == cores
+    assert shuffled == {even: False, odd: True}
+    for df in plans.values():
+        assert df.agg(F.count("*"), F.sum("id")).first() == rows.agg(F.count("*"), F.sum("id")).first()
