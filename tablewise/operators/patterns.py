@@ -70,8 +70,9 @@ def topic_tokens(df: DataFrame, key: str, column: str, stop_words: Sequence[str]
 def lda_topics(df: DataFrame, key: str, column: str, topics: int = 5, size: int = 1000, seed: int = 42, words: int = 10) -> tuple[DataFrame, DataFrame, float]:
     """Top words and prevalence per topic, the main topic per text, and the log perplexity."""
     data = topic_tokens(df, key, column)
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size, minDF=2.0, maxDF=0.95).fit(data)
-    counts = cv.transform(data).persist()
+    most = 0.95 * df.count()  # given as a share, the learner would count the texts by keeping all their words
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size, minDF=2.0, maxDF=most if most >= 2 else 0.95).fit(data)
+    counts = cv.transform(data).select("key", "features").persist()
     model = LDA(k=topics, maxIter=10, seed=seed, optimizer="online").fit(counts)
     names = cv.vocabulary
     mix = model.transform(counts).select("key", vector_to_array("topicDistribution").alias("m"))

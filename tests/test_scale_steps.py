@@ -115,3 +115,37 @@ def test_even_splits_are_not_shuffled(spark, tmp_path):
     assert shuffled == {even: False, odd: True}
     for df in plans.values():
         assert df.agg(F.count("*"), F.sum("id")).first() == rows.agg(F.count("*"), F.sum("id")).first()
+
+
+class Seen(Exception):
+    pass
+
+
+def test_topics_keep_no_words(spark, monkeypatch):
+    """The learner of the vocabulary gets the limit as a number of texts, the topics get vectors only."""
+    texts = ["red fish blue", "red bird green", "red fish green", "red bird blue"] * 5 + ["old stone"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    asked, learner = {}, patterns.CountVectorizer
+
+    def counted(**p):
+        asked.update(p)
+        return learner(**p)
+
+    class Topics:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, counts):
+            raise Seen(counts)
+
+    monkeypatch.setattr(patterns, "CountVectorizer", counted)
+    monkeypatch.setattr(patterns, "LDA", Topics)
+    with pytest.raises(Seen) as seen:
+        patterns.lda_topics(df, "k", "t", 2)
+    counts = seen.value.args[0]
+    assert counts.columns == ["key", "features"] and asked["maxDF"] == 0.95 * len(texts)
+    plain = learner(inputCol="tokens", outputCol="features", vocabSize=1000, minDF=2.0, maxDF=0.95)
+    tokens = patterns.topic_tokens(df, "k", "t")
+    want = plain.fit(tokens).transform(tokens).select("key", "features")
+    assert {r["features"].size for r in want.collect()} == {7} == {r["features"].size for r in counts.collect()}
+    counts.unpersist()
