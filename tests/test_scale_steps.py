@@ -149,3 +149,19 @@ def test_topics_keep_no_words(spark, monkeypatch):
     want = plain.fit(tokens).transform(tokens).select("key", "features")
     assert {r["features"].size for r in want.collect()} == {7} == {r["features"].size for r in counts.collect()}
     counts.unpersist()
+
+
+def test_forest_of_the_cleaning_effect_keeps_its_nodes(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id", "cast(id % 13 as double) AS a", "cast(id * 7 % 23 as double) AS b", "cast(id % 13 > 5 as int) AS y")
+    chosen = measures.report(df, [(0, "drop_column", "b", "high", None, None, None)], "id int, type string, column string, impact string, strategy string, low double, high double")
+    forests, make = [], imputation.make
+
+    def made(*a, **p):
+        forests.append((a, p))
+        return make(*a, **p)
+
+    monkeypatch.setattr(imputation, "make", made)
+    kept = imputation.cleaning_impact(df, "y", "id", chosen, trees=5, depth=4).collect()
+    assert forests[0][1]["cacheNodeIds"] is True
+    monkeypatch.setattr(imputation, "make", lambda *a, **p: make(*a, **{k: v for k, v in p.items() if k in ("numTrees", "maxDepth")}))
+    assert imputation.cleaning_impact(df, "y", "id", chosen, trees=5, depth=4).collect() == kept  # the same trees
