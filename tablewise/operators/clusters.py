@@ -8,14 +8,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up
-from tablewise.operators.measures import hash_uniform, measure, number, quantiles, report
+from tablewise.operators.measures import hash_normal, hash_uniform, measure, number, quantiles, report
 from tablewise.operators.neighbors import Leaves, LocalTree, knn, matrix, vectors
 from tablewise.operators.transforms import principal_components
 from tablewise.session import cut_lineage
@@ -68,7 +68,50 @@ def spectral(df: DataFrame, key: str, columns: Sequence[str], k: int, neighbors:
     near = knn(v, v, neighbors, same=True)
     edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.exp(-F.col("distance") * F.col("distance")).alias("weight"))
     edges = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("weight > 0")
-    return PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(edges).select("id", "cluster")
+    points = power_vector(edges).select("id", array_to_vector(F.array("x")).alias("features"))
+    if points.isEmpty():
+        return points.select("id", F.lit(0).alias("cluster"))
+    return KMeans(k=k, seed=0, maxIter=20).fit(points).transform(points).select("id", F.col("prediction").alias("cluster"))
+
+
+def power_vector(edges: DataFrame, iterations: int = 15, seed: int = 0) -> DataFrame:
+    """(id, x): power iterations (Lin and Cohen) of the weights of undirected edges (src, dst, weight), every node's divided by their sum.
+
+    Same steps, start and stop as `pyspark.ml`'s, whose graph is built anew in every round, but the start is drawn from the ids, not per partition.
+    The edges are dealt by one end and kept; a round shuffles one number per node, and partial sums of the products.
+    """
+    edges = cut_lineage(edges.where("src <> dst").select("src", "dst", "weight"))
+    both = edges.union(edges.select("dst", "src", "weight"))
+    degree = both.groupBy("src").agg(F.sum("weight").alias("degree"))
+    kept = kept_by_end(both.join(degree, "src").select("src", "dst", (F.col("weight") / F.greatest("degree", F.lit(2.0**-52))).alias("share")))
+    try:
+        now = cut_lineage(degree.select(F.col("src").alias("id"), hash_normal("src", seed).alias("x")))
+        n, size = now.agg(F.count(F.lit(1)), F.sum(F.abs("x"))).first()
+        now = now.select("id", (F.col("x") / F.lit(size)).alias("x"))
+        tolerance, before, change = max(1e-5 / max(1, n), 1e-8), math.inf, math.inf
+        for _ in range(iterations if n else 0):
+            if change <= tolerance:
+                break
+            step = cut_lineage(products(kept, now).join(now, "id"))
+            norm = step.agg(F.sum(F.abs("y"))).first()[0]
+            step = step.withColumn("y", F.col("y") / F.lit(norm))
+            moved = step.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0]
+            change, before = abs(moved - before), moved
+            now = step.select("id", F.col("y").alias("x"))
+    finally:
+        kept.unpersist()
+    return now
+
+
+def kept_by_end(edges: DataFrame) -> DataFrame:
+    """Edges dealt and sorted by ``dst``, and kept so."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, "dst").sortWithinPartitions("dst").persist()
+
+
+def products(kept: DataFrame, now: DataFrame) -> DataFrame:
+    """(id, y): the matrix of shares times the vector (id, x)."""
+    return kept.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("share") * F.col("x")).alias("y"))
 
 
 def calinski_harabasz(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.operators import anomalies, evaluation, imputation, measures, neighbors, patterns, sampling, text
+from tablewise.operators import anomalies, clusters, evaluation, imputation, measures, missingness, neighbors, patterns, sampling, text
 from tablewise.sources import files
 
 
@@ -165,3 +165,43 @@ def test_forest_of_the_cleaning_effect_keeps_its_nodes(spark, monkeypatch):
     assert forests[0][1]["cacheNodeIds"] is True
     monkeypatch.setattr(imputation, "make", lambda *a, **p: make(*a, **{k: v for k, v in p.items() if k in ("numTrees", "maxDepth")}))
     assert imputation.cleaning_impact(df, "y", "id", chosen, trees=5, depth=4).collect() == kept  # the same trees
+
+
+def test_power_iterations_follow_the_matrix_however_rows_are_dealt(spark):
+    """What numpy gives on the same start; before, the start was drawn per partition, and every round built the graph anew."""
+    rng = np.random.default_rng(8)
+    pairs = {(min(a, b), max(a, b)): float(w) for a, b, w in zip(rng.integers(0, 60, 300).tolist(), rng.integers(0, 60, 300).tolist(), rng.uniform(0.1, 1, 300)) if a != b}
+    rows = [(a, b, w) for (a, b), w in pairs.items()] + [(5, 5, 9.0)]
+    df = spark.createDataFrame(rows, "src long, dst long, weight double")
+    ids = sorted({x for ab in pairs for x in ab})
+    w = np.zeros((len(ids), len(ids)))
+    for (a, b), x in pairs.items():
+        w[ids.index(a), ids.index(b)] = w[ids.index(b), ids.index(a)] = x
+    w /= w.sum(axis=1, keepdims=True)
+    start = {r["src"]: r["x"] for r in spark.createDataFrame([(i,) for i in ids], "src long").withColumn("x", measures.hash_normal("src", 0)).collect()}
+    x = np.array([start[i] for i in ids])
+    x /= np.abs(x).sum()
+    for _ in range(4):
+        x = w @ x
+        x /= np.abs(x).sum()
+    for some in (df.coalesce(1), df.repartition(7)):
+        got = {r["id"]: r["x"] for r in clusters.power_vector(some, iterations=4).collect()}
+        assert sorted(got) == ids and np.allclose([got[i] for i in ids], x, rtol=1e-9)
+    assert clusters.power_vector(df.where("weight > 99")).isEmpty()
+
+
+def test_a_power_iteration_deals_no_edges_again(spark):
+    edges = spark.range(5_000).selectExpr("id AS src", "id * 7 % 5000 AS dst", "0.5D AS share")
+    kept = clusters.kept_by_end(edges)
+    kept.count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = clusters.products(kept, spark.range(5_000).selectExpr("id", "1.0D AS x"))
+        assert {r["y"] for r in step.collect()} == {0.5}
+        plan = [x for x in step._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Exchange" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        kept.unpersist()
+    assert sum("hashpartitioning(src" in x for x in plan) == 1  # the partial sums
+    assert sum("hashpartitioning(dst" in x and "REPARTITION_BY_NUM" not in x for x in plan) <= 1, plan  # the vector; the edges were dealt once
