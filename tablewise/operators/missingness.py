@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up
@@ -131,21 +131,75 @@ def mar_scores(df: DataFrame) -> DataFrame:
     q = quantiles(df, nums, [0.5])
     filled = df.select(*[col(c).isNull().cast("double").alias(f"_y{i}") for i, c in enumerate(df.columns)],
                        *[F.coalesce(number(c), F.lit(q[c][0])).alias(c) for c in nums if q[c][0] is not None]).persist()
-    rows = []
+    found, margins = [], {}
     try:
         for i, c in enumerate(df.columns):
             if not 0 < miss[c] < miss["*"]:
                 continue
             others = [o for o in nums if o != c and q[o][0] is not None]
             data = VectorAssembler(inputCols=others, outputCol="raw").transform(filled)
-            scaled = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(data).transform(data)
-            model = LogisticRegression(labelCol=f"_y{i}", featuresCol="features", regParam=1.0 / max(1, miss["*"]), maxIter=25).fit(scaled)
-            auc = BinaryClassificationEvaluator(labelCol=f"_y{i}").evaluate(model.transform(scaled))
-            ranked = sorted(zip(others, model.coefficients.toArray()), key=lambda p: -abs(p[1]))[:3]
-            rows.append((c, half_up(auc), ",".join(o for o, w in ranked if abs(w) > 0.1)))
+            scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features").fit(data)
+            model = LogisticRegression(labelCol=f"_y{i}", featuresCol="features", regParam=1.0 / max(1, miss["*"]), maxIter=25).fit(scaler.transform(data))
+            weights = model.coefficients.toArray()
+            cells = [(col(o) - float(m)) * float(w / s if s else 0.0) for o, w, m, s in zip(others, weights, scaler.mean.toArray(), scaler.std.toArray())]
+            margins[i] = sum(cells, F.lit(float(model.intercept)))
+            ranked = sorted(zip(others, weights), key=lambda p: -abs(p[1]))[:3]
+            found.append((i, c, ",".join(o for o, w in ranked if abs(w) > 0.1)))
+        areas = areas_under_curves(filled, {i: (col(f"_y{i}"), m) for i, m in margins.items()})
     finally:
         filled.unpersist()
-    return report(df, rows, "column string, mar_score double, predictors string")
+    return report(df, [(c, half_up(areas[i]), names) for i, c, names in found], "column string, mar_score double, predictors string")
+
+
+def areas_under_curves(df: DataFrame, asked: Mapping[int, tuple[Column, Column]]) -> dict[int, float]:
+    """Exact area under the ROC curve of each (0/1 label, score), all from one range shuffle.
+
+    Tasks count labels per score and batch first, so that a frequent score does not fill one task; a task then walks its range of scores in order and
+    returns one row per curve.
+    """
+    if not asked:
+        return {}
+    curves = list(asked)
+    wide = df.select(*[c.alias(f"{name}{i}") for i, (label, score) in asked.items() for name, c in (("y", label), ("s", score))])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in curves:
+                score, at = np.unique(pdf[f"s{i}"].to_numpy(dtype=float), return_inverse=True)
+                pos = np.bincount(at, weights=pdf[f"y{i}"].to_numpy(dtype=float), minlength=len(score))
+                yield pd.DataFrame({"i": np.int32(i), "score": score, "pos": pos, "neg": np.bincount(at, minlength=len(score)) - pos})
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list[float]] = {}  # lowest score, positives, negatives, area
+
+        def add(pdf: pd.DataFrame) -> None:
+            for i, g in pdf.groupby("i", sort=False):
+                score = g["score"].to_numpy()
+                first = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+                pos, neg = np.add.reduceat(g["pos"].to_numpy(), first), np.add.reduceat(g["neg"].to_numpy(), first)
+                s = sums.setdefault(int(i), [score[0], 0.0, 0.0, 0.0])
+                s[3] += float((pos * (s[2] + np.cumsum(neg) - neg / 2)).sum())
+                s[1], s[2] = s[1] + pos.sum(), s[2] + neg.sum()
+
+        held = None  # the last score so far, whose rows may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            last = ((pdf["i"] == pdf["i"].iloc[-1]) & (pdf["score"] == pdf["score"].iloc[-1])).to_numpy()
+            add(pdf[~last])
+            held = pdf[last].groupby(["i", "score"], as_index=False).sum()
+        if held is not None:
+            add(held)
+        yield pd.DataFrame([(i, *s) for i, s in sums.items()], columns=["i", "low", "pos", "neg", "area"])
+
+    scores = wide.mapInPandas(counted, "i int, score double, pos double, neg double").repartitionByRange("i", "score").sortWithinPartitions("i", "score")
+    totals = {i: [0.0, 0.0, 0.0] for i in curves}
+    for r in sorted(scores.mapInPandas(walked, "i int, low double, pos double, neg double, area double").collect(), key=lambda r: (r["i"], r["low"])):  # a row per task and curve
+        t = totals[r["i"]]
+        t[2] += r["area"] + r["pos"] * t[1]
+        t[0], t[1] = t[0] + r["pos"], t[1] + r["neg"]
+    return {i: area / (pos * neg) for i, (pos, neg, area) in totals.items()}
 
 
 def missing_labels(df: DataFrame) -> DataFrame:

@@ -205,3 +205,31 @@ def test_a_power_iteration_deals_no_edges_again(spark):
         kept.unpersist()
     assert sum("hashpartitioning(src" in x for x in plan) == 1  # the partial sums
     assert sum("hashpartitioning(dst" in x and "REPARTITION_BY_NUM" not in x for x in plan) <= 1, plan  # the vector; the edges were dealt once
+
+
+def test_areas_of_several_curves(spark):
+    """Ties, a score shared by most rows and scores that go on in the next batch or task."""
+    rng = np.random.default_rng(4)
+    n = 6_000
+    y, z = rng.integers(0, 2, n), (rng.random(n) < 0.1).astype(int)
+    scores = {0: (y, np.round(rng.normal(size=n) + y, 1)), 3: (z, np.where(rng.random(n) < 0.9, 0.5, rng.random(n))), 4: (z, rng.normal(size=n) - z), 7: (y, np.zeros(n))}
+    rows = [tuple(float(v) for i in scores for v in (scores[i][0][r], scores[i][1][r])) for r in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"y{i} double, s{i} double" for i in scores)).repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = missingness.areas_under_curves(df, {i: (F.col(f"y{i}"), F.col(f"s{i}")) for i in scores})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for i, (label, score) in scores.items():
+        hit, miss = score[label == 1], score[label == 0]
+        want = ((hit[:, None] > miss[None]).sum() + (hit[:, None] == miss[None]).sum() / 2) / (len(hit) * len(miss))
+        assert abs(got[i] - want) < 1e-9
+    assert missingness.areas_under_curves(df, {}) == {}
+
+
+def test_null_flags_are_judged_on_all_scores(spark):
+    """One column has gaps, another foretells them and a third is constant."""
+    df = spark.range(6_000).selectExpr("id", "CASE WHEN sin(id) > 0.2 THEN NULL ELSE cast(id AS double) END AS a", "sin(id) + cos(id * 3) AS b", "1.0D AS c")
+    row = {r["column"]: r for r in missingness.mar_scores(df).collect()}
+    assert set(row) == {"a"} and row["a"]["predictors"].split(",")[0] == "b" and 0.6 < row["a"]["mar_score"] < 1
