@@ -304,6 +304,7 @@ def _against_small(queries, base, k, same, width):
 def _through_leaves(queries, base, k, same, width, n):
     spark = queries.sparkSession
     want = min(n, SAMPLE_VALUES // width)
+    base = base.persist()  # else the copies are counted anew for the sample, the boxes and both searches
     sample = base.where(hash_uniform("id", 7) < min(1.0, want / n)).select("vec").limit(2 * want).toPandas()
     tree = spark.sparkContext.broadcast(Leaves(matrix(sample["vec"], width), max(1, min(-(-n // LEAF_ROWS), len(sample) // 8))))
 
@@ -312,10 +313,11 @@ def _through_leaves(queries, base, k, same, width, n):
             yield pdf.assign(leaf=tree.value.assign(matrix(pdf["vec"], width)).astype("int64"))
 
     placed = "id long, vec array<double>, leaf long"
-    b, q = base.mapInPandas(assign, placed), queries.mapInPandas(assign, placed)
+    b, q = base.mapInPandas(assign, placed).persist(), queries.mapInPandas(assign, placed)
     boxes = b.groupBy("leaf").agg(
         F.count("*").alias("n"), F.array(*[F.min(F.col("vec")[j]) for j in range(width)]).alias("lo"), F.array(*[F.max(F.col("vec")[j]) for j in range(width)]).alias("hi")
     ).orderBy("leaf").toPandas()  # one row per leaf
+    base.unpersist()
     leaf_ids, lo, hi = boxes["leaf"].to_numpy(), matrix(boxes["lo"], width), matrix(boxes["hi"], width)
     splits = {int(leaf): int(-(-c // (2 * LEAF_ROWS))) for leaf, c in zip(leaf_ids, boxes["n"])}
     split_of = _lookup(splits, 1)

@@ -233,3 +233,24 @@ def test_null_flags_are_judged_on_all_scores(spark):
     df = spark.range(6_000).selectExpr("id", "CASE WHEN sin(id) > 0.2 THEN NULL ELSE cast(id AS double) END AS a", "sin(id) + cos(id * 3) AS b", "1.0D AS c")
     row = {r["column"]: r for r in missingness.mar_scores(df).collect()}
     assert set(row) == {"a"} and row["a"]["predictors"].split(",")[0] == "b" and 0.6 < row["a"]["mar_score"] < 1
+
+
+def test_copies_of_a_base_are_counted_once(spark, monkeypatch):
+    """The sample, the boxes of the leaves and both searches read the base that is kept; before, each counted the copies of all points again."""
+    monkeypatch.setattr(neighbors, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 200)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [(i, [float(i % 250), float(i % 7)]) for i in range(2_000)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    base = v.mapInPandas(counted, "id long, vec array<double>")
+    got = neighbors.knn(v.where("id < 50"), base, 3)
+    head = seen.value
+    out = got.collect()
+    assert len(out) == 150 and all(r["distance"] == 0 for r in out if r["rank"] == 1)
+    assert head <= 3 * len(rows) and seen.value == head  # its width, its number and the copies; nothing when the result is taken
