@@ -8,13 +8,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.moments import half_up
+from tablewise.operators import measures
 from tablewise.operators.measures import hash_normal, hash_uniform, measure, number, quantiles, report
 from tablewise.operators.neighbors import Leaves, LocalTree, knn, matrix, vectors
 from tablewise.operators.transforms import principal_components
@@ -63,14 +64,14 @@ def mixtures(df: DataFrame, key: str, columns: Sequence[str], max_k: int = 4, se
 
 
 def spectral(df: DataFrame, key: str, columns: Sequence[str], k: int, neighbors: int = 10) -> DataFrame:
-    """Power iteration clustering of the nearest-neighbour graph."""
+    """Power iteration clustering of the nearest-neighbour graph: `pyspark.ml`'s for at most ``measures.ROWS_PER_TASK`` edges, whose graph grows in every round; else the same rounds over kept edges."""
     v = vectors(df, key, columns)
     near = knn(v, v, neighbors, same=True)
     edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.exp(-F.col("distance") * F.col("distance")).alias("weight"))
-    edges = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("weight > 0")
+    edges = cut_lineage(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("weight > 0"))
+    if edges.count() <= measures.ROWS_PER_TASK:
+        return PowerIterationClustering(k=k, maxIter=15, weightCol="weight").assignClusters(edges).select("id", "cluster")
     points = power_vector(edges).select("id", array_to_vector(F.array("x")).alias("features"))
-    if points.isEmpty():
-        return points.select("id", F.lit(0).alias("cluster"))
     return KMeans(k=k, seed=0, maxIter=20).fit(points).transform(points).select("id", F.col("prediction").alias("cluster"))
 
 
@@ -80,7 +81,7 @@ def power_vector(edges: DataFrame, iterations: int = 15, seed: int = 0) -> DataF
     Same steps, start and stop as `pyspark.ml`'s, whose graph is built anew in every round, but the start is drawn from the ids, not per partition.
     The edges are dealt by one end and kept; a round shuffles one number per node, and partial sums of the products.
     """
-    edges = cut_lineage(edges.where("src <> dst").select("src", "dst", "weight"))
+    edges = edges.where("src <> dst").select("src", "dst", "weight")
     both = edges.union(edges.select("dst", "src", "weight"))
     degree = both.groupBy("src").agg(F.sum("weight").alias("degree"))
     kept = kept_by_end(both.join(degree, "src").select("src", "dst", (F.col("weight") / F.greatest("degree", F.lit(2.0**-52))).alias("share")))
