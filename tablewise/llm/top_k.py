@@ -8,8 +8,8 @@ the inner product with every vector. The search has two passes over blocks of ve
 2. Of the vectors whose upper bound reaches that score, exact ones are read in the order of their upper bounds until the k-th best
    exact score is above the next bound. Each block's k best are merged.
 
-Queries are dealt to blocks of their own. Each block of vectors meets each block of queries, in a task chosen by a slot, so neither
-side is ever broadcast or gathered.
+Queries are dealt to blocks of their own. Each block of vectors meets each block of queries in a merge join, in a task chosen by a slot and the block of queries, so neither
+side is ever broadcast or gathered. There are as many slots as keep the tasks busy, so the copies of the queries grow with the tasks, not with tasks times blocks.
 
 Results in odd cases: rows whose ``vec_id`` is null neither ask nor are candidates; vectors that are null or hold a null or a component that is not finite take no part; vectors of another
 dimension than the query's are no candidates of it; equal scores go to the smaller id; a row with the query's own id is no candidate;
@@ -31,6 +31,9 @@ from tablewise.llm.shared import tasks, written
 #: Vectors and queries of a block.
 BLOCK = 4096
 QUERIES = 1024
+#: Pairs of a slot and a block of queries for each task, and blocks of vectors of a slot at most (about).
+PAIRS = 2
+SLOT_BLOCKS = 64
 #: Cells of a dimension.
 CELLS = 256
 _FILES = "dim int, block long, ids binary, codes binary, exact binary"
@@ -83,17 +86,15 @@ def _cells(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def _bounds(q: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the inner products of queries and approximated vectors.
 
+    A cell's last number is its first and the same more in every cell of a dimension, so one product gives both bounds.
     Whole numbers below 2 ** 53 are exact; beyond that the bounds are widened by more than rounding can take away.
     """
     width = _cells(low, high)
-    floor = low + codes * width
-    ceiling = np.minimum(floor + width - 1, high)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    least, most = plus @ floor.T + minus @ ceiling.T, plus @ ceiling.T + minus @ floor.T
-    greatest = np.maximum(np.abs(low), np.abs(high))
+    first = q @ (low + codes * width).T
+    greatest = np.maximum(np.abs(low), np.abs(high)) + width
     slack = np.abs(q) @ greatest
-    slack = np.where(slack < 2**52, 0, slack * 1e-12)[:, None]
-    return least - slack, most + slack
+    slack = np.where(slack < 2**52, 0, slack * 1e-12)
+    return first + (np.minimum(q, 0) @ (width - 1) - slack)[:, None], first + (np.maximum(q, 0) @ (width - 1) + slack)[:, None]
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -149,7 +150,8 @@ def _meeting(files: DataFrame, queries: DataFrame, slots: int, blocks: int, colu
     asked = asked.repartition("q_block").mapInArrow(gather, "dim int, q_block int, q_ids binary, q_exact binary, q_reach binary")
     asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     spread = files.select("dim", *columns, F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_block"))
-    return spread.join(asked, ["dim", "slot", "q_block"]).select("dim", *columns, "q_ids", "q_exact", "q_reach")
+    # Spark takes the queries for as small as their file, without the copies, and would gather these on the driver
+    return spread.join(asked.hint("merge"), ["dim", "slot", "q_block"]).select("dim", *columns, "q_ids", "q_exact", "q_reach")
 
 
 def _best(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -163,7 +165,8 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: int = 1024) -> D
     edges = ranges(rows.select("vec_id", "vector"))
     files = written(approximated(rows.select("vec_id", "vector"), edges), "approximations")
     queries = written(rows.where("asks").groupBy("vec_id").agg(F.max("vector").alias("vector")), "queries")
-    slots, blocks = tasks(vectors), -(-max(1, queries.count()) // QUERIES)
+    blocks = -(-max(1, queries.count()) // QUERIES)
+    slots = max(-(-PAIRS * tasks(vectors) // blocks), -(-files.count() // SLOT_BLOCKS))
     sent = vectors.sparkSession.sparkContext.broadcast(edges)  # two numbers for each dimension
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: int = 1024) -> D
                 ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
                 least, _ = _bounds(_matrix(r["q_exact"], r["dim"]), _matrix(r["codes"], r["dim"], "u1"), low, high)
                 least[q_ids[:, None] == ids[None, :]] = -np.inf
-                best = -np.sort(-least, axis=1)[:, :k]
+                best = least if least.shape[1] <= k else np.partition(least, least.shape[1] - k, axis=1)[:, -k:]
                 yield pa.record_batch([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(best.ravel())], ["query_id", "least"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: int = 1024) -> D
     first = _meeting(files, queries.withColumn("reach", F.lit(float("-inf"))), slots, blocks, ["ids", "codes"])
     reach = _best(first.mapInArrow(lower, "query_id long, least double"), k, F.desc("least"))
     reach = reach.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("least")).otherwise(F.lit(float("-inf"))).alias("reach"))
-    asked = queries.join(reach.withColumnRenamed("query_id", "vec_id"), "vec_id")
+    asked = queries.join(reach.withColumnRenamed("query_id", "vec_id").hint("merge"), "vec_id")
     second = _meeting(files, asked, slots, blocks, ["ids", "codes", "exact"])
     best = _best(second.mapInArrow(exact, "query_id long, vec_id long, score long"), k, F.desc("score"), F.col("vec_id"))
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
