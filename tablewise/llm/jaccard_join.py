@@ -10,6 +10,12 @@ Parts that are empty in both sets prove nothing: a cut has spare fragments for t
 empty parts than that uses the cut of another order too, and so on until it has few. Of two similar sets the one that stops first
 has few empty parts in a cut that both use, so no pair is lost.
 
+n-grams that many texts have (shared passages, frequent phrases) make unlike sets candidates, ever more of them as the corpus grows. They are found by counting in a
+part of the texts, and a set with enough other n-grams sends parts of these only: that leaves out the same n-grams of every set, so no more
+n-grams of two sets differ than before. A set with few others sends parts of all its n-grams; one in between sends both.
+
+The sets of a key are held against each other by the counts below, pair by pair, if they are few; of more sets each is connected with the first.
+
 *Overlaps.* Candidates are connected to groups, and the pairs of a group are held against the threshold twice. First by counts: for each fragment a set has the number
 of its n-grams there, two sets share no more of a fragment than the smaller number, and the sum of these partial overlaps over the fragments bounds the whole. Pairs
 that the bound allows form new, smaller groups, and only their texts are sent: in each fragment the partial overlaps of all pairs
@@ -47,6 +53,15 @@ BLOCK_COUNTS = 2000
 MATRIX = 16_000_000
 #: About as many sets of a large group meet every block of it.
 PIVOTS = 8
+#: Texts in which frequent n-grams are looked for: so many, or that share of all. An n-gram in ``COMMON_IN`` of them is frequent; at most ``COMMON`` n-grams are.
+COMMON_TEXTS = 20_000
+COMMON_SHARE = 1 / 16
+COMMON_IN = 4
+COMMON = 1 << 20
+#: Sets of a key that are held against each other in pairs.
+PAIRED = 32
+#: n-grams that a task counts at once.
+COUNTED = 4_000_000
 _ROWS = "key long, vertex long, other long"
 _LINKS = "a long, b long"
 
@@ -108,21 +123,41 @@ def cuts(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(first[:-1]), np.array(fragments), np.array(spare)
 
 
-def keys(values: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key of each part of each set that can have similar sets, and the set's index."""
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in ``some``, which is sorted."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    head = np.zeros(1 << 22, bool)
+    head[some >> np.uint64(42)] = True
+    out = head[values >> np.uint64(42)]
+    at = np.flatnonzero(out)
+    out[at] = some[np.minimum(np.searchsorted(some, values[at]), len(some) - 1)] == values[at]
+    return out
+
+
+def keys(values: np.ndarray, offsets: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each part of each set that can have similar sets, and the set's index; sets with enough n-grams that are not ``common`` (sorted) have keys of these."""
     first, fragments, spare = cuts(num, den)
     size = np.diff(offsets)
     own = np.searchsorted(first, size, "right") - 1
     found_keys, found_sets = [], []
-    for up in (0, 1):
+    rare = np.zeros(0, bool) if common is None else ~among(values, common)
+    rest = np.concatenate([[0], np.cumsum(rare)])[offsets] if common is not None else offsets
+    rare_values = values[rare] if common is not None else values
+    # as many as leave no more parts empty than are allowed
+    enough = np.ceil(fragments * np.log(np.maximum(fragments, 1) / np.maximum(spare, 0.5)))
+    for up, some in ((0, False), (1, False)) if common is None else ((0, False), (0, True), (1, False), (1, True)):
         level = own + up
         near = (size > 0) & (fragments[level] > 0)
         if up:  # a set of the next class may be similar: its size is at least first[level], and at most size * den / num
             near &= size * den >= first[level] * num
+        if common is not None:  # a similar set lacks at most size * (den - num) / den of a set's n-grams: if this one has keys of rare n-grams only, that one has such keys too
+            near &= np.diff(rest) >= enough[level] if some else np.diff(rest) < enough[level] + size * (den - num) // den
+        of_values, of_offsets = (rare_values, rest) if some else (values, offsets)
         which, turn = np.flatnonzero(near), 0
         while len(which):
-            n = size[which]
-            own_values = values[np.repeat(offsets[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            n = np.diff(of_offsets)[which]
+            own_values = of_values[np.repeat(of_offsets[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             ordered = mix(own_values + np.uint64(turn * 0x9E3779B9)) if turn else own_values
             at = np.repeat(np.arange(len(which)), n)
             part = ((ordered >> np.uint64(32)) * fragments[level[which]][at].astype(np.uint64)) >> np.uint64(32)
@@ -133,7 +168,7 @@ def keys(values: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[n
             new[1:] = (part[1:] != part[:-1]) | (at[1:] != at[:-1])
             begin = np.flatnonzero(new)
             sums = _sums(mix(own_values), np.append(begin, len(part)))
-            cut = (level[which][at[begin]].astype(np.uint64) << np.uint64(48)) + (np.uint64(turn) << np.uint64(40)) + part[begin]
+            cut = (np.uint64(some) << np.uint64(60)) + (level[which][at[begin]].astype(np.uint64) << np.uint64(48)) + (np.uint64(turn) << np.uint64(40)) + part[begin]
             found_keys.append(mix(sums ^ mix(cut)))
             found_sets.append(which[at[begin]])
             filled = np.bincount(at[begin], minlength=len(which))
@@ -176,10 +211,47 @@ def sized(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(of, "doc_id long, own long, n_shingles long, vertex long, counts binary")
 
 
-def candidates(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Edges ``a``, ``b`` that connect all vertices with an equal part in some fragment."""
+def common_grams(docs: DataFrame, size: int, rows: int) -> np.ndarray | None:
+    """Sorted n-grams that are in many of some texts, drawn by their hash; none of a small table. Which ones are found changes no result."""
+    if rows <= COMMON_TEXTS:
+        return None
+    share = max(COMMON_SHARE, COMMON_TEXTS / rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.record_batch([_signed(gram), pa.array(n)], ["gram", "n"])
+
+        for b in batches:
+            for t in texts(b.column(0)):
+                waiting.append(gram_sets(t, size)[0])
+                if sum(map(len, waiting)) > COUNTED:
+                    yield counted()
+        if waiting:
+            yield counted()
+
+    some = docs.where(F.pmod(F.xxhash64("own", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    found = some.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_IN)
+    found = written(found, "common")
+    least, held = COMMON_IN, 0
+    for r in found.groupBy("n").agg(F.count(F.lit(1)).alias("grams")).orderBy(F.desc("n")).collect():  # a row for each number of texts, the greatest first
+        held += r["grams"]
+        if held > COMMON:
+            least = r["n"] + 1
+            break
+    grams = found.where(F.col("n") >= least).select("gram").toArrow().column("gram").to_numpy()  # bounded by COMMON
+    return np.sort(grams.view(np.uint64))
+
+
+def candidates(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray | None = None) -> DataFrame:
+    """Edges ``a``, ``b`` of vertices with an equal part in some fragment: where ``sure`` is false all pairs of them, else a star that connects them."""
+    sent_common = None if common is None else docs.sparkSession.sparkContext.broadcast(common)  # bounded by COMMON
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = None if sent_common is None else sent_common.value
         for b in batches:
             for t in texts(b.column(1)):
                 values, offsets = gram_sets(t, size)
@@ -187,40 +259,110 @@ def candidates(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 names, one = np.unique(names, return_index=True)
                 own = np.diff(offsets)[one]
                 values = values[np.repeat(offsets[one] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-                key, of_set = keys(values, np.concatenate([[0], np.cumsum(own)]), num, den)
+                key, of_set = keys(values, np.concatenate([[0], np.cumsum(own)]), num, den, frequent)
                 if not len(key):
                     continue
-                # of the sets here with one key the first goes on alone, with an edge from each other one to it
+                # of many sets here with one key the first goes on alone, marked by itself, with an edge from each other one to it
                 order = np.lexsort((of_set, key))
                 key, name = key[order], names[of_set[order]]
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                lead = name[np.flatnonzero(new)][np.cumsum(new) - 1]
-                yield pa.record_batch([_signed(key[new]), _signed(name[new]), pa.nulls(int(new.sum()), pa.int64())], ["key", "vertex", "other"])
-                edges = np.unique(np.stack([name[~new], lead[~new]], axis=1), axis=0)
+                first, count, lead = _runs(key)
+                many, new = count > PAIRED, np.arange(len(key)) == lead
+                on = new | ~many
+                yield pa.record_batch([_signed(key[on]), _signed(name[on]), pa.array(name[on].view(np.int64), mask=~many[on])], ["key", "vertex", "other"])
+                edges = np.unique(np.stack([name[~on], name[lead][~on]], axis=1), axis=0)
+                edges = edges[edges[:, 0] != edges[:, 1]]
                 if len(edges):
                     yield pa.record_batch([_signed(mix(edges[:, 0] ^ edges[:, 1])), _signed(edges[:, 0]), _signed(edges[:, 1])], ["key", "vertex", "other"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, None  # the first vertex of the key that was open
-        for b in batches:
-            given = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            vertex, other = b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy()
-            key, name = b.column(0).to_numpy()[~given], vertex[~given]
-            a, c = [vertex[given]], [other[given]]
-            if len(key):
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                lead = name[np.flatnonzero(new)][np.cumsum(new) - 1]
-                if key[0] == last_key:
-                    lead[: np.flatnonzero(np.append(new[1:], True))[0] + 1] = last
-                a.append(name[name != lead])
-                c.append(lead[name != lead])
-                last_key, last = key[-1], lead[-1]
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))  # key, vertex and mark of the key that is open
+
+        def rows(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
+
+        def found(key: np.ndarray, name: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first, count, lead = _runs(key)
+            many = count > PAIRED
+            many |= np.logical_or.reduceat(mark, first)[np.cumsum(np.arange(len(key)) == lead) - 1]
+            star = many & (name != name[lead])
+            if star.any():
+                yield rows(name[star], name[lead][star], True)
+            on = (count > 1) & ~many
+            key, name = key[on], name[on]
+            a, b = [], []
+            for step in range(1, min(PAIRED, len(key))):
+                at = np.flatnonzero(key[step:] == key[:-step])
+                if not len(at):
+                    break
+                a.append(name[at])
+                b.append(name[at + step])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                keep = a != b
+                keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                yield rows(a[keep], b[keep], False)
+
+        for batch in batches:
+            valid = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            key, vertex, other = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy()
+            mark = valid & (vertex == other)
+            edge = valid & ~mark
+            if edge.any():
+                yield rows(vertex[edge], other[edge], True)
+            key, name, mark = (np.concatenate([h, x[~edge]]) for h, x in zip(held, (key, vertex, mark), strict=True))
+            if not len(key):
+                continue
+            open_ = int(np.searchsorted(key, key[-1]))
+            if open_:
+                yield from found(key[:open_], name[:open_], mark[:open_])
+            key, name, mark = key[open_:], name[open_:], mark[open_:]
+            if len(key) > PAIRED:  # of many sets only the first is held, with its mark
+                yield from found(key, name, np.ones(len(key), bool))
+                key, name, mark = key[:1], name[:1], np.ones(1, bool)
+            held = (key, name, mark)
+        if len(held[0]):
+            yield from found(*held)
 
     sent = docs.mapInArrow(send, _ROWS)
-    return sent.repartition(tasks(docs), "key").sortWithinPartitions("key").mapInArrow(meet, _LINKS).distinct()
+    return sent.repartition(tasks(docs), "key").sortWithinPartitions("key").mapInArrow(meet, _LINKS + ", sure boolean").distinct()
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys: where each run begins, and for every place the length and the begin of its run."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(first, append=len(key))
+    return first, np.repeat(count, count), np.repeat(first, count)
+
+
+def held_by_counts(edges: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``a``, ``b`` of the edges that are ``sure`` or that the counts by fragment allow."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            one, other = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            kind = np.array([[len(x), x[0], len(y), y[0]] for x, y in zip(one, other, strict=True)])
+            _, of_kind = np.unique(kind, axis=0, return_inverse=True)
+            common = np.zeros(batch.num_rows, np.int64)
+            for k in range(of_kind.max() + 1):
+                at = np.flatnonzero(of_kind == k)
+                x, y = (np.stack([_counts(blobs[i]) for i in at]) for blobs in (one, other))
+                few = min(x.shape[1], y.shape[1])
+                common[at] = np.minimum(x.reshape(len(at), few, -1).sum(axis=2), y.reshape(len(at), few, -1).sum(axis=2)).sum(axis=1)
+            keep = pa.array(common.astype(np.float64) * (den + num) >= num * (n + m))
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    pairs = edges.where("NOT sure").select("a", "b")
+    for x in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("vertex").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")).hint("merge"), x)
+    near = pairs.where((F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num))
+    held = near.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(of, _LINKS)
+    return edges.where("sure").select("a", "b").unionByName(held)
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -411,7 +553,9 @@ def _connected(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     members = written(sized(docs, size), "sets")
     least = F.min(F.struct("doc_id", "own")).alias("least")
     classes = members.where("n_shingles > 0").groupBy("vertex").agg(least, F.first("n_shingles").alias("n"), F.first("counts").alias("counts")).select("vertex", "least.*", "n", "counts")
-    edges = written(candidates(docs, size, num, den), "candidates")
+    common = common_grams(docs, size, members.count())
+    edges = written(candidates(docs, size, num, den, common), "candidates")
+    edges = written(held_by_counts(edges, classes, num, den), "candidates")
     possible = _met(edges, classes, lambda rows: _possible(rows, num, den), num, den, BLOCK_COUNTS)
     by_text = lambda rows: _compared(_texts(docs, rows.select("doc_id", "own", "vertex", "unit")).select("unit", "vertex", "text"), size, num, den)
     found = _met(possible, classes.drop("counts"), by_text, num, den, BLOCK_SETS, BLOCK_GRAMS)

@@ -112,6 +112,46 @@ def test_every_similar_pair_shares_a_key():
                 assert set(key[of == 0]) & set(key[of == 1]), (num, den, n, cut)
 
 
+def test_every_similar_pair_shares_a_key_beside_common_grams():
+    """Whatever n-grams count as frequent: none, a few, most or all of a set's."""
+    rng = np.random.default_rng(6)
+    for num, den in ((90, 100), (4, 5)):
+        for n in (7, 14, 30, 80, 400):
+            for share in (0, 0.1, 0.3, 0.5, 0.7, 1):
+                for _ in range(10):
+                    base = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+                    cut = int(rng.integers(0, n // 4 + 1))
+                    other = np.concatenate([base[cut:], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64) * np.uint64(2)])
+                    if den * (n - cut) < num * (cut + len(other)) or len(other) == n - cut == n:
+                        continue
+                    a, b = np.unique(base), np.unique(other)
+                    both = np.union1d(a, b)
+                    common = np.sort(np.concatenate([both[rng.random(len(both)) < share], rng.integers(0, 2**63, 50, dtype=np.uint64)]))
+                    key, of = jaccard_join.keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, den, common)
+                    assert set(key[of == 0]) & set(key[of == 1]), (num, den, n, cut, share)
+
+
+def test_a_shared_passage_makes_no_candidates(spark, monkeypatch):
+    """Texts that have one passage in common are unlike: before, each of their pairs was a candidate, and the number of these grew with the square of the corpus."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, seen = word(30), {}
+    texts_ = [f"{word(100)} {passage} {word(100)}" for _ in range(200)]
+    near = [t.rsplit(" ", 1)[0] for t in texts_[:20]]  # near copies stay candidates, and are found
+    rows = list(enumerate(texts_ + near))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wrapped = jaccard_join.candidates
+    monkeypatch.setattr(jaccard_join, "candidates", lambda *a: seen.setdefault("edges", wrapped(*a)))
+    for paired in (32, 3):
+        seen.clear()
+        monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+        monkeypatch.setattr(jaccard_join, "COMMON_TEXTS", 100)
+        monkeypatch.setattr(jaccard_join, "COMMON_SHARE", 1)
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar(docs).collect()}
+        assert got == {i: i % 200 for i, _ in rows}
+        assert 20 <= seen["edges"].count() < 100
+
+
 def test_counts_by_fragment_bound_the_overlap():
     rng = np.random.default_rng(11)
     pool = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
