@@ -79,12 +79,13 @@ def power_vector(edges: DataFrame, iterations: int = 15, seed: int = 0) -> DataF
     """(id, x): power iterations (Lin and Cohen) of the weights of undirected edges (src, dst, weight), every node's divided by their sum.
 
     Same steps, start and stop as `pyspark.ml`'s, whose graph is built anew in every round, but the start is drawn from the ids, not per partition.
-    The edges are dealt by one end and kept; a round shuffles one number per node, and partial sums of the products.
+    The edges are dealt by one end and kept; a round shuffles one number per node, and partial sums of the products. All joins are merge joins: Spark takes what comes
+    from a small file for small, and would bring a number per node, or all edges, to the driver.
     """
     edges = edges.where("src <> dst").select("src", "dst", "weight")
     both = edges.union(edges.select("dst", "src", "weight"))
     degree = both.groupBy("src").agg(F.sum("weight").alias("degree"))
-    kept = kept_by_end(both.join(degree, "src").select("src", "dst", (F.col("weight") / F.greatest("degree", F.lit(2.0**-52))).alias("share")))
+    kept = kept_by_end(both.join(degree.hint("merge"), "src").select("src", "dst", (F.col("weight") / F.greatest("degree", F.lit(2.0**-52))).alias("share")))
     try:
         now = cut_lineage(degree.select(F.col("src").alias("id"), hash_normal("src", seed).alias("x")))
         n, size = now.agg(F.count(F.lit(1)), F.sum(F.abs("x"))).first()
@@ -93,7 +94,7 @@ def power_vector(edges: DataFrame, iterations: int = 15, seed: int = 0) -> DataF
         for _ in range(iterations if n else 0):
             if change <= tolerance:
                 break
-            step = cut_lineage(products(kept, now).join(now, "id"))
+            step = cut_lineage(products(kept, now).join(now.hint("merge"), "id"))
             norm = step.agg(F.sum(F.abs("y"))).first()[0]
             step = step.withColumn("y", F.col("y") / F.lit(norm))
             moved = step.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0]
@@ -112,7 +113,7 @@ def kept_by_end(edges: DataFrame) -> DataFrame:
 
 def products(kept: DataFrame, now: DataFrame) -> DataFrame:
     """(id, y): the matrix of shares times the vector (id, x)."""
-    return kept.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("share") * F.col("x")).alias("y"))
+    return kept.join(now.withColumnRenamed("id", "dst").hint("merge"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("share") * F.col("x")).alias("y"))
 
 
 def calinski_harabasz(df: DataFrame, columns: Sequence[str], cluster: str) -> DataFrame:

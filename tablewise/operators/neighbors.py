@@ -190,6 +190,14 @@ def matrix(col: pd.Series, width: int) -> np.ndarray:
     return np.stack(col.to_numpy()).astype(float) if len(col) else np.zeros((0, width))
 
 
+def gathered(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of rows (id, vec) on the driver, 8 bytes a number: no object is made per row. Every vector has ``width`` numbers, none of them null."""
+    table = rows.select("id", "vec").toArrow()
+    values = [c.flatten().to_numpy(zero_copy_only=False) for c in table.column("vec").chunks]
+    ids = table.column("id").to_numpy()
+    return ids, np.concatenate([np.zeros(0), *values]).astype(float).reshape(len(ids), width)
+
+
 class Leaves:
     """Axis-parallel splits fitted on a sample; assigns a leaf number to each vector."""
 
@@ -290,8 +298,8 @@ def dealt(df: DataFrame, n: int, rows: int = QUERY_ROWS) -> DataFrame:
 
 
 def _against_small(queries, base, k, same, width):
-    rows = base.toPandas()  # bounded by BROADCAST_VALUES
-    tree = queries.sparkSession.sparkContext.broadcast(LocalTree(matrix(rows["vec"], width), rows["id"].to_numpy()))
+    ids, points = gathered(base, width)  # bounded by BROADCAST_VALUES
+    tree = queries.sparkSession.sparkContext.broadcast(LocalTree(points, ids))
 
     def search(batches):
         for pdf in batches:
@@ -305,8 +313,8 @@ def _through_leaves(queries, base, k, same, width, n):
     spark = queries.sparkSession
     want = min(n, SAMPLE_VALUES // width)
     base = base.persist()  # else the copies are counted anew for the sample, the boxes and both searches
-    sample = base.where(hash_uniform("id", 7) < min(1.0, want / n)).select("vec").limit(2 * want).toPandas()
-    tree = spark.sparkContext.broadcast(Leaves(matrix(sample["vec"], width), max(1, min(-(-n // LEAF_ROWS), len(sample) // 8))))
+    _, sample = gathered(base.where(hash_uniform("id", 7) < min(1.0, want / n)).limit(2 * want), width)
+    tree = spark.sparkContext.broadcast(Leaves(sample, max(1, min(-(-n // LEAF_ROWS), len(sample) // 8))))
 
     def assign(batches):
         for pdf in batches:
@@ -341,7 +349,7 @@ def _through_leaves(queries, base, k, same, width, n):
             src = pdf.iloc[r]
             yield pd.DataFrame({"id": src["id"].to_numpy(), "vec": src["vec"].to_numpy(), "bound": src["bound"].to_numpy(), "leaf": leaf, "part": part.astype("int32")})
 
-    routed = q.join(reach, "id", "left").fillna(float("inf"), ["bound"]).select("id", "vec", "leaf", "part", "bound").mapInPandas(route, shape).persist()
+    routed = q.join(reach.hint("merge"), "id", "left").fillna(float("inf"), ["bound"]).select("id", "vec", "leaf", "part", "bound").mapInPandas(route, shape).persist()
     return first.union(_search(routed, b, k, same, width, splits))
 
 

@@ -266,3 +266,24 @@ def test_copies_of_a_base_are_counted_once(spark, monkeypatch):
     out = got.collect()
     assert len(out) == 150 and all(r["distance"] == 0 for r in out if r["rank"] == 1)
     assert head <= 3 * len(rows) and seen.value == head  # its width, its number and the copies; nothing when the result is taken
+
+
+def test_rounds_of_large_graphs_bring_nothing_to_the_driver(spark, capfd):
+    """Small files stand for large tables here: a number per node was broadcast in each round."""
+    edges = spark.range(300).selectExpr("id AS src", "(id + 1) % 300 AS dst", "1.0D + id % 3 AS weight")
+    made = clusters.power_vector(edges, 2)
+    assert sorted(r["id"] for r in made.collect()) == list(range(300))
+    kept = clusters.kept_by_end(edges.withColumnRenamed("weight", "share"))
+    capfd.readouterr()
+    clusters.products(kept, spark.range(300).selectExpr("id", "1.0D AS x")).explain()
+    kept.unpersist()
+    plan = capfd.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_points_are_gathered_as_numbers(spark):
+    v = spark.range(0, 50, 1, 4).selectExpr("id", "array(cast(id AS double), id * 0.5D) AS vec")
+    ids, points = neighbors.gathered(v, 2)
+    assert sorted(ids.tolist()) == list(range(50)) and (points == ids[:, None] * [1, 0.5]).all()
+    ids, points = neighbors.gathered(v.where("id < 0"), 2)
+    assert len(ids) == 0 and points.shape == (0, 2)
