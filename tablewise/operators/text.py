@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions import fixed_values as fixed
-from tablewise.operators.features import word_count
 from tablewise.operators.measures import col
 from tablewise.operators.profile import text_shape
 
@@ -23,11 +22,28 @@ def words(c: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
-def text_measures(df: DataFrame, column: str) -> DataFrame:
-    """Ten measures of a text column."""
+def word_facts(column: str) -> Column:
+    """``n``, ``unlike`` and ``hits`` (``pos``, ``neg``): how many words a text has, how many unlike ones, and how many of the two lists; the words are made once, by a lambda over one column."""
+    listed = fixed.POSITIVE_WORDS + fixed.NEGATIVE_WORDS
+    among = lambda w, some: F.filter(w, lambda t: t.isin(some))
+    hits = lambda w: F.transform(F.array(among(w, listed)), lambda h: F.struct(F.size(among(h, fixed.POSITIVE_WORDS)).alias("pos"), F.size(among(h, fixed.NEGATIVE_WORDS)).alias("neg")))[0]
+    return F.transform(F.array(words(F.coalesce(col(column), F.lit("")))), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("unlike"), hits(w).alias("hits")))[0]
+
+
+def with_facts(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """``df`` with the facts of a column's words, and the name that they have."""
+    name = f"_{column}_words"
+    return df.withColumn(name, word_facts(column)), name
+
+
+def text_measures(df: DataFrame, column: str, facts: str | None = None) -> DataFrame:
+    """Ten measures of a text column; ``facts`` is the column with those of its words, if there is one."""
+    if facts is None:
+        df, made = with_facts(df, column)
+        return text_measures(df, column, made).drop(made)
     x = F.coalesce(col(column), F.lit(""))
     chars = F.length(x)
-    n = word_count(x)
+    n = col(facts)["n"]
     safe = F.greatest(chars, F.lit(1))
     return df.withColumns({
         f"{column}_char_count": chars,
@@ -39,16 +55,17 @@ def text_measures(df: DataFrame, column: str) -> DataFrame:
         f"{column}_special_char_count": F.regexp_count(x, F.lit(r"[^a-zA-Z0-9\s]")),
         f"{column}_exclamation_count": F.regexp_count(x, F.lit("!")),
         f"{column}_question_count": F.regexp_count(x, F.lit(r"\?")),
-        f"{column}_unique_word_ratio": F.size(F.array_distinct(words(x))) / F.greatest(n, F.lit(1)),
+        f"{column}_unique_word_ratio": col(facts)["unlike"] / F.greatest(n, F.lit(1)),
     })
 
 
-def sentiment(df: DataFrame, column: str) -> DataFrame:
-    """Share of positive and negative words and their difference."""
-    w = words(F.coalesce(col(column), F.lit("")))
-    total = F.greatest(F.size(w), F.lit(1))
-    pos = F.size(F.filter(w, lambda t: t.isin(fixed.POSITIVE_WORDS)))
-    neg = F.size(F.filter(w, lambda t: t.isin(fixed.NEGATIVE_WORDS)))
+def sentiment(df: DataFrame, column: str, facts: str | None = None) -> DataFrame:
+    """Share of positive and negative words and their difference; ``facts`` as in ``text_measures``."""
+    if facts is None:
+        df, made = with_facts(df, column)
+        return sentiment(df, column, made).drop(made)
+    total = F.greatest(col(facts)["n"], F.lit(1))
+    pos, neg = col(facts)["hits"]["pos"], col(facts)["hits"]["neg"]
     return df.withColumns({
         f"{column}_positive_ratio": pos / total, f"{column}_negative_ratio": neg / total, f"{column}_sentiment_score": (pos - neg) / total})
 
@@ -157,5 +174,6 @@ def text_features(df: DataFrame, key: str, columns: Sequence[str] | None = None,
         weights, names = tfidf_of(df, key, c, vocab, stop_words), list(vocab)  # each of these terms is in two texts at least
         wide = weights.groupBy("key").pivot("term", names).agg(F.first("weight"))
         wide = wide.select(F.col("key").alias(key), *[F.col(f"`{t}`").alias(f"{c}_tfidf_{t.replace(' ', '_')}") for t in names])
-        out = sentiment(text_measures(out, c), c).drop(c).join(wide, key, "left").fillna(0.0, wide.columns[1:])
+        out, facts = with_facts(out, c)
+        out = sentiment(text_measures(out, c, facts), c, facts).drop(c, facts).join(wide, key, "left").fillna(0.0, wide.columns[1:])
     return out
