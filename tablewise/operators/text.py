@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewise.functions import fixed_values as fixed
 from tablewise.operators.measures import col
@@ -86,11 +87,43 @@ def grams(column: str, stop_words: Sequence[str] | None = None, pairs: bool = Tr
 WORDS_AT_ONCE = 4_000_000
 
 
-def tallied(words: pa.Array, pairs: bool = True) -> pa.RecordBatch:
-    """(term, df, cf) of some texts, each a list of its words: numbers stand for words, a pair is a number of two."""
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = True
+
+
+def letter_words(column: pa.Array) -> pa.Array:
+    """The runs of ASCII letters of each text, as lists; null has none."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = LETTERS[data]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    edges = offsets[:-1][offsets[:-1] < len(data)]  # words end with their text
+    opens[edges], closes[edges[edges > 0] - 1] = inside[edges], inside[edges[edges > 0] - 1]
+    starts = np.flatnonzero(opens)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(closes) + 1 - starts)]).astype(np.int64)
+    values = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data[inside]))
+    return pa.LargeListArray.from_arrays(pa.array(np.searchsorted(starts, offsets)), values)
+
+
+def coded(words: pa.Array, stop: Sequence[str] = ()) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Unlike words, and of every word that counts (two letters or more, no stop word) its number among these and its text."""
     found = words.flatten().dictionary_encode()
-    names, code, n = found.dictionary, found.indices.to_numpy().astype(np.int64), max(1, len(words))
-    row, v = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy()), max(1, len(names))
+    names, code = found.dictionary, found.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+    counts = pc.and_(pc.greater_equal(pc.utf8_length(names), 2), pc.invert(pc.is_in(names, pa.array(list(stop), names.type)))).to_numpy(zero_copy_only=False)
+    keep = counts[code] if len(code) else np.zeros(0, bool)
+    return names, code[keep], row[keep]
+
+
+def tallied(words: pa.Array, pairs: bool = True, stop: Sequence[str] = ()) -> pa.RecordBatch:
+    """(term, df, cf) of some texts, each a list of its words: numbers stand for words, a pair is a number of two."""
+    names, code, row = coded(words, stop)
+    names, n, v = names.cast(pa.string()), max(1, len(words)), max(1, len(names))
 
     def tally(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cell, times = np.unique(term * n + row, return_counts=True)
@@ -120,15 +153,17 @@ def term_counts(df: DataFrame, key: str, column: str, stop_words: Sequence[str]
     same = F.col("key").eqNullSafe(F.col("other"))
     single = data.join(again, same, "left_anti") if some else data
 
+    stop = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
+
     def count(batches):
         for b in batches:
-            w = b.column(0)
+            w = letter_words(b.column(0))
             ends = np.cumsum(w.value_lengths().to_numpy())
             cuts = [0, *np.flatnonzero(np.diff(ends // WORDS_AT_ONCE)) + 1, len(w)] if len(w) else []
             for lo, hi in zip(cuts, cuts[1:]):
-                yield tallied(w.slice(lo, hi - lo), pairs)
+                yield tallied(w.slice(lo, hi - lo), pairs, stop)
 
-    found = single.select(grams("text", stop_words, False).alias("w")).mapInArrow(count, "term string, df long, cf long")
+    found = single.select(F.lower("text")).mapInArrow(count, "term string, df long, cf long")
     if some:
         shared = data.join(again, same, "left_semi").select("key", F.explode(grams("text", stop_words, pairs)).alias("term"))
         found = found.union(shared.groupBy("key", "term").agg(F.count("*").alias("cf")).select("term", F.lit(1).cast("long"), "cf"))
@@ -146,9 +181,29 @@ def vocabulary(counts: DataFrame, n_texts: int, size: int = 50, min_df: int = 2,
 
 
 def weighted_terms(df: DataFrame, key: str, column: str, vocab: dict[str, float], stop_words: Sequence[str] | None = None, pairs: bool = True) -> DataFrame:
-    """(key, term, w): tf times idf of the vocabulary's terms in each text; other terms are dropped in the row, before the shuffle."""
-    known = F.filter(grams(column, stop_words, pairs), lambda t: t.isin(list(vocab)))
-    found = df.select(col(key).alias("key"), F.explode(known).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    """(key, term, w): tf times idf of the vocabulary's terms in each text; a task counts them in its rows, others never leave it."""
+    stop = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
+    terms = list(vocab)
+
+    def known(batches):
+        for b in batches:
+            names, code, row = coded(letter_words(b.column(1)), stop)
+            v = max(1, len(names))
+            number = {x: i for i, x in enumerate(names.to_pylist())}
+            at = np.flatnonzero(row[1:] == row[:-1]) if pairs else np.zeros(0, np.int64)
+            both = code[at] * v + code[at + 1]
+            for term in terms:
+                parts = [number.get(x) for x in term.split(" ")]
+                if None in parts or len(parts) > 1 + pairs:
+                    continue
+                rows = row[code == parts[0]] if len(parts) == 1 else row[at[both == parts[0] * v + parts[1]]]
+                held, tf = np.unique(rows, return_counts=True)
+                if len(held):
+                    yield pa.record_batch([b.column(0).take(pa.array(held)), pa.array([term] * len(held)), pa.array(tf, pa.int64())], ["key", "term", "n"])
+
+    data = df.select(col(key).alias("key"), F.lower(col(column)))
+    shape = T.StructType([data.schema[0], T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+    found = data.mapInArrow(known, shape).groupBy("key", "term").agg(F.sum("n").alias("tf"))
     numbers = df.sparkSession.createDataFrame(list(vocab.items()), "term string, idf double")
     return found.join(numbers, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
 

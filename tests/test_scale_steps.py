@@ -287,3 +287,33 @@ def test_points_are_gathered_as_numbers(spark):
     assert sorted(ids.tolist()) == list(range(50)) and (points == ids[:, None] * [1, 0.5]).all()
     ids, points = neighbors.gathered(v.where("id < 0"), 2)
     assert len(ids) == 0 and points.shape == (0, 2)
+
+
+def test_terms_of_texts_are_weighed_once_a_row(spark):
+    """Words are runs of ASCII letters of the lowered text; a task gives one row per text and term, whatever the text repeats."""
+    rows = [("a", "Good good food, the b café X"), ("a", "good food"), ("b", "Kelvin good\x1cfood 9food"), (None, "food goodégood food"), ("c", None), ("d", "")]
+    df = spark.createDataFrame(rows, "k string, t string").coalesce(1)
+    vocab = {"good": 1.0, "food": 2.0, "good food": 4.0, "kelvin good": 8.0, "good good": 16.0, "the": 32.0, "absent pair": 64.0}
+    want = {}
+    for r in df.select("k", text.grams("t").alias("g")).collect():
+        for t in r["g"]:
+            if t in vocab:
+                want[r["k"], t] = want.get((r["k"], t), 0) + vocab[t]
+    got = text.weighted_terms(df, "k", "t", vocab)
+    assert {(r["key"], r["term"]): r["w"] for r in got.collect()} == want and len(want) > 8
+    counts = {}
+    for r in df.select("k", text.grams("t").alias("g")).where("k = 'b' OR k IS NULL").collect():
+        for t in r["g"]:
+            counts[t] = counts.get(t, 0) + 1
+    single = text.term_counts(df.where("k = 'b' OR k IS NULL"), "k", "t")
+    assert {r["term"]: r["cf"] for r in single.collect()} == counts
+
+
+def test_words_of_a_text_are_made_once(spark, capfd):
+    df = spark.createDataFrame([(1, "Good good bad."), (2, " "), (3, None)], "id long, t string").repartition(2)
+    out = text.sentiment(text.text_measures(df, "t"), "t")
+    got = {r["id"]: (r["t_word_count"], r["t_unique_word_ratio"], r["t_positive_ratio"], r["t_sentiment_score"]) for r in out.collect()}
+    assert got == {1: (3, 2 / 3, 2 / 3, 2 / 3), 2: (0, 0.0, 0.0, 0.0), 3: (0, 0.0, 0.0, 0.0)}
+    capfd.readouterr()
+    text.text_measures(df, "t").explain()
+    assert capfd.readouterr().out.count("split(") == 1
